@@ -89,8 +89,8 @@ OP2 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY sha1(payload)) AS first FROM p)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INTEGER, 1) for i in range(0, 32)], '') AS payload_digest,
        CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM h
@@ -155,7 +155,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') END AS w FROM documents),
 sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i : i + 2], ' ')) END) AS s FROM d),
+         ELSE [array_to_string(w[i : i + 2], ' ') for i in range(1, len(w) - 1)] END) AS s FROM d),
 tok AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sh),
 inter AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
 link AS (SELECT a, b FROM inter WHERE 100 * c >= 90 * (na + nb - c)),
