@@ -30,11 +30,8 @@ from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, sma
 BAND = 1.3
 #: Expected share of one set's tokens in an unrelated set; only costs depend on it.
 OVERLAP = 0.05
-#: A group with at most so many members outside its main component compares each of them with all members.
-OUTSIDE = 16
 #: Groups of at most so many sets with one signature have all their pairs compared.
 WHOLE = 4
-VERBOSE = False
 
 
 def shingles(text: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +87,22 @@ def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int,
     return best[1:]
 
 
-def _place_hash(lo: int, segment: np.ndarray, level: int) -> np.ndarray:
-    return mix64(segment.astype(np.uint64) + np.uint64((lo << 24) + (level << 58)))
+def _place_hash(lo: int, segment: np.ndarray) -> np.ndarray:
+    return mix64(segment.astype(np.uint64) + np.uint64(lo << 24))
 
 
-def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int]], num: int, den: int, level: int = 0) -> np.ndarray:
+def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int]], num: int, den: int) -> np.ndarray:
     """All signatures of a set: in its own band and, if a similar smaller set can lie there, in the band below."""
     out = []
     size = len(tokens)
     lo, hi = band_of(size)
-    mixed = mix64(tokens + np.uint64(level * 0x5851F42D4C957F2D % (1 << 64)))
+    mixed = mix64(tokens)
     while hi * den >= num * size:  # a set of this band can be similar
         two, one, spare = plan.get(lo, (0, hi * (den - num) // num + 1, 0))
         m = two + one + spare
         segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         count = np.bincount(segment, minlength=m)
-        place = _place_hash(lo, np.arange(m), level)
+        place = _place_hash(lo, np.arange(m))
         body = mix64(mixed)
         total = np.zeros(m, np.uint64)
         np.add.at(total, segment, body)
@@ -177,26 +174,22 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return stage(picked.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id"]), "tokens")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose Jaccard is at least num / den, by exact intersection."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, sa, sb, both``: set sizes and the exact size of the intersection of each pair."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                short, long = sorted((len(x), len(y)))
-                both = 0
-                if short * den >= long * num:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and den * both >= num * (short + long - both))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], ["a", "b"]).filter(pa.array(keep))
-
-    size = F.length("tokens").alias("size")
+            both = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "sa", "sb")), pa.array(both, pa.int64())], ["a", "b", "sa", "sb", "both"])
+
+    size = F.expr("cast(length(tokens) div 8 as bigint)")
     x = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), size.alias("sb")), "b")
     y = x.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), size.alias("sa")), "a")
-    fits = F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num
-    return y.filter(fits).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return y.select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long, sa long, sb long, both long")
+
+
+def _linked(overlaps: DataFrame, num: int, den: int) -> DataFrame:
+    return overlaps.filter(F.col("both") * den >= (F.col("sa") + F.col("sb") - F.col("both")) * num).select("a", "b")
 
 
 def _with_component(rows: DataFrame, links: DataFrame, column: str, name: str) -> DataFrame:
@@ -234,12 +227,9 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     included. Words are lower-cased (A-Z) and stand between blanks.
 
     Equal sets are one class from the start, so copies cost one row each. Members
-    of a signature group are first compared with its leader, then with two more
-    where they are not connected yet. Groups of up to four are complete then. A
-    larger one that is still in parts compares the members outside its main
-    component with all others if they are few; if not, it is split by a further
-    partition of the same sets (any similar pair agrees in some segment of each
-    partition), again and again until all groups are connected or complete.
+    of a signature group are first compared with its leader alone. In groups of up
+    to four the other pairs follow where they are not connected yet; in larger
+    ones only those pairs that the distances to the leader do not rule out.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that
     share an id count as one document for links. A row without an id takes the
@@ -259,30 +249,18 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     reps = d.filter("doc_id is not null").join(small(copies), "doc_id", "left_anti")
     repeated = Repeated(_signature_rows(reps, n, shared, num, den, None, "key long"))
     rows = repeated.only(_signature_rows(reps, n, shared, num, den, repeated.probe(), "key long, rep long"))
-    T=__import__("time").time; t0=T()
     groups = stage(_groups(rows), "groups")
-    if VERBOSE: print("groups",T()-t0,repeated.n,groups.count(),flush=True)
     sets = _sets(reps, groups.select(F.col("rep").alias("id")).distinct(), n)
 
-    if VERBOSE: print("sets",T()-t0,sets.count(),_pairs(groups, ["l1"]).count(),flush=True)
-    links = stage(_similar(_pairs(groups, ["l1"]), sets, num, den), "links")
-    if VERBOSE: print("links",T()-t0,links.count(),flush=True)
+    near = stage(_overlaps(_pairs(groups, ["l1"]), sets), "overlaps")
+    links = _linked(near, num, den)
     label = stage(components(links), "components")
-    rest = stage(_apart(_pairs(groups, ["l2", "l3"]), label), "pairs")
-    if VERBOSE: print("repeated",repeated.n,"groups",groups.count(),"sets",sets.count(),"pairs",_pairs(groups, ["l1"]).count(),"links",links.count(),"rest",rest.count(), "comps",label.select("component").distinct().count())
-    links, label = _add(links, label, rest, sets, num, den)
-
-    level, done = 0, groups.filter(f"row > {WHOLE}").select("key").distinct()
-    groups = groups.select("key", "rep").join(done, "key", "left_semi")
-    while True:
-        open_rows = stage(_open(groups, label), "open")
-        if open_rows.isEmpty():
-            break
-        level += 1
-        if VERBOSE: print("open",T()-t0,level,open_rows.count(),open_rows.filter("near").count(),open_rows.select("key").distinct().count(),_near(open_rows).count(),flush=True)
-        near, groups = _near(open_rows), _refined(open_rows.filter("not near"), sets, shared, num, den, level)
-        links, label = _add(links, label, stage(near, "pairs"), sets, num, den)
-        groups = stage(groups, "groups")
+    # groups of up to WHOLE members: their other pairs; larger ones: what the overlaps with their leader leave open
+    large = groups.filter(f"row > {WHOLE}").select("key").distinct()
+    rest = _apart(_pairs(groups.join(large, "key", "left_anti"), ["l2", "l3"]), label)
+    rest = rest.unionByName(_open_pairs(groups.join(large, "key", "left_semi"), near, sets, label, num, den)).distinct()
+    new = stage(_linked(_overlaps(stage(rest, "pairs"), sets), num, den), "links")
+    label = stage(components(links.unionByName(new)), "components")
 
     out = _with_component(members.withColumn("node", F.coalesce("rep", "doc_id")), label, "node", "component_id")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
@@ -301,49 +279,36 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter("ca <> cb").select("a", "b")
 
 
-def _add(links, label, pairs, sets, num, den):
-    new = stage(_similar(pairs, sets, num, den), "links")
-    if new.isEmpty():
-        return links, label
-    links = links.unionByName(new)
-    return links, stage(components(links), "components")
-
-
-def _open(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """``key, rep, c, outside, near`` of the groups that links have not connected yet.
+def _open_pairs(groups: DataFrame, near: DataFrame, sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of large groups that are not connected yet and that a lower bound does not rule out.
 
-    ``outside``: the member is not in the group's most common component. ``near``:
-    the group has few such members, so they can be compared with all others in
-    rows proportional to the group.
+    With the leader L of a group, D(x) the tokens in which x differs from L and
+    u(x) the tokens that x alone has among all open members, x and y differ in at
+    least ``u(x) + u(y) + |(D(x) - u(x)) - (D(y) - u(y))|`` tokens, for which a
+    similar pair has room of ``(1 - t) / (1 + t)`` times their sizes. Members are
+    listed once under each leader, however many signatures they share with it.
     """
-    part = _with_component(groups, label, "rep", "c").groupBy("key", "c").agg(F.count("*").alias("size"))
-    most = part.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
-    most = most.filter("others > 0").withColumn("near", F.col("others") <= OUTSIDE)
-    return _with_component(groups.join(most, "key"), label, "rep", "c").select("key", "rep", "c", (F.col("c") != F.col("main")).alias("outside"), "near")
+    c = _with_component(groups, label, "rep", "c")
+    parts = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    member = stage(c.join(parts, "key", "left_semi").select(F.col("l1").alias("lead"), "rep", "c").distinct(), "open")
 
-
-def _near(rows: DataFrame) -> DataFrame:
-    """Pairs of the few members outside a group's main component with its members in other components."""
-    rows = rows.filter("near")
-    x = rows.filter("outside").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    both = rows.join(x, "key").filter("c <> cx")
-    return both.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-
-
-def _refined(rows: DataFrame, sets: DataFrame, plan, num: int, den: int, level: int) -> DataFrame:
-    """Each open group split by the signatures of another partition."""
-
-    def run(batches):
+    def tokens(batches):
         for batch in batches:
-            keys, counts = [], []
-            for key, tokens in zip(batch.column("key"), batch.column("tokens"), strict=True):
-                x = signatures(np.frombuffer(tokens.as_py(), np.uint64), plan.value, num, den, level)
-                keys.append(mix64(x + np.uint64(key.as_py() % (1 << 64))))
-                counts.append(len(x))
-            rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), rep], ["key", "rep"])
-
-    open_sets = rows.join(sets.withColumnRenamed("id", "rep"), "rep").select("key", "rep", "tokens")
-    new = open_sets.mapInArrow(run, "key long, rep long")
-    return new.join(new.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi")
-
+            parts = [np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(parts))], ["id", "token"])
+
+    used = sets.join(small(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
+    alone = used.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("u"))
+    size = sets.select(F.col("id").alias("rep"), F.expr("cast(length(tokens) div 8 as bigint)").alias("size"))
+    apart = F.col("sa") + F.col("sb") - 2 * F.col("both")
+    distance = near.select(F.col("a").alias("lead"), F.col("b").alias("rep"), apart.alias("d")).unionByName(near.select(F.col("b").alias("lead"), F.col("a").alias("rep"), apart.alias("d")))
+    m = member.join(distance, ["lead", "rep"], "left").join(size, "rep").join(alone, "rep", "left")
+    # only the leader is missing from the distances
+    m = m.withColumn("u", F.coalesce("u", F.lit(0))).withColumn("r", F.when(F.col("lead") == F.col("rep"), 0).otherwise(F.col("d")) - F.col("u"))
+    m = m.filter(F.col("u") * num <= (F.col("size") - F.col("u")) * (den - num))
+    m = stage(_with_component(m, label, "lead", "cl"), "open")
+    x = m.filter("c <> cl").select("lead", *(F.col(k).alias(f"{k}1") for k in ("rep", "c", "size", "u", "r")))
+    room = (F.col("u1") + F.col("u") + F.abs(F.col("r1") - F.col("r"))) * (den + num) <= (F.col("size1") + F.col("size")) * (den - num)
+    both = x.join(m, (x["lead"] == m["lead"]) & (F.col("c1") != F.col("c")) & room)
+    return both.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b")).distinct()
