@@ -1,10 +1,10 @@
 """Substring dedup by seed and extend.
 
-Seeds are winnowed k-grams: any two equal runs of ``n`` words share one. Seeds
-that only one document holds end there. Around each repeated seed the run is
-extended both ways to all windows of ``n`` words that contain the seed, whose
-128-bit digests are compared over the whole corpus; overlapping repeated windows
-then merge into maximal repeats.
+Seeds are winnowed k-grams, the least of each window of ``n`` words, so two equal
+windows have the same seed. Seeds that only one document holds end there. Around
+each repeated seed the run is extended both ways to the windows whose seed it is,
+and their 128-bit digests are compared over the whole corpus; overlapping repeated
+windows then merge into maximal repeats.
 """
 
 from __future__ import annotations
@@ -14,18 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Repeated, ngram_hashes, small, stage, winnow, word_hashes
+from .common import BLANKS, Repeated, ngram_hashes, sliding_min, small, stage, word_hashes
 
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
 
 
-def _seeds(words: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(words) < n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = ngram_hashes(words, k)
-    at = winnow(grams, n - k + 1)
-    return at, grams[at]
+def _seeds(words: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The winnowed seed of every window of ``n`` words: the least k-gram hash inside it."""
+    return sliding_min(ngram_hashes(words, k), n - k + 1) if len(words) >= n else np.empty(0, np.uint64)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +38,7 @@ def covered(starts, n: int, length: int) -> np.ndarray:
     return np.cumsum(step)[:length] > 0
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 13, k: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 13, k: int = 7) -> DataFrame:
     """One row per document with the maximal repeats to remove.
 
     Columns: the id, ``n_words``, ``spans`` (array of structs ``start``, ``end``
@@ -71,28 +68,22 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
             found = []
             for t in batch.column("text"):
                 words = word_hashes((t.as_py() or b"").translate(BLANKS))[0]
-                found.append(np.unique(_seeds(words, n, k)[1]))
+                found.append(np.unique(_seeds(words, n, k)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
     repeated = Repeated(own.mapInArrow(keys, "key long"))
-    probe, once = repeated.probe(), repeated.bitmap is not None
+    probe = repeated.probe()
 
     def windows(batches):
         for batch in batches:
             ranks, tags, parts, counts = batch.column("rank"), batch.column("tag").to_numpy().astype(np.int64), [], []
             for t, tag in zip(batch.column("text"), tags, strict=True):
                 one, two = word_hashes((t.as_py() or b"").translate(BLANKS), 2)
-                at, seeds = _seeds(one, n, k)
-                here = probe(seeds)
-                at, seeds = at[here], seeds[here]
-                first, last = np.maximum(at - (n - k), 0), np.minimum(at, len(one) - n)
-                if once:  # each window under its first repeated seed alone
-                    first[1:] = np.maximum(first[1:], last[:-1] + 1)
-                size = np.maximum(last - first + 1, 0)
-                starts = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                seeds = _seeds(one, n, k)
+                starts = np.flatnonzero(probe(seeds))
                 counts.append(len(starts))
                 if len(starts):
-                    parts.append((np.repeat(seeds, size).view(np.int64), ngram_hashes(one, n)[starts].view(np.int64), ngram_hashes(two, n, 1)[starts].view(np.int64), tag << 32 | starts))
+                    parts.append((seeds[starts].view(np.int64), ngram_hashes(one, n)[starts].view(np.int64), ngram_hashes(two, n, 1)[starts].view(np.int64), tag << 32 | starts))
             if parts:
                 rows = ranks.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)), rows], ["key", "a", "b", "place", "rank"])

@@ -17,8 +17,10 @@ An id is found from its number alone: block ``i // ids_per_block``, bit
 from __future__ import annotations
 
 import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,9 @@ BLOCK = 4096
 #: Ids in a shard, about 8 MiB at 16 bits; a longer document has a shard of its own.
 SHARD_IDS = 4 << 20
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Marks that may end a piece; the pre-tokenizer parts them from letters before them.
+MARKS = string.punctuation.replace("'", "")
 
 
 def pack_block(ids: np.ndarray, bits: int) -> bytes:
@@ -100,7 +104,8 @@ class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, remembering words.
 
     Its pre-tokenizer always breaks before a single space between two other
-    characters, so the pieces of ``text.split(" ")`` encode apart. A text with any
+    characters, and between letters and marks, so the pieces of ``text.split(" ")``
+    encode apart, and so do the marks at their ends. A text with any
     other use of blanks around a space is encoded as a whole.
     """
 
@@ -111,13 +116,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space before it, by one call for many words."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            data = array("I", e.ids).tobytes()
+            where = np.array(e.word_ids)
+            cut = [0, *(4 * (np.flatnonzero(where[1:] != where[:-1]) + 1)).tolist(), len(data)]
+            if len(cut) != len(part) + 1:
+                raise ValueError("the pre-tokenizer parts words in another way")
+            out += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return out
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._encode([marks])[0]
+        return self.marks[marks]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split(" ") for t in texts]
@@ -127,8 +154,23 @@ class WordEncoder:
         new = set()
         for pieces in split:
             new.update(pieces)
-        new = [w for w in new if w not in known and w and not w[0].isspace() and not w[-1].isspace()]
-        known.update(zip(new, self._encode([" " + w for w in new]), strict=True))
+        cores: dict[str, list[tuple[str, str]]] = {}
+        for w in new.difference(known):
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                cores.setdefault(core, []).append((w, w[len(core) :]))
+            elif w and not w[0].isspace() and not w[-1].isspace():
+                cores.setdefault(w, []).append((w, ""))
+        fresh = [c for c in cores if c not in known]
+        letters = [c for c in fresh if c.isalpha()]
+        known.update(zip(letters, self._words(letters), strict=True))
+        other = [c for c in fresh if c not in known]
+        known.update(zip(other, self._encode([" " + c for c in other]), strict=True))
+        for core, forms in cores.items():
+            ids = known[core]
+            for w, marks in forms:
+                if marks:
+                    known[w] = ids + self._marks(marks)
         first = self._encode([p[0] for p in split])
         out = []
         for text, pieces, head in zip(texts, split, first, strict=True):
