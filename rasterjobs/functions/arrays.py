@@ -81,7 +81,11 @@ def blue(y: Column, cb: Column, cr: Column) -> Column:
 def ycc_to_rgb(y: Column, cb: Column, cr: Column) -> Column:
     """Arrays of 64 samples to a struct of arrays r, g, b."""
     triples = F.arrays_zip(y.alias("y"), cb.alias("cb"), cr.alias("cr"))
-    return F.struct(*(F.transform(triples, lambda t, f=f: f(t.getField("y"), t.getField("cb"), t.getField("cr"))).alias(n) for n, f in (("r", red), ("g", green), ("b", blue))))
+
+    def plane(f) -> Column:
+        return F.transform(triples, lambda t: f(t.getField("y"), t.getField("cb"), t.getField("cr")))
+
+    return F.struct(plane(red).alias("r"), plane(green).alias("g"), plane(blue).alias("b"))
 
 
 def byte_at(data: Column, at: Column | int) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.arrays import dequantize, upsample, ycc_to_rgb
@@ -44,7 +45,7 @@ def idct8x8(blocks: np.ndarray) -> np.ndarray:
     return _pass(x.transpose(0, 2, 1)).transpose(0, 2, 1).reshape(-1, 64).astype(np.int16)
 
 
-@pandas_udf("array<smallint>")
+@pandas_udf(T.ArrayType(T.ShortType()))
 def idct(coef: pd.Series) -> pd.Series:
     """Inverse transform of each block, a batch of blocks at a time."""
     if not len(coef):

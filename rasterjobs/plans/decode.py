@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import batches, huffman, raster, segments, transform, validate
+from ..sources.staging import stage
 
 
 def image_table(segs: DataFrame) -> DataFrame:
@@ -46,9 +47,10 @@ def _scan_tables(segs: DataFrame, images: DataFrame) -> DataFrame:
 
 @dataclass
 class Triage:
-    """Headers of a corpus; entropy bytes are never read."""
+    """Headers of a corpus; entropy bytes are never read. ``headers`` has the images with a frame, ``images`` all."""
 
     segs: DataFrame
+    headers: DataFrame
     images: DataFrame
     errors: DataFrame
 
@@ -59,12 +61,12 @@ class Triage:
 
 def triage(files: DataFrame, slots: int | None = None, capacity: int = batches.CAPACITY) -> Triage:
     """Which files will decode, and how large they are."""
-    segs = segments.segments(files)
-    images = batches.work_units(image_table(segs), capacity)
-    errors = validate.validate(segs)
+    segs = stage(segments.segments(files), "segments")
+    images = stage(batches.work_units(image_table(segs), capacity), "images")
+    errors = stage(validate.validate(segs), "errors")
     if slots is not None:
         errors = errors.unionByName(batches.reject_oversized(images, slots)[1].select(*errors.columns))
-    return Triage(segs, validate.image_status(files.select("image_id").distinct(), errors).join(images, "image_id", "left"), errors)
+    return Triage(segs, images, validate.image_status(files.select("image_id").distinct(), errors).join(images, "image_id", "left"), errors)
 
 
 @dataclass
@@ -97,16 +99,17 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     (missing units are absent).
     """
     t = triage(files, slots)
-    fine = validate.valid_images(image_table(t.segs), t.errors)
+    fine = validate.valid_images(t.headers, t.errors)
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
-    scans = _scan_tables(chosen, fine)
-    intervals = segments.entropy_intervals(files, chosen)
-    units = huffman.decode_units(intervals.filter("error is null or interval_no >= 0"), scans)
+    scans = stage(_scan_tables(chosen, fine), "scans")
+    intervals = stage(segments.entropy_intervals(files, chosen), "intervals")
+    units = stage(huffman.decode_units(intervals, scans), "units")
     late = validate.scan_errors(intervals).unionByName(huffman.decode_errors(units))
     # a baseline scan that leaves components out, or ends before its last unit
     got = units.filter("error is null").groupBy("image_id").agg(F.count("*").alias("n"))
     short = scans.join(got, "image_id", "left").filter((F.col("frame_type") == 0) & ((F.col("components_in_scan") != F.col("num_components")) | (F.coalesce("n", F.lit(0)) < F.col("mcus") * F.size("cells"))))
     late = late.unionByName(short.select("image_id", F.lit("incomplete_scan").alias("code"), F.col("components_in_scan").cast("string").alias("detail"), F.lit(1_600_000).alias("ord"), F.lit(107).alias("step")))
+    late = stage(late, "errors")
     errors = t.errors.unionByName(late)
     if not keep_partial:
         bad = late.select("image_id").distinct()

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import arrays as A
 from .operators import batches, coefficients, raster, segments, transform, validate
 from .plans import fixtures as X
-from .plans.decode import decode, image_table, triage
+from .plans.decode import decode, triage
 from .sources import files
+from .sources.staging import shared_dir
 from .streaming.decode import stream_decode
 
 SLOTS = 40
@@ -151,7 +152,7 @@ REPORT_SQL = f"SELECT code, count(*) AS images FROM ({STATUS_SQL}) WHERE NOT val
 
 def valid_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triage(X.bad_headers(spark, sf_dir))
-    return validate.valid_images(image_table(t.segs), t.errors).select("image_id", "width", "height", "du_width_pad", "du_height_pad")
+    return validate.valid_images(t.headers, t.errors).select("image_id", "width", "height", "du_width_pad", "du_height_pad")
 
 
 VALID_SQL = f"""SELECT image_id, width, height, CASE WHEN num_components = 3 THEN du_width_pad ELSE du_width END AS du_width_pad,
@@ -390,8 +391,7 @@ def decode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written from the table, decoded by a stream that takes what has arrived."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=top.removeprefix("file:").replace("//", "/"))
+    folder = tempfile.mkdtemp(prefix="stream-", dir="/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
     bmps = X.jpegs(spark, sf_dir, color=False, h=1, v=1).select(F.concat("image_id", F.lit(".jpg")).alias("out_path"), F.col("content").alias("bmp"))
     files.export_files(bmps, folder)
     stream_decode(spark, f"file://{folder}", f"file://{folder}/out", f"file://{folder}/checkpoint").awaitTermination()
