@@ -121,14 +121,18 @@ def _bags(docs: DataFrame, keep: list[str], finish, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS) -> Network | float:
-    """Fit on at most ``rows`` labelled documents picked by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS) -> Network | float:
+    """Fit on at most ``rows`` labels (id, label), picked by a hash of the id.
+
+    Labels other than 0 and 1, without an id or without a document are left out.
 
     With one label only, or none, the model is a constant: the smoothed share of
     label 1.
     """
-    d = labelled.filter(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(doc_id), F.lit(2)).alias("h"), F.col(text).cast("string").cast("binary").alias("text"), F.col(label).cast("int").alias("label"))
-    picked = d.orderBy("h", "text").limit(rows).repartition(24, "h")
+    h = F.xxhash64(F.col(doc_id), F.lit(2))
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
+    d = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"))  # at most ``rows`` ids
+    picked = d.select("h", F.col(text).cast("string").cast("binary").alias("text"), "label").repartition(24, "h")
     packed = _bags(picked.select("text", "label"), ["label"], lambda bags: pa.array([(b * 255).astype(np.uint8).tobytes() for b in bags], pa.binary()), "label int, out binary")
     got = packed.collect()
     labels = np.array([r.label for r in got], float)

@@ -104,8 +104,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score`` of all ``docs``, learned from the labelled ones outside the held-out fold."""
     known = labels.select(F.col("doc_id"), F.col("toxic").alias("label")).filter(fold(F.col("doc_id"), 3) != 1)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    return toxicity.score(docs, toxicity.fit(labelled))
+    return toxicity.score(docs, toxicity.fit(docs, known))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +115,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(fold(F.col("doc_id"), 5) != 0)
-    out = quality.score(docs, quality.fit(docs.select("doc_id", "text").join(known, "doc_id")))
+    out = quality.score(docs, quality.fit(docs, known))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 

@@ -253,15 +253,19 @@ def _features(docs: DataFrame, words: list[str], stems: list[str], keep: list[st
     return docs.mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` labelled documents, picked by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from at most ``rows`` labels (id, label), picked by a hash of the id.
+
+    Labels other than 0 and 1, without an id or without a document are left out.
 
     One half of them gives the lexicon, the other the weights, so that terms which
     are pure by chance lose weight. Without both labels in the sample the score is
     the smoothed share of label 1 (0.5 without any rows).
     """
-    d = labelled.filter(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(doc_id), F.lit(1)).alias("h"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
-    picked = d.orderBy("h", "text").limit(rows).repartition(24, "h").cache()
+    h = F.xxhash64(F.col(doc_id), F.lit(1))
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
+    d = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"))  # at most ``rows`` ids
+    picked = d.select("h", F.col(text).cast("string").alias("text"), "label").repartition(24, "h").cache()
     words, stems = learn_terms(picked.filter("h % 2 = 0"))
     got = _features(picked.filter("h % 2 <> 0").select("text", "label"), words, stems, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>").collect()
     picked.unpersist()
