@@ -19,9 +19,14 @@ def _ints(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once even where lambdas inside ``body`` use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dezigzag(arr: Column) -> Column:
     """64 values in scan order as 64 values in row order."""
-    return F.transform(_ints(UNZIGZAG), lambda p: F.get(arr, p))
+    return let(arr, lambda a: F.transform(_ints(UNZIGZAG), lambda p: F.get(a, p)))
 
 
 def extend_sign(v: Column, n: Column) -> Column:
@@ -36,15 +41,8 @@ def wrap16(x: Column) -> Column:
 
 
 def densify(pos: Column, val: Column) -> Column:
-    """64 values with ``val`` at ``pos`` (scan order) and 0 elsewhere; the last value of a position counts."""
-    where = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(pos) - F.array_position(F.reverse(pos), i.cast("int")))
-    return F.transform(where, lambda k: F.when(k < F.size(pos), F.get(val, k.cast("int"))).otherwise(0))
-
-
-def positions(runs: Column) -> Column:
-    """Scan positions of AC tokens with ``runs`` zeros before each, from 1."""
-    add = F.aggregate(runs, F.array().cast("array<int>"), lambda a, r: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + r + 1)))
-    return add
+    """64 values with ``val`` at ``pos`` (distinct, scan order) and 0 elsewhere."""
+    return let(F.map_from_arrays(pos, val), lambda m: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.coalesce(F.try_element_at(m, p), F.lit(0))))
 
 
 def dequantize(coef: Column, q: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import densify, dezigzag, positions
+from ..functions.arrays import densify, dezigzag
 from .coefficients import dc_predict
 
 
@@ -76,16 +76,16 @@ def _dc(bits: Bits, table: list[int]) -> int:
 
 
 def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[int] | None]], units: int, progressive: bool = False, ss: int = 0, se: int = 63, ah: int = 0, al: int = 0):
-    """Units of an interval as (component, dc_diff, runs, values, error), until an error ends it.
+    """Units of an interval as (component, dc_diff, positions, values, error), until an error ends it.
 
     ``cells``: component, DC and AC lookup of each unit of an MCU, in order.
-    ``runs`` count the zeros before each value, from scan position 1. A progressive
-    scan decodes its own part on coefficients that are all zero.
+    Positions are those of the values in scan order. A progressive scan decodes its
+    own part on coefficients that are all zero.
     """
     bits, skips = Bits(data), 0
     for k in range(units):
         component, dc, ac = cells[k % len(cells)]
-        diff, runs, values = 0, [], []
+        diff, pos, values = 0, [], []
         try:
             if not progressive:
                 diff = _dc(bits, dc)
@@ -99,7 +99,7 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
                         raise BadData("zero_run")
                     if size > 10:
                         raise BadData("ac_length")
-                    runs.append(run)
+                    pos.append(i + run)
                     values.append(bits.signed(size))
                     i += run + 1
             elif ss == 0:
@@ -107,7 +107,7 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
             elif skips:
                 skips -= 1
             else:
-                i, before = ss, 1
+                i = ss
                 while i <= se:
                     s = bits.symbol(ac, "bad_ac_symbol")
                     run, size = s >> 4, s & 15
@@ -123,21 +123,20 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
                     value = (1 if bits.take(1) else -1) << al if ah and size else bits.signed(size) * (1 << al) if size else 0
                     i += run
                     if value and i <= se:
-                        runs.append(i - before)
+                        pos.append(i)
                         values.append(value)
-                        before = i + 1
                     i += 1
         except BadData as e:
             yield component, 0, [], [], str(e)
             return
-        yield component, diff, runs, values, None
+        yield component, diff, pos, values, None
 
 
 INFO = "array<struct<component:int,dc_counts:array<int>,dc_symbols:array<int>,ac_counts:array<int>,ac_symbols:array<int>>>"
 
 
 def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
-    """``image_id, interval_no, seq, component, dc_diff, runs, vals, error`` of every data unit.
+    """``image_id, interval_no, seq, component, dc_diff, pos, vals, error`` of every data unit.
 
     ``tables`` has a row per image: ``cells`` (the components of an MCU with their
     Huffman tables), ``mcus``, ``restart_interval``, ``frame_type, ss, se, ah, al``.
@@ -160,9 +159,9 @@ def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
                 if count <= 0 or (number and not gap):
                     continue
                 use = [(c["component"], *(lookup(tuple(c[f"{k}_counts"]), tuple(c[f"{k}_symbols"])) if c[f"{k}_counts"] else None for k in ("dc", "ac"))) for c in cells]
-                for k, (component, diff, runs, vals, error) in enumerate(decode_interval(data or b"", use, count * len(use), frame != 0, ss, se, ah, al)):
+                for k, (component, diff, pos, vals, error) in enumerate(decode_interval(data or b"", use, count * len(use), frame != 0, ss, se, ah, al)):
                     at.append(place)
-                    rows.append((number, first * len(use) + k, component, diff, runs, vals, error))
+                    rows.append((number, first * len(use) + k, component, diff, pos, vals, error))
                 if len(rows) > 20_000:
                     yield pack(batch, at, rows)
                     rows, at = [], []
@@ -171,13 +170,13 @@ def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
 
     ints = pa.list_(pa.int32())
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), ints, ints, pa.string()]
-    fields = ["interval_no", "seq", "component", "dc_diff", "runs", "vals", "error"]
+    fields = ["interval_no", "seq", "component", "dc_diff", "pos", "vals", "error"]
 
     def pack(batch, at, rows):
         cols = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["image_id", *fields])
 
-    return df.mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, runs array<int>, vals array<int>, error string")
+    return df.mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, pos array<int>, vals array<int>, error string")
 
 
 def with_huffman(components: DataFrame, tables: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def coefficients(units: DataFrame, images: DataFrame) -> DataFrame:
     row = F.floor(mcu / F.col("across")) * F.col("step_v") + F.floor(inside / F.col("step_h"))
     col = mcu % F.col("across") * F.col("step_h") + inside % F.col("step_h")
     dc = F.when(F.col("frame_type") == 0, F.col("dc")).when(F.col("ss") != 0, F.lit(0)).otherwise(F.when(F.col("ah") == 0, F.col("dc")).otherwise(F.col("dc_diff")) * F.call_function("shiftleft", F.lit(1), F.col("al")))
-    pos = F.concat(F.array(F.lit(0)), positions(F.col("runs")))
+    pos = F.concat(F.array(F.lit(0)), F.col("pos"))
     val = F.concat(F.array(dc.cast("int")), F.col("vals"))
     coef = dezigzag(densify(pos, val)).cast("array<smallint>")
     return df.select("image_id", "component", row.cast("int").alias("du_row"), col.cast("int").alias("du_col"), coef.alias("coef"))
