@@ -11,6 +11,8 @@ are chosen per band by a cost model fed with the number of sets in the band.
 ``spare`` extra segments of allocation 1 allow a set to leave out up to ``spare``
 empty ones (allocation 0), which would match those of unrelated sets: a similar
 pair agrees in segments worth ``spare + 1``, so in more than the empty ones.
+Further ``extra`` segments raise that to ``spare + extra + 1``, so a set with fewer
+than ``extra + 1`` signatures that any other set has can link with none.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, sma
 BAND = 1.3
 #: Expected share of one set's tokens in an unrelated set; only costs depend on it.
 OVERLAP = 0.05
+#: One extra segment for so many tokens in which similar sets can differ.
+EXTRA = 8
 #: Groups of at most so many sets with one signature have all their pairs compared.
 WHOLE = 4
 
@@ -60,8 +64,8 @@ def band_of(size: int) -> tuple[int, int]:
         lo = hi + 1
 
 
-def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int, int, int]:
-    """(segments with allocation 2, segments with allocation 1, spare ones) of a band.
+def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int, int, int, int]:
+    """(segments with allocation 2, segments with allocation 1, spare ones, extra ones) of a band.
 
     The cost of a choice is the signatures of a set plus the unrelated sets that
     share one of them, taking token counts of segments as Poisson.
@@ -69,7 +73,8 @@ def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int,
     most = hi * (den - num) // num  # tokens in which two such sets can differ
     best = None
     for two in sorted({0, (most + 1) // 4, (most + 1) // 2}):
-        one = most + 1 - 2 * two
+        extra = most // EXTRA
+        one = most + 1 - 2 * two + extra
         spare = 0
         for _ in range(20):
             mean = (one + spare) * math.exp(-lo / (two + one + spare))
@@ -83,7 +88,7 @@ def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int,
         rows = one + spare + two * (1 + s)
         false = sets * (same * (one + spare) + same * (1 + s) * two)
         if best is None or rows + false < best[0]:
-            best = rows + false, two, one, spare
+            best = rows + false, two, one - extra, spare, extra
     return best[1:]
 
 
@@ -91,15 +96,18 @@ def _place_hash(lo: int, segment: np.ndarray) -> np.ndarray:
     return mix64(segment.astype(np.uint64) + np.uint64(lo << 24))
 
 
-def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int]], num: int, den: int) -> np.ndarray:
-    """All signatures of a set: in its own band and, if a similar smaller set can lie there, in the band below."""
+def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int, int]], num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """Signatures of a set in its own band and in the band below, if a similar smaller set can lie there.
+
+    Each as (band, signatures that a linked set must have repeated, signatures).
+    """
     out = []
     size = len(tokens)
     lo, hi = band_of(size)
     mixed = mix64(tokens)
     while hi * den >= num * size:  # a set of this band can be similar
-        two, one, spare = plan.get(lo, (0, hi * (den - num) // num + 1, 0))
-        m = two + one + spare
+        two, one, spare, extra = plan[lo]
+        m = two + one + spare + extra
         segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         count = np.bincount(segment, minlength=m)
         place = _place_hash(lo, np.arange(m))
@@ -108,14 +116,16 @@ def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int]], num: i
         np.add.at(total, segment, body)
         whole = mix64(total + place)
         bare = (count == 0) & (np.arange(m) >= two)
-        out.append(whole[~bare] if bare.sum() <= spare else whole)
+        found = [whole[~bare] if bare.sum() <= spare else whole]
         if two:  # the first segments also by their one-deletion neighbours
             near = segment < two
-            out.append(mix64(total[segment[near]] - body[near] + place[segment[near]]))
+            found.append(mix64(total[segment[near]] - body[near] + place[segment[near]]))
+        need = (extra + 2) // 2 if two else extra + 1
+        out.append((lo, need, np.unique(np.concatenate(found))))
         if lo == 1:
             break
         lo, hi = band_of(lo - 1)
-    return np.unique(np.concatenate(out))
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -145,19 +155,22 @@ def _signature_rows(docs: DataFrame, n: int, plan, num: int, den: int, probe, sc
 
     def run(batches):
         for batch in batches:
-            counts, keys = [], []
+            counts, keys, bands, needs = [], [], [], []
             for t in batch.column("text"):
                 tokens = shingles(t.as_py(), n)[0]
-                x = signatures(tokens, plan.value, num, den) if len(tokens) else tokens
-                x = x[probe(x)] if with_id else x
-                counts.append(len(x))
-                keys.append(x)
-            key = pa.array(np.concatenate(keys).view(np.int64))
-            if with_id:
-                rep = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([key, rep], ["key", "rep"])
-            else:
+                counts.append(0)
+                for lo, need, x in signatures(tokens, plan.value, num, den) if len(tokens) else []:
+                    x = x[probe(x)] if with_id else x
+                    counts[-1] += len(x)
+                    keys.append(x)
+                    bands.append(np.full(len(x), lo))
+                    needs.append(np.full(len(x), need))
+            key = pa.array((np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64))
+            if not with_id:
                 yield pa.RecordBatch.from_arrays([key], ["key"])
+            elif keys:
+                rep = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                yield pa.RecordBatch.from_arrays([key, rep, pa.array(np.concatenate(bands)), pa.array(np.concatenate(needs))], ["key", "rep", "band", "need"])
 
     return docs.mapInArrow(run, schema)
 
@@ -174,8 +187,8 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return stage(picked.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id"]), "tokens")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, sa, sb, both``: set sizes and the exact size of the intersection of each pair."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, sa, sb, both``: sizes and exact intersection of each pair whose sizes allow a link."""
 
     def run(batches):
         for batch in batches:
@@ -183,8 +196,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "sa", "sb")), pa.array(both, pa.int64())], ["a", "b", "sa", "sb", "both"])
 
     size = F.expr("cast(length(tokens) div 8 as bigint)")
-    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), size.alias("sb")), "b")
-    y = x.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), size.alias("sa")), "a")
+    sizes = small(sets.select("id", size.alias("size")))
+    for c in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("size").alias(f"s{c}")), c)
+    pairs = pairs.filter(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num)
+    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    y = x.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     return y.select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long, sa long, sb long, both long")
 
 
@@ -203,8 +220,13 @@ def _groups(rows: DataFrame) -> DataFrame:
     Members that share most signatures with others come first: in a cloud of near
     copies that is the text the others were made from, which links to most of them.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stage(rows.join(sizes, "key"), "grouped")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+
+    rows = stage(shared(rows), "shared").drop("size")
+    able = rows.groupBy("rep", "band").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("rep", "band")
+    rows = stage(shared(rows.join(able, ["rep", "band"]).select("key", "rep")), "grouped")
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
     rows = rows.join(central, "rep")
     w = W.partitionBy("key").orderBy(F.desc("central"), "rep")
@@ -239,7 +261,7 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     members = membership(d, n)
     bands = members.filter("n > 0").groupBy(F.floor(F.log("n") / math.log(BAND)).alias("g")).agg(F.countDistinct("rep").alias("sets"), F.max("n").alias("most")).collect()
-    plan: dict[int, tuple[int, int, int]] = {}
+    plan: dict[int, tuple[int, int, int, int]] = {}
     weight: dict[int, float] = {r.g: float(r.sets) for r in bands}  # one row for each power of BAND
     for lo, hi in _bands(max((r.most for r in bands), default=0)):
         plan[lo] = allocation(lo, hi, weight.get(int(math.log(lo) / math.log(BAND)), 1.0), num, den)
@@ -248,18 +270,18 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     copies = members.filter("doc_id <> rep or rep is null").select("doc_id").distinct()
     reps = d.filter("doc_id is not null").join(small(copies), "doc_id", "left_anti")
     repeated = Repeated(_signature_rows(reps, n, shared, num, den, None, "key long"))
-    rows = repeated.only(_signature_rows(reps, n, shared, num, den, repeated.probe(), "key long, rep long"))
+    rows = repeated.only(_signature_rows(reps, n, shared, num, den, repeated.probe(), "key long, rep long, band long, need long"))
     groups = stage(_groups(rows), "groups")
     sets = _sets(reps, groups.select(F.col("rep").alias("id")).distinct(), n)
 
-    near = stage(_overlaps(_pairs(groups, ["l1"]), sets), "overlaps")
+    near = stage(_overlaps(_pairs(groups, ["l1"]), sets, num, den), "overlaps")
     links = _linked(near, num, den)
     label = stage(components(links), "components")
     # groups of up to WHOLE members: their other pairs; larger ones: what the overlaps with their leader leave open
     large = groups.filter(f"row > {WHOLE}").select("key").distinct()
     rest = _apart(_pairs(groups.join(large, "key", "left_anti"), ["l2", "l3"]), label)
     rest = rest.unionByName(_open_pairs(groups.join(large, "key", "left_semi"), near, sets, label, num, den)).distinct()
-    new = stage(_linked(_overlaps(stage(rest, "pairs"), sets), num, den), "links")
+    new = stage(_linked(_overlaps(stage(rest, "pairs"), sets, num, den), num, den), "links")
     label = stage(components(links.unionByName(new)), "components")
 
     out = _with_component(members.withColumn("node", F.coalesce("rep", "doc_id")), label, "node", "component_id")
@@ -304,11 +326,11 @@ def _open_pairs(groups: DataFrame, near: DataFrame, sets: DataFrame, label: Data
     apart = F.col("sa") + F.col("sb") - 2 * F.col("both")
     distance = near.select(F.col("a").alias("lead"), F.col("b").alias("rep"), apart.alias("d")).unionByName(near.select(F.col("b").alias("lead"), F.col("a").alias("rep"), apart.alias("d")))
     m = member.join(distance, ["lead", "rep"], "left").join(size, "rep").join(alone, "rep", "left")
-    # only the leader is missing from the distances
+    # without a distance (sizes too far apart for a link with the leader) only u counts
     m = m.withColumn("u", F.coalesce("u", F.lit(0))).withColumn("r", F.when(F.col("lead") == F.col("rep"), 0).otherwise(F.col("d")) - F.col("u"))
     m = m.filter(F.col("u") * num <= (F.col("size") - F.col("u")) * (den - num))
     m = stage(_with_component(m, label, "lead", "cl"), "open")
     x = m.filter("c <> cl").select("lead", *(F.col(k).alias(f"{k}1") for k in ("rep", "c", "size", "u", "r")))
-    room = (F.col("u1") + F.col("u") + F.abs(F.col("r1") - F.col("r"))) * (den + num) <= (F.col("size1") + F.col("size")) * (den - num)
+    room = (F.col("u1") + F.col("u") + F.coalesce(F.abs(F.col("r1") - F.col("r")), F.lit(0))) * (den + num) <= (F.col("size1") + F.col("size")) * (den - num)
     both = x.join(m, (x["lead"] == m["lead"]) & (F.col("c1") != F.col("c")) & room)
     return both.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b")).distinct()
