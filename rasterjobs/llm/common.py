@@ -64,6 +64,13 @@ def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.col(text).cast("string").cast("binary").alias("text"))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to at most ``rows`` rows, so that a task's arrays stay small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 # --------------------------------------------------------------------------
 # Hashing
 
@@ -94,7 +101,7 @@ class _Lane:
 
     def tables(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if size > self.size:
-            self.size = min(_CHUNK, max(4096, 2 * size))
+            self.size = min(_CHUNK + 1, max(4096, 2 * size))
 
             def powers(b: int) -> np.ndarray:
                 p = np.full(self.size, b, dtype=np.uint64)
@@ -111,7 +118,7 @@ _LANES = [_Lane(0), _Lane(1)]
 def _chunks(data: bytes):
     at = 0
     while len(data) - at > _CHUNK:
-        cut = data.rfind(b" ", at, at + _CHUNK)
+        cut = data.rfind(b" ", at + 1, at + _CHUNK)
         if cut < 0:
             cut = data.find(b" ", at + _CHUNK)
             cut = len(data) if cut < 0 else cut
@@ -124,7 +131,7 @@ def word_hashes(data: bytes, lanes: int = 1) -> list[np.ndarray]:
     """64-bit hashes of the words of ``data``, one array for each lane.
 
     Words are what stands between spaces (0x20); callers turn their other
-    separators into spaces first. Words over 1 MiB are hashed by blake2b.
+    separators into spaces first. Words of 1 MiB and more are hashed by blake2b.
     """
     out: list[list[np.ndarray]] = [[] for _ in range(lanes)]
     for chunk in _chunks(data):
@@ -135,7 +142,7 @@ def word_hashes(data: bytes, lanes: int = 1) -> list[np.ndarray]:
         starts, ends = turn[::2], turn[1::2]
         if not len(starts):
             continue
-        if len(a) > _CHUNK:  # one word longer than a chunk
+        if ends[0] - starts[0] >= _CHUNK:  # such a word is alone in its chunk
             d = hashlib.blake2b(chunk.strip(b" "), digest_size=16).digest()
             for lane in range(lanes):
                 out[lane].append(np.frombuffer(d, dtype=np.uint64)[lane : lane + 1])

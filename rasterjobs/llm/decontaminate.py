@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, BROADCAST_BYTES, ngram_hashes, small, stage, text_bytes, winnow, word_hashes
+from .common import ALNUM_LOWER, BROADCAST_BYTES, ngram_hashes, slices, small, stage, winnow, word_hashes
 
 #: Most fingerprints of test items that are sent to tasks as one sorted array (8 MiB).
 MOST_PRINTS = 1 << 20
@@ -38,7 +38,7 @@ def _prints(text: bytes | None, n: int, k: int, lengths: list[int], short_only:
 
 def _print_rows(df: DataFrame, id_type: str, n: int, k: int, lengths: list[int], keep, short_only: bool) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, classes, hashes, counts = batch.column("id"), [], [], []
             for text in batch.column("text"):
                 found = _prints(text.as_py(), n, k, lengths, short_only)
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     both = d.join(found.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "items")
 
     def verify(batches):
-        for batch in batches:
+        for batch in slices(batches):
             words, hits, names = [], [], []
             for text, near in zip(batch.column("text"), batch.column("items"), strict=True):
                 w = item_words(text.as_py())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, small, stage, union_all, word_hashes
+from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, slices, small, stage, union_all, word_hashes
 
 #: Ratio of the largest to the least size in a band.
 BAND = 1.3
@@ -136,7 +136,7 @@ def membership(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, n, rep``: set size and the least id among documents with an equal set (null without words)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, a, b = [], [], []
             for t in batch.column("text"):
                 x, y = shingles(t.as_py(), n)
@@ -154,7 +154,7 @@ def _signature_rows(docs: DataFrame, n: int, plan, num: int, den: int, probe, sc
     with_id = "rep" in schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts, keys, bands, needs = [], [], [], []
             for t in batch.column("text"):
                 tokens = shingles(t.as_py(), n)[0]
@@ -179,7 +179,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """``id, tokens``: the sets of the documents in ``ids`` as sorted packed 64-bit hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             tokens = [shingles(t.as_py(), n)[0].tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], ["id", "tokens"])
 
@@ -191,7 +191,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """``a, b, sa, sb, both``: sizes and exact intersection of each pair whose sizes allow a link."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             both = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "sa", "sb")), pa.array(both, pa.int64())], ["a", "b", "sa", "sb", "both"])
 
@@ -315,7 +315,7 @@ def _open_pairs(groups: DataFrame, near: DataFrame, sets: DataFrame, label: Data
     member = stage(c.join(parts, "key", "left_semi").select(F.col("l1").alias("lead"), "rep", "c").distinct(), "open")
 
     def tokens(batches):
-        for batch in batches:
+        for batch in slices(batches):
             parts = [np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]
             ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(parts))], ["id", "token"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Repeated, ngram_hashes, sliding_min, small, stage, word_hashes
+from .common import BLANKS, Repeated, ngram_hashes, slices, sliding_min, small, stage, word_hashes
 
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
@@ -64,7 +64,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     own = d.filter(~F.col("copy")).select("rank", "tag", "text")
 
     def keys(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for t in batch.column("text"):
                 words = word_hashes((t.as_py() or b"").translate(BLANKS))[0]
@@ -75,7 +75,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     probe = repeated.probe()
 
     def windows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ranks, tags, parts, counts = batch.column("rank"), batch.column("tag").to_numpy().astype(np.int64), [], []
             for t, tag in zip(batch.column("text"), tags, strict=True):
                 one, two = word_hashes((t.as_py() or b"").translate(BLANKS), 2)
@@ -96,7 +96,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     joined = d.join(gone, (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "starts")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n_words, removed, spans, kept = [], [], [], []
             for t, copy, starts in zip(batch.column("text"), batch.column("copy"), batch.column("starts"), strict=True):
                 words = (t.as_py() or b"").split()
