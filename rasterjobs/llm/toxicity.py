@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows used to learn the lexicon and the weights, half for each.
+#: Labelled rows used to learn the lexicon and the weights.
 SAMPLE_ROWS = 16_000
 #: Most learned words and, separately, stems.
 MOST_TERMS = 2_000
@@ -204,8 +204,9 @@ def learn_terms(labelled: DataFrame, *, text: str = "text", label: str = "label"
     """Words and stems whose documents are nearly all of label 1.
 
     Words need three such documents. Stems need four words under them that occur
-    with label 1, as inflected or joined forms do; both at most one document of
-    label 0 to fifty of label 1 (less so where label 1 is rare).
+    with label 1, as inflected or joined forms do. A word may have one document of
+    label 0 to twenty of label 1, a stem one to five: a document needs several hits
+    of stems, as the weights will show.
     """
 
     def run(batches):
@@ -219,11 +220,10 @@ def learn_terms(labelled: DataFrame, *, text: str = "text", label: str = "label"
 
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).mapInArrow(run, "word string, label int")
     words = rows.groupBy("word").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero")).cache()
-    pure = "zero * 50 <= one"
-    best = words.filter(f"one >= 3 and {pure}").orderBy(F.desc("one"), "word").limit(MOST_TERMS).select("word").collect()
+    best = words.filter("one >= 3 and zero * 20 <= one").orderBy(F.desc("one"), "word").limit(MOST_TERMS).select("word").collect()
     prefix = F.explode(F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS))).alias("stem")
     stems = words.select(prefix, "one", "zero").filter("stem is not null").groupBy("stem").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"), F.count_if(F.col("one") > 0).alias("forms"))
-    stems = stems.filter(f"one >= 6 and forms >= 4 and {pure}").orderBy(F.desc("one"), "stem").limit(MOST_TERMS).select("stem").collect()
+    stems = stems.filter("one >= 5 and forms >= 4 and zero * 5 <= one").orderBy(F.desc("one"), "stem").limit(MOST_TERMS).select("stem").collect()
     words.unpersist()
     kept: list[str] = []
     for s in sorted((r.stem for r in stems), key=len):
@@ -258,8 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     Labels other than 0 and 1, without an id or without a document are left out.
 
-    One half of them gives the lexicon, the other the weights, so that terms which
-    are pure by chance lose weight. Without both labels in the sample the score is
+    Weights come from one half of them with terms of the other half, so that terms
+    which are pure by chance lose weight; the final terms come from both halves. Without both labels in the sample the score is
     the smoothed share of label 1 (0.5 without any rows).
     """
     h = F.xxhash64(F.col(doc_id), F.lit(1))
@@ -268,6 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     picked = d.select("h", F.col(text).cast("string").alias("text"), "label").repartition(24, "h").cache()
     words, stems = learn_terms(picked.filter("h % 2 = 0"))
     got = _features(picked.filter("h % 2 <> 0").select("text", "label"), words, stems, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>").collect()
+    words, stems = learn_terms(picked)
     picked.unpersist()
     x, y = np.array([r.out for r in got]).reshape(-1, FEATURES), np.array([r.label for r in got], float)
     if len(set(y.tolist())) < 2:
