@@ -59,11 +59,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """The columns in ``keep`` and the text as UTF-8 bytes in ``text``."""
-    return df.select(*keep, F.col(text).cast("string").cast("binary").alias("text"))
-
-
 def slices(batches, rows: int = 256):
     """Arrow batches cut to at most ``rows`` rows, so that a task's arrays stay small."""
     for batch in batches:

@@ -131,8 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """
     h = F.xxhash64(F.col(doc_id), F.lit(2))
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
-    d = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"))  # at most ``rows`` ids
-    picked = d.select("h", F.col(text).cast("string").cast("binary").alias("text"), "label").repartition(24, "h")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    d = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
+    picked = d.select("h", "text", "label").repartition(24, "h")
     packed = _bags(picked.select("text", "label"), ["label"], lambda bags: pa.array([(b * 255).astype(np.uint8).tobytes() for b in bags], pa.binary()), "label int, out binary")
     got = packed.collect()
     labels = np.array([r.label for r in got], float)

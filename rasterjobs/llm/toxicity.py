@@ -264,8 +264,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """
     h = F.xxhash64(F.col(doc_id), F.lit(1))
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
-    d = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"))  # at most ``rows`` ids
-    picked = d.select("h", F.col(text).cast("string").alias("text"), "label").repartition(24, "h").cache()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
+    d = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
+    picked = d.select("h", "text", "label").repartition(24, "h").cache()
     words, stems = learn_terms(picked.filter("h % 2 = 0"))
     got = _features(picked.filter("h % 2 <> 0").select("text", "label"), words, stems, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>").collect()
     words, stems = learn_terms(picked)
