@@ -106,7 +106,8 @@ class WordEncoder:
     Its pre-tokenizer always breaks before a single space between two other
     characters, and between letters and marks, so the pieces of ``text.split(" ")``
     encode apart, and so do the marks at their ends. A text with any
-    other use of blanks around a space is encoded as a whole.
+    other use of blanks around a space is encoded as a whole, and so is one that
+    holds the content of an added token, which the library finds before it breaks.
     """
 
     def __init__(self, path: str):
@@ -114,7 +115,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -147,7 +148,8 @@ class WordEncoder:
         return self.marks[marks]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") for t in texts]
+        whole = [any(a in t for a in self.added) for t in texts]
+        split = [[""] if x else t.split(" ") for t, x in zip(texts, whole, strict=True)]
         known = self.words
         if len(known) > CACHE_WORDS:
             known.clear()
@@ -173,8 +175,10 @@ class WordEncoder:
                     known[w] = ids + self._marks(marks)
         first = self._encode([p[0] for p in split])
         out = []
-        for text, pieces, head in zip(texts, split, first, strict=True):
+        for text, pieces, head, alone in zip(texts, split, first, whole, strict=True):
             try:
+                if alone:
+                    raise KeyError
                 if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
                     raise KeyError
                 ids = head + b"".join(map(known.__getitem__, pieces[1:]))

@@ -30,6 +30,19 @@ def test_token_table_matches_the_library(spark, sf):
         start += len(ids)
 
 
+def test_token_table_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer())
+    texts = ["one <|endoftext|> two<|endoftext|>", "plain words", "x!<|endoftext|>, y", None]
+    got = {r.doc_id: r for r in tokenpack.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer()).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+        start += len(ids)
+
+
 def test_media_table_matches_the_payload(spark, sf):
     got = {r.doc_id: r for r in queries.op7_ogg_media(spark, sf).collect()}
     for r in common.table(spark, sf, "documents").collect():

@@ -129,6 +129,18 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in enc.batch(texts)] == want
 
 
+def test_encoder_finds_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    e = "<|endoftext|>"
+    texts = [f"one {e} two{e}", e, f" {e} ", f"a{e}b c", f"a  {e}  b", f"x!{e}, y", f"{e}'s z", f"({e}) {e}{e}", "<|endoftext| >", "two one b c", f"\n{e}\n"]
+    enc, library = tokenpack.WordEncoder(queries.tokenizer()), Tokenizer.from_file(queries.tokenizer())
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0].count(50256) == 2
+    for _ in range(2):
+        assert [x.tolist() for x in enc.batch(texts)] == want
+
+
 def test_warc_bundles():
     out = warc.BundleWriter(frame_bytes=300)
     pages = [(i, f"http://h/{i}\r\nX: y", (b"<p>" + bytes([65 + i])) * (i * 40)) for i in range(9)]
