@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .staging import range_slices
+
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -33,8 +35,12 @@ def order_by_size(files: DataFrame) -> DataFrame:
 
 
 def size_rank(files: DataFrame, shard: list[str]) -> DataFrame:
-    """``size_rank`` within shards, in the order of ``order_by_size``."""
-    return files.withColumn("size_rank", F.row_number().over(W.partitionBy(*shard).orderBy("length", "path")))
+    """``size_rank`` within shards, in the order of ``order_by_size``: the rank in a range and the rows of earlier ranges."""
+    rows = range_slices(files, shard, [F.col("length").asc(), F.col("path").asc()])
+    sizes = rows.groupBy("_key", "_slice").agg(F.count("*").alias("_n"))
+    before = sizes.select("_key", "_slice", (F.sum("_n").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_key", "_slice").orderBy("length", "path")) + F.col("_before")
+    return rows.join(before, ["_key", "_slice"]).select(*files.columns, rank.cast("int").alias("size_rank"))
 
 
 def write_images(df: DataFrame, out: str) -> None:

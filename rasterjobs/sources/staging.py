@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shard_key(shard: list[str]) -> Column:
+    """The shard as text that is never null."""
+    return F.to_json(F.array(*(F.col(c).cast("string") for c in shard))) if shard else F.lit("")
+
+
+def range_slices(df: DataFrame, shard: list[str], order: list[Column]) -> DataFrame:
+    """``df``, written down, with ``_key``, the shard as text, and ``_slice``, the number of its range.
+
+    Ranges follow one another by shard, then ``order``, and are about equal, so a
+    large shard has many. Rows of equal shard and order share a range.
+    """
+    out = df.withColumn("_key", shard_key(shard)).repartitionByRange(F.col("_key").asc(), *order)
+    return stage(out.withColumn("_slice", F.spark_partition_id()), "slices")

@@ -183,6 +183,58 @@ def test_next_fit_is_tight(spark):
     assert all(sums[b] + first[b + 1] > 40 for b in sums if b + 1 in first)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 14), min_size=1, max_size=40), st.integers(1, 12))
+def test_transitions_equal_the_fold(units, slots):
+    opened, left = batches._transitions(np.array(units), slots)
+    for free in range(-1, slots + 1):
+        got, end = batches._fold(np.array(units), slots, free)
+        assert (opened[free + 1], left[free + 1]) == (got[-1], end)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _spread(df):
+    return df.groupBy(F.spark_partition_id()).count().count()
+
+
+@pytest.mark.parametrize("shard", [[], ["source"]])
+def test_a_shard_is_packed_and_ranked_by_many_tasks(spark, many_partitions, shard):
+    rows = [(i, f"p{i:04}", 100 + i * 7 % 50, i * 13 % 44, [None, "b", "a", "a", "a"][i % 5]) for i in range(900)]
+    df = spark.createDataFrame(rows, "image_id long, path string, length long, units int, source string")
+    out, ranked = batches.pack_batches(df, 40, shard), files.size_rank(df, shard)
+    got, ranks = {r.image_id: r.batch_id for r in out.collect()}, {r.image_id: r.size_rank for r in ranked.collect()}
+    assert len(got) == len(ranks) == 900
+    state = {}
+    for i, _, _, need, source in sorted(rows, key=lambda r: (r[2], r[1])):
+        batch, free, rank = state.get(source if shard else 0, (0, 40, 0))
+        batch, free = (batch + 1, 40 - need) if need > free else (batch, free - need)
+        state[source if shard else 0] = batch, free, rank + 1
+        assert (got[i], ranks[i]) == (batch, rank + 1)
+    one = df.filter("source = 'a'")
+    assert _spread(batches.pack_batches(one, 40, shard)) > 2 and _spread(files.size_rank(one, shard)) > 2
+
+
+def test_run_report_gathers_no_stage_in_one_row(spark, many_partitions):
+    values = {"a": [float(i * 37 % 101) for i in range(500)], "b": [3.0], "c": [2.0, 1.0], "d": [None], None: [5.0, None, float("nan"), 4.0]}
+    df = spark.createDataFrame([(0, s, x) for s, v in values.items() for x in v], "batch_id long, stage string, seconds double")
+    out = batches.run_report(df)
+    got = {r.stage: r for r in out.collect()}
+    assert len(got) == 5 and all(got[s].calls == len(v) for s, v in values.items())
+    assert got["a"].median == sorted(values["a"])[250] and got["a"].total == sum(values["a"]) and (got["a"].least, got["a"].most) == (0.0, 100.0)
+    assert (got["b"].median, got["c"].median, got["d"].median, got[None].median) == (3.0, 2.0, None, 5.0)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_files_and_names(spark, tmp_path):
     for n in ("a.b/c", "a.b/d.jpg"):
         p = tmp_path / n
