@@ -6,7 +6,9 @@ from hosts with blocked pages against them (distrust, since who links to a
 blocked host is suspect). A host with more distrust than trust is blocked.
 
 Scores are whole numbers of 1e-9 seed pages, rounded down at each step, so the
-result does not depend on the order in which partitions are summed.
+result does not depend on the order in which partitions are summed. They only
+grow from round to round and are bounded by the seeds, so the rounds end when
+nothing changes any more.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from .common import small, stage
 UNIT = 1_000_000_000
 #: Share of a score that links pass on, in hundredths.
 DAMPING = 85
-STEPS = 12
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A link that names a host: its scheme is optional, its host ends at ``/?#``.
@@ -72,8 +73,8 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.filter("host <> dst and host <> ''").groupBy(F.col("host").alias("src"), "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = DAMPING, steps: int = STEPS) -> DataFrame:
-    """``host, trust, distrust`` after ``steps`` rounds, or fewer if nothing changes any more.
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = DAMPING) -> DataFrame:
+    """``host, trust, distrust`` when a further round changes nothing.
 
     ``seeds``: host, allowed, blocked (pages). Each round is one join of the
     scores with the edges and one sum, for trust and reversed distrust at once;
@@ -87,7 +88,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = DAMPING, ste
     base = start.select("host", "kind", F.expr(f"seed * {100 - damping} div 100").alias("score"))
     score = base
     if not e.isEmpty():
-        for _ in range(steps):
+        while True:
             sent = e.join(score.withColumnRenamed("host", "u"), ["kind", "u"]).groupBy(F.col("v").alias("host"), "kind").agg(
                 F.sum(F.expr(f"cast((cast(score as decimal(20,0)) * cast(n as decimal(12,0)) * {damping}) div (cast(out as decimal(12,0)) * 100) as bigint)")).alias("score")
             )

@@ -92,6 +92,16 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert got == {1: ("org/", "allow"), 2: (None, "allow"), 3: (None, "block"), 4: ("example.org/es/", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("org/", "allow")}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 16
+    rows = [(i, f"http://h{i}.net/a" if i else "http://bad.example.org/es/x", f'<a href="http://{f"h{i - 1}.net" if i > 1 else "bad.example.org"}/">' if i else "") for i in range(n)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()}
+    want, score = {}, urlfilter.UNIT * 15 // 100
+    for i in range(n):
+        want[i], score = ("block", score), score * 85 // 100
+    assert got == want
+
+
 ROWS = [(1, "a b c d e f g h i j k l m n", "s1"), (2, "a b c d e f g h i j k l m n", None), (3, None, "s1"), (4, "", "s2"), (5, "  \n\t", "s2"), (6, "x", "s1"), (6, "x", "s1"), (None, "x", None), (7, "long " * 60_000, "s2"), (8, "y" * 1_500_000, "s3"), (9, "A B C d e f g h i j k l m n o", "s1")]
 
 
