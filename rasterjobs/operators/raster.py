@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import hex_bytes, le_hex
 
-#: An image whose BMP would be larger is refused: it is one row.
+#: An image whose BMP would be larger is no row of ``to_bmp`` but one of ``too_large``.
 MOST_BYTES = 1 << 30
 
 
@@ -32,13 +32,32 @@ def raster_rows(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
 def bmp_header(width, height):
     """26 bytes as hex text: magic, size, offset, core header with 16-bit sizes, 1 plane, 24 bits."""
-    size = 26 + height * width * 3 + (width % 4) * height
+    size = (26 + height * width * 3 + (width % 4) * height).bitwiseAND((1 << 32) - 1)
     return F.concat(F.lit("424D"), le_hex(size, 4), F.lit("00000000"), le_hex(F.lit(26), 4), le_hex(F.lit(12), 4), le_hex(width, 2), le_hex(height, 2), le_hex(F.lit(1), 2), le_hex(F.lit(24), 2))
 
 
+def bmp_size():
+    return 26 + F.col("height").cast("bigint") * (F.col("width") * 3 + F.col("width") % 4)
+
+
+def too_large(images: DataFrame) -> DataFrame:
+    """Rows of ``errors`` for the images that ``to_bmp`` leaves out; ``bmp_rows`` has their parts."""
+    return images.filter(bmp_size() > MOST_BYTES).select("image_id", F.lit("bmp_too_large").alias("code"), bmp_size().cast("string").alias("detail"), F.lit(3_000_000).alias("ord"), F.lit(120).alias("step"))
+
+
+def bmp_rows(rows: DataFrame, images: DataFrame) -> DataFrame:
+    """``image_id, at, bytes, size``: parts of the BMP files of the images over a gigabyte, the header before the lowest row."""
+    big = images.filter(bmp_size() > MOST_BYTES).select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+    df = rows.join(big, "image_id").withColumn("size", bmp_size())
+    low = F.col("y") == F.col("height") - 1
+    head = F.when(low, F.unhex(bmp_header(F.col("width"), F.col("height")))).otherwise(F.unhex(F.lit("")))
+    at = F.when(low, 0).otherwise(26 + (F.col("height") - 1 - F.col("y")) * (F.col("width") * 3 + F.col("width") % 4))
+    return df.select("image_id", at.cast("bigint").alias("at"), F.concat(head, "bytes").alias("bytes"), "size")
+
+
 def to_bmp(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_id, bmp``: the rows of an image bottom-up behind a header. Images over a gigabyte are left out."""
-    fits = images.filter((26 + F.col("height").cast("bigint") * (F.col("width") * 3 + F.col("width") % 4)) <= MOST_BYTES).select("image_id", "width", "height")
+    """``image_id, bmp``: the rows of an image bottom-up behind a header. Images over a gigabyte are left out (see ``too_large``)."""
+    fits = images.filter(bmp_size() <= MOST_BYTES).select("image_id", "width", "height")
     body = rows.join(fits, "image_id").groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "bytes"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: F.hex(r["bytes"])), "")
     return body.select("image_id", F.unhex(F.concat(bmp_header(F.col("width"), F.col("height")), text)).alias("bmp"))

@@ -90,13 +90,18 @@ class Decoded:
     def bmps(self) -> DataFrame:
         return raster.to_bmp(self.rows, self.images)
 
+    @property
+    def bmp_rows(self) -> DataFrame:
+        return raster.bmp_rows(self.rows, self.images)
+
 
 def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False) -> Decoded:
     """Decode ``files`` (``image_id, content``).
 
     Files with a fatal violation are left out and reported. A file whose entropy
     data fails is left out too, unless ``keep_partial`` keeps what was decoded
-    (missing units are absent).
+    (missing units are absent). An image that is too large for ``bmps`` is decoded
+    and has a row ``bmp_too_large`` in ``errors``; ``bmp_rows`` has its file in parts.
     """
     t = triage(files, slots)
     fine = validate.valid_images(t.headers, t.errors)
@@ -115,6 +120,7 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
         bad = late.select("image_id").distinct()
         units = units.join(bad, "image_id", "left_anti")
         fine = fine.join(bad, "image_id", "left_anti")
+    errors = errors.unionByName(raster.too_large(fine))
     blocks = huffman.coefficients(units, scans)
     parts = segments.last_definition(segments.frame_components(chosen), ["image_id", "component"], "ord").select("image_id", "component", "quant_id")
     sampled = transform.samples(transform.with_quant(blocks, parts, segments.quant_tables(chosen)))

@@ -383,10 +383,10 @@ BMP_SQL = f"""SELECT image_id, md5(head || body) AS digest, (length(head || body
 
 
 def decode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour files with restart markers, decoded to BMP: sizes and digests."""
+    """Colour files with restart markers, decoded to BMP: sizes and digests, null for images too large for a row."""
     done = decode(X.jpegs(spark, sf_dir))
     out = done.bmps.select("image_id", F.length("bmp").alias("size"), F.md5("bmp").alias("digest"))
-    return done.images.select("image_id", "width", "height").join(out, "image_id")
+    return done.images.select("image_id", "width", "height").join(out, "image_id", "left")
 
 
 def stream_decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,34 @@ def export_files(bmps: DataFrame, folder: str | None = None) -> None:
             os.replace(f"{path}.tmp", path)
 
     bmps.select("out_path", "bmp").foreachPartition(run)
+
+
+def export_rows(parts: DataFrame, folder: str | None = None) -> None:
+    """Write files in ranges of rows from ``out_path, at, bytes, size``, as ``export_files`` writes whole ones."""
+    run = uuid.uuid4().hex
+
+    def name(out_path):
+        path = out_path.removeprefix("file:")
+        return os.path.join(folder, os.path.basename(path)) if folder else path
+
+    def write(rows):
+        f, path = None, None
+        for r in rows:
+            if r.out_path != path:
+                if f:
+                    f.close()
+                path = r.out_path
+                f = os.fdopen(os.open(f"{name(path)}.{run}.tmp", os.O_RDWR | os.O_CREAT, 0o666), "r+b")
+                f.truncate(r.size)
+            f.seek(r.at)
+            f.write(r.bytes)
+        if f:
+            f.close()
+
+    def finish(rows):
+        for r in rows:
+            os.replace(f"{name(r.out_path)}.{run}.tmp", name(r.out_path))
+
+    parts = parts.select("out_path", "at", "bytes", "size")
+    parts.repartitionByRange("out_path", "at").sortWithinPartitions("out_path", "at").foreachPartition(write)
+    parts.select("out_path").distinct().foreachPartition(finish)

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rasterjobs.functions import arrays as A
-from rasterjobs.operators import batches, huffman, segments, transform, validate
+from rasterjobs.operators import batches, huffman, raster, segments, transform, validate
 from rasterjobs.plans import fixtures as X
 from rasterjobs.plans.decode import decode, triage
 from rasterjobs.sources import files
@@ -65,6 +65,25 @@ def test_round_trip_over_samplings_and_restarts(spark):
     assert done.errors.count() == 0
 
 
+def test_an_image_too_large_for_a_row_is_reported_and_exported(spark, monkeypatch, tmp_path):
+    sizes = [(1, 37, 21), (2, 8, 8)]
+    data = [(k, bytearray(X.encode(_units(1, 1, w, h, 3), w, h, h=1, v=1, restart=2, components=3))) for k, w, h in sizes]
+    df = spark.createDataFrame(data, "image_id long, content binary")
+    whole = {r.image_id: bytes(r.bmp) for r in decode(df).bmps.collect()}
+    monkeypatch.setattr(raster, "MOST_BYTES", 1000)
+    done = decode(df)
+    assert [r.image_id for r in done.bmps.collect()] == [2] and {r.image_id for r in done.images.collect()} == {1, 2}
+    assert [(r.image_id, r.code, r.detail) for r in done.errors.collect()] == [(1, "bmp_too_large", str(len(whole[1])))]
+    files.export_rows(done.bmp_rows.withColumn("out_path", F.concat(F.lit("x/"), F.col("image_id"), F.lit(".bmp"))), str(tmp_path))
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"1.bmp": whole[1]}
+
+
+def test_a_bmp_header_keeps_the_low_bytes_of_its_size(spark):
+    side, size = 65_535, 26 + 65_535 * (3 * 65_535 + 3)
+    head = spark.range(1).select(raster.bmp_header(F.lit(side).cast("bigint"), F.lit(side).cast("bigint")).alias("h")).first().h
+    assert bytes.fromhex(head)[2:6] == (size % (1 << 32)).to_bytes(4, "little")
+
+
 def _mutations():
     good = X.encode(_units(2, 2, 16, 16, 3), 16, 16, h=2, v=2, restart=0, quant=[[1] * 64, [1] * 64])
     sof, sos, dht, dqt = (good.index(bytes([0xFF, m])) for m in (0xC0, 0xDA, 0xC4, 0xDB))
