@@ -1,10 +1,10 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by seeds and window digests.
 
 Seeds are winnowed k-grams, the least of each window of ``n`` words, so two equal
-windows have the same seed. Seeds that only one document holds end there. Around
-each repeated seed the run is extended both ways to the windows whose seed it is,
-and their 128-bit digests are compared over the whole corpus; overlapping repeated
-windows then merge into maximal repeats.
+windows have the same seed. Seeds that only one document holds end there. Every
+window whose seed is repeated is hashed, and these 128-bit digests are grouped
+over the whole corpus in place of joining documents on seeds and extending their
+matches; overlapping repeated windows then merge into maximal repeats.
 """
 
 from __future__ import annotations
