@@ -12,6 +12,7 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` marked for broadcast if it has at most ``rows`` rows and few bytes in its texts and arrays, else as it is."""
+    some = df.limit(rows + 1)
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    deep = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
+    sizes = [F.octet_length(F.col(f"`{c}`")) for c in wide] + [F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) for c in deep]
+    size = sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(0).cast("long"))
+    n, bytes_ = some.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (bytes_ or 0) <= BROADCAST_BYTES else df
 
 
 def slices(batches, rows: int = 256):
@@ -69,9 +76,11 @@ def slices(batches, rows: int = 256):
 # --------------------------------------------------------------------------
 # Hashing
 
-_MASK = (1 << 64) - 1
 _CHUNK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: The lowest k bytes of a block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -85,31 +94,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Lane:
-    """One polynomial hash modulo 2**64 over randomised byte values."""
-
-    def __init__(self, lane: int):
-        self.base = _BASES[lane]
-        values = mix64(np.arange(1 + 256 * lane, 257 + 256 * lane, dtype=np.uint64))
-        values[0x20] = 0
-        self.values, self.size = values, 0
-
-    def tables(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if size > self.size:
-            self.size = min(_CHUNK + 1, max(4096, 2 * size))
-
-            def powers(b: int) -> np.ndarray:
-                p = np.full(self.size, b, dtype=np.uint64)
-                p[0] = 1
-                return np.multiply.accumulate(p)
-
-            self.power, self.inverse = powers(self.base), powers(pow(self.base, -1, 1 << 64))
-        return self.power, self.inverse
-
-
-_LANES = [_Lane(0), _Lane(1)]
-
-
 def _chunks(data: bytes):
     at = 0
     while len(data) - at > _CHUNK:
@@ -117,37 +101,63 @@ def _chunks(data: bytes):
         if cut < 0:
             cut = data.find(b" ", at + _CHUNK)
             cut = len(data) if cut < 0 else cut
-        yield data[at:cut]
+        yield at, data[at:cut]
         at = cut
-    yield data[at:]
+    yield at, data[at:]
 
 
-def word_hashes(data: bytes, lanes: int = 1) -> list[np.ndarray]:
-    """64-bit hashes of the words of ``data``, one array for each lane.
+def _hash_words(data: bytes, lanes: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where words begin in ``data``, and their hashes, one array for each lane.
 
-    Words are what stands between spaces (0x20); callers turn their other
-    separators into spaces first. Words of 1 MiB and more are hashed by blake2b.
+    A word is read in blocks of eight bytes. Each block is scrambled together
+    with its place before the blocks are added, so no sum of powers is left that
+    regular texts could cancel. Words of 1 MiB and more are hashed by blake2b.
     """
-    out: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-    for chunk in _chunks(data):
-        a = np.frombuffer(chunk, dtype=np.uint8)
-        word = np.zeros(len(a) + 2, dtype=np.int8)
-        word[1:-1] = a != 0x20
+    begins, out = [], [[] for _ in range(lanes)]
+    for at, chunk in _chunks(data):
+        word = np.zeros(len(chunk) + 2, dtype=np.int8)
+        word[1:-1] = np.frombuffer(chunk, dtype=np.uint8) != 0x20
         turn = np.flatnonzero(word[1:] != word[:-1])
-        starts, ends = turn[::2], turn[1::2]
+        starts, sizes = turn[::2], turn[1::2] - turn[::2]
         if not len(starts):
             continue
-        if ends[0] - starts[0] >= _CHUNK:  # such a word is alone in its chunk
+        begins.append(starts + at)
+        if sizes[0] >= _CHUNK:  # such a word is alone in its chunk
             d = hashlib.blake2b(chunk.strip(b" "), digest_size=16).digest()
             for lane in range(lanes):
                 out[lane].append(np.frombuffer(d, dtype=np.uint64)[lane : lane + 1])
             continue
+        blocks = (sizes + 7) >> 3
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(blocks.sum()) - np.repeat(first, blocks)
+        where = np.repeat(starts, blocks) + 8 * place
+        left = np.minimum(np.repeat(sizes, blocks) - 8 * place, 8)
+        every = np.ndarray((len(chunk) + 1,), "<u8", chunk + bytes(8), strides=(1,))
+        value = every[where] & _LOW[left]
+        later = np.flatnonzero(place)
         for lane in range(lanes):
-            f = _LANES[lane]
-            power, inverse = f.tables(len(a))
-            sums = np.add.reduceat(f.values[a] * power[: len(a)], starts)
-            out[lane].append(mix64(sums * inverse[starts] + (ends - starts).astype(np.uint64)))
-    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
+            h = mix64(value ^ np.uint64(_BASES[lane]))
+            h[later] = mix64(h[later] + place[later].astype(np.uint64) * _STEP)
+            out[lane].append(mix64(np.add.reduceat(h, first) + sizes.astype(np.uint64) * _STEP))
+    join = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
+    return np.concatenate(begins) if begins else np.empty(0, np.int64), join
+
+
+def word_hashes(data: bytes, lanes: int = 1) -> list[np.ndarray]:
+    """64-bit hashes of the words of ``data``, one array for each lane.
+
+    Words are what stands between spaces (0x20); callers turn their other
+    separators into spaces first.
+    """
+    return _hash_words(data, lanes)[1]
+
+
+def text_words(texts, table: bytes, lanes: int = 1) -> list[list[np.ndarray]]:
+    """Word hashes of each of an Arrow array of binary texts, hashed in one go; nulls have no words."""
+    data = [(t.as_py() or b"").translate(table) for t in texts]
+    begins, hashes = _hash_words(b" ".join(data), lanes)
+    cut = np.searchsorted(begins, np.cumsum([0] + [len(x) + 1 for x in data]))
+    return [[h[a:b] for h in hashes] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def ngram_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
@@ -209,53 +219,83 @@ ALNUM_LOWER = bytes(
 
 #: Size of the filter of repeated keys, 2**27 bits (16 MiB) whatever the input.
 FILTER_BITS = 27
-_PIECE_BITS = 19
+#: Keys a task holds before it sends them out, and keys aimed at in a range.
+HELD_KEYS, RANGE_KEYS = 1 << 20, 4 << 20
 
 
 class Repeated:
     """The keys that several documents hold.
 
-    ``keys`` has a row for each occurrence of a 64-bit ``key`` (one per
-    document). Counting uses Spark's partial aggregation, so a key that a third
-    of all documents share is one row per map task. The repeated keys are turned
-    into a bitmap of a fixed size that tasks probe while they read the texts a
-    second time; a false positive only costs a row. When there are too many
-    repeated keys for the bitmap, ``bitmap`` is None and ``only`` joins instead.
+    ``keys_of`` gets an Arrow batch of ``rows`` and returns arrays of 64-bit keys,
+    each key once per document. Tasks sort the keys they hold, keep two of a key
+    at most, and send one packed array to each range of the key space; the number
+    of ranges grows with ``expected`` keys, so a range stays small. Of a key the
+    range's bits and the 32 bits after them travel: a chance agreement in these
+    (one key in a thousand, as the ranges grow along) only costs a row.
+
+    The repeated keys are turned into a bitmap of a fixed size that tasks probe
+    while they read the texts a second time; a false positive only costs a row.
+    When there are too many repeated keys for the bitmap, ``bitmap`` is None and
+    ``only`` joins instead.
     """
 
-    def __init__(self, keys: DataFrame, bits: int = FILTER_BITS):
-        self.keys = stage(keys.groupBy("key").count().filter("count > 1").select("key"), "repeated")
-        self.n, self.bits, self.bitmap = self.keys.count(), bits, None
-        if self.n <= (1 << bits) // 8:
-            sc = keys.sparkSession.sparkContext
-            self.bitmap = sc.broadcast(self._bitmap())
-
-    def _bitmap(self) -> np.ndarray:
-        bits, piece_bits = self.bits, min(_PIECE_BITS, self.bits)
-
-        def pack(key, group):
-            import pyarrow as pa
-
-            bitmap = np.zeros(1 << (piece_bits - 3), np.uint8)
-            at = group.column("at").to_numpy()
-            np.bitwise_or.at(bitmap, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            return pa.table({"piece": [key[0].as_py()], "bitmap": [bitmap.tobytes()]})
-
-        slot = F.shiftrightunsigned("key", 64 - bits)
-        rows = (
-            self.keys.select(
-                F.shiftrightunsigned(slot, piece_bits).alias("piece"),
-                slot.bitwiseAND((1 << piece_bits) - 1).alias("at"),
-            )
-            .groupBy("piece")
-            .applyInArrow(pack, "piece long, bitmap binary")
-            .collect()  # at most 2**bits bits
-        )
-        out = np.zeros(1 << (bits - 3), np.uint8)
-        step = 1 << (piece_bits - 3)
-        for r in rows:
-            out[r.piece * step : (r.piece + 1) * step] = np.frombuffer(r.bitmap, np.uint8)
-        return out
+    def __init__(self, rows: DataFrame, keys_of, expected: int, bits: int = FILTER_BITS):
+        spark = rows.sparkSession
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // RANGE_KEYS), 2)
+        self.top = top = (ranges - 1).bit_length()
+        self.bits = bits
+
+        def send(held):
+            x = np.sort(np.concatenate(held) >> np.uint64(32 - top))
+            x = x[np.concatenate([[True, True], x[2:] != x[:-2]])[: len(x)]]
+            cut = np.searchsorted(x, np.arange((1 << top) + 1, dtype=np.uint64) << np.uint64(32))
+            some = np.flatnonzero(np.diff(cut))
+            low = x.astype(np.uint32)
+            packed = [low[cut[i] : cut[i + 1]].tobytes() for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["range", "keys"])
+
+        def keys(batches):
+            held, size = [], 0
+            for batch in slices(batches):
+                for x in keys_of(batch):
+                    held.append(x)
+                    size += len(x)
+                    if size >= HELD_KEYS:
+                        yield send(held)
+                        held, size = [], 0
+            if size:
+                yield send(held)
+
+        def finish(number, parts):
+            x = np.sort(np.concatenate(parts))
+            x = np.unique(x[1:][x[1:] == x[:-1]])
+            bitmap = np.zeros(max(1, (1 << max(bits - top, 0)) // 8), np.uint8)
+            slot = x.astype(np.int64) >> (32 - min(max(bits - top, 0), 32))
+            np.bitwise_or.at(bitmap, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([bitmap.tobytes()], pa.binary())], ["range", "n", "keys", "bitmap"])
+
+        def count(batches):
+            number, parts = None, []
+            for batch in batches:
+                for r, k in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
+                    if r != number and parts:
+                        yield finish(number, parts)
+                        parts = []
+                    number = r
+                    parts.append(np.frombuffer(k.as_py(), np.uint32))
+            if parts:
+                yield finish(number, parts)
+
+        sent = rows.mapInArrow(keys, "range int, keys binary").repartition(1 << top, "range").sortWithinPartitions("range")
+        self.found = stage(sent.mapInArrow(count, "range int, n long, keys binary, bitmap binary"), "repeated")
+        self.n = self.found.agg(F.sum("n")).first()[0] or 0
+        self.bitmap = None
+        if bits >= top + 3 and self.n <= (1 << bits) // 8:
+            out = np.zeros(1 << (bits - 3), np.uint8)
+            step = 1 << (bits - top - 3)
+            for r in self.found.select("range", "bitmap").toLocalIterator():  # 2**bits bits in all
+                out[r.range * step : (r.range + 1) * step] = np.frombuffer(r.bitmap, np.uint8)
+            self.bitmap = spark.sparkContext.broadcast(out)
 
     def probe(self):
         """A function for tasks: array of uint64 keys to a mask of possible repeats."""
@@ -270,7 +310,19 @@ class Repeated:
         return may_repeat
 
     def only(self, rows: DataFrame) -> DataFrame:
-        return rows if self.bitmap is not None else rows.join(self.keys, "key", "left_semi")
+        """``rows`` (with a long ``key``) whose key is repeated; all of them where ``probe`` has done it."""
+        if self.bitmap is not None:
+            return rows
+        top = self.top
+
+        def unpack(batches):
+            for batch in batches:
+                for r, k in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
+                    x = np.frombuffer(k.as_py(), np.uint32).astype(np.int64) + (r << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x)], ["cut_key"])
+
+        known = self.found.select("range", "keys").mapInArrow(unpack, "cut_key long")
+        return rows.withColumn("cut_key", F.shiftrightunsigned("key", 32 - top)).join(known, "cut_key", "left_semi").drop("cut_key")
 
 
 # --------------------------------------------------------------------------

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, BROADCAST_BYTES, ngram_hashes, slices, small, stage, winnow, word_hashes
+from .common import ALNUM_LOWER, BROADCAST_BYTES, ngram_hashes, slices, small, stage, text_words, winnow
 
 #: Most fingerprints of test items that are sent to tasks as one sorted array (8 MiB).
 MOST_PRINTS = 1 << 20
@@ -24,9 +24,8 @@ def item_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ALNUM_LOWER).split()
 
 
-def _prints(text: bytes | None, n: int, k: int, lengths: list[int], short_only: bool):
-    """Fingerprints of one text as (length class, hash); class 0: winnowed k-grams."""
-    words = word_hashes((text or b"").translate(ALNUM_LOWER))[0]
+def _prints(words: np.ndarray, n: int, k: int, lengths: list[int], short_only: bool):
+    """Fingerprints of one text's words as (length class, hash); class 0: winnowed k-grams."""
     if short_only and len(words) < n:
         lengths, grams = [len(words)] if len(words) else [], np.empty(0, np.uint64)
     else:
@@ -40,8 +39,8 @@ def _print_rows(df: DataFrame, id_type: str, n: int, k: int, lengths: list[int],
     def run(batches):
         for batch in slices(batches):
             ids, classes, hashes, counts = batch.column("id"), [], [], []
-            for text in batch.column("text"):
-                found = _prints(text.as_py(), n, k, lengths, short_only)
+            for (words,) in text_words(batch.column("text"), ALNUM_LOWER):
+                found = _prints(words, n, k, lengths, short_only)
                 if keep is not None:
                     found = [(m, h[np.isin(h, keep.value, assume_unique=True)]) for m, h in found]
                 counts.append(sum(len(h) for _, h in found))

@@ -6,13 +6,17 @@ smaller of them in the band, differ in at most H tokens. A segment with
 allocation 1 is indexed by its digest, one with allocation 2 also by the digests
 of its one-deletion neighbours; when the allocations sum to H + 1, equal or
 one-deletion-apart segments must exist in some place (pigeonhole). Allocations
-are chosen per band by a cost model fed with the number of sets in the band.
+are chosen per band by a cost model fed with the number of sets in the band and
+the overlap of unrelated sets, both counted over all documents.
 
 ``spare`` extra segments of allocation 1 allow a set to leave out up to ``spare``
 empty ones (allocation 0), which would match those of unrelated sets: a similar
 pair agrees in segments worth ``spare + 1``, so in more than the empty ones.
-Further ``extra`` segments raise that to ``spare + extra + 1``, so a set with fewer
-than ``extra + 1`` signatures that any other set has can link with none.
+Further ``extra`` segments raise that to ``spare + extra + 1``, so similar sets
+have at least ``need`` (about ``extra + 1``) signatures in common. A set with fewer
+that any other set has can link with none, and each set leaves out its ``need - 1``
+most frequent signatures: of those that a similar pair has in common the rarest
+stays on both sides. So what a third of all documents share makes no groups.
 """
 
 from __future__ import annotations
@@ -26,27 +30,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, slices, small, stage, union_all, word_hashes
+from .common import BLANKS_LOWER, Repeated, components, mix64, ngram_hashes, slices, small, stage, text_words
 
 #: Ratio of the largest to the least size in a band.
 BAND = 1.3
-#: Expected share of one set's tokens in an unrelated set; only costs depend on it.
-OVERLAP = 0.05
+#: Share of one set's tokens in an unrelated set, where it is not measured; only costs depend on it.
+OVERLAP = 0.001
+#: Cost of comparing a set with one that shares a signature, in signatures.
+COMPARE = 20
 #: One extra segment for so many tokens in which similar sets can differ.
 EXTRA = 8
 #: Groups of at most so many sets with one signature have all their pairs compared.
 WHOLE = 4
+#: Pairs of a hub in one place.
+HUB = 500
+#: One token in so many is counted to measure the overlap of unrelated sets.
+PROBE = 256
 
 
-def shingles(text: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of word n-grams, in two lanes (the second in the first's order).
+def shingles(texts, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct hashes of each text's word n-grams, in two lanes (the second in the first's order).
 
     Fewer words than ``n`` make one shingle; none make the empty set.
     """
-    one, two = word_hashes((text or b"").translate(BLANKS_LOWER), 2)
-    n = min(n, len(one)) or 1
-    first, at = np.unique(ngram_hashes(one, n), return_index=True)
-    return first, ngram_hashes(two, n, 1)[at]
+    out = []
+    for one, two in text_words(texts, BLANKS_LOWER, 2):
+        k = min(n, len(one)) or 1
+        first, at = np.unique(ngram_hashes(one, k), return_index=True)
+        out.append((first, ngram_hashes(two, k, 1)[at]))
+    return out
+
+
+def token_sets(texts, n: int) -> list[np.ndarray]:
+    """The first lane of ``shingles``."""
+    return [np.unique(ngram_hashes(x, min(n, len(x)) or 1)) for (x,) in text_words(texts, BLANKS_LOWER)]
 
 
 # --------------------------------------------------------------------------
@@ -64,11 +81,11 @@ def band_of(size: int) -> tuple[int, int]:
         lo = hi + 1
 
 
-def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int, int, int, int]:
+def allocation(lo: int, hi: int, sets: float, num: int, den: int, overlap: float = OVERLAP) -> tuple[int, int, int, int]:
     """(segments with allocation 2, segments with allocation 1, spare ones, extra ones) of a band.
 
-    The cost of a choice is the signatures of a set plus the unrelated sets that
-    share one of them, taking token counts of segments as Poisson.
+    The cost of a choice is the signatures of a set, and a comparison for each of
+    them that some unrelated set shares, taking token counts of segments as Poisson.
     """
     most = hi * (den - num) // num  # tokens in which two such sets can differ
     best = None
@@ -84,11 +101,11 @@ def allocation(lo: int, hi: int, sets: float, num: int, den: int) -> tuple[int,
             spare = need
         m = two + one + spare
         s = lo / m
-        same = math.exp(-2 * s * (1 - OVERLAP)) - math.exp(-2 * s) * (spare > 0)
-        rows = one + spare + two * (1 + s)
-        false = sets * (same * (one + spare) + same * (1 + s) * two)
-        if best is None or rows + false < best[0]:
-            best = rows + false, two, one - extra, spare, extra
+        same = math.exp(-2 * s * (1 - overlap)) - math.exp(-2 * s) * (spare > 0)
+        shared = (one + spare) * -math.expm1(-sets * same) + two * (1 + s) * -math.expm1(-sets * same * (1 + s))
+        cost = one + spare + two * (1 + s) + COMPARE * shared
+        if best is None or cost < best[0]:
+            best = cost, two, one - extra, spare, extra
     return best[1:]
 
 
@@ -99,7 +116,7 @@ def _place_hash(lo: int, segment: np.ndarray) -> np.ndarray:
 def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int, int]], num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
     """Signatures of a set in its own band and in the band below, if a similar smaller set can lie there.
 
-    Each as (band, signatures that a linked set must have repeated, signatures).
+    Each as (band, signatures that a linked set has in common with it, distinct signatures).
     """
     out = []
     size = len(tokens)
@@ -121,7 +138,7 @@ def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int, int]], n
             near = segment < two
             found.append(mix64(total[segment[near]] - body[near] + place[segment[near]]))
         need = (extra + 2) // 2 if two else extra + 1
-        out.append((lo, need, np.unique(np.concatenate(found))))
+        out.append((lo, need, np.concatenate(found)))
         if lo == 1:
             break
         lo, hi = band_of(lo - 1)
@@ -133,76 +150,120 @@ def signatures(tokens: np.ndarray, plan: dict[int, tuple[int, int, int, int]], n
 
 
 def membership(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n, rep``: set size and the least id among documents with an equal set (null without words)."""
+    """``doc_id, tag, n, rep, probe``: set size, least id among documents with an equal set (null without words), some tokens."""
 
     def run(batches):
         for batch in slices(batches):
-            sizes, a, b = [], [], []
-            for t in batch.column("text"):
-                x, y = shingles(t.as_py(), n)
-                sizes.append(len(x))
-                a.append(int(np.add.reduce(x).view(np.int64)) if len(x) else 0)
-                b.append(int(np.add.reduce(y).view(np.int64)) if len(x) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "n", "a", "b"])
+            sets = shingles(batch.column("text"), n)
+            sizes = pa.array([len(x) for x, _ in sets], pa.int64())
+            digests = [pa.array([int(np.add.reduce(s[lane]).view(np.int64)) if len(s[0]) else 0 for s in sets], pa.int64()) for lane in (0, 1)]
+            probe = pa.array([x[x % np.uint64(PROBE) == 0].view(np.int64) for x, _ in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), sizes, *digests, probe], ["doc_id", "tag", "n", "a", "b", "probe"])
+
+    sets = stage(docs.mapInArrow(run, "doc_id long, tag long, n long, a long, b long, probe array<long>"), "sets")
+    reps = sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    with_rep = sets.join(small(stage(reps, "reps")), ["n", "a", "b"], "left")
+    return stage(with_rep.select("doc_id", "tag", "n", F.coalesce("rep", F.when(F.col("n") > 0, F.col("doc_id"))).alias("rep"), "probe"), "membership")
+
+
+def _plan(members: DataFrame, num: int, den: int) -> tuple[dict[int, tuple[int, int, int, int]], int]:
+    """The allocation of every band, and about how many signatures it makes."""
+    sets = members.filter("n > 0 and doc_id = rep")
+    bands = sets.groupBy(F.floor(F.log("n") / math.log(BAND)).alias("g")).agg(F.count("*").alias("sets"), F.max("n").alias("most"), F.sum("n").alias("tokens")).collect()
+    count, tokens = sum(r.sets for r in bands), sum(r.tokens for r in bands)
+    pairs = sets.select(F.explode("probe").alias("token")).groupBy("token").count().agg(F.sum(F.expr("double(count) * (count - 1)"))).first()[0]
+    overlap = PROBE * (pairs or 0.0) / max(count - 1, 1) / max(tokens, 1)
+    weight = {r.g: float(r.sets) for r in bands}  # one row for each power of BAND
+    plan, keys = {}, 0.0
+    for lo, hi in _bands(max((r.most for r in bands), default=0)):
+        here = weight.get(int(math.log(lo) / math.log(BAND)), 1.0)
+        plan[lo] = two, one, spare, extra = allocation(lo, hi, here, num, den, min(overlap, 0.5))
+        keys += 2 * here * (one + spare + extra + two * (1 + hi / (two + one + spare + extra)))
+    return plan, int(keys)
 
-    sets = stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long"), "sets")
-    reps = sets.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    return stage(sets.join(reps, ["n", "a", "b"], "left").select("doc_id", "n", "rep"), "membership")
 
+def _set_keys(text, n: int, plan, num: int, den: int):
+    """The signatures of each text, as ``signatures`` gives them."""
+    return [signatures(x, plan.value, num, den) if len(x) else [] for x in token_sets(text, n)]
 
-def _signature_rows(docs: DataFrame, n: int, plan, num: int, den: int, probe, schema: str) -> DataFrame:
-    with_id = "rep" in schema
+
+def _signature_rows(docs: DataFrame, n: int, plan, num: int, den: int, probe) -> DataFrame:
+    """``key, rep, band, need`` of the signatures that other sets may have, for sets with enough of them."""
 
     def run(batches):
         for batch in slices(batches):
             counts, keys, bands, needs = [], [], [], []
-            for t in batch.column("text"):
-                tokens = shingles(t.as_py(), n)[0]
+            for found in _set_keys(batch.column("text"), n, plan, num, den):
                 counts.append(0)
-                for lo, need, x in signatures(tokens, plan.value, num, den) if len(tokens) else []:
-                    x = x[probe(x)] if with_id else x
-                    counts[-1] += len(x)
-                    keys.append(x)
-                    bands.append(np.full(len(x), lo))
-                    needs.append(np.full(len(x), need))
-            key = pa.array((np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64))
-            if not with_id:
-                yield pa.RecordBatch.from_arrays([key], ["key"])
-            elif keys:
+                for lo, need, x in found:
+                    x = x[probe(x)]
+                    if len(x) >= need:
+                        counts[-1] += len(x)
+                        keys.append(x)
+                        bands.append(np.full(len(x), lo))
+                        needs.append(np.full(len(x), need))
+            if keys:
                 rep = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([key, rep, pa.array(np.concatenate(bands)), pa.array(np.concatenate(needs))], ["key", "rep", "band", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), rep, pa.array(np.concatenate(bands)), pa.array(np.concatenate(needs))], ["key", "rep", "band", "need"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "key long, rep long, band long, need long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, tokens``: the sets of the documents in ``ids`` as sorted packed 64-bit hashes."""
+    """``id, tokens``: the sets of the documents in ``ids`` as sorted packed 64-bit hashes; an id may have several."""
 
     def run(batches):
         for batch in slices(batches):
-            tokens = [shingles(t.as_py(), n)[0].tobytes() for t in batch.column("text")]
+            tokens = [x.tobytes() for x in token_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], ["id", "tokens"])
 
-    picked = docs.join(small(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    return stage(picked.mapInArrow(run, "id long, tokens binary").dropDuplicates(["id"]), "tokens")
+    picked = docs.join(small(stage(ids.select(F.col("id").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
+    return stage(picked.select("doc_id", "text").mapInArrow(run, "id long, tokens binary"), "tokens")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, sa, sb, both``: sizes and exact intersection of each pair whose sizes allow a link."""
-
-    def run(batches):
-        for batch in slices(batches):
-            both = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "sa", "sb")), pa.array(both, pa.int64())], ["a", "b", "sa", "sb", "both"])
+    """``a, b, sa, sb, both``: sizes and exact intersection of each pair (a, b) whose sizes allow a link.
 
+    The id with more pairs is the pair's hub. The other's tokens travel to the
+    hub's, which stand in several places when it has many pairs, and are read
+    after them; so no row holds two sets and a hub's pairs are many tasks.
+    """
     size = F.expr("cast(length(tokens) div 8 as bigint)")
-    sizes = small(sets.select("id", size.alias("size")))
+    sizes = small(stage(sets.select("id", size.alias("size")), "sizes"))
     for c in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("size").alias(f"s{c}")), c)
-    pairs = pairs.filter(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num)
-    x = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    y = x.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-    return y.select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long, sa long, sb long, both long")
+    pairs = stage(pairs.filter(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num).select("a", "b").distinct(), "sized")
+    degree = small(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count(), "degree"))
+    for c in ("a", "b"):
+        pairs = pairs.join(degree.select(F.col("id").alias(c), F.col("count").alias(f"n{c}")), c)
+    first = F.col("na") >= F.col("nb")
+    pairs = stage(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")), "hubs")
+    parts = small(stage(pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {HUB}) as int)").alias("parts")), "parts"))
+    known = small(sets)
+    member = pairs.join(parts, "hub").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).join(known, "id").select("hub", "part", F.lit(1).alias("turn"), "id", "tokens")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(known.withColumnRenamed("id", "hub"), "hub")
+    rows = hubs.select("hub", "part", F.lit(0).alias("turn"), F.col("hub").alias("id"), "tokens").unionByName(member)
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
+
+    def run(batches):
+        place, own = None, []
+        for batch in slices(batches):
+            out = []
+            for hub, part, turn, i, tokens in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "turn", "id")), batch.column("tokens"), strict=True):
+                x = np.frombuffer(tokens.as_py(), np.uint64)
+                if (hub, part) != place:
+                    place, own = (hub, part), []
+                if turn == 0:
+                    own.append(x)
+                    continue
+                for y in own:
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int(np.count_nonzero(y[at] == x))
+                    out.append((hub, i, len(y), len(x), both) if hub < i else (i, hub, len(x), len(y), both))
+            cols = [np.array(c, np.int64) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "sa", "sb", "both"])
+
+    return rows.mapInArrow(run, "a long, b long, sa long, sb long, both long")
 
 
 def _linked(overlaps: DataFrame, num: int, den: int) -> DataFrame:
@@ -215,30 +276,25 @@ def _with_component(rows: DataFrame, links: DataFrame, column: str, name: str) -
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """``key, rep, row, l1..l3``: rank in the group of a signature and its first members.
+    """``key, rep, l1, size``: the sets that share a signature, the group's most central one, how many they are.
 
-    Members that share most signatures with others come first: in a cloud of near
-    copies that is the text the others were made from, which links to most of them.
+    A set leaves out its ``need - 1`` most frequent signatures. Sets that share most
+    signatures with others are central: in a cloud of near copies that is the text
+    the others were made from, which links to most of them.
     """
 
     def shared(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        return rows.join(small(stage(sizes, "sizes")), "key")
 
-    rows = stage(shared(rows), "shared").drop("size")
-    able = rows.groupBy("rep", "band").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("rep", "band")
-    rows = stage(shared(rows.join(able, ["rep", "band"]).select("key", "rep")), "grouped")
+    w = W.partitionBy("rep", "band")
+    placed = shared(rows).select("*", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(F.desc("size"), "key")).alias("place"))
+    rows = stage(placed.filter("n >= need and place >= need").select("key", "rep").distinct(), "rarest")
+    rows = stage(shared(rows), "grouped")
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
-    rows = rows.join(central, "rep")
-    w = W.partitionBy("key").orderBy(F.desc("central"), "rep")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    leaders = [F.nth_value("rep", i).over(run).alias(f"l{i}") for i in range(1, WHOLE)]
-    return rows.select("key", "rep", F.row_number().over(w).alias("row"), *leaders)
-
-
-def _pairs(groups: DataFrame, leaders: list[str]) -> DataFrame:
-    """Pairs of members with the leaders that come before them."""
-    one = [groups.filter(F.col("row") > int(c[1:])).select(F.least(c, "rep").alias("a"), F.greatest(c, "rep").alias("b")) for c in leaders]
-    return union_all(one).filter("a <> b").distinct()
+    rows = rows.join(small(stage(central, "central")), "rep")
+    leader = rows.groupBy("key").agg(F.min(F.struct(-F.col("central"), "rep"))["rep"].alias("l1"))
+    return rows.select("key", "rep", "size").join(small(stage(leader, "leaders")), "key")
 
 
 def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,35 +310,36 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     ones only those pairs that the distances to the leader do not rule out.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that
-    share an id count as one document for links. A row without an id takes the
-    component of equal sets, or null; it adds no links. Repeated rows repeat.
+    share an id are one document, which has all their links. A row without an id
+    takes the component of equal sets, or null; it adds no links. Repeated rows repeat.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    t = F.col(text).cast("string")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("tag"), t.cast("binary").alias("text"))
     members = membership(d, n)
-    bands = members.filter("n > 0").groupBy(F.floor(F.log("n") / math.log(BAND)).alias("g")).agg(F.countDistinct("rep").alias("sets"), F.max("n").alias("most")).collect()
-    plan: dict[int, tuple[int, int, int, int]] = {}
-    weight: dict[int, float] = {r.g: float(r.sets) for r in bands}  # one row for each power of BAND
-    for lo, hi in _bands(max((r.most for r in bands), default=0)):
-        plan[lo] = allocation(lo, hi, weight.get(int(math.log(lo) / math.log(BAND)), 1.0), num, den)
-    shared = spark.sparkContext.broadcast(plan)
+    plan, keys = _plan(members, num, den)
+    shared = spark.sparkContext.broadcast(plan)  # a few numbers for each power of BAND
 
-    copies = members.filter("doc_id <> rep or rep is null").select("doc_id").distinct()
-    reps = d.filter("doc_id is not null").join(small(copies), "doc_id", "left_anti")
-    repeated = Repeated(_signature_rows(reps, n, shared, num, den, None, "key long"))
-    rows = repeated.only(_signature_rows(reps, n, shared, num, den, repeated.probe(), "key long, rep long, band long, need long"))
+    copies = members.filter("doc_id <> rep").select("doc_id", "tag").distinct()
+    reps = d.filter("doc_id is not null").join(small(stage(copies, "copies")), ["doc_id", "tag"], "left_anti").select("doc_id", "text")
+    repeated = Repeated(reps, lambda batch: [np.concatenate([k for *_, k in x]) for x in _set_keys(batch.column("text"), n, shared, num, den) if x], keys)
+    rows = stage(repeated.only(_signature_rows(reps, n, shared, num, den, repeated.probe())), "signatures")
     groups = stage(_groups(rows), "groups")
-    sets = _sets(reps, groups.select(F.col("rep").alias("id")).distinct(), n)
+    sets = _sets(reps, groups.select(F.col("rep").alias("id")), n)
 
-    near = stage(_overlaps(_pairs(groups, ["l1"]), sets, num, den), "overlaps")
-    links = _linked(near, num, den)
+    pair = F.least("l1", "rep").alias("a"), F.greatest("l1", "rep").alias("b")
+    near = stage(_overlaps(groups.filter("rep <> l1").select(*pair).distinct(), sets, num, den), "overlaps")
+    one = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
+    same_id = members.join(small(stage(one, "same-id")).select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    links = stage(_linked(near, num, den).unionByName(same_id), "links")
     label = stage(components(links), "components")
     # groups of up to WHOLE members: their other pairs; larger ones: what the overlaps with their leader leave open
-    large = groups.filter(f"row > {WHOLE}").select("key").distinct()
-    rest = _apart(_pairs(groups.join(large, "key", "left_anti"), ["l2", "l3"]), label)
-    rest = rest.unionByName(_open_pairs(groups.join(large, "key", "left_semi"), near, sets, label, num, den)).distinct()
+    few = groups.filter(f"size <= {WHOLE} and rep <> l1").select("key", "rep")
+    rest = few.join(few.select("key", F.col("rep").alias("other")), "key").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    rest = _apart(rest.distinct(), label).unionByName(_open_pairs(groups.filter(f"size > {WHOLE}"), near, sets, label, num, den)).distinct()
     new = stage(_linked(_overlaps(stage(rest, "pairs"), sets, num, den), num, den), "links")
-    label = stage(components(links.unionByName(new)), "components")
+    if not new.isEmpty():
+        label = stage(components(links.unionByName(new)), "components")
 
     out = _with_component(members.withColumn("node", F.coalesce("rep", "doc_id")), label, "node", "component_id")
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")

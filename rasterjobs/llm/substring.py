@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Repeated, ngram_hashes, slices, sliding_min, small, stage, word_hashes
+from .common import BLANKS, Repeated, ngram_hashes, slices, sliding_min, small, stage, text_words
 
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
@@ -63,22 +63,17 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     d = d.join(small(stage(first, "copies")), "digest", "left").select("id", "rank", "tag", "text", F.coalesce(F.col("rank") > F.col("first"), F.lit(False)).alias("copy"))
     own = d.filter(~F.col("copy")).select("rank", "tag", "text")
 
-    def keys(batches):
-        for batch in slices(batches):
-            found = []
-            for t in batch.column("text"):
-                words = word_hashes((t.as_py() or b"").translate(BLANKS))[0]
-                found.append(np.unique(_seeds(words, n, k)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+    def keys(batch):
+        return [np.unique(_seeds(x, n, k)) for (x,) in text_words(batch.column("text"), BLANKS)]
 
-    repeated = Repeated(own.mapInArrow(keys, "key long"))
+    expected = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    repeated = Repeated(own, keys, expected // 20)
     probe = repeated.probe()
 
     def windows(batches):
         for batch in slices(batches):
             ranks, tags, parts, counts = batch.column("rank"), batch.column("tag").to_numpy().astype(np.int64), [], []
-            for t, tag in zip(batch.column("text"), tags, strict=True):
-                one, two = word_hashes((t.as_py() or b"").translate(BLANKS), 2)
+            for (one, two), tag in zip(text_words(batch.column("text"), BLANKS, 2), tags, strict=True):
                 seeds = _seeds(one, n, k)
                 starts = np.flatnonzero(probe(seeds))
                 counts.append(len(starts))

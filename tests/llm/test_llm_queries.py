@@ -146,6 +146,54 @@ def test_awkward_pages(spark, tmp_path):
     assert sum(len(warc.BundleReader(p.read_bytes()).sizes) for p in tmp_path.iterdir()) >= 1
 
 
+def _components_brute(rows, n, num, den):
+    """Component of each id; rows that share an id are one document."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets.setdefault(i, []).append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} or ({tuple(w)} if w else set()))
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if any(x and y and den * len(x & y) >= num * len(x | y) for x in sets[a] for y in sets[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = {i: lo if c == hi else c for i, c in label.items()}
+    return label
+
+
+def test_links_of_repeated_ids_and_regular_words(spark):
+    from tests.llm.test_llm_units import thue_morse
+
+    a = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, "only b"), (5, a), (5, "only b"), (9, a.replace("w50", "other", 1)), (12, "x y z"), (12, "p q r"), (13, "x y z"), (14, "p q r"), (20, "u v w"), (21, "v w u")]
+    w, x = thue_morse("ab", 10)
+    rows += [(30, f"{w} x y"), (31, f"{x} x y"), (32, f"{w} x y z"), (33, f"{w} x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_documents(df, n=3, num=90, den=100).collect()}
+    assert got == set(_components_brute(rows, 3, 90, 100).items())
+
+
+def test_clouds_of_near_copies_against_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(7), []
+    common_part = [f"c{i}" for i in range(30)]
+    for cloud in range(6):
+        base = [f"v{cloud}x{i}" for i in range(rng.choice([8, 40, 150]))]
+        for _ in range(rng.choice([2, 5, 25])):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 20)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(words + (common_part if cloud % 2 else []))))
+    for i in range(40):  # nothing in common but a passage
+        rows.append((len(rows), " ".join([f"s{i}x{j}" for j in range(60)] + common_part)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, num in ((5, 80), (3, 90)):
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(df, n=n, num=num, den=100).collect()}
+        assert got == _components_brute(rows, n, num, 100)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b", None]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, size long, src array<string>")

@@ -23,6 +23,36 @@ def test_word_hashes_depend_on_the_word_alone():
     assert len(a) == 3 and a.tolist() == [b[2], b[0], b[1]]
 
 
+def thue_morse(letters: str, times: int) -> tuple[str, str]:
+    """A word of 2**times letters and its complement, which sums of powers modulo 2**64 do not tell apart."""
+    swap = str.maketrans(letters, letters[::-1])
+    word = letters[0]
+    for _ in range(times):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+@pytest.mark.parametrize("times", [3, 10, 12])
+def test_regular_words_have_their_own_hashes(times):
+    for lane in common.word_hashes(" ".join(thue_morse("ab", times)).encode(), 2):
+        assert lane[0] != lane[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab \n\0é", max_size=40).map(str.encode)), max_size=8))
+def test_texts_hashed_together_equal_texts_hashed_alone(texts):
+    import pyarrow as pa
+
+    together = common.text_words(pa.array(texts, pa.binary()), common.BLANKS, 2)
+    words = {}
+    for t, lanes in zip(texts, together, strict=True):
+        alone = common.word_hashes((t or b"").translate(common.BLANKS), 2)
+        assert [x.tolist() for x in lanes] == [x.tolist() for x in alone]
+        for w, *h in zip((t or b"").split(), *(x.tolist() for x in lanes), strict=True):
+            assert words.setdefault(w, h) == h
+    assert len({tuple(h) for h in words.values()}) == len(words)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 13))
 def test_ngram_hashes_equal_exactly_for_equal_runs(values, n):
