@@ -57,12 +57,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows and few bytes in its texts and arrays, else as it is."""
-    some = df.limit(rows + 1)
     wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
     deep = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
     sizes = [F.octet_length(F.col(f"`{c}`")) for c in wide] + [F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) for c in deep]
-    size = sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(0).cast("long"))
-    n, bytes_ = some.agg(F.count("*"), F.sum(size)).first()
+    size = sum((F.coalesce(x, F.lit(0)).cast("long") for x in sizes), F.lit(8 * len(df.columns)).cast("long"))
+    n, bytes_ = df.agg(F.count("*"), F.sum(size)).first()
     return F.broadcast(df) if n <= rows and (bytes_ or 0) <= BROADCAST_BYTES else df
 
 

@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -44,6 +44,9 @@ EXTRA = 8
 WHOLE = 4
 #: Pairs of a hub in one place.
 HUB = 500
+#: Bits of the parities that bound how many tokens two sets differ in.
+PARITY = 512
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
 #: One token in so many is counted to measure the overlap of unrelated sets.
 PROBE = 256
 
@@ -210,36 +213,56 @@ def _signature_rows(docs: DataFrame, n: int, plan, num: int, den: int, probe) ->
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, tokens``: the sets of the documents in ``ids`` as sorted packed 64-bit hashes; an id may have several."""
+    """``id, size, p0.., tokens``: the sets of the documents in ``ids``, sorted 64-bit hashes; an id may have several.
+
+    ``p0..`` are ``PARITY`` bits: how many tokens hash to each, odd or even. Sets
+    differ in at least as many tokens as bits.
+    """
 
     def run(batches):
         for batch in slices(batches):
-            tokens = [x.tobytes() for x in token_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], ["id", "tokens"])
+            sets = token_sets(batch.column("text"), n)
+            odd = np.zeros((len(sets), PARITY), np.uint8)
+            for row, x in zip(odd, sets, strict=True):
+                row[:] = np.bincount((mix64(x) >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            size = pa.array([len(x) for x in sets], pa.int64())
+            tokens = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, *(pa.array(np.ascontiguousarray(c)) for c in bits.T), tokens], ["id", "size", *PARITIES, "tokens"])
 
     picked = docs.join(small(stage(ids.select(F.col("id").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
-    return stage(picked.select("doc_id", "text").mapInArrow(run, "id long, tokens binary"), "tokens")
+    return stage(picked.select("doc_id", "text").mapInArrow(run, f"id long, size long, {', '.join(f'{c} long' for c in PARITIES)}, tokens binary"), "tokens")
+
+
+def _side(sizes: DataFrame, side: str) -> DataFrame:
+    return sizes.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", *PARITIES)))
+
+
+def _room(a: str, b: str, num: int, den: int) -> Column:
+    """Sizes and parities of two sides allow a link: sets that link differ in ``(1 - t) / (1 + t)`` of their sizes at most."""
+    x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
+    bits = sum((F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in PARITIES[1:]), F.bit_count(F.col(f"{a}_p0").bitwiseXOR(F.col(f"{b}_p0"))))
+    return (F.least(x, y) * den >= F.greatest(x, y) * num) & (bits * (den + num) <= (x + y) * (den - num))
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, sa, sb, both``: sizes and exact intersection of each pair (a, b) whose sizes allow a link.
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard of ``num / den``, by their exact intersection.
 
     The id with more pairs is the pair's hub. The other's tokens travel to the
     hub's, which stand in several places when it has many pairs, and are read
     after them; so no row holds two sets and a hub's pairs are many tasks.
     """
-    size = F.expr("cast(length(tokens) div 8 as bigint)")
-    sizes = small(stage(sets.select("id", size.alias("size")), "sizes"))
+    sizes = small(stage(sets.drop("tokens"), "sizes"))
     for c in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("id").alias(c), F.col("size").alias(f"s{c}")), c)
-    pairs = stage(pairs.filter(F.least("sa", "sb") * den >= F.greatest("sa", "sb") * num).select("a", "b").distinct(), "sized")
+        pairs = pairs.join(_side(sizes, c), c)
+    pairs = stage(pairs.filter(_room("a", "b", num, den)).select("a", "b").distinct(), "sized")
     degree = small(stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count(), "degree"))
     for c in ("a", "b"):
         pairs = pairs.join(degree.select(F.col("id").alias(c), F.col("count").alias(f"n{c}")), c)
     first = F.col("na") >= F.col("nb")
     pairs = stage(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")), "hubs")
     parts = small(stage(pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {HUB}) as int)").alias("parts")), "parts"))
-    known = small(sets)
+    known = small(sets.select("id", "tokens"))
     member = pairs.join(parts, "hub").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)")).join(known, "id").select("hub", "part", F.lit(1).alias("turn"), "id", "tokens")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(known.withColumnRenamed("id", "hub"), "hub")
     rows = hubs.select("hub", "part", F.lit(0).alias("turn"), F.col("hub").alias("id"), "tokens").unionByName(member)
@@ -257,17 +280,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     own.append(x)
                     continue
                 for y in own:
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int(np.count_nonzero(y[at] == x))
-                    out.append((hub, i, len(y), len(x), both) if hub < i else (i, hub, len(x), len(y), both))
-            cols = [np.array(c, np.int64) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "sa", "sb", "both"])
+                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                    if both * den >= (len(x) + len(y) - both) * num:
+                        out.append((min(hub, i), max(hub, i)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long, sa long, sb long, both long")
-
-
-def _linked(overlaps: DataFrame, num: int, den: int) -> DataFrame:
-    return overlaps.filter(F.col("both") * den >= (F.col("sa") + F.col("sb") - F.col("both")) * num).select("a", "b")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _with_component(rows: DataFrame, links: DataFrame, column: str, name: str) -> DataFrame:
@@ -276,7 +294,7 @@ def _with_component(rows: DataFrame, links: DataFrame, column: str, name: str) -
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """``key, rep, l1, size``: the sets that share a signature, the group's most central one, how many they are.
+    """``key, rep, size, l1, order``: the sets that share a signature, their number, the most central one and its order.
 
     A set leaves out its ``need - 1`` most frequent signatures. Sets that share most
     signatures with others are central: in a cloud of near copies that is the text
@@ -293,7 +311,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     rows = stage(shared(rows), "grouped")
     central = rows.groupBy("rep").agg(F.sum("size").alias("central"))
     rows = rows.join(small(stage(central, "central")), "rep")
-    leader = rows.groupBy("key").agg(F.min(F.struct(-F.col("central"), "rep"))["rep"].alias("l1"))
+    leader = rows.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("order"), F.col("rep").alias("l1"))).alias("l")).select("key", "l.l1", "l.order")
     return rows.select("key", "rep", "size").join(small(stage(leader, "leaders")), "key")
 
 
@@ -304,10 +322,11 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     ``num / den``; ``component_id`` is the least id reachable over links, itself
     included. Words are lower-cased (A-Z) and stand between blanks.
 
-    Equal sets are one class from the start, so copies cost one row each. Members
-    of a signature group are first compared with its leader alone. In groups of up
-    to four the other pairs follow where they are not connected yet; in larger
-    ones only those pairs that the distances to the leader do not rule out.
+    Equal sets are one class from the start, so copies cost one row each. A set is
+    first compared with the most central of its groups' leaders, then with those
+    leaders to which it is not connected yet. In groups of up to four the other
+    pairs follow where they are still apart; in larger ones only those pairs that
+    their sizes and parities do not rule out.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that
     share an id are one document, which has all their links. A row without an id
@@ -328,16 +347,21 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     sets = _sets(reps, groups.select(F.col("rep").alias("id")), n)
 
     pair = F.least("l1", "rep").alias("a"), F.greatest("l1", "rep").alias("b")
-    near = stage(_overlaps(groups.filter("rep <> l1").select(*pair).distinct(), sets, num, den), "overlaps")
+    led = groups.filter("rep <> l1")
+    best = led.groupBy("rep").agg(F.min(F.struct("order", "l1"))["l1"].alias("l1"))
+    best = stage(best.select(*pair).distinct(), "best")
     one = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most")
     same_id = members.join(small(stage(one, "same-id")).select("doc_id", "a"), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
-    links = stage(_linked(near, num, den).unionByName(same_id), "links")
+    links = stage(_linked(best, sets, num, den).unionByName(same_id), "links")
+    label = stage(components(links), "components")
+    others = _apart(led.select(*pair).distinct(), label).join(best, ["a", "b"], "left_anti")
+    links = stage(links.unionByName(_linked(others, sets, num, den)), "links")
     label = stage(components(links), "components")
-    # groups of up to WHOLE members: their other pairs; larger ones: what the overlaps with their leader leave open
+    # groups of up to WHOLE members: their other pairs; larger ones: what sizes and parities leave open
     few = groups.filter(f"size <= {WHOLE} and rep <> l1").select("key", "rep")
     rest = few.join(few.select("key", F.col("rep").alias("other")), "key").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    rest = _apart(rest.distinct(), label).unionByName(_open_pairs(groups.filter(f"size > {WHOLE}"), near, sets, label, num, den)).distinct()
-    new = stage(_linked(_overlaps(stage(rest, "pairs"), sets, num, den), num, den), "links")
+    rest = _apart(rest.distinct(), label).unionByName(_open_pairs(groups.filter(f"size > {WHOLE}"), sets, label, num, den)).distinct()
+    new = stage(_linked(stage(rest, "pairs"), sets, num, den), "links")
     if not new.isEmpty():
         label = stage(components(links.unionByName(new)), "components")
 
@@ -358,36 +382,18 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return both.filter("ca <> cb").select("a", "b")
 
 
-def _open_pairs(groups: DataFrame, near: DataFrame, sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of large groups that are not connected yet and that a lower bound does not rule out.
+def _open_pairs(groups: DataFrame, sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of large groups that are not connected yet and that sizes and parities do not rule out.
 
-    With the leader L of a group, D(x) the tokens in which x differs from L and
-    u(x) the tokens that x alone has among all open members, x and y differ in at
-    least ``u(x) + u(y) + |(D(x) - u(x)) - (D(y) - u(y))|`` tokens, for which a
-    similar pair has room of ``(1 - t) / (1 + t)`` times their sizes. Members are
-    listed once under each leader, however many signatures they share with it.
+    Members are listed once under each leader, however many signatures they share
+    with it. The bounds are part of the join, so ruled out pairs make no rows.
     """
     c = _with_component(groups, label, "rep", "c")
     parts = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    member = stage(c.join(parts, "key", "left_semi").select(F.col("l1").alias("lead"), "rep", "c").distinct(), "open")
-
-    def tokens(batches):
-        for batch in slices(batches):
-            parts = [np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]
-            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(parts))], ["id", "token"])
-
-    used = sets.join(small(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    alone = used.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("u"))
-    size = sets.select(F.col("id").alias("rep"), F.expr("cast(length(tokens) div 8 as bigint)").alias("size"))
-    apart = F.col("sa") + F.col("sb") - 2 * F.col("both")
-    distance = near.select(F.col("a").alias("lead"), F.col("b").alias("rep"), apart.alias("d")).unionByName(near.select(F.col("b").alias("lead"), F.col("a").alias("rep"), apart.alias("d")))
-    m = member.join(distance, ["lead", "rep"], "left").join(size, "rep").join(alone, "rep", "left")
-    # without a distance (sizes too far apart for a link with the leader) only u counts
-    m = m.withColumn("u", F.coalesce("u", F.lit(0))).withColumn("r", F.when(F.col("lead") == F.col("rep"), 0).otherwise(F.col("d")) - F.col("u"))
-    m = m.filter(F.col("u") * num <= (F.col("size") - F.col("u")) * (den - num))
-    m = stage(_with_component(m, label, "lead", "cl"), "open")
-    x = m.filter("c <> cl").select("lead", *(F.col(k).alias(f"{k}1") for k in ("rep", "c", "size", "u", "r")))
-    room = (F.col("u1") + F.col("u") + F.coalesce(F.abs(F.col("r1") - F.col("r")), F.lit(0))) * (den + num) <= (F.col("size1") + F.col("size")) * (den - num)
-    both = x.join(m, (x["lead"] == m["lead"]) & (F.col("c1") != F.col("c")) & room)
-    return both.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b")).distinct()
+    member = c.join(small(stage(parts, "parts")), "key", "left_semi").select(F.col("l1").alias("lead"), "rep", "c").distinct()
+    m = stage(_with_component(member, label, "lead", "cl"), "open")
+    sizes = small(stage(sets.drop("tokens"), "sizes"))
+    x = m.filter("c <> cl").select("lead", F.col("rep").alias("x"), F.col("c").alias("cx")).join(_side(sizes, "x"), "x")
+    y = m.select("lead", F.col("rep").alias("y"), F.col("c").alias("cy")).join(_side(sizes, "y"), "y")
+    both = x.join(y, (x["lead"] == y["lead"]) & (F.col("cx") != F.col("cy")) & _room("x", "y", num, den))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
