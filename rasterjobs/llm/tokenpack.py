@@ -17,6 +17,7 @@ An id is found from its number alone: block ``i // ids_per_block``, bit
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
 import zlib
@@ -25,21 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stage
+from .common import small, stage
 
 MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sB3xIQQQQ")
 BLOCK = 4096
 #: Ids in a shard, about 8 MiB at 16 bits; a longer document has a shard of its own.
 SHARD_IDS = 4 << 20
-#: Words whose ids a worker remembers; the memory is emptied when full.
+#: Parts of texts whose ids a worker remembers; the memory is emptied when full.
 CACHE_WORDS = 1_000_000
-#: Marks that may end a piece; the pre-tokenizer parts them from letters before them.
-MARKS = string.punctuation.replace("'", "")
+LARGE = pa.large_string()
+#: Words of letters that the library encodes in one call.
+TOGETHER = 256
+#: Empty texts, blanks (of any script) other than a single space or newline between other characters, and the mark that parts words here.
+ODD = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]|\A[ \n]|[ \n]\z|\A\z"
+#: A letter and a mark that is no apostrophe, which are always parted.
+MARK = rf"(\pL)([{re.escape(string.punctuation.replace("'", ""))}])"
 
 
 def pack_block(ids: np.ndarray, bits: int) -> bytes:
@@ -103,11 +110,15 @@ class Shard:
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, remembering words.
 
-    Its pre-tokenizer always breaks before a single space between two other
-    characters, and between letters and marks, so the pieces of ``text.split(" ")``
-    encode apart, and so do the marks at their ends. A text with any
-    other use of blanks around a space is encoded as a whole, and so is one that
-    holds the content of an added token, which the library finds before it breaks.
+    Its pre-tokenizer always breaks before a single space or newline between two
+    other characters, and between a letter and a mark that is no apostrophe, so the
+    parts encode apart. Texts are split and their distinct parts found by Arrow; the
+    ids of parts stand in one array, from which numpy takes those of a text. A text
+    with any other use of blanks is encoded as a whole, and so is one that holds the
+    content of an added token, which the library finds before it breaks.
+
+    A word is remembered with the blank before it; the first of a text counts as
+    after a newline, whose ids are left out.
     """
 
     def __init__(self, path: str):
@@ -116,76 +127,86 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.newline = len(self._encode(["\n"])[0])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.ends, self.ids = array("q", [0]), array("I")
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each with a space before it, by one call for many words."""
-        out: list[bytes] = []
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            data = array("I", e.ids).tobytes()
-            where = np.array(e.word_ids)
-            cut = [0, *(4 * (np.flatnonzero(where[1:] != where[:-1]) + 1)).tolist(), len(data)]
-            if len(cut) != len(part) + 1:
-                raise ValueError("the pre-tokenizer parts words in another way")
-            out += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return out
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = self._encode([marks])[0]
-        return self.marks[marks]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str], ids: list[int], ends: np.ndarray) -> None:
+        at = len(self.words)
+        self.words.update(zip(words, range(at, at + len(words)), strict=True))
+        self.ends.frombytes((ends + len(self.ids)).astype(np.int64).tobytes())
+        self.ids.extend(ids)
+
+    def _add_each(self, words: list[str]) -> None:
+        found = self._encode(words)
+        self._add(words, [i for x in found for i in x], np.cumsum([len(x) for x in found]))
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember new parts; those that are a blank and letters in calls of many."""
+        letters: dict[str, list[str]] = {" ": [], "\n": []}
+        other = []
+        for w in words:
+            (letters[w[0]] if w[:1] in letters and w[1:].isalpha() else other).append(w)
+        for blank, known in letters.items():
+            for lo in range(0, len(known), TOGETHER):
+                part = known[lo : lo + TOGETHER]
+                e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+                where = np.array(e.word_ids)
+                ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where))
+                ends = ends[1::2] if blank == "\n" else ends  # a newline is a piece of its own
+                if len(ends) == len(part):
+                    self._add(part, e.ids, ends)
+                else:  # letters to Python that the library does not take for letters
+                    self._add_each(part)
+        for lo in range(0, len(other), 4096):
+            self._add_each(other[lo : lo + 4096])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [any(a in t for a in self.added) for t in texts]
-        split = [[""] if x else t.split(" ") for t, x in zip(texts, whole, strict=True)]
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = set()
-        for pieces in split:
-            new.update(pieces)
-        cores: dict[str, list[tuple[str, str]]] = {}
-        for w in new.difference(known):
-            core = w.rstrip(MARKS)
-            if core.isalpha():
-                cores.setdefault(core, []).append((w, w[len(core) :]))
-            elif w and not w[0].isspace() and not w[-1].isspace():
-                cores.setdefault(w, []).append((w, ""))
-        fresh = [c for c in cores if c not in known]
-        letters = [c for c in fresh if c.isalpha()]
-        known.update(zip(letters, self._words(letters), strict=True))
-        other = [c for c in fresh if c not in known]
-        known.update(zip(other, self._encode([" " + c for c in other]), strict=True))
-        for core, forms in cores.items():
-            ids = known[core]
-            for w, marks in forms:
-                if marks:
-                    known[w] = ids + self._marks(marks)
-        first = self._encode([p[0] for p in split])
-        out = []
-        for text, pieces, head, alone in zip(texts, split, first, whole, strict=True):
-            try:
-                if alone:
-                    raise KeyError
-                if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
-                    raise KeyError
-                ids = head + b"".join(map(known.__getitem__, pieces[1:]))
-            except KeyError:
-                ids = self._encode([text])[0]
-            out.append(np.frombuffer(ids, "<u4"))
-        return out
+        every = pa.array(texts, LARGE)
+        odd = pc.match_substring_regex(every, ODD)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(every, a))
+        whole = iter(self._encode(every.filter(odd).to_pylist()))
+        plain = iter(self._plain(every.filter(pc.invert(odd))))
+        return [np.array(next(whole), np.uint32) if x else next(plain) for x in odd.to_pylist()]
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        for blank in (" ", "\n"):
+            texts = pc.replace_substring(texts, blank, "\0" + blank)
+        texts = pc.replace_substring_regex(texts, MARK, "\\1\0\\2")
+        pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", LARGE), texts, pa.scalar("", LARGE)), "\0")
+        counts = np.diff(pieces.offsets.to_numpy())
+        coded = pieces.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) > CACHE_WORDS:
+            self._forget()
+        of = list(map(self.words.get, distinct))
+        new = [i for i, x in enumerate(of) if x is None]
+        self._learn([distinct[i] for i in new])
+        for i in new:
+            of[i] = self.words[distinct[i]]
+        of = np.array(of, np.int64)[coded.indices.to_numpy()]
+        ends = np.frombuffer(self.ends, np.int64)
+        begin = ends[of]
+        size = ends[of + 1] - begin
+        first = np.cumsum(counts) - counts
+        begin[first] += self.newline
+        size[first] -= self.newline
+        at = np.cumsum(size) - size
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(begin - at, size) + np.arange(size.sum())]
+        return np.split(ids, at[first[1:]])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -202,7 +223,7 @@ def encoder(path: str) -> WordEncoder:
 # Jobs
 
 
-def _slices(batch: pa.RecordBatch, bytes_: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _slices(batch: pa.RecordBatch, bytes_: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a batch, about ``bytes_`` at a time."""
     ids, texts, size = [], [], 0
     for i, t in zip(batch.column("id"), batch.column("text"), strict=True):
@@ -260,8 +281,8 @@ def numbered(shards: DataFrame) -> DataFrame:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inside = shards.select("part", "shard", (F.sum("n_ids").over(W.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("inside"))
-    first = inside.join(F.broadcast(before), "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
-    return shards.join(first, ["part", "shard"])
+    first = inside.join(small(before), "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
+    return shards.join(small(stage(first, "first")), ["part", "shard"])
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ def test_token_table_matches_the_library(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     got = {r.doc_id: r for r in queries.op10_token_pack(spark, sf).collect()}
     start = 0
     for r in common.table(spark, sf, "documents").orderBy("doc_id").collect():
