@@ -220,17 +220,20 @@ ALNUM_LOWER = bytes(
 FILTER_BITS = 27
 #: Keys a task holds before it sends them out, and keys aimed at in a range.
 HELD_KEYS, RANGE_KEYS = 1 << 20, 4 << 20
+#: A key in fewer documents is never split; keys that can be split at most.
+HOT_KEY, MOST_HOT = 1_000, 1_000_000
 
 
 class Repeated:
     """The keys that several documents hold.
 
     ``keys_of`` gets an Arrow batch of ``rows`` and returns arrays of 64-bit keys,
-    each key once per document. Tasks sort the keys they hold, keep two of a key
-    at most, and send one packed array to each range of the key space; the number
-    of ranges grows with ``expected`` keys, so a range stays small. Of a key the
-    range's bits and the 32 bits after them travel: a chance agreement in these
-    (one key in a thousand, as the ranges grow along) only costs a row.
+    each key once per document. Tasks sort the keys they hold and send them as packed
+    arrays, one to each range of the key space: those held once, and those held more
+    often with their number. The number of ranges grows with ``expected`` keys, so a
+    range stays small. Of a key the range's bits and the 32 bits after them travel: a
+    chance agreement in these (one key in a thousand, as the ranges grow along) only
+    costs a row.
 
     The repeated keys are turned into a bitmap of a fixed size that tasks probe
     while they read the texts a second time; a false positive only costs a row.
@@ -243,15 +246,21 @@ class Repeated:
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // RANGE_KEYS), 2)
         self.top = top = (ranges - 1).bit_length()
         self.bits = bits
+        edges = np.arange((1 << top) + 1, dtype=np.uint64) << np.uint64(32)
+
+        def counted(x):
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            return x[first], np.diff(np.append(first, len(x))).astype(np.uint32)
 
         def send(held):
-            x = np.sort(np.concatenate(held) >> np.uint64(32 - top))
-            x = x[np.concatenate([[True, True], x[2:] != x[:-2]])[: len(x)]]
-            cut = np.searchsorted(x, np.arange((1 << top) + 1, dtype=np.uint64) << np.uint64(32))
-            some = np.flatnonzero(np.diff(cut))
-            low = x.astype(np.uint32)
-            packed = [low[cut[i] : cut[i + 1]].tobytes() for i in some]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["range", "keys"])
+            x, n = counted(np.sort(np.concatenate(held) >> np.uint64(32 - top)))
+            once, many = x[n == 1], x[n > 1]
+            more = np.stack([many.astype(np.uint32), n[n > 1]], 1)
+            cut, cut2 = np.searchsorted(once, edges), np.searchsorted(many, edges)
+            some = np.flatnonzero(np.diff(cut) + np.diff(cut2))
+            low = once.astype(np.uint32)
+            packed = [pa.array([v[c[i] : c[i + 1]].tobytes() for i in some], pa.binary()) for v, c in ((low, cut), (more, cut2))]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["range", "once", "more"])
 
         def keys(batches):
             held, size = [], 0
@@ -265,29 +274,35 @@ class Repeated:
             if size:
                 yield send(held)
 
-        def finish(number, parts):
-            x = np.sort(np.concatenate(parts))
-            x = np.unique(x[1:][x[1:] == x[:-1]])
+        def finish(number, once, more):
+            x, n = counted(np.sort(np.concatenate(once)))
+            y = np.concatenate(more).reshape(-1, 2)
+            every, at = np.unique(np.concatenate([x, y[:, 0]]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([n, y[:, 1]]), len(every)).astype(np.int64)
+            x, n = every[total > 1], total[total > 1]
             bitmap = np.zeros(max(1, (1 << max(bits - top, 0)) // 8), np.uint8)
             slot = x.astype(np.int64) >> (32 - min(max(bits - top, 0), 32))
             np.bitwise_or.at(bitmap, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([bitmap.tobytes()], pa.binary())], ["range", "n", "keys", "bitmap"])
+            hot = n >= HOT_KEY
+            often = pa.array([list(zip((x[hot].astype(np.int64) + (number << 32)).tolist(), n[hot].tolist(), strict=True))], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([bitmap.tobytes()], pa.binary()), often], ["range", "n", "total", "keys", "bitmap", "often"])
 
         def count(batches):
-            number, parts = None, []
+            number, once, more = None, [], []
             for batch in batches:
-                for r, k in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
-                    if r != number and parts:
-                        yield finish(number, parts)
-                        parts = []
+                for r, k, m in zip(batch.column("range").to_pylist(), batch.column("once"), batch.column("more"), strict=True):
+                    if r != number and once:
+                        yield finish(number, once, more)
+                        once, more = [], []
                     number = r
-                    parts.append(np.frombuffer(k.as_py(), np.uint32))
-            if parts:
-                yield finish(number, parts)
-
-        sent = rows.mapInArrow(keys, "range int, keys binary").repartition(1 << top, "range").sortWithinPartitions("range")
-        self.found = stage(sent.mapInArrow(count, "range int, n long, keys binary, bitmap binary"), "repeated")
-        self.n = self.found.agg(F.sum("n")).first()[0] or 0
+                    once.append(np.frombuffer(k.as_py(), np.uint32))
+                    more.append(np.frombuffer(m.as_py(), np.uint32))
+            if once:
+                yield finish(number, once, more)
+
+        sent = rows.mapInArrow(keys, "range int, once binary, more binary").repartition(1 << top, "range").sortWithinPartitions("range")
+        self.found = stage(sent.mapInArrow(count, "range int, n long, total long, keys binary, bitmap binary, often array<struct<key:long,n:long>>"), "repeated")
+        self.n, self.total = (x or 0 for x in self.found.agg(F.sum("n"), F.sum("total")).first())
         self.bitmap = None
         if bits >= top + 3 and self.n <= (1 << bits) // 8:
             out = np.zeros(1 << (bits - 3), np.uint8)
@@ -296,6 +311,27 @@ class Repeated:
                 out[r.range * step : (r.range + 1) * step] = np.frombuffer(r.bitmap, np.uint8)
             self.bitmap = spark.sparkContext.broadcast(out)
 
+    def salts(self):
+        """A function for tasks: array of uint64 keys to the number of parts their rows are split into.
+
+        More than one for keys with over a millionth of all occurrences (at least
+        ``HOT_KEY``), of which there can be a million at most.
+        """
+        share = max(HOT_KEY, self.total // MOST_HOT)
+        hot = self.found.select(F.explode("often").alias("x")).select("x.key", "x.n").filter(F.col("n") >= share).orderBy("key").toArrow()
+        sent = self.found.sparkSession.sparkContext.broadcast((hot["key"].to_numpy(), -(-hot["n"].to_numpy() // share) + 1))
+        top = self.top
+
+        def parts(keys: np.ndarray) -> np.ndarray:
+            known, n = sent.value
+            if not len(known):
+                return np.ones(len(keys), np.int64)
+            cut = (keys >> np.uint64(32 - top)).astype(np.int64)
+            at = np.minimum(np.searchsorted(known, cut), len(known) - 1)
+            return np.where(known[at] == cut, n[at], 1)
+
+        return parts
+
     def probe(self):
         """A function for tasks: array of uint64 keys to a mask of possible repeats."""
         bitmap, bits = self.bitmap, self.bits

@@ -1,10 +1,15 @@
-"""Substring dedup by seeds and window digests.
-
-Seeds are winnowed k-grams, the least of each window of ``n`` words, so two equal
-windows have the same seed. Seeds that only one document holds end there. Every
-window whose seed is repeated is hashed, and these 128-bit digests are grouped
-over the whole corpus in place of joining documents on seeds and extending their
-matches; overlapping repeated windows then merge into maximal repeats.
+"""Substring dedup by seed and extend.
+
+Anchors are winnowed k-grams: every window of ``n`` words has the least of its
+k-grams as anchor, the first of equals, so equal windows have the same anchor at
+the same place. Anchors that only one document holds end there. The occurrences
+of an anchor meet in order of their documents; each is laid against the first one
+and the match is extended word by word to both sides, as far as windows with this
+anchor reach. Extended matches of at least ``n`` words are kept, and those of
+neighbouring anchors join up to maximal repeats.
+
+What differs from the first occurrence may still equal a later one: windows that
+no extension has settled are grouped by a digest of their words.
 """
 
 from __future__ import annotations
@@ -14,15 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Repeated, ngram_hashes, slices, sliding_min, small, stage, text_words
+from .common import BLANKS, Repeated, mix64, ngram_hashes, slices, small, stage, text_words
 
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
 
 
-def _seeds(words: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The winnowed seed of every window of ``n`` words: the least k-gram hash inside it."""
-    return sliding_min(ngram_hashes(words, k), n - k + 1) if len(words) >= n else np.empty(0, np.uint64)
+def anchors(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of k-grams that are the first least of some ``w`` neighbours, with the first and last such run's begin."""
+    before, after = np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
+    left, right = np.ones(len(grams), bool), np.ones(len(grams), bool)
+    for j in range(1, w):
+        left[:j] = False
+        left[j:] &= grams[:-j] > grams[j:]
+        right[max(len(grams) - j, 0) :] = False
+        right[:-j] &= grams[j:] >= grams[:-j]
+        before += left
+        after += right
+    at = np.flatnonzero(before + after >= w - 1)
+    return at, at - before[at], np.minimum(at, at + after[at] - (w - 1))
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,14 +45,100 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def covered(starts, n: int, length: int) -> np.ndarray:
-    """Words inside the windows of ``n`` words that begin at ``starts``."""
+def covered(starts, ends, length: int) -> np.ndarray:
+    """Words from one of ``starts`` to its end."""
     step = np.zeros(length + 1, np.int32)
     np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(np.asarray(starts) + n, length), -1)
+    np.add.at(step, np.minimum(ends, length), -1)
     return np.cumsum(step)[:length] > 0
 
 
+def _occurrences(d: DataFrame, n: int, k: int, repeated: Repeated) -> DataFrame:
+    """A row for each repeated anchor in a text.
+
+    ``key`` is the anchor's hash, ``part`` splits very frequent ones, ``place`` the
+    text's tag and the anchor's position, ``far`` and ``near`` how many words before
+    the anchor its windows begin. ``words`` holds the hashes of the words around it
+    that its windows reach, and a second hash of the anchor.
+    """
+    probe, salts, side = repeated.probe(), repeated.salts(), n - k
+
+    def run(batches):
+        for batch in slices(batches):
+            tags, counts, parts = batch.column("tag").to_numpy().astype(np.int64), [], []
+            for (one, two), tag in zip(text_words(batch.column("text"), BLANKS, 2), tags, strict=True):
+                grams = ngram_hashes(one, k)
+                at, lo, hi = anchors(grams, side + 1) if len(one) >= n else (np.empty(0, np.int64),) * 3
+                some = probe(grams[at])
+                at, lo, hi = at[some], lo[some], hi[some]
+                counts.append(len(at))
+                if len(at):
+                    wide = np.concatenate([np.zeros(side, np.uint64), two, np.zeros(side, np.uint64)])
+                    steps = np.concatenate([np.arange(-side, 0), np.arange(k, n)])
+                    around = wide[at[:, None] + steps + side]
+                    unused = (steps < (lo - at)[:, None]) | (steps >= (hi - at + n)[:, None])
+                    around[unused] = 0
+                    key = grams[at]
+                    parts.append((key, salts(key), tag << 32 | at, at - lo, at - hi, np.column_stack([around, ngram_hashes(two, k, 1)[at]])))
+            if parts:
+                key, salt, place, far, near, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+                rank = batch.column("rank").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                part = (mix64(rank.to_numpy().view(np.uint64)) % salt.astype(np.uint64)).astype(np.int32) + (salt > 1)
+                words = pa.array([x.tobytes() for x in words], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part, pa.int32()), rank, pa.array(place), pa.array(far.astype(np.int16)), pa.array(near.astype(np.int16)), words], ["key", "part", "rank", "place", "far", "near", "words"])
+
+    return repeated.only(d.mapInArrow(run, "key long, part int, rank long, place long, far short, near short, words binary"))
+
+
+def _extended(rows: DataFrame, n: int, k: int) -> DataFrame:
+    """Matches with an anchor's first occurrence (``runs`` windows from ``place`` on), and open windows (``runs`` 0, by digests a and b).
+
+    Rows of an anchor come one after the other; only its first one is kept in mind.
+    Where an anchor is split each part has a first one, whose own windows stay open.
+    """
+    side = n - k
+
+    def run(batches):
+        held = None
+        for batch in slices(batches, 8192):
+            columns = [batch.column(c).to_numpy() for c in ("key", "part", "rank", "place", "far", "near")]
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(-1, 2 * side + 1)
+            if held is not None:  # the first occurrence of the last anchor leads the batch
+                columns = [np.concatenate([x, y]) for x, y in zip(held[0], columns, strict=True)]
+                words = np.concatenate([held[1], words])
+            key, part, rank, place, far, near = columns
+            begins = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
+            same = words == words[first]
+            left = np.minimum.accumulate(same[:, :side][:, ::-1], axis=1).sum(1)
+            right = np.minimum.accumulate(same[:, side : 2 * side], axis=1).sum(1)
+            most, least = np.minimum(far, left), np.maximum(near, side - right)
+            fits = ~begins & same[:, -1] & (most >= least)
+            new = np.ones(len(key), bool)
+            new[0] = held is None
+            gone = np.flatnonzero(fits & (rank > rank[first]) & new)
+            settled = fits & ((rank > rank[first]) | (part == 0))  # in a part, the same document's later places stay open too
+            out = [(np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64), rank[gone], place[gone] - most[gone], (most - least + 1)[gone])]
+            for o in range(side + 1):  # windows that begin o words before the anchor
+                open_ = (near <= o) & (o <= far) & ~(settled & (least <= o) & (o <= most)) & (~begins | (part > 0)) & new
+                i = np.flatnonzero(open_)
+                if len(i):
+                    w = words[i]
+                    start = mix64(key[i].view(np.uint64) + np.uint64(o)), mix64(w[:, -1] + np.uint64(o + 99))
+                    digest = []
+                    for h, factor in zip(start, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), strict=True):
+                        for c in range(side - o, 2 * side - o):
+                            h = mix64(h * np.uint64(factor) + w[:, c])
+                        digest.append(h.view(np.int64))
+                    out.append((*digest, rank[i], place[i] - o, np.zeros(len(i), np.int64)))
+            last = first[-1]
+            held = [x[last : last + 1] for x in columns], words[last : last + 1].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(),), strict=True)], ["a", "b", "rank", "place", "runs"])
+
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "rank", "place")
+    return rows.mapInArrow(run, "a long, b long, rank long, place long, runs int")
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 13, k: int = 7) -> DataFrame:
     """One row per document with the maximal repeats to remove.
 
@@ -52,53 +153,37 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     settled by one digest per text, so large groups of copies stay one row each.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    d = docs.select(
-        F.col(doc_id).alias("id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("rank"),
-        F.col(text).cast("string").cast("binary").alias("text"),
-        F.md5(F.col(text).cast("string").cast("binary")).alias("digest"),
-        F.hash(F.col(text).cast("string")).alias("tag"),
-    )
+    t = F.col(text).cast("string")
+    d = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("rank"), t.cast("binary").alias("text"), F.md5(t.cast("binary")).alias("digest"), F.hash(t).alias("tag"))
+    bytes_ = docs.agg(F.sum(F.octet_length(t))).first()[0] or 0
     first = d.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last and digest is not null").select("digest", "first")
     d = d.join(small(stage(first, "copies")), "digest", "left").select("id", "rank", "tag", "text", F.coalesce(F.col("rank") > F.col("first"), F.lit(False)).alias("copy"))
     own = d.filter(~F.col("copy")).select("rank", "tag", "text")
 
     def keys(batch):
-        return [np.unique(_seeds(x, n, k)) for (x,) in text_words(batch.column("text"), BLANKS)]
-
-    expected = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    repeated = Repeated(own, keys, expected // 20)
-    probe = repeated.probe()
+        found = (ngram_hashes(x, k) for (x,) in text_words(batch.column("text"), BLANKS) if len(x) >= n)
+        return [np.unique(g[anchors(g, n - k + 1)[0]]) for g in found]
 
-    def windows(batches):
-        for batch in slices(batches):
-            ranks, tags, parts, counts = batch.column("rank"), batch.column("tag").to_numpy().astype(np.int64), [], []
-            for (one, two), tag in zip(text_words(batch.column("text"), BLANKS, 2), tags, strict=True):
-                seeds = _seeds(one, n, k)
-                starts = np.flatnonzero(probe(seeds))
-                counts.append(len(starts))
-                if len(starts):
-                    parts.append((seeds[starts].view(np.int64), ngram_hashes(one, n)[starts].view(np.int64), ngram_hashes(two, n, 1)[starts].view(np.int64), tag << 32 | starts))
-            if parts:
-                rows = ranks.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)), rows], ["key", "a", "b", "place", "rank"])
-
-    rows = repeated.only(own.mapInArrow(windows, "key long, a long, b long, place long, rank long"))
+    repeated = Repeated(own, keys, bytes_ // 20)  # about one key for three words
+    found = stage(_extended(_occurrences(own, n, k, repeated), n, k), "matches")
+    rows = found.filter("runs = 0")
     least = rows.groupBy("a", "b").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("a", "b", "least")
-    gone = rows.join(least, ["a", "b"]).filter("rank > least")
-    gone = gone.groupBy(F.col("rank").alias("grank"), F.expr("cast(place >> 32 as int)").alias("gtag")).agg(F.collect_set(F.expr("cast(place & 4294967295 as int)")).alias("starts"))
+    late = rows.join(small(stage(least, "least")), ["a", "b"]).filter("rank > least")
+    gone = found.filter("runs > 0").select("rank", "place", "runs").unionByName(late.select("rank", "place", F.lit(1).alias("runs")))
+    gone = gone.groupBy(F.col("rank").alias("grank"), F.expr("cast(place >> 32 as int)").alias("gtag")).agg(F.collect_set(F.expr(f"(place & 4294967295) * {n} + runs")).alias("runs"))
     gone = stage(gone, "repeats")
-    joined = d.join(gone, (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "starts")
+    joined = d.join(small(gone), (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "runs")
 
     def cut(batches):
         for batch in slices(batches):
             n_words, removed, spans, kept = [], [], [], []
-            for t, copy, starts in zip(batch.column("text"), batch.column("copy"), batch.column("starts"), strict=True):
+            for t, copy, runs in zip(batch.column("text"), batch.column("copy"), batch.column("runs"), strict=True):
                 words = (t.as_py() or b"").split()
                 if copy.as_py():
                     gone = np.full(len(words), len(words) >= n)
-                elif starts.is_valid:
-                    gone = covered(starts.values.to_numpy(), n, len(words))
+                elif runs.is_valid:
+                    x = runs.values.to_numpy()
+                    gone = covered(x // n, x // n + x % n + (n - 1), len(words))  # an anchor has fewer than n windows
                 else:
                     gone = None
                 n_words.append(len(words))
@@ -115,4 +200,3 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
 
     out = joined.mapInArrow(cut, f"id {id_type}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text binary")
     return out.withColumnRenamed("id", doc_id).withColumn("kept_text", F.col("kept_text").cast("string"))
-

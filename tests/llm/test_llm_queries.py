@@ -213,6 +213,44 @@ def test_joins_without_the_bitmap_or_broadcasts(spark, same, monkeypatch):
     same(queries.QUERIES["op8_ngram_join"], queries.OP8)
 
 
+def _repeats_brute(rows, n):
+    """Spans to remove from each row, judged on the input."""
+    first = {}
+    words = [(i, (t or "").split()) for i, t in rows]
+    for i, w in words:
+        for j in range(len(w) - n + 1):
+            g = tuple(w[j : j + n])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in words:
+        gone = {x for j in range(len(w) - n + 1) if first[tuple(w[j : j + n])] < i for x in range(j, j + n)}
+        starts = sorted(x for x in gone if x - 1 not in gone)
+        out.append((i, len(w), [(a, next(b for b in range(a, len(w) + 1) if b not in gone)) for a in starts], " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("hot,n,k", [(None, 13, 7), (2, 13, 7), (2, 5, 2)])
+def test_repeats_against_brute_force(spark, monkeypatch, hot, n, k):
+    import random
+
+    from tests.llm.test_llm_units import thue_morse
+
+    if hot:  # every repeated anchor is split
+        monkeypatch.setattr(common, "HOT_KEY", hot)
+    rng, rows = random.Random(n + (hot or 0)), []
+    passages = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.choice([12, 13, 14, 30, 70]))) for _ in range(6)]
+    for i in range(150):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(f"u{i}x{j}" for j in range(rng.randrange(12))) for _ in range(rng.randrange(5))]
+        if rng.random() < 0.3:  # few different words, so that windows hold equal anchors
+            parts.append(" ".join(rng.choice("xy") for _ in range(rng.randrange(60))))
+        rows.append((rng.choice([i, i, i, max(0, i - 1)]), "\n".join(parts)))
+    same, other = " ".join(f"t{i}" for i in range(12)), thue_morse("ab", 10)
+    rows += [(500, f"{same} {other[0]}"), (501, f"{same} {other[1]}"), (502, None), (503, "")]
+    rows += [(600 + i, f"{passages[0]} {passages[4]} e{i}") for i in range(40)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), n=n, k=k).collect()
+    assert sorted((r.doc_id, r.n_words, [(s.start, s.end) for s in r.spans], r.kept_text) for r in got) == sorted(_repeats_brute(rows, n))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
