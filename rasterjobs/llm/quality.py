@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents used for the fit, and most bytes of packed passages among them.
+from .common import slices, stage
+
+#: Labelled documents used for the fit, and most bytes of their texts.
 SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 32 << 20
 PASSAGE_BYTES = 400
 #: Hashed byte pairs, and byte classes, of a passage.
 PAIRS, SINGLES = 128, 64
@@ -112,17 +115,15 @@ def _bags(docs: DataFrame, keep: list[str], finish, schema: str) -> DataFrame:
     """``finish`` gets the encoded passages of a few documents at a time."""
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                bags = [encode(t.as_py()) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), finish(bags)], [*keep, "out"])
+        for part in slices(batches, 128):
+            bags = [encode(t.as_py()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), finish(bags)], [*keep, "out"])
 
     return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS) -> Network | float:
-    """Fit on at most ``rows`` labels (id, label), picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "label", rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> Network | float:
+    """Fit on at most ``rows`` labels (id, label), picked by a hash of the id, as far as their texts have at most ``most`` bytes.
 
     Labels other than 0 and 1, without an id or without a document are left out.
 
@@ -133,7 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").cast("binary").alias("text"))
     d = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
-    picked = d.select("h", "text", "label").repartition(24, "h")
+    picked = stage(d.select("h", "text", "label").repartition(24, "h"), "labelled")
+    size, last = 0, None
+    for r in picked.select("h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h").toLocalIterator():  # two numbers for each of ``rows`` ids
+        size += max(r.n, PASSAGE_BYTES)
+        if size > most and last is not None:
+            break
+        last = r.h
+    picked = picked.filter(F.col("h") <= F.lit(last if last is not None else 0))
     packed = _bags(picked.select("text", "label"), ["label"], lambda bags: pa.array([(b * 255).astype(np.uint8).tobytes() for b in bags], pa.binary()), "label int, out binary")
     got = packed.collect()
     labels = np.array([r.label for r in got], float)

@@ -19,12 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .common import slices, stage
 
 #: Labelled rows used to learn the lexicon and the weights.
 SAMPLE_ROWS = 16_000
 #: Most learned words and, separately, stems.
 MOST_TERMS = 2_000
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Folds of the fit, and labels 1 under which a word needs fewer documents.
+FOLDS, FEW = 10, 30
+#: States of the automaton that are kept; it is built anew when there are more.
+MOST_STATES = 200_000
 #: Words of at least so many letters match with one error; shorter ones and stems exactly.
 FUZZY_LENGTH = 5
 WINDOW = 6
@@ -59,6 +66,9 @@ class Lexicon:
             self._add(w, 1 if len(w) >= fuzzy else 0, False)
         for w in stems:
             self._add(w, 0, True)
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -116,6 +126,8 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """Errors of the best match (0 or 1), or -1."""
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         state = self.start
         for ch in word:
             to = self.next[state].get(ch)
@@ -200,36 +212,61 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60
     return w
 
 
-def learn_terms(labelled: DataFrame, *, text: str = "text", label: str = "label") -> tuple[list[str], list[str]]:
-    """Words and stems whose documents are nearly all of label 1.
+def learn_terms(labelled: DataFrame, folds: int, least: int) -> list[tuple[list[str], list[str]]]:
+    """Words and stems whose documents are nearly all of label 1: without each fold's documents, and last with all.
 
-    Words need three such documents. Stems need four words under them that occur
-    with label 1, as inflected or joined forms do. A word may have one document of
-    label 0 to twenty of label 1, a stem one to five: a document needs several hits
-    of stems, as the weights will show.
+    ``labelled`` has ``text``, ``label`` and ``fold`` (0 to ``folds - 1``). Words need
+    ``least`` documents of label 1. Stems need ``least + 2`` and four words under
+    them that occur with label 1, as inflected or joined forms do. A word may have
+    one document of label 0 to twenty of label 1, a stem one to five: a document
+    needs several hits of stems, as the weights will show. Terms have 3 to 40 letters.
     """
 
     def run(batches):
-        for batch in batches:
-            words, labels = [], []
-            for t, y in zip(batch.column("text"), batch.column("label"), strict=True):
+        for batch in slices(batches):
+            words, labels, places = [], [], []
+            for t, y, f in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 new = sorted({c for x in set((t.as_py() or "").lower().split()) if 3 <= len(c := core(x)) <= 40})
                 words += new
-                labels += [y.as_py()] * len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
-
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).mapInArrow(run, "word string, label int")
-    words = rows.groupBy("word").agg(F.sum("label").alias("one"), F.sum(1 - F.col("label")).alias("zero")).cache()
-    best = words.filter("one >= 3 and zero * 20 <= one").orderBy(F.desc("one"), "word").limit(MOST_TERMS).select("word").collect()
+                labels += [y] * len(new)
+                places += [f] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32()), pa.array(places, pa.int32())], ["word", "label", "fold"])
+
+    def counts(one, zero, forms):
+        """Documents of either label (and words with label 1) without each fold, and with all."""
+        fold = [F.array(*(F.sum(F.when(F.col("fold") == k, x)) for k in range(folds))) for x in (one, zero)]
+        return [F.sum(one).alias("one"), F.sum(zero).alias("zero"), *(f.alias(n) for f, n in zip(fold, ("ones", "zeros"), strict=True)), forms.alias("forms")]
+
+    rows = labelled.select("text", "label", "fold").mapInArrow(run, "word string, label int, fold int")
+    held = rows.groupBy("word", "fold").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
+    held = stage(held, "word-counts")
+    words = held.groupBy("word").agg(*counts(F.col("y"), F.col("n") - F.col("y"), F.lit(0)))
     prefix = F.explode(F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS))).alias("stem")
-    stems = words.select(prefix, "one", "zero").filter("stem is not null").groupBy("stem").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"), F.count_if(F.col("one") > 0).alias("forms"))
-    stems = stems.filter("one >= 5 and forms >= 4 and zero * 5 <= one").orderBy(F.desc("one"), "stem").limit(MOST_TERMS).select("stem").collect()
-    words.unpersist()
-    kept: list[str] = []
-    for s in sorted((r.stem for r in stems), key=len):
-        if not any(s.startswith(k) for k in kept):
-            kept.append(s)
-    return sorted(r.word for r in best), sorted(kept)
+    used = held.select(prefix, "word", "fold", "y", "n").filter("stem is not null")
+    forms = F.size(F.collect_set(F.when(F.col("y") > 0, F.col("word"))))
+    strong = used.groupBy("stem").agg(F.sum("y").alias("all")).filter(f"all >= {max(5, least + 2)}").select("stem")  # label 1 is rare in the sample
+    stems = used.join(strong, "stem", "left_semi").groupBy(F.col("stem").alias("word")).agg(*counts(F.col("y"), F.col("n") - F.col("y"), forms))
+
+    def best(table: DataFrame, rule: str) -> dict[int, list[str]]:
+        without = [F.struct(F.lit(k).alias("fold"), (F.col("one") - F.coalesce(F.col("ones")[k], F.lit(0))).alias("one"), (F.col("zero") - F.coalesce(F.col("zeros")[k], F.lit(0))).alias("zero")) for k in range(folds)]
+        every = F.struct(F.lit(folds).alias("fold"), F.col("one"), F.col("zero"))
+        each = table.filter(f"one >= {least}").select("word", "forms", F.explode(F.array(*without, every)).alias("x")).select("word", "forms", "x.*").filter(rule)
+        top = each.withColumn("place", F.row_number().over(W.partitionBy("fold").orderBy(F.desc("one"), "word"))).filter(F.col("place") <= MOST_TERMS)
+        out: dict[int, list[str]] = {}
+        for r in top.select("fold", "word").collect():  # at most MOST_TERMS for each fold
+            out.setdefault(r.fold, []).append(r.word)
+        return out
+
+    found = best(words, f"one >= {least} and zero * 20 <= one")
+    starts = best(stems, f"one >= {max(5, least + 2)} and forms >= 4 and zero * 5 <= one")
+    terms = []
+    for k in range(folds + 1):
+        kept: list[str] = []
+        for s in sorted(starts.get(k, []), key=lambda s: (len(s), s)):
+            if not any(s.startswith(x) for x in kept):
+                kept.append(s)
+        terms.append((sorted(found.get(k, [])), sorted(kept)))
+    return terms
 
 
 class Model:
@@ -240,15 +277,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _features(docs: DataFrame, words: list[str], stems: list[str], keep: list[str], finish, schema: str) -> DataFrame:
-    """Features of every text, turned into columns by ``finish`` inside the tasks."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, stems))  # at most 2 * MOST_TERMS terms
+def _features(docs: DataFrame, terms: list[tuple[list[str], list[str]]], keep: list[str], finish, schema: str, which: str | None = None) -> DataFrame:
+    """Features of every text by its list of terms (column ``which``, else the last), turned into columns by ``finish`` inside the tasks."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)  # at most 2 * MOST_TERMS terms for each fold
 
     def run(batches):
-        scanner = Scanner(*sent.value)
-        for batch in batches:
-            x = np.array([scanner.features(t.as_py()) for t in batch.column("text")], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), finish(x)], [*keep, "out"])
+        scanners: dict[int, Scanner] = {}
+        for batch in slices(batches):
+            x = []
+            for t, k in zip(batch.column("text"), batch.column(which).to_pylist() if which else [-1] * batch.num_rows, strict=True):
+                if k not in scanners:
+                    scanners[k] = Scanner(*sent.value[k])
+                x.append(scanners[k].features(t.as_py()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), finish(np.array(x, float).reshape(-1, FEATURES))], [*keep, "out"])
 
     return docs.mapInArrow(run, schema)
 
@@ -258,24 +299,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
     Labels other than 0 and 1, without an id or without a document are left out.
 
-    Weights come from one half of them with terms of the other half, so that terms
-    which are pure by chance lose weight; the final terms come from both halves. Without both labels in the sample the score is
-    the smoothed share of label 1 (0.5 without any rows).
+    The labels of each kind are dealt to ``FOLDS`` folds in turn. Weights come from
+    each fold's documents with terms of the others, so that terms which are pure by
+    chance lose weight; the final terms come from all. With fewer than ``FEW`` labels
+    1 a word needs two documents of label 1, else three. Without both labels in the
+    sample the score is the smoothed share of label 1 (0.5 without any rows).
     """
     h = F.xxhash64(F.col(doc_id), F.lit(1))
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), h.alias("h"), F.col(label).cast("int").alias("label")).orderBy("h", "label").limit(rows)
+    turn = F.row_number().over(W.partitionBy("label").orderBy("h", "_id"))  # of at most ``rows`` rows
+    chosen = stage(chosen.withColumn("fold", ((turn - 1) % FOLDS).cast("int")), "chosen")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    d = texts.join(F.broadcast(chosen), "_id")  # at most ``rows`` ids
-    picked = d.select("h", "text", "label").repartition(24, "h").cache()
-    words, stems = learn_terms(picked.filter("h % 2 = 0"))
-    got = _features(picked.filter("h % 2 <> 0").select("text", "label"), words, stems, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>").collect()
-    words, stems = learn_terms(picked)
-    picked.unpersist()
+    picked = stage(texts.join(F.broadcast(chosen), "_id").select("h", "text", "label", "fold").repartition(24, "h"), "labelled")  # at most ``rows`` ids
+    positive = picked.filter("label = 1").count()
+    terms = learn_terms(picked, FOLDS, 2 if positive < FEW else 3)
+    got = _features(picked.select("text", "label", "fold"), terms, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>", "fold").collect()
     x, y = np.array([r.out for r in got]).reshape(-1, FEATURES), np.array([r.label for r in got], float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model(words, stems, np.array([0.0] * FEATURES + [math.log(p / (1 - p))]))
-    return Model(words, stems, logistic(x, y))
+        return Model(*terms[-1], np.array([0.0] * FEATURES + [math.log(p / (1 - p))]))
+    return Model(*terms[-1], logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,4 +333,4 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     def finish(x: np.ndarray) -> pa.Array:
         return pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
-    return _features(d, model.words, model.stems, ["doc_id"], finish, f"doc_id {kind}, out double").withColumnRenamed("out", "score")
+    return _features(d, [(model.words, model.stems)], ["doc_id"], finish, f"doc_id {kind}, out double").withColumnRenamed("out", "score")

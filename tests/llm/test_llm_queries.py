@@ -50,14 +50,24 @@ def test_media_table_matches_the_payload(spark, sf):
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len((r.text or "").encode()), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]))
 
 
-@pytest.mark.parametrize("name,label,least", [("op4_toxicity", "toxic", 0.9), ("op5_quality_mil", "quality", 0.85)])
-def test_held_out_accuracy(name, label, least, spark):
-    got = queries.QUERIES[name](spark, SF1).join(common.table(spark, SF1, "labels"), "doc_id").filter("held_out").collect()
-    assert len(got) > 50
-    assert sum(r.predicted == r[label] for r in got) / len(got) >= least
+@pytest.mark.parametrize("sf,name,label,least", [(SF1, "op4_toxicity", "toxic", 0.9), (SF1, "op5_quality_mil", "quality", 0.9), ("/root/testdata/sf0.001", "op4_toxicity", "toxic", 0.65)])
+def test_held_out_balanced_accuracy(sf, name, label, least, spark):
+    got = queries.QUERIES[name](spark, sf).join(common.table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
+    right = [[r.predicted == r[label] for r in got if r[label] == y] for y in (0, 1)]
+    assert all(len(x) >= 5 for x in right)
+    assert sum(sum(x) / len(x) for x in right) / 2 >= least
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_classifiers_without_labels_or_documents(spark, sf):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels").withColumnRenamed("toxic", "label")
+    for part in (toxicity, quality):
+        assert {r.score for r in part.score(docs, part.fit(docs, labels.limit(0))).collect()} == {0.5}
+        assert part.score(docs.limit(0), part.fit(docs.limit(0), labels)).count() == 0
+        one = {r.score for r in part.score(docs, part.fit(docs, labels.filter("label = 0"))).collect()}
+        assert len(one) == 1 and one.pop() < 0.1
+
+
 def _judge_brute(pages, rules):
     def parts(url):
         rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
