@@ -316,7 +316,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document.
+    """``doc_id, n_shingles, component_id, text_hash`` (of the text as it is) for every document.
 
     Documents link when their sets of word ``n``-grams have a Jaccard of at least
     ``num / den``; ``component_id`` is the least id reachable over links, itself
@@ -366,7 +366,7 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
         label = stage(components(links.unionByName(new)), "components")
 
     out = _with_component(members.withColumn("node", F.coalesce("rep", "doc_id")), label, "node", "component_id")
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("tag").alias("text_hash"))
 
 
 def _bands(most: int):

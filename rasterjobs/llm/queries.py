@@ -34,7 +34,7 @@ def tokenizer() -> str:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``size, source_size, target, taken``."""
+    """All columns of ``docs`` and ``size, source_size, target, taken``, in place of columns of these names."""
     d = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_sources", F.array("source"))
     mixed = mixing.mix(d, sources="_sources", size="_words", key="doc_id", weights=mixing.cycle_weights)
     name = F.coalesce("source", F.lit("\0"))
@@ -101,14 +101,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score`` of all ``docs``, learned from the labelled ones outside the held-out fold."""
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the labelled ``docs`` outside the held-out fold."""
     known = labels.select(F.col("doc_id"), F.col("toxic").alias("label")).filter(fold(F.col("doc_id"), 3) != 1)
-    return toxicity.score(docs, toxicity.fit(docs, known))
+    return toxicity.fit(docs, known)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
@@ -148,7 +149,7 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("text_hash")
 
 
 OP8 = f"""

@@ -261,6 +261,38 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot, n, k):
     assert sorted((r.doc_id, r.n_words, [(s.start, s.end) for s in r.spans], r.kept_text) for r in got) == sorted(_repeats_brute(rows, n))
 
 
+def test_pipeline_stages_on_awkward_documents(spark, sf):
+    import corpus_pipeline as p
+
+    item = common.table(spark, sf, "benchmark").filter("length(text) > 200").first().text
+    bad = toxicity.Model(["badword"], [], [9.0, 0, 0, 0, 0, 0, -3.0])
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, "a badword b", "s"), (None, "a badword b", "s"), (2, item, "s"), (None, item, "t"), (3, long, "s"), (None, long, None), (4, long + " x", "t"), (5, "p q", "s"), (5, "p q", "s"), (5, "r s", "t"), (None, "u v", "s"), (6, None, "s"), (7, "", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("xx"))
+    for c in ("n_chars", "size", "taken", "target", "source_size", "copy", "_words", "_id", "_hash", "score", "key"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    columns = docs.columns
+
+    def ids(df):
+        assert df.columns == columns and df.filter("size <> 'mine' or copy <> 'mine' or _words <> 'mine'").count() == 0
+        return sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+
+    every = sorted((i or 0, t or "") for i, t, _ in rows)
+    fit, queries.toxicity_model = queries.toxicity_model, lambda *_: bad
+    try:
+        assert ids(p.reject_toxic(spark, docs, sf)) == [x for x in every if "badword" not in x[1]]
+    finally:
+        queries.toxicity_model = fit
+    kept = ids(p.one_of_each_group(spark, docs, sf))
+    assert kept == sorted(x for x in every if x not in [(0, "a badword b"), (0, item), (0, long), (4, long + " x")])
+    assert ids(p.decontaminated(spark, docs, sf)) == [x for x in every if x[1] != item]
+    mixed = ids(p.mixed(spark, docs, sf))
+    assert set(mixed) <= {x for x in every if x[1]} and all(mixed.count(x) <= 3 * every.count(x) for x in set(mixed))
+    assert p.tokens(spark, docs, sf).count() == len(rows)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
