@@ -43,7 +43,7 @@ EXTRA = 8
 #: Groups of at most so many sets with one signature have all their pairs compared.
 WHOLE = 4
 #: Pairs of a hub in one place.
-HUB = 500
+HUB = 100
 #: Bits of the parities that bound how many tokens two sets differ in.
 PARITY = 512
 PARITIES = [f"p{i}" for i in range(PARITY // 64)]

@@ -31,11 +31,12 @@ STEM_LENGTHS = (4, 5, 6, 7)
 #: Folds of the fit, and labels 1 under which a word needs fewer documents.
 FOLDS, FEW = 10, 30
 #: States of the automaton that are kept; it is built anew when there are more.
-MOST_STATES = 200_000
+MOST_STATES = 100_000
 #: Words of at least so many letters match with one error; shorter ones and stems exactly.
 FUZZY_LENGTH = 5
 WINDOW = 6
-KNOWN = 500_000
+#: Words that a task remembers as clean or as hits.
+KNOWN = 200_000
 
 #: Words of address, words of report, quotation marks.
 ADDRESS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi vous ton ta tes votre tú te ti usted ustedes vosotros eres".split())
@@ -282,13 +283,13 @@ def _features(docs: DataFrame, terms: list[tuple[list[str], list[str]]], keep: l
     sent = docs.sparkSession.sparkContext.broadcast(terms)  # at most 2 * MOST_TERMS terms for each fold
 
     def run(batches):
-        scanners: dict[int, Scanner] = {}
+        scanner, of = None, None
         for batch in slices(batches):
             x = []
             for t, k in zip(batch.column("text"), batch.column(which).to_pylist() if which else [-1] * batch.num_rows, strict=True):
-                if k not in scanners:
-                    scanners[k] = Scanner(*sent.value[k])
-                x.append(scanners[k].features(t.as_py()))
+                if scanner is None or k != of:  # one at a time is held
+                    scanner, of = Scanner(*sent.value[k]), k
+                x.append(scanner.features(t.as_py()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), finish(np.array(x, float).reshape(-1, FEATURES))], [*keep, "out"])
 
     return docs.mapInArrow(run, schema)
@@ -310,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     turn = F.row_number().over(W.partitionBy("label").orderBy("h", "_id"))  # of at most ``rows`` rows
     chosen = stage(chosen.withColumn("fold", ((turn - 1) % FOLDS).cast("int")), "chosen")
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    picked = stage(texts.join(F.broadcast(chosen), "_id").select("h", "text", "label", "fold").repartition(24, "h"), "labelled")  # at most ``rows`` ids
+    picked = stage(texts.join(F.broadcast(chosen), "_id").select("h", "text", "label", "fold").repartition(24, "fold", F.col("h") % 3).sortWithinPartitions("fold"), "labelled")  # at most ``rows`` ids
     positive = picked.filter("label = 1").count()
     terms = learn_terms(picked, FOLDS, 2 if positive < FEW else 3)
     got = _features(picked.select("text", "label", "fold"), terms, ["label"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "label int, out array<double>", "fold").collect()
