@@ -59,3 +59,25 @@ def scan_plan(images: DataFrame, components: DataFrame) -> DataFrame:
         "image_id", (F.col("mcu") * F.col("per") + F.col("k")).alias("seq"), interval.alias("interval_no"), F.col("cell.component").alias("component"),
         (F.col("mr") * F.col("step_v") + F.col("cell.y")).alias("du_row"), (F.col("mc") * F.col("step_h") + F.col("cell.x")).alias("du_col"),
     )
+
+
+def with_missing(blocks: DataFrame, images: DataFrame) -> DataFrame:
+    """``blocks`` and a block of zeros for each unit of the padded grid that an image lacks.
+
+    Only images with fewer blocks than units are laid out as a grid. Chroma units
+    stand at the anchors of the luma grid.
+    """
+    h, v = F.col("h_samp"), F.col("v_samp")
+    units = F.col("du_width_pad") * F.col("du_height_pad")
+    count = units + F.when(F.col("num_components") > 1, (F.col("num_components") - 1) * (units / (h * v))).otherwise(0)
+    got = blocks.groupBy("image_id").agg(F.count("*").alias("_n"))
+    short = images.join(got, "image_id", "left").filter(F.coalesce("_n", F.lit(0)) < count)
+    g = short.select("image_id", "h_samp", "v_samp", "du_width_pad", "du_height_pad", F.explode(F.sequence(F.lit(1), F.col("num_components").cast("int"))).alias("component"))
+    step = [F.when(F.col("component") == 1, 1).otherwise(c) for c in (v, h)]
+    g = g.select("image_id", "component", "h_samp", "du_width_pad", F.explode(F.sequence(F.lit(0), F.col("du_height_pad") - 1, step[0])).alias("du_row"))
+    g = g.select("image_id", "component", "du_row", F.explode(F.sequence(F.lit(0), F.col("du_width_pad") - 1, step[1])).alias("du_col"))
+    keys = ["image_id", "component", "du_row", "du_col"]
+    types = {f.name: f.dataType for f in blocks.schema}
+    missing = g.select(*(F.col(c).cast(types[c]) for c in keys)).join(blocks.select(*keys), keys, "left_anti")
+    zeros = F.array_repeat(F.lit(0), 64).cast(types["coef"])
+    return blocks.unionByName(missing.withColumn("coef", zeros), allowMissingColumns=True)

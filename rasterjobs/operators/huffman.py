@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,10 +18,10 @@ class BadData(Exception):
     """The reason why an interval stops decoding."""
 
 
-@lru_cache(maxsize=4096)
-def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[int]:
-    """For every 16 next bits: code length * 256 + symbol, or 0 where no code begins."""
-    out = np.zeros(1 << 16, np.int32)
+@lru_cache(maxsize=64)
+def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> array:
+    """For every 16 next bits: code length * 256 + symbol, or 0 where no code begins (128 KiB)."""
+    out = np.zeros(1 << 16, np.uint16)
     code = at = 0
     for length, n in enumerate(counts, 1):
         for _ in range(n):
@@ -28,7 +29,7 @@ def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> list[int]:
             out[lo : lo + (1 << (16 - length))] = length << 8 | symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
-    return out.tolist()
+    return array("H", out.tobytes())
 
 
 class Bits:
@@ -41,7 +42,7 @@ class Bits:
         self.held = (self.held << 32 | int.from_bytes(self.data[self.at : self.at + 4].ljust(4, b"\0"), "big")) & 0xFFFFFFFFFFFFFFFF
         self.at, self.n = self.at + 4, self.n + 32
 
-    def symbol(self, table: list[int], bad: str) -> int:
+    def symbol(self, table: array, bad: str) -> int:
         if self.n < 16:
             self._fill()
         x = table[self.held >> (self.n - 16) & 0xFFFF]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import batches, huffman, raster, segments, transform, validate
+from ..operators import batches, coefficients, huffman, raster, segments, transform, validate
 from ..sources.staging import stage
 
 
@@ -100,7 +100,7 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
 
     Files with a fatal violation are left out and reported. A file whose entropy
     data fails is left out too, unless ``keep_partial`` keeps what was decoded
-    (missing units are absent). An image that is too large for ``bmps`` is decoded
+    (missing units are zero), as it is for a file that ends early without an error. An image that is too large for ``bmps`` is decoded
     and has a row ``bmp_too_large`` in ``errors``; ``bmp_rows`` has its file in parts.
     """
     t = triage(files, slots)
@@ -121,7 +121,7 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
         units = units.join(bad, "image_id", "left_anti")
         fine = fine.join(bad, "image_id", "left_anti")
     errors = errors.unionByName(raster.too_large(fine))
-    blocks = huffman.coefficients(units, scans)
+    blocks = coefficients.with_missing(stage(huffman.coefficients(units, scans), "blocks"), fine)
     parts = segments.last_definition(segments.frame_components(chosen), ["image_id", "component"], "ord").select("image_id", "component", "quant_id")
     sampled = transform.samples(transform.with_quant(blocks, parts, segments.quant_tables(chosen)))
     return Decoded(fine, errors, blocks, transform.rgb_blocks(transform.pair_chroma(sampled, fine)))

@@ -27,6 +27,12 @@ def _text(arr: Column) -> Column:
 
 
 def order_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files in the order of the sort, each with its place in it."""
+    rows = files.order_by_size(X.files(spark, sf_dir)).withColumn("at", F.monotonically_increasing_id())
+    return files.numbered(rows, "at").select("image_id", "length", F.col("place"))
+
+
+def size_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.size_rank(X.files(spark, sf_dir), ["source"]).select("image_id", "source", "length", "size_rank")
 
 
@@ -204,14 +210,14 @@ ZIGZAG_SQL = f"SELECT vec_id, array_to_string([floor(embedding[p + 1]::DOUBLE *
 
 
 def densify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth value of a vector as tokens, put back at its place."""
+    """All values of a vector as tokens, in a mixed order, put back at their places."""
     e = X.table(spark, sf_dir, "embeddings")
-    pos = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (4 * i + F.col("vec_id") % 4).cast("int"))
+    pos = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((5 * i + F.col("vec_id")) % 64).cast("int"))
     val = F.transform(pos, lambda p: F.floor(F.get("embedding", p).cast("double") * 400).cast("int"))
     return e.select("vec_id", _text(A.densify(pos, val)).alias("dense"))
 
 
-DENSE_SQL = "SELECT vec_id, array_to_string([CASE WHEN i % 4 = vec_id % 4 THEN floor(embedding[i + 1]::DOUBLE * 400)::INT ELSE 0 END for i in range(64)], ',') AS dense FROM embeddings"
+DENSE_SQL = "SELECT vec_id, array_to_string([floor(embedding[i + 1]::DOUBLE * 400)::INT for i in range(64)], ',') AS dense FROM embeddings"
 
 
 def _quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +406,8 @@ def stream_decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = [
-    (order_by_size, f"SELECT image_id, source, length, row_number() OVER (PARTITION BY source ORDER BY length, path)::INT AS size_rank FROM ({FILES_SQL})"),
+    (order_by_size, f"SELECT image_id, length, row_number() OVER (ORDER BY length, path) AS place FROM ({FILES_SQL})"),
+    (size_rank, f"SELECT image_id, source, length, row_number() OVER (PARTITION BY source ORDER BY length, path)::INT AS size_rank FROM ({FILES_SQL})"),
     (output_path, f"SELECT image_id, {OUT_SQL} AS out_path FROM ({FILES_SQL})"),
     (output_collisions, r"SELECT regexp_extract(url, '://([^/?#]*)', 1) || '/' || page_id % 7 || '.bmp' AS out_path, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1"),
     (grid_units, f"SELECT image_id, du_width, du_height, du_width_pad, du_height_pad, units, CASE WHEN units > 20 THEN 'oversized' END AS code FROM ({UNITS_SQL})"),

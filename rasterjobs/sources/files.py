@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .staging import range_slices
+from .staging import range_slices, stage
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -35,6 +35,19 @@ def order_by_size(files: DataFrame) -> DataFrame:
     return files.orderBy("length", "path")
 
 
+def numbered(rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` with ``place`` from 1 on, in the order of ``at`` (a ``monotonically_increasing_id``), which is dropped.
+
+    An id holds its partition and its row there, so only one count a partition is summed.
+    """
+    rows = stage(rows, "sorted")
+    part = F.shiftright(F.col(at), 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    place = F.col("_before") + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("place", place).drop(at, "_part", "_before")
+
+
 def size_rank(files: DataFrame, shard: list[str]) -> DataFrame:
     """``size_rank`` within shards, in the order of ``order_by_size``: the rank in a range and the rows of earlier ranges."""
     rows = range_slices(files, shard, [F.col("length").asc(), F.col("path").asc()])

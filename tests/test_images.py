@@ -266,3 +266,18 @@ def test_files_and_names(spark, tmp_path):
 @pytest.mark.parametrize("data", [b"", b"\xff", b"\xff\xd8", b"\xff\xd8\xff", b"\xff\xd8\xff\xdb\x00"])
 def test_short_files_end_with_an_error(data):
     assert list(segments.split_segments(data))[-1][-1] in ("bad_soi", "truncated")
+
+
+@pytest.mark.parametrize("components,h,v", [(1, 1, 1), (3, 2, 2)])
+def test_units_that_are_missing_are_zero(spark, components, h, v):
+    units = {(1, r, c): [20 * (r + c + 1)] + [0] * 63 for r in range(4) for c in range(4)}
+    whole = X.encode(units, 32, 32, h=h, v=v, components=components)
+    scan = whole.index(b"\xff\xda")
+    cut = whole[: scan + 2 + int.from_bytes(whole[scan + 2 : scan + 4], "big") + (len(whole) - scan) // 8]
+    files = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(cut))], "image_id bigint, content binary")
+    kept = decode(files, keep_partial=True)
+    bmp = {r.image_id: bytes(r.bmp) for r in kept.bmps.collect()}
+    assert len(bmp[1]) == len(bmp[2]) == int.from_bytes(bmp[2][2:6], "little") == 26 + 32 * 96
+    assert bmp[1] != bmp[2] and len(set(bmp[2][26 : 26 + 96])) == 1  # the lowest rows are gray
+    assert bmp[1][-96:][:24] == bmp[2][-96:][:24]
+    assert [r.image_id for r in decode(files).bmps.collect()] == [1]
