@@ -3,12 +3,12 @@
 Anchors are winnowed k-grams: every window of ``n`` words has the least of its
 k-grams as anchor, the first of equals, so equal windows have the same anchor at
 the same place. Anchors that only one document holds end there. The occurrences
-of an anchor meet in order of their documents; each is laid against the first one
+of an anchor meet in order of their documents; each is laid against the first ones
 and the match is extended word by word to both sides, as far as windows with this
 anchor reach. Extended matches of at least ``n`` words are kept, and those of
 neighbouring anchors join up to maximal repeats.
 
-What differs from the first occurrence may still equal a later one: windows that
+What differs from the first occurrences may still equal a later one: windows that
 no extension has settled are grouped by a digest of their words.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, Repeated, mix64, ngram_hashes, slices, small, stage, text_words
 
+#: Occurrences of an anchor that the others are laid against.
+ROUNDS = 4
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
 
@@ -91,10 +93,12 @@ def _occurrences(d: DataFrame, n: int, k: int, repeated: Repeated) -> DataFrame:
 
 
 def _extended(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """Matches with an anchor's first occurrence (``runs`` windows from ``place`` on), and open windows (``runs`` 0, by digests a and b).
+    """Matches with an earlier occurrence of an anchor (``runs`` windows from ``place`` on), and open windows (``runs`` 0, by digests a and b).
 
-    Rows of an anchor come one after the other; only its first one is kept in mind.
-    Where an anchor is split each part has a first one, whose own windows stay open.
+    Rows of an anchor come one after the other. Each is laid against the first one,
+    then against the first of those with windows that this did not settle, and so on
+    for ``ROUNDS`` of them, which are all that is kept in mind. Where an anchor is
+    split each part has first ones of its own, whose windows stay open.
     """
     side = n - k
 
@@ -103,25 +107,42 @@ def _extended(rows: DataFrame, n: int, k: int) -> DataFrame:
         for batch in slices(batches, 8192):
             columns = [batch.column(c).to_numpy() for c in ("key", "part", "rank", "place", "far", "near")]
             words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint64).reshape(-1, 2 * side + 1)
-            if held is not None:  # the first occurrence of the last anchor leads the batch
+            new = np.ones(len(words), bool)
+            if held is not None:  # those of the last anchor lead the batch
                 columns = [np.concatenate([x, y]) for x, y in zip(held[0], columns, strict=True)]
+                new = np.concatenate([np.zeros(len(held[1]), bool), new])
                 words = np.concatenate([held[1], words])
             key, part, rank, place, far, near = columns
-            begins = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))
-            same = words == words[first]
-            left = np.minimum.accumulate(same[:, :side][:, ::-1], axis=1).sum(1)
-            right = np.minimum.accumulate(same[:, side : 2 * side], axis=1).sum(1)
-            most, least = np.minimum(far, left), np.maximum(near, side - right)
-            fits = ~begins & same[:, -1] & (most >= least)
-            new = np.ones(len(key), bool)
-            new[0] = held is None
-            gone = np.flatnonzero(fits & (rank > rank[first]) & new)
-            settled = fits & ((rank > rank[first]) | (part == 0))  # in a part, the same document's later places stay open too
-            out = [(np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64), rank[gone], place[gone] - most[gone], (most - least + 1)[gone])]
-            for o in range(side + 1):  # windows that begin o words before the anchor
-                open_ = (near <= o) & (o <= far) & ~(settled & (least <= o) & (o <= most)) & (~begins | (part > 0)) & new
-                i = np.flatnonzero(open_)
+            row = np.arange(len(key))
+            begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+            steps = np.arange(side + 1)  # words that a window begins before the anchor
+            open_ = (steps >= near[:, None]) & (steps <= far[:, None])
+            used, leaders, out = np.zeros(len(key), bool), [], []
+            for _ in range(ROUNDS):
+                lead = np.minimum.reduceat(np.where(open_.any(1) & ~used, row, len(key)), begins)
+                mine = lead[group]
+                i = np.flatnonzero((row > mine) & open_.any(1))
+                some = lead[lead < len(key)]
+                if not len(some):
+                    break
+                used[some] = True
+                leaders += lead[-1:][lead[-1:] < len(key)].tolist()
+                j = mine[i]
+                same = words[i] == words[j]
+                left = np.minimum.accumulate(same[:, :side][:, ::-1], axis=1).sum(1)
+                right = np.minimum.accumulate(same[:, side : 2 * side], axis=1).sum(1)
+                most, least = np.minimum(far[i], left), np.maximum(near[i], side - right)
+                fits = same[:, -1] & (most >= least)
+                later = rank[i] > rank[j]
+                g = np.flatnonzero(fits & later & new[i])
+                out.append((np.zeros(len(g), np.int64), np.zeros(len(g), np.int64), rank[i][g], place[i][g] - most[g], (most - least + 1)[g]))
+                settled = fits & (later | (part[i] == 0))  # in a part, the same document's later places stay open too
+                open_[i] &= ~(settled[:, None] & (steps >= least[:, None]) & (steps <= most[:, None]))
+                whole = some[part[some] == 0]
+                open_[whole] = False
+            for o in steps:
+                i = np.flatnonzero(open_[:, o] & new)
                 if len(i):
                     w = words[i]
                     start = mix64(key[i].view(np.uint64) + np.uint64(o)), mix64(w[:, -1] + np.uint64(o + 99))
@@ -131,9 +152,10 @@ def _extended(rows: DataFrame, n: int, k: int) -> DataFrame:
                             h = mix64(h * np.uint64(factor) + w[:, c])
                         digest.append(h.view(np.int64))
                     out.append((*digest, rank[i], place[i] - o, np.zeros(len(i), np.int64)))
-            last = first[-1]
-            held = [x[last : last + 1] for x in columns], words[last : last + 1].copy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(),), strict=True)], ["a", "b", "rank", "place", "runs"])
+            leaders = [x for x in leaders if x >= begins[-1]] or [begins[-1]]
+            held = [x[leaders] for x in columns], words[leaders]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.int32(),), strict=True)], ["a", "b", "rank", "place", "runs"])
 
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "rank", "place")
     return rows.mapInArrow(run, "a long, b long, rank long, place long, runs int")
@@ -172,7 +194,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     gone = found.filter("runs > 0").select("rank", "place", "runs").unionByName(late.select("rank", "place", F.lit(1).alias("runs")))
     gone = gone.groupBy(F.col("rank").alias("grank"), F.expr("cast(place >> 32 as int)").alias("gtag")).agg(F.collect_set(F.expr(f"(place & 4294967295) * {n} + runs")).alias("runs"))
     gone = stage(gone, "repeats")
-    joined = d.join(small(gone), (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "runs")
+    joined = d.join(gone.hint("merge"), (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "runs")
 
     def cut(batches):
         for batch in slices(batches):
