@@ -194,7 +194,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: i
     gone = found.filter("runs > 0").select("rank", "place", "runs").unionByName(late.select("rank", "place", F.lit(1).alias("runs")))
     gone = gone.groupBy(F.col("rank").alias("grank"), F.expr("cast(place >> 32 as int)").alias("gtag")).agg(F.collect_set(F.expr(f"(place & 4294967295) * {n} + runs")).alias("runs"))
     gone = stage(gone, "repeats")
-    joined = d.join(gone.hint("merge"), (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "runs")
+    # hashed, not sorted: places are a small part of a partition's texts, which then need no memory
+    joined = d.join(gone.hint("shuffle_hash"), (F.col("rank") == F.col("grank")) & (F.col("tag") == F.col("gtag")), "left").select("id", "text", "copy", "runs")
 
     def cut(batches):
         for batch in slices(batches):
