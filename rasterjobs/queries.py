@@ -260,8 +260,10 @@ def _turned(source: str) -> str:
 
 
 _KEY = "image_id, du_row, du_col, i"
-IDCT_SQL = f"""WITH b AS MATERIALIZED ({DEQUANT_SQL}), r AS MATERIALIZED (SELECT image_id, du_row, du_col, i, coef[8 * i + 1 : 8 * i + 8] AS x FROM b, (SELECT unnest(range(8)) AS i)),
-h AS MATERIALIZED ({_turned(_pass_sql("r", _KEY))}), w AS MATERIALIZED ({_turned(_pass_sql("h", _KEY))})
+#: The inverse transform of ``b`` (image_id, du_row, du_col, coef) as rows ``w``.
+IDCT_WITH = f"""r AS MATERIALIZED (SELECT image_id, du_row, du_col, i, coef[8 * i + 1 : 8 * i + 8] AS x FROM b, (SELECT unnest(range(8)) AS i)),
+h AS MATERIALIZED ({_turned(_pass_sql("r", _KEY))}), w AS MATERIALIZED ({_turned(_pass_sql("h", _KEY))})"""
+IDCT_SQL = f"""WITH b AS MATERIALIZED ({DEQUANT_SQL}), {IDCT_WITH}
 SELECT image_id, du_row, du_col, array_to_string(flatten(list(x ORDER BY i)), ',') AS sample FROM w GROUP BY image_id, du_row, du_col"""
 DEQUANT_TEXT_SQL = f"SELECT image_id, du_row, du_col, array_to_string(coef, ',') AS coef FROM ({DEQUANT_SQL})"
 
@@ -275,8 +277,9 @@ def _scaled_sql(factor: int, x: str) -> str:
     return f"(({factor} * {x}) >> {A.SHIFT})"
 
 
-RGB_SQL = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0, least(255, y + {_scaled_sql(A.RED_CR, 'cr')} + 128)) AS r,
-  greatest(0, least(255, y - {_scaled_sql(A.GREEN_CB, 'cb')} - {_scaled_sql(A.GREEN_CR, 'cr')} + 128)) AS g, greatest(0, least(255, y + {_scaled_sql(A.BLUE_CB, 'cb')} + 128)) AS b
+RGB_COLUMNS = f"""greatest(0, least(255, y + {_scaled_sql(A.RED_CR, 'cr')} + 128)) AS r,
+  greatest(0, least(255, y - {_scaled_sql(A.GREEN_CB, 'cb')} - {_scaled_sql(A.GREEN_CR, 'cr')} + 128)) AS g, greatest(0, least(255, y + {_scaled_sql(A.BLUE_CB, 'cb')} + 128)) AS b"""
+RGB_SQL = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {RGB_COLUMNS}
 FROM (SELECT *, l_quantity::BIGINT * 5 - 128 AS y, l_partkey % 256 - 128 AS cb, l_suppkey % 256 - 128 AS cr FROM lineitem)"""
 
 
@@ -383,11 +386,40 @@ def _le_sql(x: str, n: int) -> str:
     return " || ".join(f"printf('%02X', (({x}) >> {8 * i}) & 255)" for i in range(n))
 
 
+BMP_HEAD = f"'424D' || {_le_sql('26 + h * w * 3 + (w % 4) * h', 4)} || '00000000' || '1A000000' || '0C000000' || {_le_sql('w', 2)} || {_le_sql('h', 2)} || '0100' || '1800'"
 BMP_SQL = f"""SELECT image_id, md5(head || body) AS digest, (length(head || body) // 2)::INT AS size FROM (
-  SELECT image_id, '424D' || {_le_sql("26 + h * w * 3 + (w % 4) * h", 4)} || '00000000' || '1A000000' || '0C000000' || {_le_sql("w", 2)} || {_le_sql("h", 2)} || '0100' || '1800' AS head, body
+  SELECT image_id, {BMP_HEAD} AS head, body
   FROM (SELECT image_id, any_value(width)::BIGINT AS w, any_value(height)::BIGINT AS h, string_agg(hex, '' ORDER BY y DESC) AS body FROM ({ROWS_BASE}) GROUP BY image_id))"""
 
 
+def _decoded_sql(color: bool) -> str:
+    """SQL of ``image_id, width, height, size, digest`` of the BMP files of ``X.jpegs``, from its blocks on.
+
+    Files have four units across and up to eight down; units that the table lacks
+    are zero. The transform takes a component as part of the image's id.
+    """
+    parts = ["SELECT image_id * 4 + 1 AS image_id, du_row, du_col, coef, 0 AS t FROM k"]
+    y, cb, cr = "y.v[p + 1]", "0::BIGINT", "0::BIGINT"
+    sources = "(SELECT * FROM s WHERE component = 1) y"
+    if color:
+        for k, x in ((2, "list_reverse(coef)"), (3, "[-x for x in coef]")):
+            parts.append(f"SELECT image_id * 4 + {k}, du_row, du_col, {x}, 1 FROM k WHERE du_row % 2 = 0 AND du_col % 2 = 0")
+            sources += f" JOIN s c{k} ON c{k}.component = {k} AND c{k}.image_id = y.image_id AND c{k}.du_row = y.du_row - y.du_row % 2 AND c{k}.du_col = y.du_col - y.du_col % 2"
+        at = "[1 + 8 * (p // 16 + 4 * (y.du_row % 2)) + p % 8 // 2 + 4 * (y.du_col % 2)]"
+        cb, cr = f"c2.v{at}", f"c3.v{at}"
+    return f"""WITH f AS MATERIALIZED (SELECT image_id::BIGINT * 1000000 + du_row // 8 AS image_id, du_row % 8 AS du_row, du_col, coef FROM ({X.BLOCKS_SQL})),
+n AS (SELECT image_id, max(du_row) + 1 AS down FROM f GROUP BY image_id),
+g AS (SELECT image_id, du_row, unnest(range(4)) AS du_col FROM (SELECT image_id, unnest(range(down)) AS du_row FROM n)),
+k AS MATERIALIZED (SELECT image_id, du_row, du_col, coalesce(coef, [0 for i in range(64)]) AS coef FROM g LEFT JOIN f USING (image_id, du_row, du_col)),
+b AS MATERIALIZED (SELECT image_id, du_row, du_col, [(((coef[i + 1] * (1 + (i + t) % 24) + 32768) & 65535) - 32768)::INT for i in range(64)] AS coef FROM ({" UNION ALL ".join(parts)})),
+{IDCT_WITH},
+s AS MATERIALIZED (SELECT image_id // 4 AS image_id, image_id % 4 AS component, du_row, du_col, flatten(list(x ORDER BY i))::BIGINT[] AS v FROM w GROUP BY image_id, du_row, du_col),
+v AS (SELECT y.image_id, y.du_row * 8 + p // 8 AS line, y.du_col * 8 + p % 8 AS place, {y} AS y, {cb} AS cb, {cr} AS cr FROM {sources}, (SELECT unnest(range(64)) AS p)),
+q AS (SELECT image_id, string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY line DESC, place) AS body FROM (SELECT image_id, line, place, {RGB_COLUMNS} FROM v) GROUP BY image_id)
+SELECT image_id, w::INT AS width, h::INT AS height, (length(head || body) // 2)::INT AS size, md5(unhex(head || body)) AS digest
+FROM (SELECT image_id, w, h, {BMP_HEAD} AS head FROM (SELECT image_id, 32 AS w, down * 8 AS h FROM n)) JOIN q USING (image_id)"""
+
+
 def decode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour files with restart markers, decoded to BMP: sizes and digests, null for images too large for a row."""
     done = decode(X.jpegs(spark, sf_dir))
@@ -423,7 +455,8 @@ _ALL = [
     (dc_predict, DC_SQL), (ac_positions, AC_SQL), (extend_sign, SIGN_SQL), (dezigzag, ZIGZAG_SQL), (densify, DENSE_SQL),
     (dequantize, DEQUANT_TEXT_SQL), (idct, IDCT_SQL), (ycc_to_rgb, RGB_SQL), (pair_chroma, PAIR_SQL), (upsample, UPSAMPLE_SQL),
     (scan_plan, PLAN_SQL), (tile_address, TILE_SQL), (entropy_roundtrip, ROUND_SQL), (pixels, PIXEL_SQL),
-    (raster_rows, f"SELECT image_id, y, hex FROM ({ROWS_BASE})"), (to_bmp, BMP_SQL), (decode_corpus, None), (stream_decode_files, None),
+    (raster_rows, f"SELECT image_id, y, hex FROM ({ROWS_BASE})"), (to_bmp, BMP_SQL), (decode_corpus, _decoded_sql(True)),
+    (stream_decode_files, f"SELECT image_id || '.bmp' AS name, size, digest FROM ({_decoded_sql(False)})"),
 ]
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLES = {f.__name__: sql for f, sql in _ALL if sql}

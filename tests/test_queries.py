@@ -8,10 +8,8 @@ def test_query_matches_sql(name, same):
     same(QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["decode_corpus", "stream_decode_files"])
-def test_query_returns_rows(name, spark, sf):
-    rows = QUERIES[name](spark, sf).collect()
-    assert rows and all(r.size > 26 for r in rows)
+def test_every_query_has_sql():
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry_points_agree():
