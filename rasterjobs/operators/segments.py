@@ -117,8 +117,8 @@ def entropy_intervals(files: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def drop_ignorable(segs: DataFrame) -> DataFrame:
-    """Without application, comment and other segments that don't affect decoding."""
-    return segs.filter(F.col("marker").isNull() | ~F.col("marker").isin(*sorted(IGNORED)))
+    """Without application, comment and other segments that don't affect decoding; one that ends the walk stays."""
+    return segs.filter(F.col("marker").isNull() | F.col("error").isNotNull() | ~F.col("marker").isin(*sorted(IGNORED)))
 
 
 def of_kind(segs: DataFrame, *markers: int) -> DataFrame:

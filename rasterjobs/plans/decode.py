@@ -61,7 +61,7 @@ class Triage:
 
 def triage(files: DataFrame, slots: int | None = None, capacity: int = batches.CAPACITY) -> Triage:
     """Which files will decode, and how large they are."""
-    segs = stage(segments.segments(files), "segments")
+    segs = stage(segments.drop_ignorable(segments.segments(files)), "segments")
     images = stage(batches.work_units(image_table(segs), capacity), "images")
     errors = stage(validate.validate(segs), "errors")
     if slots is not None:

@@ -76,6 +76,53 @@ def bad_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image_id", F.unhex(F.concat(soi, dqt, sof, rest)).alias("content"))
 
 
+def _put(part: str, at: int, digits: str) -> str:
+    """SQL of a header part with hex digits replaced from place ``at`` on."""
+    return f"overlay({part} PLACING '{digits}' FROM {at})"
+
+
+def _longer(part: str) -> str:
+    """SQL of a header part with a byte too many, which its length counts."""
+    return f"substring({part}, 1, 4) || lpad(hex(1 + cast(conv(substring({part}, 5, 4), 16, 10) AS bigint)), 4, '0') || substring({part}, 9) || '00'"
+
+
+#: Code of the violation at which a reader stops (none: it goes on), and the header parts that cause it, as SQL.
+DEFECTS: list[tuple[str | None, dict[str, str]]] = [
+    (None, {}), (None, {"soi": "'FFD8FFE00004ABCDFFFE0003AA'"}), (None, {"soi": "'FFD8FFC8'"}), (None, {"sof": _put("sof", 1, "FFC2"), "sos": _put("sos", 23, "000001")}),
+    ("bad_soi", {"soi": "'FFD9'"}), ("expected_marker", {"soi": "'FFD800'"}), ("expected_marker", {"soi": "'FFD8FFC10002'"}),
+    ("truncated", {"soi": "'FFD8FFE0FFFF'"}), ("truncated", {"sof": "'FFC000040800'"}), ("truncated", {"sos": "'FFDA00040301'"}),
+    ("sos_before_sof", {"sof": "''"}), ("multiple_sof", {"sof": "sof || sof"}), ("bad_precision", {"sof": _put("sof", 9, "0C")}),
+    ("bad_dimensions", {"sof": _put("sof", 11, "0000")}), ("bad_dimensions", {"sof": _put("sof", 15, "0000")}), ("cmyk", {"sof": _put("sof", 19, "04")}), ("no_components", {"sof": _put("sof", 19, "00")}),
+    ("yiq", {"sof": _put("sof", 21, "04")}), ("bad_component_id", {"sof": _put("sof", 27, "09")}), ("dup_component", {"sof": _put("sof", 27, "01")}),
+    ("bad_sampling", {"sof": _put("sof", 23, "31")}), ("bad_sampling", {"sof": _put("sof", 29, "21")}), ("bad_quant_ref", {"sof": _put("sof", 25, "07")}), ("bad_sof_length", {"sof": _longer("sof")}),
+    ("bad_quant_id", {"dqt": _put("dqt", 9, "05")}), ("bad_dqt_length", {"dqt": f"'FFDB0010{'00' * 14}' || dqt"}),
+    ("bad_huffman_id", {"dht": _put("dht", 9, "04")}), ("huffman_too_many", {"dht": _put("dht", 11, "C8")}), ("bad_dht_length", {"dht": "'FFC40005000000' || dht"}),
+    ("bad_dri_length", {"dri": "'FFDD0005000100'"}), ("empty_scan", {"sos": _put("sos", 9, "00")}), ("bad_scan_component", {"sos": _put("sos", 11, "09")}), ("dup_scan_component", {"sos": _put("sos", 15, "01")}),
+    ("bad_dc_table_id", {"sos": _put("sos", 13, "40")}), ("bad_ac_table_id", {"sos": _put("sos", 13, "04")}), ("unset_quant", {"dqt": "''"}), ("unset_dc", {"sos": _put("sos", 13, "10")}), ("unset_ac", {"sos": _put("sos", 13, "01")}),
+    ("bad_spectral", {"sos": _put("sos", 25, "3E")}), ("bad_spectral", {"sof": _put("sof", 1, "FFC2"), "sos": _put("sos", 23, "013F")}),
+    ("bad_approx", {"sos": _put("sos", 27, "01")}), ("bad_approx", {"sof": _put("sof", 1, "FFC2"), "sos": _put("sos", 23, "000031")}), ("bad_sos_length", {"sos": _longer("sos")}),
+]
+
+
+def defective_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour headers, each with the defect ``image_id % len(DEFECTS)``."""
+    p = header_parts(images(spark, sf_dir).withColumn("num_components", F.lit(3))).withColumn("k", F.col("image_id") % len(DEFECTS))
+    parts = []
+    for name in ("soi", "dqt", "sof", "dht", "dri", "sos"):
+        x = F.col(name)
+        for k, (_, swaps) in enumerate(DEFECTS):
+            x = F.when(F.col("k") == k, F.expr(swaps[name])).otherwise(x) if name in swaps else x
+        parts.append(x)
+    return p.select("image_id", F.unhex(F.concat(*parts, F.lit("FFD9"))).alias("content"))
+
+
+def annotated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with ``image_id % 5`` application segments before the tables and a comment after them."""
+    p = header_parts(images(spark, sf_dir))
+    notes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i < F.col("image_id") % 5, F.concat(F.lit("FFE"), F.hex(i.cast("bigint")), F.lit("0004ABCD"))).otherwise("")), "")
+    return p.select("image_id", F.unhex(F.concat("soi", notes, "dqt", "sof", "dht", F.lit("FFFE0003AA"), "dri", "sos", F.lit("FFD9"))).alias("content"))
+
+
 def table_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with two DQT (8 and 16 bit, the first id again) and two DHT per document."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"))
@@ -237,5 +284,108 @@ def jpegs(spark: SparkSession, sf_dir: str, *, restart: int = 4, color: bool = T
     return b.groupBy("image_id").applyInArrow(lambda key, group: write(key, group), "image_id bigint, content binary")
 
 
+#: Why the entropy data of a file can't be decoded; none: it can.
+FAILURES = [None, "bad_dc_symbol", "bad_ac_symbol", "exhausted", "zero_run", "marker_in_scan", "truncated", "dc_length", "ac_length"]
+
+
+def broken_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray files; label and part name one of ``FAILURES``, for which data or a table is swapped."""
+    plain = encode({}, 8, 8, quant=[[1] * 64] * 2, components=1)
+    sos = plain.index(bytes([0xFF, S.SOS]))
+    start = sos + 2 + int.from_bytes(plain[sos + 2 : sos + 4], "big")
+    dc = plain.index(bytes([0xFF, S.DHT])) + 4 + 17  # the first symbol of each table
+    ac = dc + len(DC_SYMBOLS) + 17
+    i = F.col("image_id")
+    k = (F.floor(i / 1_000_000) + i % 1_000_000) % len(FAILURES)
+    x = F.hex("content")
+    head, body = F.substring(x, 1, 2 * start), F.substring(x, 2 * start + 1, 1 << 30)
+    ones, zeros = "C0" * 64, "00" * 64
+    content = (
+        F.when(k == 1, F.concat(head, F.lit(ones + "FFD9"))).when(k == 2, F.concat(head, F.lit("0F5" + "0" * 125 + "FFD9"))).when(k == 3, F.concat(head, F.lit("FFD9")))
+        .when(k == 4, F.concat(head, F.lit("0" + "01" * 4 + "0" * 119 + "FFD9"))).when(k == 5, F.concat(head, F.substring(body, 1, F.length(body) - 4), F.lit("FFDAFFD9")))
+        .when(k == 6, F.substring(x, 1, F.length(x) - 4)).when(k == 7, F.concat(F.overlay(head, F.lit("0C"), 2 * dc + 1), F.lit(zeros + "FFD9")))
+        .when(k == 8, F.concat(F.overlay(head, F.lit("0B"), 2 * ac + 1), F.lit(zeros + "FFD9"))).otherwise(x)
+    )
+    return jpegs(spark, sf_dir, restart=0, color=False).select("image_id", F.unhex(content).alias("content"))
+
+
+# --------------------------------------------------------------------------
+# Encoder of progressive files with one scan
+
+#: Runs of ends of band, ZRL, and run and size, in eight bits each.
+BAND_SYMBOLS = [r << 4 for r in range(15)] + [0xF0] + [r << 4 | s for r in range(16) for s in range(1, 10)]
+#: ``ss, se, ah, al`` of the scan kinds: DC first, DC refined, AC first, AC refined.
+SCANS = [(0, 0, 0, 1), (0, 0, 1, 0), (1, 63, 0, 1), (1, 63, 2, 1)]
+#: Least size of the coefficients that a refining AC scan makes known.
+STRONG = 100
+
+
+def _bands(out: BitWriter, units: list[list[int]], refine: bool) -> None:
+    """AC values of units in scan order; units without further values are counted and follow as runs."""
+    ends = 0
+
+    def flush() -> None:
+        nonlocal ends
+        if ends:
+            k = ends.bit_length() - 1
+            out.put(BAND_SYMBOLS.index(k << 4), 8)
+            out.put(ends - (1 << k), k)
+            ends = 0
+
+    for values in units:
+        run = 0
+        for v in values:
+            if not v:
+                run += 1
+                continue
+            flush()
+            while run > 15:
+                out.put(BAND_SYMBOLS.index(0xF0), 8)
+                run -= 16
+            k, bits = _magnitude(v)
+            out.put(BAND_SYMBOLS.index(run << 4 | k), 8)
+            out.put(int(v > 0) if refine else bits, k)
+            run = 0
+        ends += run > 0
+    flush()
+
+
+def progressive(units: list, width: int, height: int, scan: tuple[int, int, int, int]) -> bytes:
+    """A gray file with one progressive scan of ``units`` (64 coefficients each, in the order of the image)."""
+    ss, se, ah, al = scan
+    rows = [[int(u[i]) for i in ZIGZAG] for u in units]
+    out, before = BitWriter(), 0
+    if ss:
+        cut = (lambda v: (v > 0) - (v < 0) if abs(v) >= STRONG else 0) if ah else (lambda v: abs(v) // (1 << al) * (1 if v > 0 else -1))
+        _bands(out, [[cut(v) for v in r[ss : se + 1]] for r in rows], ah > 0)
+    for dc in (r[0] >> al for r in rows if not ss):
+        if ah:
+            out.put(dc & 1, 1)
+            continue
+        k, bits = _magnitude(dc - before)
+        out.put(DC_SYMBOLS.index(k), 4)
+        out.put(bits, k)
+        before = dc
+    sof = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+    dht = bytes([0x00] + [12 if k == 4 else 0 for k in range(1, 17)] + DC_SYMBOLS + [0x10] + [160 if k == 8 else 0 for k in range(1, 17)] + BAND_SYMBOLS)
+    head = b"\xff\xd8" + _segment(S.DQT, bytes([0] + [1] * 64)) + _segment(S.SOF2, sof) + _segment(S.DHT, dht)
+    return head + _segment(S.SOS, bytes([1, 1, 0, ss, se, ah << 4 | al])) + out.data() + b"\xff\xd9"
+
+
+def progressive_jpegs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, content``: files as in ``jpegs``, gray; label and part name the kind of scan."""
+    part = F.floor(F.col("du_row") / 8).cast("int")
+    b = blocks(spark, sf_dir).select((F.col("image_id").cast("bigint") * 1_000_000 + part).alias("image_id"), (F.col("du_row") - part * 8).alias("du_row"), "du_col", "coef")
+
+    def write(key, group: pa.Table) -> pa.Table:
+        i = key[0].as_py()
+        known = dict(zip(zip(group.column("du_row").to_pylist(), group.column("du_col").to_pylist(), strict=True), group.column("coef").to_pylist(), strict=True))
+        rows = max(r for r, _ in known) + 1
+        units = [known.get((r, c), [0] * 64) for r in range(rows) for c in range(4)]
+        return pa.table({"image_id": [i], "content": [progressive(units, 32, rows * 8, SCANS[(i // 1_000_000 + i % 1_000_000) % len(SCANS)])]})
+
+    return b.groupBy("image_id").applyInArrow(lambda key, group: write(key, group), "image_id bigint, content binary")
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("bigint").alias("seconds"))

@@ -165,6 +165,29 @@ VALID_SQL = f"""SELECT image_id, width, height, CASE WHEN num_components = 3 THE
   CASE WHEN num_components = 3 THEN du_height_pad ELSE du_height END AS du_height_pad FROM ({UNITS_SQL}) WHERE image_id % 8 = 0"""
 
 
+def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on headers that break each rule in turn."""
+    return triage(X.defective_headers(spark, sf_dir)).images.select("image_id", "valid", "code")
+
+
+def _pick_sql(values: list[str | None], k: str) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][1 + {k}]"
+
+
+RULES_SQL = f"""SELECT image_id, code IS NULL AS valid, code FROM (
+  SELECT doc_id AS image_id, {_pick_sql([c for c, _ in X.DEFECTS], f"doc_id % {len(X.DEFECTS)}")} AS code FROM documents)"""
+
+
+def drop_ignorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers that are left in each header, and the place of the first."""
+    segs = segments.drop_ignorable(segments.segments(X.annotated_headers(spark, sf_dir)))
+    rows = segs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.hex("marker").alias("marker")))).alias("x"))  # a header has few segments
+    return rows.select("image_id", F.array_join(F.col("x.marker"), ",").alias("markers"), F.get("x", 0)["ord"].alias("place"))
+
+
+KEPT_SQL = "SELECT doc_id AS image_id, 'DB,C0,C4,DD,DD,DA' AS markers, (1 + doc_id % 5)::INT AS place FROM documents"
+
+
 # --------------------------------------------------------------------------
 # Coefficients
 
@@ -355,6 +378,31 @@ SELECT image_id, du_row, du_col, coalesce(array_to_string(coef, ','), array_to_s
 FROM (SELECT image_id, du_row, unnest(range(4)) AS du_col FROM g) LEFT JOIN b USING (image_id, du_row, du_col)"""
 
 
+def decode_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why files with broken entropy data can't be decoded."""
+    broken = X.broken_jpegs(spark, sf_dir)
+    return validate.image_status(broken.select("image_id"), decode(broken).errors).select("image_id", "valid", "code")
+
+
+FAILURES_SQL = f"""SELECT image_id, code IS NULL AS valid, code FROM (
+  SELECT DISTINCT image_id::BIGINT * 1000000 + du_row // 8 AS image_id, {_pick_sql(X.FAILURES, f"(image_id + du_row // 8) % {len(X.FAILURES)}")} AS code FROM ({X.BLOCKS_SQL}))"""
+
+
+def progressive_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients that whole progressive files hold, each with one scan of one of four kinds."""
+    blocks = decode(X.progressive_jpegs(spark, sf_dir)).coefficients
+    return blocks.select("image_id", "du_row", "du_col", _text(F.col("coef")).alias("coef"))
+
+
+SCANS_SQL = f"""WITH f AS (SELECT image_id::BIGINT * 1000000 + du_row // 8 AS image_id, (image_id + du_row // 8) % 4 AS k, du_row % 8 AS du_row, du_col, coef FROM ({X.BLOCKS_SQL})),
+g AS (SELECT image_id, k, du_row, unnest(range(4)) AS du_col FROM (SELECT image_id, k, unnest(range(max(du_row) + 1)) AS du_row FROM f GROUP BY image_id, k))
+SELECT image_id, du_row::INT AS du_row, du_col::INT AS du_col, array_to_string(CASE k
+  WHEN 0 THEN [CASE WHEN i = 1 THEN (c[1] >> 1) * 2 ELSE 0 END for i in range(1, 65)] WHEN 1 THEN [CASE WHEN i = 1 THEN c[1] & 1 ELSE 0 END for i in range(1, 65)]
+  WHEN 2 THEN [CASE WHEN i = 1 THEN 0 ELSE sign(c[i])::INT * (abs(c[i]) // 2) * 2 END for i in range(1, 65)]
+  ELSE [CASE WHEN i = 1 OR abs(c[i]) < {X.STRONG} THEN 0 ELSE sign(c[i])::INT * 2 END for i in range(1, 65)] END, ',') AS coef
+FROM (SELECT image_id, k, du_row, du_col, coalesce(coef, [0 for i in range(64)]) AS c FROM g LEFT JOIN f USING (image_id, k, du_row, du_col))"""
+
+
 # --------------------------------------------------------------------------
 # Pixels
 
@@ -437,6 +485,21 @@ def stream_decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.element_at(F.split("out_path", "/"), -1).alias("name"), F.length("bmp").alias("size"), F.md5("bmp").alias("digest"))
 
 
+def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents a file, written as files, read as images, and stored as rows."""
+    folder = tempfile.mkdtemp(prefix="files-", dir="/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    docs = X.table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("k"))
+    text = docs.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    text = text.select(F.concat(F.col("k").cast("string"), F.lit(".jpg")).alias("out_path"), F.array_join(F.col("x.text"), "").cast("binary").alias("bmp"))
+    files.export_files(text, folder)
+    files.write_images(files.read_images(spark, f"file://{folder}"), f"file://{folder}/images")
+    done = spark.read.parquet(f"file://{folder}/images")
+    return done.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.md5("content").alias("digest"))
+
+
+BACK_SQL = """SELECT doc_id // 50 || '.jpg' AS name, strlen(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS length,
+  md5(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY doc_id // 50"""
+
 _ALL = [
     (order_by_size, f"SELECT image_id, length, row_number() OVER (ORDER BY length, path) AS place FROM ({FILES_SQL})"),
     (size_rank, f"SELECT image_id, source, length, row_number() OVER (PARTITION BY source ORDER BY length, path)::INT AS size_rank FROM ({FILES_SQL})"),
@@ -451,6 +514,7 @@ _ALL = [
     (scan_header, f"SELECT image_id, num_components AS components_in_scan, 0 AS ss, 63 AS se, 0 AS ah, 0 AS al, c AS scan_id, 0 AS dc_id, 0 AS ac_id FROM (SELECT *, unnest(range(1, num_components + 1)) AS c FROM ({X.IMAGES_SQL}))"),
     (restart_last_wins, "SELECT doc_id AS image_id, doc_id % 11 + 1 AS restart_interval FROM documents"),
     (quant_tables, QUANT_SQL), (huffman_tables, HUFF_SQL), (canonical_codes, CODES_SQL),
+    (header_rules, RULES_SQL), (drop_ignorable, KEPT_SQL), (decode_failures, FAILURES_SQL), (progressive_scans, SCANS_SQL), (read_back, BACK_SQL),
     (image_status, STATUS_SQL), (error_report, REPORT_SQL), (valid_images, VALID_SQL),
     (dc_predict, DC_SQL), (ac_positions, AC_SQL), (extend_sign, SIGN_SQL), (dezigzag, ZIGZAG_SQL), (densify, DENSE_SQL),
     (dequantize, DEQUANT_TEXT_SQL), (idct, IDCT_SQL), (ycc_to_rgb, RGB_SQL), (pair_chroma, PAIR_SQL), (upsample, UPSAMPLE_SQL),
