@@ -20,6 +20,8 @@ from .common import small
 
 #: Most membership patterns a mix may have; the flow is solved on the driver.
 MOST_PATTERNS = 100_000
+#: The key of documents without a source.
+NULL = "\0"
 #: Documents of a pattern are ordered by hash in so many slices, summed apart.
 SLICES = 4096
 
@@ -94,6 +96,11 @@ def min_cost_flow(capacity: list[int], quota: list[int], member: list[list[int]]
     return [{s: room[e ^ 1] for s, e in r.items() if room[e ^ 1]} for r in routes]
 
 
+def source_key(name: Column) -> Column:
+    """A source's name as the key of a map: null is U+0000, and a name that begins with U+0000 has one more."""
+    return F.when(name.isNull(), NULL).when(F.startswith(name, F.lit(NULL)), F.concat(F.lit(NULL), name)).otherwise(name)
+
+
 def order_key(seed: str, *columns: str | Column) -> Column:
     """A seeded random order that reruns and other engines repeat."""
     return F.md5(F.concat_ws("|", F.lit(seed), *columns))
@@ -103,8 +110,9 @@ def mix(docs: DataFrame, *, sources: str, size: str, key: str, weights, total: i
     """``docs`` with ``source_sizes``, ``targets`` and ``taken`` (maps by source).
 
     ``sources`` is an array column of source names (null names count as a source
-    of their own, ''-less: the name is null-marked as ``\\0``), ``size`` the words
-    of a document, ``key`` its id. ``weights`` maps the sorted source names to
+    of their own; ``source_key`` gives the key of a name), ``size`` the words
+    of a document, ``key`` its id. Input columns of any other name come back as
+    they are. ``weights`` maps the sorted source names to
     their weights. ``taken`` counts the words each source takes from a document,
     repetitions included, at most ``copies`` times its size in all. The mix takes
     whole documents in a seeded order; the document at a quota's end is cut there.
@@ -114,13 +122,14 @@ def mix(docs: DataFrame, *, sources: str, size: str, key: str, weights, total: i
     table gives an empty result.
     """
     spark = docs.sparkSession
-    names = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("\0")))))
-    d = docs.select("*", names.alias("_pattern"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    names = F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), source_key)))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    d = docs.select(row.alias("_row"), names.alias("_pattern"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(key).alias("_key"))
     counted = d.groupBy("_pattern").agg(F.sum("_size").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(counted) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     counted.sort(key=lambda r: r._pattern)
-    order = sorted({s for r in counted for s in r._pattern}, key=lambda s: (s == "\0", s))
+    order = sorted({s for r in counted for s in r._pattern}, key=lambda s: (s == NULL, s))
     sizes = {s: sum(r.tokens for r in counted if s in r._pattern) for s in order}
     total = sum(r.tokens for r in counted) if total is None else total
     want = targets(sizes, weights(order), total, copies) if sizes and total else dict.fromkeys(order, 0.0)
@@ -138,10 +147,10 @@ def mix(docs: DataFrame, *, sources: str, size: str, key: str, weights, total: i
     plan = spark.createDataFrame(rows, "_pattern array<string>, _tokens long, _parts array<struct<source:string,lo:long,hi:long,size:long,target:double>>")
 
     # where a document begins in its pattern's order: a sum over slices, then inside the slice
-    d = d.withColumn("_order", order_key(seed, F.col(key).cast("string"))).withColumn("_slice", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
+    d = d.withColumn("_order", order_key(seed, F.col("_key").cast("string"))).withColumn("_slice", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
     slices = d.groupBy("_pattern", "_slice").agg(F.sum("_size").alias("_sum"))
     before = slices.select("_pattern", "_slice", (F.sum("_sum").over(W.partitionBy("_pattern").orderBy("_slice")) - F.col("_sum")).alias("_before"))
-    inside = F.sum("_size").over(W.partitionBy("_pattern", "_slice").orderBy("_order", key, "_size").rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
+    inside = F.sum("_size").over(W.partitionBy("_pattern", "_slice").orderBy("_order", "_key", "_size").rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")
     d = d.withColumn("_inside", inside).join(small(before), ["_pattern", "_slice"]).join(small(plan), "_pattern")
     start = F.col("_before") + F.col("_inside")
 
@@ -153,7 +162,7 @@ def mix(docs: DataFrame, *, sources: str, size: str, key: str, weights, total: i
         return F.map_from_entries(F.transform("_parts", lambda p: F.struct(p.source, value(p))))
 
     new = {"source_sizes": by_source(lambda p: p.size), "targets": by_source(lambda p: p.target), "taken": by_source(taken)}
-    return d.select(*(F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+    return d.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
 def cycle_weights(order: list[str]) -> dict[str, int]:

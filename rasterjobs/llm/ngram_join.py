@@ -222,13 +222,15 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             sets = token_sets(batch.column("text"), n)
+            full = [i for i, x in enumerate(sets) if len(x)]  # a repeated id may have texts without words
+            sets = [sets[i] for i in full]
             odd = np.zeros((len(sets), PARITY), np.uint8)
             for row, x in zip(odd, sets, strict=True):
                 row[:] = np.bincount((mix64(x) >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
             bits = np.packbits(odd, axis=1).view(np.int64)
             size = pa.array([len(x) for x in sets], pa.int64())
             tokens = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, *(pa.array(np.ascontiguousarray(c)) for c in bits.T), tokens], ["id", "size", *PARITIES, "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(full, pa.int64())), size, *(pa.array(np.ascontiguousarray(c)) for c in bits.T), tokens], ["id", "size", *PARITIES, "tokens"])
 
     picked = docs.join(small(stage(ids.select(F.col("id").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi")
     return stage(picked.select("doc_id", "text").mapInArrow(run, f"id long, size long, {', '.join(f'{c} long' for c in PARITIES)}, tokens binary"), "tokens")

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import slices, stage
 
 PACKET = 576
+#: Texts, or stored files, that a task holds at once.
+HELD = 64
 RATE = 8000
 SAMPLES, COMMENTS = 0x53414D50, 0x434F4D4D  # serial numbers of the two streams
 MAGIC = b"PCM8"
@@ -180,7 +182,7 @@ def media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, HELD):
             texts = [t.as_py() for t in batch.column("text")]
             files = [encode(pad(t), b"n_bytes=%d" % len(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -197,7 +199,7 @@ def describe(files: DataFrame) -> DataFrame:
     kind = files.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, HELD):
             rows = []
             for data in batch.column("media"):
                 data = data.as_py()

@@ -71,9 +71,9 @@ class Network:
         h = np.tanh(x @ p["w"] + p["b"])
         t, g = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         e = (t * g) @ p["a"]
-        e = np.exp(e - e.max()) if len(e) else e
-        weight = e / np.bincount(bag, e, n)[bag]
         starts = np.searchsorted(bag, np.arange(n))
+        e = np.exp(e - np.maximum.reduceat(e, starts)[bag]) if len(e) else e
+        weight = e / np.bincount(bag, e, n)[bag]
         z = np.add.reduceat(h * weight[:, None], starts)
         y = 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"][0], -30, 30)))
         return x, h, t, g, weight, z, y

@@ -35,11 +35,12 @@ def tokenizer() -> str:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``size, source_size, target, taken``, in place of columns of these names."""
-    d = docs.withColumn("_words", word_count(F.col("text"))).withColumn("_sources", F.array("source"))
-    mixed = mixing.mix(d, sources="_sources", size="_words", key="doc_id", weights=mixing.cycle_weights)
-    name = F.coalesce("source", F.lit("\0"))
-    new = {"size": F.col("_words"), "source_size": F.col("source_sizes")[name], "target": F.col("targets")[name], "taken": F.col("taken")[name]}
-    return mixed.select(*(F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    d = docs.select(row.alias("row"), F.col("doc_id").alias("key"), word_count(F.col("text")).alias("size"), F.array("source").alias("sources"))
+    mixed = mixing.mix(d, sources="sources", size="size", key="key", weights=mixing.cycle_weights)
+    name = mixing.source_key(F.get("sources", 0))
+    new = {"size": F.col("size"), "source_size": F.col("source_sizes")[name], "target": F.col("targets")[name], "taken": F.col("taken")[name]}
+    return mixed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

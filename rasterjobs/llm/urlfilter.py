@@ -41,9 +41,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains: a.b.c, b.c, c."""
-    parts = F.split(host, r"\.")
+def suffixes(host: Column, most: int) -> Column:
+    """A host and its parent domains, as far as they have at most ``most`` labels: a.b.c, b.c, c."""
+    parts = F.slice(F.reverse(F.split(host, r"\.")), 1, most)
+    parts = F.reverse(parts)
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
@@ -55,7 +56,8 @@ def with_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     Equal lengths: the longer path, then the greater text wins.
     """
     hosts = pages.select("host").distinct()
-    by = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("rhost"))
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    by = hosts.select("host", F.explode(suffixes(F.col("host"), most)).alias("rhost"))
     r = rules.select(F.col("host").alias("rhost"), F.col("path").alias("rpath"), F.col("action"))
     r = by.join(small(r), "rhost").groupBy("host").agg(F.collect_list(F.struct("rhost", "rpath", "action")).alias("_rules"))
     best = F.array_max(

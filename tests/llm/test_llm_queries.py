@@ -182,6 +182,38 @@ def test_links_of_repeated_ids_and_regular_words(spark):
     assert got == set(_components_brute(rows, 3, 90, 100).items())
 
 
+def test_repeated_ids_with_blank_texts(spark, sf):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(200)]
+    for blank in ("", None, " \n"):
+        rows = [(1, " ".join(words)), (1, blank), (2, " ".join(words[:-1])), (3, blank), (3, "other words in this one")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r.doc_id, r.component_id) for r in ngram_join.similar_documents(df, n=3, num=90, den=100).collect()}
+        assert got == {(1, 1), (2, 1), (3, 3)}
+        kept = p.one_of_each_group(spark, df, sf).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == sorted((i, t or "") for i, t in rows if i != 2)
+
+
+def test_mix_tells_null_from_zero_and_keeps_columns(spark):
+    rows = [(i, "a b c d", [None, "\0", "\0\0", "x"][i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    helpers = ["_words", "_slice", "_size", "_order", "_pattern", "_before", "_inside", "_tokens", "_parts", "_row", "_key", "row", "key", "sources"]
+    for c in helpers:
+        df = df.withColumn(c, F.lit(7))
+    out = queries.mix_documents(df).collect()
+    assert {(r.source, r.source_size) for r in out} == {(s, 40) for s in (None, "\0", "\0\0", "x")}
+    assert all(r[c] == 7 for r in out for c in helpers)
+    took = {s: (sum(r.taken for r in out if r.source == s), next(r.target for r in out if r.source == s)) for s in ("\0", "\0\0", "x", None)}
+    assert all(abs(a - b) <= 1 for a, b in took.values()) and len({b for _, b in took.values()}) == 3
+
+
+def test_a_host_of_very_many_labels(spark):
+    rows = [(1, "http://" + "a." * 60_000 + "example.org/es/x", None), (2, "http://" + "." * 60_000 + "/fr/", None)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.RULES).collect()
+    assert {(r.page_id, r.rule, r.verdict) for r in got} == {(1, "example.org/es/", "block"), (2, None, "allow")}
+
+
 def test_clouds_of_near_copies_against_brute_force(spark):
     import random
 
