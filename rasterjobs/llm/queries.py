@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, ogg, quality, substring, tokenpack, toxicity, urlfilter, warc
+from . import decontaminate, merkle, mixing, ngram_join, ogg, quality, substring, tokenpack, toxicity, urlfilter, warc
 from .common import table
 
 #: (host, path, action) rules of the URL filter query.
@@ -188,8 +188,50 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.token_table(table(spark, sf_dir, "documents"), tokenizer(), end_id=END_ID)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack)}
-ORACLES = {"op1_mix_sources": OP1, "op2_warc_bundles": OP2, "op6_decontaminate": OP6, "op8_ngram_join": OP8, "op9_substring_dedup": OP9}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def _fields_sql(*values: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v} END" for v in values) + ")"
+
+
+_UP = "[sha256(array_to_string(l[3 * i + 1 : 3 * i + 3], '')) for i in range((len(l) + 2) // 3)]"
+_FIRST = "doc_id NULLS FIRST, leaf, shown NULLS FIRST"
+# crc32 of the decimal id, bit by bit: each byte, then eight shifts (below 0); it is even where its complement is odd
+_EVEN = "list_reduce([4294967295] || flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) % 2 = 1"
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_fields_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+         CASE WHEN {_EVEN} THEN {_fields_sql("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} END AS shown
+  FROM documents),
+lev AS (
+  SELECT source, 0 AS k, list(leaf ORDER BY {_FIRST}) AS l FROM d GROUP BY source
+  UNION ALL SELECT source, k + 1, {_UP} FROM lev WHERE len(l) > 1),
+sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g, k AS n FROM lev WHERE len(l) = 1),
+top AS (
+  SELECT 0 AS k, list(subroot ORDER BY g) AS l FROM sub
+  UNION ALL SELECT k + 1, {_UP} FROM top WHERE len(l) > 1),
+-- the levels that a leaf of a source passes, first in its source, then over the sources
+step AS (
+  SELECT g, k AS s, l, true AS inside, k FROM lev JOIN sub ON lev.source IS NOT DISTINCT FROM sub.source WHERE len(l) > 1
+  UNION ALL SELECT g, n + top.k, top.l, false, top.k FROM sub, top WHERE len(top.l) > 1),
+spot AS (SELECT rid, row_number() OVER (PARTITION BY source ORDER BY {_FIRST}) - 1 AS p FROM d),
+walk AS (
+  SELECT rid, p, g, 0 AS s, coalesce(shown, leaf) AS x, '' AS around FROM d JOIN spot USING (rid) JOIN sub ON d.source IS NOT DISTINCT FROM sub.source
+  UNION ALL
+  SELECT rid, p, g, s + 1, sha256(array_to_string(lo || [x] || hi, '')), around || array_to_string(lo || hi, '')
+  FROM (SELECT *, CASE WHEN o % 3 = 0 THEN [] ELSE l[o - o % 3 + 1 : o] END AS lo, CASE WHEN o % 3 = 2 THEN [] ELSE l[o + 2 : o - o % 3 + 3] END AS hi
+        FROM (SELECT rid, p, w.g, w.s, x, around, l, (CASE WHEN inside THEN p ELSE w.g END // (3 ** k)::BIGINT)::BIGINT AS o FROM walk w JOIN step ON step.g = w.g AND step.s = w.s))),
+done AS (SELECT rid, max_by(x, s) AS x, max_by(around, s) AS around FROM walk GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(around) AS proof_sha256, x AS folded_root, x = root AS verified
+FROM d JOIN done USING (rid) JOIN sub ON d.source IS NOT DISTINCT FROM sub.source, (SELECT l[1] AS root FROM top WHERE len(l) = 1)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack, op11_merkle_manifest)}
+ORACLES = {"op1_mix_sources": OP1, "op2_warc_bundles": OP2, "op6_decontaminate": OP6, "op8_ngram_join": OP8, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
