@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, merkle, mixing, ngram_join, ogg, quality, substring, tokenpack, toxicity, urlfilter, warc
+from . import bpe, decontaminate, merkle, mixing, ngram_join, ogg, quality, substring, tokenpack, toxicity, urlfilter, warc
 from .common import table
 
 #: (host, path, action) rules of the URL filter query.
@@ -230,7 +230,11 @@ FROM d JOIN done USING (rid) JOIN sub ON d.source IS NOT DISTINCT FROM sub.sourc
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack, op11_merkle_manifest)}
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack, op11_merkle_manifest, op12_bpe_automaton)}
 ORACLES = {"op1_mix_sources": OP1, "op2_warc_bundles": OP2, "op6_decontaminate": OP6, "op8_ngram_join": OP8, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11}
 
 
