@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, merkle, mixing, ngram_join, ogg, quality, substring, tokenpack, toxicity, urlfilter, warc
+from . import bpe, decontaminate, merkle, mixing, ngram_join, ogg, quality, search, substring, tokenpack, toxicity, urlfilter, warc
 from .common import table
 
 #: (host, path, action) rules of the URL filter query.
@@ -234,8 +234,29 @@ def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack, op11_merkle_manifest, op12_bpe_automaton)}
-ORACLES = {"op1_mix_sources": OP1, "op2_warc_bundles": OP2, "op6_decontaminate": OP6, "op8_ngram_join": OP8, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w)::BIGINT AS n FROM (SELECT doc_id, coalesce({_TERMS}, []) AS w FROM documents) WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS bid, item_id, coalesce({_TERMS}, []) AS w FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM d),
+q AS (SELECT bid, item_id, t, count(*)::BIGINT AS times FROM (SELECT bid, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+f AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, s GROUP BY t, nn),
+x AS (
+  SELECT bid, item_id, d.doc_id, d.rid, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))))::BIGINT AS score
+  FROM q JOIN f USING (t) JOIN w USING (t) JOIN d USING (rid), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_url_filter, op4_toxicity, op5_quality_mil, op6_decontaminate, op7_ogg_media, op8_ngram_join, op9_substring_dedup, op10_token_pack, op11_merkle_manifest, op12_bpe_automaton, op13_ranked_search)}
+ORACLES = {"op1_mix_sources": OP1, "op2_warc_bundles": OP2, "op6_decontaminate": OP6, "op8_ngram_join": OP8, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11, "op13_ranked_search": OP13}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
