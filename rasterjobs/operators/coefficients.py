@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.staging import range_slices, shard_key
 
-def dc_predict(units: DataFrame, *order: str) -> DataFrame:
-    """``dc``: running sum of ``dc_diff`` of an image's component within a restart interval."""
-    w = W.partitionBy("image_id", "component", "interval_no").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return units.withColumn("dc", F.sum("dc_diff").over(w))
+
+def dc_predict(units: DataFrame, *order: str, segment: Column | None = None) -> DataFrame:
+    """``dc``: running sum of ``dc_diff`` of an image's component within a restart interval.
+
+    An interval is summed in segments, so a long one is many tasks: the sum inside a
+    segment and the sums of those before it. ``segment`` numbers the segments of an
+    interval along ``order``; without it, rows are dealt to ranges of about equal size.
+    """
+    keys = ["image_id", "component", "interval_no"]
+    if segment is None:
+        rows = range_slices(units, keys, [F.col(c).asc() for c in order])
+    else:
+        rows = units.withColumn("_key", shard_key(keys)).withColumn("_slice", segment)
+    sums = rows.groupBy("_key", "_slice").agg(F.sum("dc_diff").alias("_sum"))
+    # a row for each segment of an interval
+    before = sums.select("_key", "_slice", (F.sum("_sum").over(W.partitionBy("_key").orderBy("_slice")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("dc_diff").over(W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("_inside", inside).join(before, ["_key", "_slice"])
+    return out.select(*units.columns, (F.col("_inside") + F.col("_before")).alias("dc"))
 
 
 def ac_positions(tokens: DataFrame, *order: str) -> DataFrame:

@@ -1,4 +1,14 @@
-"""Bit-level entropy decoding, one restart interval per row."""
+"""Bit-level entropy decoding.
+
+A restart interval is decoded by one task, but a long one is cut into chunks of
+bytes that are decoded apart. Where a chunk's first unit begins, and which unit of an
+MCU it is, hangs on all bytes before. Decoding from a wrong place soon falls into step
+with the right one, as Huffman codes do, so each chunk is first walked from several
+places for a guess at where the next one begins. Then each chunk is walked exactly
+from what was guessed for it; these steps are put together in order, and what is
+missing in the chain is walked again, until every chunk has its true beginning.
+Only then are units decoded, all chunks at once.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import densify, dezigzag
+from ..sources.staging import stage
 from .coefficients import dc_predict
 
 
@@ -35,8 +46,9 @@ def lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> array:
 class Bits:
     """Reads bits from the most significant end; raises at the end of the data."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.n, self.left = data + bytes(8), 0, 0, 0, 8 * len(data)
+    def __init__(self, data: bytes, start: int = 0):
+        self.data, self.at, self.held, self.n, self.left = data + bytes(8), start >> 3, 0, 0, 8 * len(data) - (start & ~7)
+        self.take(start & 7)
 
     def _fill(self) -> None:
         self.held = (self.held << 32 | int.from_bytes(self.data[self.at : self.at + 4].ljust(4, b"\0"), "big")) & 0xFFFFFFFFFFFFFFFF
@@ -76,33 +88,43 @@ def _dc(bits: Bits, table: list[int]) -> int:
     return bits.signed(size)
 
 
-def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[int] | None]], units: int, progressive: bool = False, ss: int = 0, se: int = 63, ah: int = 0, al: int = 0):
+def _baseline(bits: Bits, dc: list[int], ac: list[int]) -> tuple[int, list[int], list[int]]:
+    """DC difference, positions and values of a unit."""
+    diff, pos, values = _dc(bits, dc), [], []
+    i = 1
+    while i < 64:
+        s = bits.symbol(ac, "bad_ac_symbol")
+        if not s:
+            break
+        run, size = s >> 4, s & 15
+        if i + run >= 64:
+            raise BadData("zero_run")
+        if size > 10:
+            raise BadData("ac_length")
+        pos.append(i + run)
+        values.append(bits.signed(size))
+        i += run + 1
+    return diff, pos, values
+
+
+def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[int] | None]], units: int, progressive: bool = False, ss: int = 0, se: int = 63, ah: int = 0, al: int = 0, start: int = 0, cell: int = 0, end: int | None = None):
     """Units of an interval as (component, dc_diff, positions, values, error), until an error ends it.
 
-    ``cells``: component, DC and AC lookup of each unit of an MCU, in order.
+    ``cells``: component, DC and AC lookup of each unit of an MCU, in order. The
+    first unit begins at bit ``start`` with ``cell``; none begins at bit ``end`` or later.
     Positions are those of the values in scan order. A progressive scan decodes its
     own part on coefficients that are all zero.
     """
-    bits, skips = Bits(data), 0
+    bits, skips = Bits(data, start), 0
+    stop = 0 if end is None else 8 * len(data) - end  # bits left where units may begin no more
     for k in range(units):
-        component, dc, ac = cells[k % len(cells)]
+        if end is not None and bits.left <= stop:
+            return
+        component, dc, ac = cells[(cell + k) % len(cells)]
         diff, pos, values = 0, [], []
         try:
             if not progressive:
-                diff = _dc(bits, dc)
-                i = 1
-                while i < 64:
-                    s = bits.symbol(ac, "bad_ac_symbol")
-                    if not s:
-                        break
-                    run, size = s >> 4, s & 15
-                    if i + run >= 64:
-                        raise BadData("zero_run")
-                    if size > 10:
-                        raise BadData("ac_length")
-                    pos.append(i + run)
-                    values.append(bits.signed(size))
-                    i += run + 1
+                diff, pos, values = _baseline(bits, dc, ac)
             elif ss == 0:
                 diff = bits.take(1) if ah else _dc(bits, dc)
             elif skips:
@@ -133,19 +155,190 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
         yield component, diff, pos, values, None
 
 
-INFO = "array<struct<component:int,dc_counts:array<int>,dc_symbols:array<int>,ac_counts:array<int>,ac_symbols:array<int>>>"
+# --------------------------------------------------------------------------
+# Chunks of long intervals
+
+#: Bytes of a chunk; longer baseline intervals are cut.
+CHUNK = 1 << 16
+#: Units of a component whose DC values are summed up together.
+SEGMENT = 1 << 15
+#: Bytes after a chunk that a unit begun in it may need: 64 codes and values of 27 bits at most.
+TAIL = 216
+
+Lookups = list[tuple[int, array | None, array | None]]
+
+
+def guess(data: bytes, cells: Lookups, end: int) -> set[tuple[int, int]]:
+    """Where the next chunk may begin: (bits after ``end``, cell), from the first bit as each cell of an MCU.
+
+    Data that can't be decoded are passed over bit by bit. A walk that meets the
+    steps of an earlier one ends there.
+    """
+    out, seen = set(), set()
+    for cell in range(len(cells)):
+        at = 0
+        bits = Bits(data)
+        while at < end and (at, cell) not in seen:
+            seen.add((at, cell))
+            try:
+                _baseline(bits, *cells[cell][1:])
+                at, cell = 8 * len(data) - bits.left, (cell + 1) % len(cells)
+            except BadData:
+                at += 1
+                bits = Bits(data, at)
+        if at >= end:
+            out.add((at - end, cell))
+    return out
+
+
+def walk(data: bytes, cells: Lookups, end: int, entries) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For each entry (bit, cell) of a chunk: where the next one begins, and the units in between.
 
+    (-1, 0, units) where the data can't be decoded so far. Walks that meet go on as one.
+    """
+    out, met = {}, {}
+    for entry in entries:
+        (at, cell), units, path = entry, 0, []
+        bits = Bits(data, at)
+        while True:
+            if (at, cell) in met:
+                bit, to, more = met[at, cell]
+                exit_ = (bit, to, units + more)
+                break
+            if at >= end:
+                exit_ = (at - end, cell, units)
+                break
+            path.append((at, cell, units))
+            try:
+                _baseline(bits, *cells[cell][1:])
+            except BadData:
+                exit_ = (-1, 0, units)
+                break
+            at, cell, units = 8 * len(data) - bits.left, (cell + 1) % len(cells), units + 1
+        for a, c, n in path:
+            met[a, c] = (*exit_[:2], exit_[2] - n)
+        out[entry] = exit_
+    return out
+
+
+def _lookups(cells: list[dict]) -> Lookups:
+    return [(c["component"], *(lookup(tuple(c[f"{k}_counts"]), tuple(c[f"{k}_symbols"])) if c[f"{k}_counts"] else None for k in ("dc", "ac"))) for c in cells]
+
+
+_KEY = ["image_id", "interval_no", "chunk_no"]
+_STEPS = pa.list_(pa.struct([(n, pa.int32()) for n in ("bit", "cell", "to_bit", "to_cell", "units")]))
+_STEP = "array<struct<bit:int,cell:int,to_bit:int,to_cell:int,units:int>>"
+
+
+def _walked(chunks: DataFrame, exact: bool) -> DataFrame:
+    """``image_id, interval_no, chunk_no, steps``: of exact walks from ``entries``, or with guesses as ``to_bit, to_cell``."""
+    kind = chunks.schema["image_id"].dataType.simpleString()
 
-def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            steps = []
+            for data, n, cells, entries in zip(*(batch.column(c) for c in ("data", "bytes", "cells", "entries")), strict=True):
+                data, use, end = data.as_py(), _lookups(cells.as_py()), 8 * n.as_py()
+                if exact:
+                    found = walk(data, use, end, sorted({(e["bit"], e["cell"]) for e in entries.as_py()}))
+                    steps.append([{"bit": b, "cell": c, "to_bit": x, "to_cell": y, "units": u} for (b, c), (x, y, u) in found.items()])
+                else:
+                    steps.append([{"bit": 0, "cell": 0, "to_bit": x, "to_cell": y, "units": 0} for x, y in guess(data, use, end)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(steps, _STEPS)], [*_KEY, "steps"])
+
+    return chunks.select(*_KEY, "data", "bytes", "cells", "entries").mapInArrow(run, f"image_id {kind}, interval_no int, chunk_no int, steps {_STEP}")
+
+
+def _chain(steps: DataFrame) -> DataFrame:
+    """``image_id, interval_no, chunk_no, bit, cell, first``: the true beginnings that ``steps`` lead to, and units before them.
+
+    A group has a few numbers for each chunk of one interval.
+    """
+    kind = steps.schema["image_id"].dataType.simpleString()
+
+    def fold(key, group: pa.Table) -> pa.Table:
+        known: dict[int, dict] = {}
+        for chunk, some in zip(group.column("chunk_no").to_pylist(), group.column("steps").to_pylist(), strict=True):
+            known.setdefault(chunk, {}).update({(s["bit"], s["cell"]): (s["to_bit"], s["to_cell"], s["units"]) for s in some})
+        rows, at, first, chunk = [], (0, 0), 0, 0
+        while at[0] >= 0:
+            rows.append((chunk, *at, first))
+            if at not in known.get(chunk, {}):
+                break
+            *at, units = known[chunk][at]
+            at, first, chunk = tuple(at), first + units, chunk + 1
+        cols = list(zip(*rows, strict=True))
+        n = len(rows)
+        return pa.table({"image_id": pa.array([key[0].as_py()] * n, group.schema.field("image_id").type), "interval_no": pa.array([key[1].as_py()] * n, pa.int32()), **{c: pa.array(x, k) for c, x, k in zip(("chunk_no", "bit", "cell", "first"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)}})
+
+    return steps.groupBy("image_id", "interval_no").applyInArrow(lambda key, group: fold(key, group), f"image_id {kind}, interval_no int, chunk_no int, bit int, cell int, first bigint")
+
+
+def cut_intervals(intervals: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk_no, chunks, bytes, data`` in place of ``data``: the bytes of each chunk, and ``TAIL`` more."""
+    n = F.ceil(F.greatest(F.length("data"), F.lit(1)) / chunk_bytes).cast("int")
+    rows = intervals.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    size = F.least(F.lit(chunk_bytes), F.length("data") - F.col("chunk_no") * chunk_bytes)
+    return rows.withColumn("bytes", size).withColumn("data", F.substring("data", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes + TAIL)))
+
+
+def beginnings(chunks: DataFrame) -> DataFrame:
+    """``image_id, interval_no, chunk_no, bit, cell, first`` of every chunk that the data can be decoded up to.
+
+    ``chunks`` are written down. Each round walks the entries that are known for a
+    chunk and not walked yet: first the guesses, later what exact walks lead to.
+    The chain from the first chunk on grows with every round and is exact; the
+    rounds end when no chain stops for want of a step.
+    """
+    inner = chunks.filter("chunk_no < chunks - 1")  # where the last one ends does not matter
+    places = F.transform("steps", lambda s: F.struct(s.to_bit.alias("bit"), s.to_cell.alias("cell")))
+    none = F.array().cast("array<struct<bit:int,cell:int>>")
+    guessed = stage(_walked(inner.withColumn("entries", none), False), "guesses")
+    start = chunks.filter("chunk_no = 0").select(*_KEY, F.array(F.struct(F.lit(0).alias("bit"), F.lit(0).alias("cell"))).alias("entries"))
+    entries = guessed.select("image_id", "interval_no", (F.col("chunk_no") + 1).alias("chunk_no"), places.alias("entries")).unionByName(start)
+    steps = None
+    while True:
+        new = stage(_walked(inner.join(entries, _KEY), True), "steps")
+        steps = new if steps is None else steps.unionByName(new)
+        known = steps.groupBy(*_KEY).agg(F.flatten(F.collect_list("steps")).alias("steps"))  # a chunk has few
+        chain = stage(_chain(known), "chain")
+        last = chain.groupBy("image_id", "interval_no").agg(F.max_by(F.struct(*_KEY[2:], "bit", "cell"), "chunk_no").alias("x"))
+        stops = last.join(inner.select(*_KEY), [F.col("x.chunk_no") == inner["chunk_no"], last["image_id"] == inner["image_id"], last["interval_no"] == inner["interval_no"]]).select(last["image_id"], last["interval_no"], "x")
+        stops = stops.join(known.withColumnRenamed("chunk_no", "at"), (stops["image_id"] == known["image_id"]) & (stops["interval_no"] == known["interval_no"]) & (F.col("x.chunk_no") == F.col("at")), "left")
+        lacks = ~F.exists(F.coalesce("steps", F.array().cast(_STEP)), lambda s: (s.bit == F.col("x.bit")) & (s.cell == F.col("x.cell")))
+        if stops.filter(lacks).isEmpty():
+            return chain
+        after = known.select("image_id", "interval_no", (F.col("chunk_no") + 1).alias("chunk_no"), F.filter(places, lambda p: p.bit >= 0).alias("next"))
+        own = known.select(*_KEY, F.transform("steps", lambda s: F.struct(s.bit.alias("bit"), s.cell.alias("cell"))).alias("own"))
+        entries = after.join(own, _KEY, "left").select(*_KEY, F.array_except("next", F.coalesce("own", none)).alias("entries")).filter("size(entries) > 0")
+
+
+def decode_units(intervals: DataFrame, tables: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """``image_id, interval_no, seq, component, dc_diff, pos, vals, error`` of every data unit.
 
     ``tables`` has a row per image: ``cells`` (the components of an MCU with their
     Huffman tables), ``mcus``, ``restart_interval``, ``frame_type, ss, se, ah, al``.
     Intervals are dealt out by image and number, so one image with restart markers
-    uses many tasks; without markers it is one task.
+    uses many tasks. A baseline interval of more than ``chunk_bytes`` is cut into
+    chunks (``intervals`` are written down); a progressive one is one task.
     """
     info = ["cells", "mcus", "restart_interval", "frame_type", "ss", "se", "ah", "al"]
-    df = intervals.select("image_id", "interval_no", "data").join(tables.select("image_id", *info), "image_id").repartition("image_id", "interval_no")
+    df = intervals.select("image_id", "interval_no", "data").join(tables.select("image_id", *info), "image_id")
+    whole = [F.lit(x).cast(k).alias(n) for n, x, k in (("bit", 0, "int"), ("cell", 0, "int"), ("first", 0, "bigint"), ("bytes", None, "int"))]
+    long = (F.length("data") > chunk_bytes) & (F.col("frame_type") == 0)
+    cut = df.filter(long)
+    if cut.select("image_id").isEmpty():
+        return _units(df.select("*", *whole).repartition("image_id", "interval_no"))
+    chunks = stage(cut_intervals(cut, chunk_bytes).repartition(*_KEY), "chunks")
+    inside = chunks.join(beginnings(chunks), _KEY)
+    inside = inside.withColumn("bytes", F.when(F.col("chunk_no") < F.col("chunks") - 1, F.col("bytes"))).drop("chunk_no", "chunks")
+    short = df.filter(~F.coalesce(long, F.lit(False))).select("*", *whole).repartition("image_id", "interval_no")
+    return _units(short).unionByName(_units(inside))
+
+
+def _units(df: DataFrame) -> DataFrame:
+    """Units of whole intervals, or of chunks: from ``bit`` on with ``cell``, after ``first`` units, none begun after ``bytes``."""
+    info = ["cells", "mcus", "restart_interval", "frame_type", "ss", "se", "ah", "al", "bit", "cell", "first", "bytes"]
     kind = df.schema["image_id"].dataType.simpleString()
 
     def run(batches):
@@ -154,18 +347,19 @@ def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
             at = []
             names = ["interval_no", "data", *info]
             for place, row in enumerate(zip(*(batch.column(n) for n in names), strict=True)):
-                number, data, cells, mcus, gap, frame, ss, se, ah, al = (x.as_py() for x in row)
-                first = number * gap if gap else 0
-                count = min(gap, mcus - first) if gap else mcus
+                number, data, cells, mcus, gap, frame, ss, se, ah, al, bit, cell, before, size = (x.as_py() for x in row)
+                begun = number * gap if gap else 0
+                count = min(gap, mcus - begun) if gap else mcus
+                use = _lookups(cells)
+                count, seq = count * len(use) - before, begun * len(use) + before
                 if count <= 0 or (number and not gap):
                     continue
-                use = [(c["component"], *(lookup(tuple(c[f"{k}_counts"]), tuple(c[f"{k}_symbols"])) if c[f"{k}_counts"] else None for k in ("dc", "ac"))) for c in cells]
-                for k, (component, diff, pos, vals, error) in enumerate(decode_interval(data or b"", use, count * len(use), frame != 0, ss, se, ah, al)):
+                for k, (component, diff, pos, vals, error) in enumerate(decode_interval(data or b"", use, count, frame != 0, ss, se, ah, al, bit, cell, None if size is None else 8 * size)):
                     at.append(place)
-                    rows.append((number, first * len(use) + k, component, diff, pos, vals, error))
-                if len(rows) > 20_000:
-                    yield pack(batch, at, rows)
-                    rows, at = [], []
+                    rows.append((number, seq + k, component, diff, pos, vals, error))
+                    if len(rows) > 20_000:
+                        yield pack(batch, at, rows)
+                        rows, at = [], []
             if rows:
                 yield pack(batch, at, rows)
 
@@ -177,7 +371,7 @@ def decode_units(intervals: DataFrame, tables: DataFrame) -> DataFrame:
         cols = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["image_id", *fields])
 
-    return df.mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, pos array<int>, vals array<int>, error string")
+    return df.select("image_id", "interval_no", "data", *info).mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, pos array<int>, vals array<int>, error string")
 
 
 def with_huffman(components: DataFrame, tables: DataFrame) -> DataFrame:
@@ -201,7 +395,7 @@ def coefficients(units: DataFrame, images: DataFrame) -> DataFrame:
     Addresses are arithmetic on ``seq`` and the image's few numbers (``cells`` of an
     MCU, steps, MCUs across), so units are only windowed, never joined to a plan.
     """
-    df = dc_predict(units.filter("error is null"), "seq").join(images.select("image_id", "cells", "step_h", "step_v", "across", "many", "frame_type", "ss", "ah", "al"), "image_id")
+    df = dc_predict(units.filter("error is null"), "seq", segment=F.floor(F.col("seq") / SEGMENT)).join(images.select("image_id", "cells", "step_h", "step_v", "across", "many", "frame_type", "ss", "ah", "al"), "image_id")
     mcu, k = F.floor(F.col("seq") / F.size("cells")), (F.col("seq") % F.size("cells")).cast("int")
     inside = F.when(F.col("many") & (F.col("component") == 1), k).otherwise(0)
     row = F.floor(mcu / F.col("across")) * F.col("step_v") + F.floor(inside / F.col("step_h"))

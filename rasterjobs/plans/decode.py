@@ -95,20 +95,21 @@ class Decoded:
         return raster.bmp_rows(self.rows, self.images)
 
 
-def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False) -> Decoded:
+def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False, chunk_bytes: int = huffman.CHUNK) -> Decoded:
     """Decode ``files`` (``image_id, content``).
 
     Files with a fatal violation are left out and reported. A file whose entropy
     data fails is left out too, unless ``keep_partial`` keeps what was decoded
     (missing units are zero), as it is for a file that ends early without an error. An image that is too large for ``bmps`` is decoded
     and has a row ``bmp_too_large`` in ``errors``; ``bmp_rows`` has its file in parts.
+    Entropy data of more than ``chunk_bytes`` between restart markers are decoded by several tasks.
     """
     t = triage(files, slots)
     fine = validate.valid_images(t.headers, t.errors)
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
     scans = stage(_scan_tables(chosen, fine), "scans")
     intervals = stage(segments.entropy_intervals(files, chosen), "intervals")
-    units = stage(huffman.decode_units(intervals, scans), "units")
+    units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")
     late = validate.scan_errors(intervals).unionByName(huffman.decode_errors(units))
     # a baseline scan that leaves components out, or ends before its last unit
     got = units.filter("error is null").groupBy("image_id").agg(F.count("*").alias("n"))

@@ -268,11 +268,11 @@ def encode(units: dict, width: int, height: int, *, h: int = 1, v: int = 1, rest
     return head + _segment(S.SOS, sos) + body + out.data() + b"\xff\xd9"
 
 
-def jpegs(spark: SparkSession, sf_dir: str, *, restart: int = 4, color: bool = True, h: int = 2, v: int = 2) -> DataFrame:
-    """``image_id, content``: a file for each eight rows of units of every label, so files grow in number, not in size."""
+def jpegs(spark: SparkSession, sf_dir: str, *, restart: int = 4, color: bool = True, h: int = 2, v: int = 2, down: int = 8) -> DataFrame:
+    """``image_id, content``: a file for each ``down`` rows of units of every label, so files grow in number, not in size."""
     b = color_blocks(spark, sf_dir, h, v) if color else blocks(spark, sf_dir)
-    part = F.floor(F.col("du_row") / 8).cast("int")
-    b = b.select((F.col("image_id").cast("bigint") * 1_000_000 + part).alias("image_id"), "component", (F.col("du_row") - part * 8).alias("du_row"), "du_col", "coef")
+    part = F.floor(F.col("du_row") / down).cast("int")
+    b = b.select((F.col("image_id").cast("bigint") * 1_000_000 + part).alias("image_id"), "component", (F.col("du_row") - part * down).alias("du_row"), "du_col", "coef")
 
     def write(key, group: pa.Table) -> pa.Table:
         units = dict(zip(zip(*(group.column(c).to_pylist() for c in ("component", "du_row", "du_col")), strict=True), group.column("coef").to_pylist(), strict=True))

@@ -378,6 +378,20 @@ SELECT image_id, du_row, du_col, coalesce(array_to_string(coef, ','), array_to_s
 FROM (SELECT image_id, du_row, unnest(range(4)) AS du_col FROM g) LEFT JOIN b USING (image_id, du_row, du_col)"""
 
 
+def unmarked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of colour files without restart markers, each decoded in chunks of 256 bytes."""
+    blocks = decode(X.jpegs(spark, sf_dir, restart=0, down=64), chunk_bytes=256).coefficients
+    return blocks.select("image_id", "component", "du_row", "du_col", _text(F.col("coef")).alias("coef"))
+
+
+#: Files of up to 64 rows of units, as wide as four; rows and columns are even, as the sampling is 2 x 2.
+UNMARKED_SQL = f"""WITH f AS MATERIALIZED (SELECT image_id::BIGINT * 1000000 + du_row // 64 AS image_id, du_row % 64 AS du_row, du_col, coef FROM ({X.BLOCKS_SQL})),
+g AS (SELECT image_id, du_row, unnest(range(4)) AS du_col FROM (SELECT image_id, unnest(range(down + down % 2)) AS du_row FROM (SELECT image_id, max(du_row) + 1 AS down FROM f GROUP BY image_id))),
+k AS MATERIALIZED (SELECT image_id, du_row, du_col, coalesce(coef, [0 for i in range(64)]) AS coef FROM g LEFT JOIN f USING (image_id, du_row, du_col))
+SELECT image_id, c AS component, du_row::INT AS du_row, du_col::INT AS du_col, array_to_string(CASE c WHEN 1 THEN coef WHEN 2 THEN list_reverse(coef) ELSE [-x for x in coef] END, ',') AS coef
+FROM k, (SELECT unnest([1, 2, 3]) AS c) WHERE c = 1 OR du_row % 2 = 0 AND du_col % 2 = 0"""
+
+
 def decode_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why files with broken entropy data can't be decoded."""
     broken = X.broken_jpegs(spark, sf_dir)
@@ -514,7 +528,7 @@ _ALL = [
     (scan_header, f"SELECT image_id, num_components AS components_in_scan, 0 AS ss, 63 AS se, 0 AS ah, 0 AS al, c AS scan_id, 0 AS dc_id, 0 AS ac_id FROM (SELECT *, unnest(range(1, num_components + 1)) AS c FROM ({X.IMAGES_SQL}))"),
     (restart_last_wins, "SELECT doc_id AS image_id, doc_id % 11 + 1 AS restart_interval FROM documents"),
     (quant_tables, QUANT_SQL), (huffman_tables, HUFF_SQL), (canonical_codes, CODES_SQL),
-    (header_rules, RULES_SQL), (drop_ignorable, KEPT_SQL), (decode_failures, FAILURES_SQL), (progressive_scans, SCANS_SQL), (read_back, BACK_SQL),
+    (header_rules, RULES_SQL), (drop_ignorable, KEPT_SQL), (decode_failures, FAILURES_SQL), (unmarked_files, UNMARKED_SQL), (progressive_scans, SCANS_SQL), (read_back, BACK_SQL),
     (image_status, STATUS_SQL), (error_report, REPORT_SQL), (valid_images, VALID_SQL),
     (dc_predict, DC_SQL), (ac_positions, AC_SQL), (extend_sign, SIGN_SQL), (dezigzag, ZIGZAG_SQL), (densify, DENSE_SQL),
     (dequantize, DEQUANT_TEXT_SQL), (idct, IDCT_SQL), (ycc_to_rgb, RGB_SQL), (pair_chroma, PAIR_SQL), (upsample, UPSAMPLE_SQL),
