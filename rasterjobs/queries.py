@@ -11,7 +11,7 @@ from .functions import arrays as A
 from .operators import batches, coefficients, raster, segments, transform, validate
 from .plans import fixtures as X
 from .plans.decode import decode, triage
-from .sources import files
+from .sources import files, sink
 from .sources.staging import shared_dir
 from .streaming.decode import stream_decode
 
@@ -514,6 +514,23 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 BACK_SQL = """SELECT doc_id // 50 || '.jpg' AS name, strlen(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS length,
   md5(string_agg(coalesce(text, ''), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY doc_id // 50"""
 
+
+def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents a file, in seven folders with equal names, written into one folder and read back."""
+    folder = tempfile.mkdtemp(prefix="names-", dir="/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    docs = X.table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("k"))
+    text = docs.agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    path = F.concat(F.lit("/in/s"), (F.col("k") % 7).cast("string"), F.lit("/f"), F.floor(F.col("k") / 3).cast("string"), F.lit(".bmp"))
+    done = files.export_files(text.select(path.alias("out_path"), F.array_join(F.col("x.text"), "").cast("binary").alias("bmp")), folder)
+    back = files.read_images(spark, f"file://{folder}", glob="*.bmp").select(sink.plain_path(F.col("path")).alias("target"), F.md5("content").alias("digest"))
+    return done.join(back, "target").select("out_path", F.element_at(F.split("target", "/"), -1).alias("name"), "size", "digest")
+
+
+NAMES_SQL = """WITH t AS (SELECT doc_id // 50 AS k, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS x FROM documents GROUP BY doc_id // 50),
+p AS (SELECT '/in/s' || k % 7 || '/f' || k // 3 || '.bmp' AS out_path, 'f' || k // 3 AS stem, x FROM t)
+SELECT out_path, stem || CASE WHEN row_number() OVER (PARTITION BY stem ORDER BY out_path) = 1 THEN '' ELSE '-' || substr(md5(out_path), 1, 12) END || '.bmp' AS name,
+  strlen(x) AS size, md5(x) AS digest FROM p"""
+
 _ALL = [
     (order_by_size, f"SELECT image_id, length, row_number() OVER (ORDER BY length, path) AS place FROM ({FILES_SQL})"),
     (size_rank, f"SELECT image_id, source, length, row_number() OVER (PARTITION BY source ORDER BY length, path)::INT AS size_rank FROM ({FILES_SQL})"),
@@ -528,7 +545,7 @@ _ALL = [
     (scan_header, f"SELECT image_id, num_components AS components_in_scan, 0 AS ss, 63 AS se, 0 AS ah, 0 AS al, c AS scan_id, 0 AS dc_id, 0 AS ac_id FROM (SELECT *, unnest(range(1, num_components + 1)) AS c FROM ({X.IMAGES_SQL}))"),
     (restart_last_wins, "SELECT doc_id AS image_id, doc_id % 11 + 1 AS restart_interval FROM documents"),
     (quant_tables, QUANT_SQL), (huffman_tables, HUFF_SQL), (canonical_codes, CODES_SQL),
-    (header_rules, RULES_SQL), (drop_ignorable, KEPT_SQL), (decode_failures, FAILURES_SQL), (unmarked_files, UNMARKED_SQL), (progressive_scans, SCANS_SQL), (read_back, BACK_SQL),
+    (header_rules, RULES_SQL), (drop_ignorable, KEPT_SQL), (decode_failures, FAILURES_SQL), (unmarked_files, UNMARKED_SQL), (progressive_scans, SCANS_SQL), (read_back, BACK_SQL), (exported_names, NAMES_SQL),
     (image_status, STATUS_SQL), (error_report, REPORT_SQL), (valid_images, VALID_SQL),
     (dc_predict, DC_SQL), (ac_positions, AC_SQL), (extend_sign, SIGN_SQL), (dezigzag, ZIGZAG_SQL), (densify, DENSE_SQL),
     (dequantize, DEQUANT_TEXT_SQL), (idct, IDCT_SQL), (ycc_to_rgb, RGB_SQL), (pair_chroma, PAIR_SQL), (upsample, UPSAMPLE_SQL),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import sink
 from .staging import range_slices, stage
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -62,36 +63,31 @@ def write_images(df: DataFrame, out: str) -> None:
     df.write.mode("overwrite").parquet(out)
 
 
-def export_files(bmps: DataFrame, folder: str | None = None) -> None:
-    """Write each ``bmp`` to its ``out_path`` (below ``folder``) on storage that all executors mount."""
+def export_files(bmps: DataFrame, folder: str | None = None, *, base: str | None = None, clash: str = "number") -> DataFrame:
+    """Write each ``bmp`` to its ``out_path`` or below ``folder``; see ``sink.write_files``."""
+    return sink.write_files(bmps.select("out_path", F.col("bmp").alias("data")), folder, base=base, clash=clash)
 
-    def run(rows):
-        for r in rows:
-            path = r.out_path.removeprefix("file:")
-            path = os.path.join(folder, os.path.basename(path)) if folder else path
-            with open(f"{path}.tmp", "wb") as f:
-                f.write(r.bmp)
-            os.replace(f"{path}.tmp", path)
-
-    bmps.select("out_path", "bmp").foreachPartition(run)
 
+def export_rows(parts: DataFrame, folder: str | None = None, *, base: str | None = None, clash: str = "number") -> DataFrame:
+    """Write files in ranges of rows from ``out_path, at, bytes, size``, named as by ``sink.write_files``; returns ``out_path, target, error``.
 
-def export_rows(parts: DataFrame, folder: str | None = None) -> None:
-    """Write files in ranges of rows from ``out_path, at, bytes, size``, as ``export_files`` writes whole ones."""
+    Names are given first, from the paths alone. Ranges of a file go to one unfinished
+    file of this run; a repeated task writes the same bytes to the same place. ``parts``
+    are read once; files are moved when all ranges are written, which can be repeated.
+    """
     run = uuid.uuid4().hex
-
-    def name(out_path):
-        path = out_path.removeprefix("file:")
-        return os.path.join(folder, os.path.basename(path)) if folder else path
+    parts = parts.select(sink.plain_path(F.col("out_path")).alias("out_path"), "at", "bytes", "size")
+    named = stage(sink.targets(parts.select("out_path").distinct(), folder, base, clash), "names")
 
     def write(rows):
         f, path = None, None
         for r in rows:
-            if r.out_path != path:
+            if r.target != path:
                 if f:
                     f.close()
-                path = r.out_path
-                f = os.fdopen(os.open(f"{name(path)}.{run}.tmp", os.O_RDWR | os.O_CREAT, 0o666), "r+b")
+                path = r.target
+                os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+                f = os.fdopen(os.open(f"{path}.{run}.tmp", os.O_RDWR | os.O_CREAT, 0o666), "r+b")
                 f.truncate(r.size)
             f.seek(r.at)
             f.write(r.bytes)
@@ -100,8 +96,10 @@ def export_rows(parts: DataFrame, folder: str | None = None) -> None:
 
     def finish(rows):
         for r in rows:
-            os.replace(f"{name(r.out_path)}.{run}.tmp", name(r.out_path))
+            sink.move(f"{r.target}.{run}.tmp", r.target)
 
-    parts = parts.select("out_path", "at", "bytes", "size")
-    parts.repartitionByRange("out_path", "at").sortWithinPartitions("out_path", "at").foreachPartition(write)
-    parts.select("out_path").distinct().foreachPartition(finish)
+    good = named.filter("target is not null")
+    bound = parts.join(good.select("out_path", "target"), "out_path")
+    bound.repartitionByRange("target", "at").sortWithinPartitions("target", "at").foreachPartition(write)
+    good.select("target").foreachPartition(finish)
+    return named
