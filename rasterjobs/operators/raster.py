@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import hex_bytes, le_hex
+from ..functions.arrays import le_hex
 
-#: An image whose BMP would be larger is no row of ``to_bmp`` but one of ``too_large``.
-MOST_BYTES = 1 << 30
+#: An image whose BMP would be larger is no row of ``to_bmp`` but one of ``too_large``. A task and the
+#: JVM hold some three copies of a file each.
+MOST_BYTES = 1 << 28
 
 
 def pixels(blocks: DataFrame, images: DataFrame) -> DataFrame:
@@ -20,14 +23,41 @@ def pixels(blocks: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def raster_rows(blocks: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_id, y, bytes``: B, G, R of a pixel row, cut to the width, then ``width % 4`` zero bytes."""
-    df = blocks.join(images.select("image_id", "width", "height"), "image_id")
-    df = df.select("image_id", "width", "height", "du_row", "du_col", "r", "g", "b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumn("y", F.col("du_row") * 8 + F.col("k")).filter("y < height")
-    line = [F.slice(c, F.col("k") * 8 + 1, F.lit(8)) for c in ("b", "g", "r")]
-    triples = F.flatten(F.transform(F.arrays_zip(*(c.alias(n) for c, n in zip(line, "bgr", strict=True))), lambda t: F.array(t["b"], t["g"], t["r"])))
-    rows = df.select("image_id", "width", "y", "du_col", triples.alias("v")).groupBy("image_id", "y").agg(F.first("width").alias("width"), F.array_sort(F.collect_list(F.struct("du_col", "v"))).alias("parts"))
-    values = F.slice(F.flatten(F.transform("parts", lambda p: p["v"])), F.lit(1), 3 * F.col("width"))
-    return rows.select("image_id", "y", F.unhex(F.concat(hex_bytes(values), F.repeat(F.lit("00"), F.col("width") % 4))).alias("bytes"))
+    """``image_id, y, bytes``: B, G, R of a pixel row, cut to the width, then ``width % 4`` zero bytes.
+
+    Blocks are dealt out once, by image and row of units; a task holds one such row
+    of an image at a time, and joins its blocks as bytes.
+    """
+    df = blocks.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "du_row", "du_col", "width", "height", "r", "g", "b")
+    df = df.repartition("image_id", "du_row").sortWithinPartitions("image_id", "du_row", "du_col")
+    kind = df.schema["image_id"].dataType.simpleString()
+
+    def lines(image, row, width, height, parts):
+        pixels = np.concatenate(parts, axis=1)[:, :width]
+        pad = bytes(width % 4)
+        n = min(8, height - 8 * row)
+        data = [pixels[y].tobytes() + pad for y in range(n)]
+        return pa.RecordBatch.from_arrays([pa.array([image] * n, image_type[0]), pa.array(range(8 * row, 8 * row + n), pa.int32()), pa.array(data, pa.binary())], ["image_id", "y", "bytes"])
+
+    image_type = []
+
+    def run(batches):
+        place, parts = None, []
+        for batch in batches:
+            image_type[:] = [batch.schema.field("image_id").type]
+            n = batch.num_rows
+            planes = [batch.column(c).values.slice(batch.column(c).offset * 64, n * 64).to_numpy().astype(np.uint8).reshape(n, 8, 8) for c in "bgr"]
+            pixels = np.stack(planes, -1)
+            for i, now in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image_id", "du_row", "width", "height")), strict=True)):
+                if now != place:
+                    if parts and place[3] > 8 * place[1]:
+                        yield lines(*place, parts)
+                    place, parts = now, []
+                parts.append(pixels[i])
+        if parts and place[3] > 8 * place[1]:
+            yield lines(*place, parts)
+
+    return df.mapInArrow(run, f"image_id {kind}, y int, bytes binary")
 
 
 def bmp_header(width, height):
@@ -46,7 +76,7 @@ def too_large(images: DataFrame) -> DataFrame:
 
 
 def bmp_rows(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_id, at, bytes, size``: parts of the BMP files of the images over a gigabyte, the header before the lowest row."""
+    """``image_id, at, bytes, size``: parts of the BMP files of the images that are too large for ``to_bmp``, the header before the lowest row."""
     big = images.filter(bmp_size() > MOST_BYTES).select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
     df = rows.join(big, "image_id").withColumn("size", bmp_size())
     low = F.col("y") == F.col("height") - 1
@@ -56,8 +86,30 @@ def bmp_rows(rows: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def to_bmp(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_id, bmp``: the rows of an image bottom-up behind a header. Images over a gigabyte are left out (see ``too_large``)."""
-    fits = images.filter(bmp_size() <= MOST_BYTES).select("image_id", "width", "height")
-    body = rows.join(fits, "image_id").groupBy("image_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "bytes"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.hex(r["bytes"])), "")
-    return body.select("image_id", F.unhex(F.concat(bmp_header(F.col("width"), F.col("height")), text)).alias("bmp"))
+    """``image_id, bmp``: the rows of an image bottom-up behind a header. Larger images are left out (see ``too_large``).
+
+    Rows are dealt out by image, lowest first, the header before them; a task appends
+    them to the one file that it holds. An image without rows has no file.
+    """
+    fits = images.filter(bmp_size() <= MOST_BYTES).select("image_id", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"))
+    head = fits.select("image_id", F.col("height").alias("y"), F.unhex(bmp_header(F.col("width"), F.col("height"))).alias("bytes"))
+    body = rows.join(fits.select("image_id", "height"), "image_id").select("image_id", F.col("y").cast("bigint").alias("y"), "bytes")
+    df = body.unionByName(head).repartition("image_id").sortWithinPartitions("image_id", F.desc("y"))
+    kind = df.schema["image_id"].dataType.simpleString()
+
+    def run(batches):
+        image, data, n = None, bytearray(), 0
+        for batch in batches:
+            if image is None and batch.num_rows:
+                image = batch.column("image_id").slice(0, 1)
+            for i, x in zip(batch.column("image_id"), batch.column("bytes"), strict=True):
+                if i != image[0]:
+                    if n > 1:
+                        yield pa.RecordBatch.from_arrays([image, pa.array([data], pa.binary())], ["image_id", "bmp"])
+                    image, data, n = pa.array([i.as_py()], i.type), bytearray(), 0
+                data += x.as_buffer()
+                n += 1
+        if n > 1:
+            yield pa.RecordBatch.from_arrays([image, pa.array([data], pa.binary())], ["image_id", "bmp"])
+
+    return df.mapInArrow(run, f"image_id {kind}, bmp binary")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.arrays import be16, byte_at, dezigzag
+from ..sources.headers import Lazy
 
 #: Marker bytes (ITU-T T.81, table B.1).
 SOF0, SOF2, DHT, SOI, EOI, SOS, DQT, DRI, TEM = 0xC0, 0xC2, 0xC4, 0xD8, 0xD9, 0xDA, 0xDB, 0xDD, 0x01
@@ -17,8 +18,11 @@ IGNORED = {*range(0xE0, 0xF0), *range(0xF0, 0xFE), DNL, DHP, EXP, COM}
 KNOWN = {SOF0, SOF2, DHT, SOS, DQT, DRI} | IGNORED
 
 
-def split_segments(data: bytes):
-    """(ord, marker, offset, length, payload, error) up to the first SOS; jumps by length."""
+def split_segments(data: bytes | Lazy, skip: frozenset[int] | set[int] = frozenset()):
+    """(ord, marker, offset, length, payload, error) up to the first SOS; jumps by length.
+
+    Segments of the markers in ``skip`` are passed over without a look at their payload.
+    """
     if data[:2] != b"\xff\xd8":
         yield 0, None, 0, 0, None, "bad_soi"
         return
@@ -46,7 +50,8 @@ def split_segments(data: bytes):
         if length < 2 or at + length > len(data):
             yield order, marker, at, length, None, "truncated"
             return
-        yield order, marker, at, length, data[at + 2 : at + length], None
+        if marker not in skip:
+            yield order, marker, at, length, data[at + 2 : at + length], None
         at += length
         if marker == SOS:
             return
@@ -99,21 +104,54 @@ def _map(files: DataFrame, fields: list[tuple[str, str, pa.DataType]], rows) ->
     return files.mapInArrow(run, ", ".join([f"image_id {kind}", *(f"{n} {k}" for n, k, _ in fields)]))
 
 
+_SEGMENT = [("ord", "int", pa.int32()), ("marker", "int", pa.int32()), ("offset", "bigint", pa.int64()), ("length", "int", pa.int32()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
+
+
 def segments(files: DataFrame) -> DataFrame:
     """``image_id, ord, marker, offset, length, payload, error`` up to and with the first SOS.
 
     A row with ``error`` tells why the walk stopped (or an unknown marker, after
     which it goes on). Null content counts as empty.
     """
-    fields = [("ord", "int", pa.int32()), ("marker", "int", pa.int32()), ("offset", "bigint", pa.int64()), ("length", "int", pa.int32()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
-    return _map(files.select("image_id", "content"), fields, lambda content: split_segments(content or b""))
+    return _map(files.select("image_id", "content"), _SEGMENT, lambda content: split_segments(content or b""))
+
+
+def header_segments(files: DataFrame) -> DataFrame:
+    """As ``drop_ignorable(segments(files))``, of files that are given by ``path`` and not read yet.
+
+    Each file is opened by the task and read block by block up to SOS; long
+    segments that decoding ignores are passed over. So entropy bytes never leave
+    the storage, but for the rest of the last block.
+    """
+
+    def rows(path):
+        data = Lazy(path)
+        try:
+            yield from split_segments(data, IGNORED)
+        finally:
+            data.close()
+
+    return _map(files.select("image_id", "path"), _SEGMENT, rows)
+
 
+def _intervals(content: bytes | None):
+    start = None
+    for _, marker, offset, length, _, error in split_segments(content or b"", KNOWN - {SOS}):
+        if marker == SOS and error is None:
+            start = offset + length
+    if start is not None:
+        yield from split_intervals(content, start)
 
-def entropy_intervals(files: DataFrame, segs: DataFrame) -> DataFrame:
-    """``image_id, interval_no, data, error`` of every file whose walk reached SOS."""
-    sos = segs.filter((F.col("marker") == SOS) & F.col("error").isNull()).select("image_id", (F.col("offset") + F.col("length")).alias("start"))
+
+def entropy_intervals(files: DataFrame, segs: DataFrame | None = None) -> DataFrame:
+    """``image_id, interval_no, data, error`` of every file whose walk reaches SOS.
+
+    Each file is walked again where it is split, so file bytes are never joined or
+    shuffled. With ``segs`` only files that have their SOS there.
+    """
     fields = [("interval_no", "int", pa.int32()), ("data", "binary", pa.binary()), ("error", "string", pa.string())]
-    return _map(files.select("image_id", "content").join(sos, "image_id"), fields, lambda content, start: split_intervals(content, start))
+    out = _map(files.select("image_id", "content"), fields, _intervals)
+    return out if segs is None else out.join(of_kind(segs, SOS).select("image_id"), "image_id", "left_semi")
 
 
 def drop_ignorable(segs: DataFrame) -> DataFrame:

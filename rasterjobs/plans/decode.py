@@ -60,8 +60,15 @@ class Triage:
 
 
 def triage(files: DataFrame, slots: int | None = None, capacity: int = batches.CAPACITY) -> Triage:
-    """Which files will decode, and how large they are."""
-    segs = stage(segments.drop_ignorable(segments.segments(files)), "segments")
+    """Which files will decode, and how large they are.
+
+    ``files`` have ``content``, or without it ``path``: then only headers are read.
+    """
+    if "content" in files.columns:
+        segs = segments.drop_ignorable(segments.segments(files))
+    else:
+        segs = segments.header_segments(files)
+    segs = stage(segs, "segments")
     images = stage(batches.work_units(image_table(segs), capacity), "images")
     errors = stage(validate.validate(segs), "errors")
     if slots is not None:
@@ -108,9 +115,9 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     fine = validate.valid_images(t.headers, t.errors)
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
     scans = stage(_scan_tables(chosen, fine), "scans")
-    intervals = stage(segments.entropy_intervals(files, chosen), "intervals")
+    intervals = stage(segments.entropy_intervals(files), "intervals")
     units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")
-    late = validate.scan_errors(intervals).unionByName(huffman.decode_errors(units))
+    late = validate.scan_errors(intervals).join(scans.select("image_id"), "image_id", "left_semi").unionByName(huffman.decode_errors(units))
     # a baseline scan that leaves components out, or ends before its last unit
     got = units.filter("error is null").groupBy("image_id").agg(F.count("*").alias("n"))
     short = scans.join(got, "image_id", "left").filter((F.col("frame_type") == 0) & ((F.col("components_in_scan") != F.col("num_components")) | (F.coalesce("n", F.lit(0)) < F.col("mcus") * F.size("cells"))))

@@ -21,6 +21,11 @@ def read_images(spark: SparkSession, paths, glob: str = "*.jp*g") -> DataFrame:
     return df.select(F.col("path").alias("image_id"), "path", "length", "content")
 
 
+def list_images(spark: SparkSession, paths, glob: str = "*.jp*g") -> DataFrame:
+    """``image_id, path, length`` of files that are listed and not read; for ``triage``."""
+    return read_images(spark, paths, glob).drop("content")  # Spark reads no content that nobody selects
+
+
 def output_path(path: Column) -> Column:
     """The extension of the last path part replaced by .bmp, or .bmp appended."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".bmp"))
