@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.arrays import be16, byte_at, dezigzag
 from ..sources.headers import Lazy
+from ..sources.staging import stage
 
 #: Marker bytes (ITU-T T.81, table B.1).
 SOF0, SOF2, DHT, SOI, EOI, SOS, DQT, DRI, TEM = 0xC0, 0xC2, 0xC4, 0xD8, 0xD9, 0xDA, 0xDB, 0xDD, 0x01
@@ -86,6 +87,41 @@ def split_intervals(data: bytes, at: int):
     yield number, b"".join([*parts, data[start:]]), "truncated"
 
 
+def split_range(data: bytes | Lazy, start: int, lo: int, hi: int):
+    """(data, code) of the entropy bytes from ``lo`` to ``hi``, cut after each marker; entropy bytes begin at ``start``.
+
+    ``code`` is the marker that ends a piece, none at the end of the range. A run of
+    FF bytes and the byte after it belong to the range in which the run begins.
+    """
+    at = lo
+    if lo > start and data[lo - 1] == 0xFF:  # such a byte is never a code
+        while at < len(data) and data[at] == 0xFF:
+            at += 1
+        if at >= len(data):
+            return  # the run before ends the file
+        at += 1
+    own = data[at:hi]
+    parts, begin, done = [], at, at
+    for p in (np.flatnonzero(np.frombuffer(own, np.uint8) == 0xFF) + at).tolist():
+        if p < done:
+            continue
+        nxt = p + 1
+        while nxt < len(data) and data[nxt] == 0xFF:
+            nxt += 1
+        if nxt >= len(data):
+            yield b"".join([*parts, own[begin - at : p - at], data[p:]]), None
+            return
+        code, done = data[nxt], nxt + 1
+        parts.append(own[begin - at : p - at])
+        if code == 0x00:
+            parts.append(b"\xff")
+        else:
+            yield b"".join(parts), code
+            parts = []
+        begin = done
+    yield b"".join([*parts, own[max(begin - at, 0) :] if begin < hi else b""]), None
+
+
 def _map(files: DataFrame, fields: list[tuple[str, str, pa.DataType]], rows) -> DataFrame:
     """Rows of each file's bytes, with its id, made inside Arrow batches."""
     kind = files.schema["image_id"].dataType.simpleString()
@@ -154,6 +190,68 @@ def entropy_intervals(files: DataFrame, segs: DataFrame | None = None) -> DataFr
     return out if segs is None else out.join(of_kind(segs, SOS).select("image_id"), "image_id", "left_semi")
 
 
+#: Bytes of a file that one task reads.
+RANGE = 32 << 20
+
+
+def entropy_ranges(files: DataFrame, segs: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """As ``entropy_intervals``, of files that are given by ``path`` and ``length`` and not read yet.
+
+    A file of any size is read in ranges by several tasks. Restart markers are
+    counted by range and summed up, which numbers the intervals; the pieces of an
+    interval that lies in several ranges are put together. What follows the end of
+    the image, or a marker that has no place there, is dropped.
+    """
+    sos = of_kind(segs, SOS).select("image_id", (F.col("offset") + F.col("length")).alias("start"))
+    d = files.select("image_id", "path", "length").join(sos, "image_id")
+    n = F.greatest(F.ceil((F.col("length") - F.col("start")) / range_bytes), F.lit(1)).cast("int")
+    d = d.select("image_id", "path", "start", F.explode(F.sequence(F.lit(0), n - 1)).alias("range"), n.alias("ranges")).repartition("image_id", "range")
+
+    def rows(path, start, number, ranges):
+        data = Lazy(path, 1 << 16)
+        try:
+            lo = start + number * range_bytes
+            hi = len(data) if number == ranges - 1 else min(lo + range_bytes, len(data))
+            for place, (piece, code) in enumerate(split_range(data, start, lo, hi)):
+                yield number, place, piece, code
+        finally:
+            data.close()
+
+    pieces = stage(_map(d, [("range", "int", pa.int32()), ("place", "int", pa.int32()), ("data", "binary", pa.binary()), ("code", "int", pa.int32())], rows), "pieces")
+    # a row for each range
+    last = F.min(F.when(~F.col("code").between(0xD0, 0xD7), F.struct("range", "place", "code")))
+    ends = pieces.groupBy("image_id").agg(last.alias("end"), F.max(F.struct("range", "place")).alias("most"))
+    counts = pieces.groupBy("image_id", "range").agg(F.count("code").alias("n"))
+    before = counts.select("image_id", "range", (F.sum("n").over(W.partitionBy("image_id").orderBy("range")) - F.col("n")).alias("before"))
+    p = pieces.join(before, ["image_id", "range"]).join(ends, "image_id")
+    here = F.struct("range", "place")
+    p = p.filter(F.col("end").isNull() | (here <= F.struct("end.range", "end.place")))
+    final = here == F.when(F.col("end").isNotNull(), F.struct("end.range", "end.place")).otherwise(F.col("most"))
+    error = F.when(final, F.when(F.col("end").isNull(), "truncated").when(F.col("end.code") != EOI, "marker_in_scan"))
+    p = p.select("image_id", (F.col("before") + F.col("place")).cast("int").alias("interval_no"), "range", "data", error.alias("error"))
+    p = p.repartition("image_id", "interval_no").sortWithinPartitions("image_id", "interval_no", "range")
+    kind = p.schema["image_id"].dataType.simpleString()
+
+    def join(batches):
+        key, parts, error = None, [], None
+        for batch in batches:
+            for i, number, x, e in zip(batch.column("image_id"), batch.column("interval_no").to_pylist(), batch.column("data"), batch.column("error").to_pylist(), strict=True):
+                if key is None or number != key[1] or i != key[0]:
+                    if key is not None:
+                        yield row(key, parts, error)
+                    key, parts = (i, number), []
+                parts.append(x.as_py())
+                error = e
+        if key is not None:
+            yield row(key, parts, error)
+
+    def row(key, parts, error):
+        cols = [pa.array([key[0].as_py()], key[0].type), pa.array([key[1]], pa.int32()), pa.array([b"".join(parts)], pa.binary()), pa.array([error], pa.string())]
+        return pa.RecordBatch.from_arrays(cols, ["image_id", "interval_no", "data", "error"])
+
+    return p.select("image_id", "interval_no", "data", "error").mapInArrow(join, f"image_id {kind}, interval_no int, data binary, error string")
+
+
 def drop_ignorable(segs: DataFrame) -> DataFrame:
     """Without application, comment and other segments that don't affect decoding; one that ends the walk stays."""
     return segs.filter(F.col("marker").isNull() | F.col("error").isNotNull() | ~F.col("marker").isin(*sorted(IGNORED)))

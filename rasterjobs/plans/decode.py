@@ -103,7 +103,7 @@ class Decoded:
 
 
 def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False, chunk_bytes: int = huffman.CHUNK) -> Decoded:
-    """Decode ``files`` (``image_id, content``).
+    """Decode ``files`` (``image_id, content``, or as ``list_images`` gives them: then large files are read by several tasks).
 
     Files with a fatal violation are left out and reported. A file whose entropy
     data fails is left out too, unless ``keep_partial`` keeps what was decoded
@@ -115,7 +115,7 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     fine = validate.valid_images(t.headers, t.errors)
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
     scans = stage(_scan_tables(chosen, fine), "scans")
-    intervals = stage(segments.entropy_intervals(files), "intervals")
+    intervals = stage(segments.entropy_intervals(files) if "content" in files.columns else segments.entropy_ranges(files, chosen), "intervals")
     units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")
     late = validate.scan_errors(intervals).join(scans.select("image_id"), "image_id", "left_semi").unionByName(huffman.decode_errors(units))
     # a baseline scan that leaves components out, or ends before its last unit

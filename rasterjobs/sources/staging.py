@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_runs: list[list[str]] = []
+
+
+@contextmanager
+def run_tables(spark: SparkSession):
+    """Tables that are staged inside are removed at the end, whether the result was written or given up.
+
+    What is read from them has to be written, or collected, before. Runs may be nested.
+    """
+    _runs.append([])
+    try:
+        yield
+    finally:
+        for path in _runs.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that it is made once and its lineage ends."""
+    """Write ``df`` to the shared folder and read it back, so that it is made once and its lineage ends.
+
+    Inside ``run_tables`` it is removed with the run.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _runs:
+        _runs[-1].append(path)  # noted before it is written
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
