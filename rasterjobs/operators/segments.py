@@ -122,7 +122,7 @@ def split_range(data: bytes | Lazy, start: int, lo: int, hi: int):
     yield b"".join([*parts, own[max(begin - at, 0) :] if begin < hi else b""]), None
 
 
-def _map(files: DataFrame, fields: list[tuple[str, str, pa.DataType]], rows) -> DataFrame:
+def mapped(files: DataFrame, fields: list[tuple[str, str, pa.DataType]], rows) -> DataFrame:
     """Rows of each file's bytes, with its id, made inside Arrow batches."""
     kind = files.schema["image_id"].dataType.simpleString()
 
@@ -140,7 +140,7 @@ def _map(files: DataFrame, fields: list[tuple[str, str, pa.DataType]], rows) ->
     return files.mapInArrow(run, ", ".join([f"image_id {kind}", *(f"{n} {k}" for n, k, _ in fields)]))
 
 
-_SEGMENT = [("ord", "int", pa.int32()), ("marker", "int", pa.int32()), ("offset", "bigint", pa.int64()), ("length", "int", pa.int32()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
+SEGMENT = [("ord", "int", pa.int32()), ("marker", "int", pa.int32()), ("offset", "bigint", pa.int64()), ("length", "int", pa.int32()), ("payload", "binary", pa.binary()), ("error", "string", pa.string())]
 
 
 def segments(files: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def segments(files: DataFrame) -> DataFrame:
     A row with ``error`` tells why the walk stopped (or an unknown marker, after
     which it goes on). Null content counts as empty.
     """
-    return _map(files.select("image_id", "content"), _SEGMENT, lambda content: split_segments(content or b""))
+    return mapped(files.select("image_id", "content"), SEGMENT, lambda content: split_segments(content or b""))
 
 
 def header_segments(files: DataFrame) -> DataFrame:
@@ -160,14 +160,19 @@ def header_segments(files: DataFrame) -> DataFrame:
     the storage, but for the rest of the last block.
     """
 
-    def rows(path):
-        data = Lazy(path)
-        try:
-            yield from split_segments(data, IGNORED)
-        finally:
-            data.close()
+    return mapped(files.select("image_id", "path"), SEGMENT, lambda path: walk(path, IGNORED))
 
-    return _map(files.select("image_id", "path"), _SEGMENT, rows)
+
+def walk(source: bytes | str | None, skip: set[int]):
+    """``split_segments`` of a file's bytes, or of the file at a path."""
+    if not isinstance(source, str):
+        yield from split_segments(source or b"", skip)
+        return
+    data = Lazy(source)
+    try:
+        yield from split_segments(data, skip)
+    finally:
+        data.close()
 
 
 def _intervals(content: bytes | None):
@@ -186,7 +191,7 @@ def entropy_intervals(files: DataFrame, segs: DataFrame | None = None) -> DataFr
     shuffled. With ``segs`` only files that have their SOS there.
     """
     fields = [("interval_no", "int", pa.int32()), ("data", "binary", pa.binary()), ("error", "string", pa.string())]
-    out = _map(files.select("image_id", "content"), fields, _intervals)
+    out = mapped(files.select("image_id", "content"), fields, _intervals)
     return out if segs is None else out.join(of_kind(segs, SOS).select("image_id"), "image_id", "left_semi")
 
 
@@ -217,7 +222,7 @@ def entropy_ranges(files: DataFrame, segs: DataFrame, range_bytes: int = RANGE)
         finally:
             data.close()
 
-    pieces = stage(_map(d, [("range", "int", pa.int32()), ("place", "int", pa.int32()), ("data", "binary", pa.binary()), ("code", "int", pa.int32())], rows), "pieces")
+    pieces = stage(mapped(d, [("range", "int", pa.int32()), ("place", "int", pa.int32()), ("data", "binary", pa.binary()), ("code", "int", pa.int32())], rows), "pieces")
     # a row for each range
     last = F.min(F.when(~F.col("code").between(0xD0, 0xD7), F.struct("range", "place", "code")))
     ends = pieces.groupBy("image_id").agg(last.alias("end"), F.max(F.struct("range", "place")).alias("most"))
@@ -346,9 +351,17 @@ def split_huffman(payload: bytes):
         at, place = at + 17 + n, place + 1
 
 
+#: Fields of a parsed table.
+QUANT = "place:int,table_id:int,scan:array<int>,error:string"
+HUFFMAN = "place:int,table_class:int,table_id:int,counts:array<int>,symbols:array<int>,error:string"
+
+
 def all_quant(segs: DataFrame) -> DataFrame:
+    """``image_id, ord`` and a row for each table of DQT segments; parsed before in ``checked_segments``."""
+    if "quant" in segs.columns:
+        return segs.select("image_id", "ord", F.explode("quant").alias("x")).select("image_id", "ord", "x.*")
     fields = [("ord", "int", pa.int32()), ("place", "int", pa.int32()), ("table_id", "int", pa.int32()), ("scan", "array<int>", pa.list_(pa.int32())), ("error", "string", pa.string())]
-    return _map(of_kind(segs, DQT).select("image_id", "ord", "payload"), fields, lambda order, payload: ((order, *x) for x in split_quant(payload)))
+    return mapped(of_kind(segs, DQT).select("image_id", "ord", "payload"), fields, lambda order, payload: ((order, *x) for x in split_quant(payload)))
 
 
 def quant_tables(segs: DataFrame) -> DataFrame:
@@ -358,9 +371,12 @@ def quant_tables(segs: DataFrame) -> DataFrame:
 
 
 def all_huffman(segs: DataFrame) -> DataFrame:
+    """As ``all_quant``, of DHT segments."""
+    if "huffman" in segs.columns:
+        return segs.select("image_id", "ord", F.explode("huffman").alias("x")).select("image_id", "ord", "x.*")
     ints = pa.list_(pa.int32())
     fields = [("ord", "int", pa.int32()), ("place", "int", pa.int32()), ("table_class", "int", pa.int32()), ("table_id", "int", pa.int32()), ("counts", "array<int>", ints), ("symbols", "array<int>", ints), ("error", "string", pa.string())]
-    return _map(of_kind(segs, DHT).select("image_id", "ord", "payload"), fields, lambda order, payload: ((order, *x) for x in split_huffman(payload)))
+    return mapped(of_kind(segs, DHT).select("image_id", "ord", "payload"), fields, lambda order, payload: ((order, *x) for x in split_huffman(payload)))
 
 
 def huffman_tables(segs: DataFrame) -> DataFrame:

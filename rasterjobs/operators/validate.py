@@ -2,86 +2,163 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import segments as S
 
 ERRORS = "image_id, code, detail, ord, step"
+_ERROR = "code string, detail string, ord int, step int"
+WALK = ("bad_soi", "expected_marker", "truncated", "unknown_marker")
 
 
-def _fired(df: DataFrame, rules: list[tuple[str, Column, Column | str]], first: int) -> DataFrame:
-    """Violations on ``df`` (image_id, ord): rules in the order in which a reader meets them."""
-    found = F.filter(F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(code).alias("code"), F.col(d).cast("string").alias("detail") if isinstance(d, str) else d.cast("string").alias("detail"), F.lit(first + i).alias("step"))) for i, (code, when, d) in enumerate(rules))), lambda x: x.isNotNull())
-    return df.select("image_id", "ord", F.explode(found).alias("x")).select("image_id", "x.code", "x.detail", "ord", "x.step")
+def _at(payload: bytes, i: int) -> int | None:
+    return payload[i] if i < len(payload) else None
 
 
-def _repeats(rows: DataFrame, column: str) -> Column:
-    return F.count("*").over(W.partitionBy("image_id", "ord", column).orderBy("place").rowsBetween(W.unboundedPreceding, 0)) > 1
+def _be16(payload: bytes, i: int) -> int | None:
+    return int.from_bytes(payload[i : i + 2], "big") if i + 2 <= len(payload) else None
 
 
-def validate(segs: DataFrame) -> DataFrame:
-    """``image_id, code, detail, ord, step`` of every rule that a header breaks.
+def _text(sep: str, *values) -> str:
+    return sep.join(str(v) for v in values if v is not None)
+
 
-    Rules run on the small header rows only; entropy bytes are never read.
+def violations(segs) -> list[tuple[str, str | None, int, int]]:
+    """(code, detail, ord, step) of every rule that the segments of one header break.
+
+    ``segs``: (ord, marker, length, offset, payload, error, quant, huffman) in order,
+    the last two as ``split_quant`` and ``split_huffman`` give them. ``step`` follows
+    the order in which a reader meets the rules of one segment.
+    """
+    out: list[tuple[str, str | None, int, int]] = []
+    known: set[tuple] = set()  # tables that were defined, in any segment
+    quant_of: dict[int, int | None] = {}  # table of a component, by the last frame that has it
+    frame, frames, scan = None, 0, None
+
+    def fire(when, code, detail, order, step):
+        if when:
+            out.append((code, None if detail is None else str(detail), order, step))
+
+    for order, marker, length, offset, p, error, quant, huffman in segs:
+        if error is not None:
+            fire(True, error, offset, order, WALK.index(error))
+            continue
+        if marker in (S.SOF0, S.SOF2):
+            frames += 1
+            precision, height, width, n, first = _at(p, 0), _be16(p, 1), _be16(p, 3), _at(p, 5), _at(p, 6)
+            frame = (marker - S.SOF0, n, first == 0)
+            usual = n is not None and 1 <= n <= 3
+            short = length < 8 or (n is not None and length < 8 + 3 * n)
+            fire(frames > 1, "multiple_sof", frames, order, 10)
+            fire(length < 8, "truncated", length, order, 11)
+            fire(precision is not None and precision != 8, "bad_precision", precision, order, 12)
+            fire(height == 0 or width == 0, "bad_dimensions", _text("x", width, height), order, 13)
+            fire(n == 4, "cmyk", n, order, 14)
+            fire(n == 0, "no_components", n, order, 15)
+            fire(usual and short, "truncated", length, order, 16)
+            seen: set = set()
+            for i in range(n or 0):
+                own, sampling, table = (_at(p, 6 + 3 * i + k) for k in range(3))
+                component = None if own is None else own + (first == 0)
+                if component is not None:
+                    quant_of[component] = table
+                if not usual:
+                    continue
+                h, v = (None, None) if sampling is None else (sampling >> 4, sampling & 15)
+                fire(component in (4, 5), "yiq", component, order, 20)
+                fire(component == 0 or (component or 0) > 3, "bad_component_id", component, order, 21)
+                fire(component in seen, "dup_component", component, order, 22)
+                fire(sampling is not None and not (h in (1, 2) and v in (1, 2) if component == 1 else h == v == 1), "bad_sampling", _text("x", h, v), order, 23)
+                fire(table is not None and table > 3, "bad_quant_ref", table, order, 24)
+                seen.add(component)
+            fire(usual and not short and length != 8 + 3 * n, "bad_sof_length", length, order, 30)
+        elif marker == S.DQT:
+            for _, table, _, wrong in quant:
+                if wrong is None:
+                    known.add(("q", table))
+                else:
+                    fire(True, wrong, table, order, 40 + ("bad_quant_id", "bad_dqt_length").index(wrong))
+        elif marker == S.DHT:
+            for _, kind, table, _, _, wrong in huffman:
+                if wrong is None:
+                    known.add((kind, table))
+                else:
+                    fire(True, wrong, table, order, 50 + ("bad_huffman_id", "huffman_too_many", "bad_dht_length").index(wrong))
+        elif marker == S.DRI:
+            fire(length != 4, "bad_dri_length", length, order, 60)
+        elif marker == S.SOS:
+            scan = (order, length, p)
+    if scan is None:
+        return out
+    order, length, p = scan
+    n = _at(p, 0)
+    if frame is None:
+        fire(True, "sos_before_sof", "", order, 70)
+        return out
+    cut = length < 3 or (n is not None and length < 6 + 2 * n)
+    fire(length < 3, "truncated", length, order, 71)
+    fire(n == 0, "empty_scan", n, order, 72)
+    fire(bool(n) and cut, "truncated", length, order, 73)
+    if cut or not n:
+        return out
+    kind, count, zero_based = frame
+    ss, se, a = (_at(p, 1 + 2 * n + k) for k in range(3))
+    ah, al = a >> 4, a & 15
+    seen = set()
+    for i in range(n):
+        component, tables = _at(p, 1 + 2 * i) + zero_based, _at(p, 2 + 2 * i)
+        dc, ac, quant = tables >> 4, tables & 15, quant_of.get(component)
+        fire(component == 0 or (count is not None and component > count) or quant is None, "bad_scan_component", component, order, 80)
+        fire(component in seen, "dup_scan_component", component, order, 81)
+        fire(dc > 3, "bad_dc_table_id", dc, order, 82)
+        fire(ac > 3, "bad_ac_table_id", ac, order, 83)
+        fire(quant is not None and quant <= 3 and ("q", quant) not in known, "unset_quant", quant, order, 95)
+        fire(dc <= 3 and ss == 0 and (0, dc) not in known, "unset_dc", dc, order, 96)
+        fire(ac <= 3 and se > 0 and (1, ac) not in known, "unset_ac", ac, order, 97)
+        seen.add(component)
+    baseline = kind == 0
+    fire((ss, se) != (0, 63) if baseline else ss > se or se > 63 or (ss == 0 and se != 0) or (ss != 0 and n != 1), "bad_spectral", _text("..", ss, se), order, 90)
+    fire((ah, al) != (0, 0) if baseline else ah != 0 and al != ah - 1, "bad_approx", _text("/", ah, al), order, 91)
+    fire(length != 6 + 2 * n, "bad_sos_length", length, order, 99)
+    return out
+
+
+def checked_segments(files: DataFrame) -> DataFrame:
+    """Segments that matter for decoding, parsed and checked in one pass over the headers of ``files``.
+
+    As ``drop_ignorable(segments(files))`` with ``quant, huffman``, the tables of a
+    segment, and with ``broken``, all rules that the header breaks, in its last row.
+    ``files`` have ``content``, or ``path`` of files that are not read yet.
     """
-    walk = _fired(segs.filter("error is not null").withColumn("code_", F.col("error")), [(c, F.col("code_") == c, "offset") for c in ("bad_soi", "expected_marker", "truncated", "unknown_marker")], 0)
-
-    frame = S.frame_header(segs)
-    number = F.row_number().over(W.partitionBy("image_id").orderBy("ord"))
-    short = (F.col("length") < 8) | (F.col("length") < 8 + 3 * F.col("num_components"))
-    head = frame.withColumn("n", number)
-    frames = _fired(head, [
-        ("multiple_sof", F.col("n") > 1, "n"), ("truncated", F.col("length") < 8, "length"), ("bad_precision", F.col("precision") != 8, "precision"),
-        ("bad_dimensions", (F.col("height") == 0) | (F.col("width") == 0), F.concat_ws("x", "width", "height")),
-        ("cmyk", F.col("num_components") == 4, "num_components"), ("no_components", F.col("num_components") == 0, "num_components"),
-        ("truncated", short & F.col("num_components").between(1, 3), "length"),
-    ], 10)
-    c = S.frame_components(segs).join(frame.select("image_id", "ord", F.col("num_components").alias("count")), ["image_id", "ord"]).filter("count between 1 and 3")
-    c = c.withColumn("again", _repeats(c, "component"))
-    h, v = F.col("h"), F.col("v")
-    sampling = F.when(F.col("component") == 1, ~(h.isin(1, 2) & v.isin(1, 2))).otherwise((h != 1) | (v != 1))
-    parts = _fired(c, [
-        ("yiq", F.col("component").isin(4, 5), "component"), ("bad_component_id", (F.col("component") == 0) | (F.col("component") > 3), "component"), ("dup_component", F.col("again"), "component"),
-        ("bad_sampling", sampling, F.concat_ws("x", h, v)), ("bad_quant_ref", F.col("quant_id") > 3, "quant_id"),
-    ], 20)
-    frame_end = _fired(head, [("bad_sof_length", (F.col("length") != 8 + 3 * F.col("num_components")) & ~short & F.col("num_components").between(1, 3), "length")], 30)
 
+    def rows(source):
+        segs = []
+        for order, marker, offset, length, payload, error in S.walk(source, S.IGNORED):
+            good = error is None
+            quant = list(S.split_quant(payload)) if good and marker == S.DQT else None
+            huffman = list(S.split_huffman(payload)) if good and marker == S.DHT else None
+            segs.append((order, marker, length, offset, payload, error, quant, huffman))
+        broken = violations(segs)
+        for i, (order, marker, length, offset, payload, error, quant, huffman) in enumerate(segs):
+            yield order, marker, offset, length, payload, error, quant, huffman, broken if i == len(segs) - 1 else None
+
+    text, ints = pa.string(), pa.list_(pa.int32())
     tables = [
-        _fired(S.all_quant(segs).filter("error is not null"), [(k, F.col("error") == k, "table_id") for k in ("bad_quant_id", "bad_dqt_length")], 40),
-        _fired(S.all_huffman(segs).filter("error is not null"), [(k, F.col("error") == k, "table_id") for k in ("bad_huffman_id", "huffman_too_many", "bad_dht_length")], 50),
-        _fired(S.of_kind(segs, S.DRI), [("bad_dri_length", F.col("length") != 4, "length")], 60),
+        ("quant", f"array<struct<{S.QUANT}>>", pa.list_(pa.struct([("place", pa.int32()), ("table_id", pa.int32()), ("scan", ints), ("error", text)]))),
+        ("huffman", f"array<struct<{S.HUFFMAN}>>", pa.list_(pa.struct([("place", pa.int32()), ("table_class", pa.int32()), ("table_id", pa.int32()), ("counts", ints), ("symbols", ints), ("error", text)]))),
+        ("broken", f"array<struct<{_ERROR}>>", pa.list_(pa.struct([("code", text), ("detail", text), ("ord", pa.int32()), ("step", pa.int32())]))),
     ]
+    return S.mapped(files.select("image_id", "content" if "content" in files.columns else "path"), [*S.SEGMENT, *tables], rows)
 
-    last = S.last_definition(head, ["image_id"], "ord").select("image_id", "frame_type", "num_components", "zero_based", F.lit(True).alias("seen"))
-    scan = S.scan_header(segs).join(last, "image_id", "left")
-    n, ss, se, ah, al = (F.col(k) for k in ("components_in_scan", "ss", "se", "ah", "al"))
-    base = F.col("frame_type") == 0
-    seen = F.coalesce("seen", F.lit(False))
-    cut = (F.col("length") < 3) | (F.col("length") < 6 + 2 * n)
-    scans = _fired(scan, [("sos_before_sof", ~seen, F.lit("")), ("truncated", seen & (F.col("length") < 3), "length"), ("empty_scan", seen & (n == 0), "components_in_scan"), ("truncated", seen & (n > 0) & cut, "length")], 70)
-    sc = S.scan_components(segs).join(scan.filter(seen & ~cut).select("image_id", "num_components", "zero_based", "frame_type", "ss", "se"), "image_id")
-    sc = sc.withColumn("component", F.col("scan_id") + F.col("zero_based").cast("int"))
-    sc = sc.join(S.last_definition(S.frame_components(segs), ["image_id", "component"], "ord").select("image_id", "component", "quant_id"), ["image_id", "component"], "left")
-    sc = sc.withColumn("again", _repeats(sc, "component"))
-    refs = _fired(sc, [
-        ("bad_scan_component", (F.col("component") == 0) | (F.col("component") > F.col("num_components")) | F.col("quant_id").isNull(), "component"), ("dup_scan_component", F.col("again"), "component"),
-        ("bad_dc_table_id", F.col("dc_id") > 3, "dc_id"), ("bad_ac_table_id", F.col("ac_id") > 3, "ac_id"),
-    ], 80)
-    spectral = F.when(base, (ss != 0) | (se != 63)).otherwise((ss > se) | (se > 63) | ((ss == 0) & (se != 0)) | ((ss != 0) & (n != 1)))
-    approx = F.when(base, (ah != 0) | (al != 0)).otherwise((ah != 0) & (al != ah - 1))
-    ranges = _fired(scan.filter(seen & ~cut & (n > 0)), [("bad_spectral", spectral, F.concat_ws("..", ss, se)), ("bad_approx", approx, F.concat_ws("/", ah, al))], 90)
-    # tables that the scan uses and that were never defined
-    q = sc.filter("quant_id <= 3").join(S.quant_tables(segs).select("image_id", F.col("table_id").alias("quant_id")), ["image_id", "quant_id"], "left_anti")
-    huff = S.huffman_tables(segs).select("image_id", "table_class", "table_id")
-    dc = sc.filter("dc_id <= 3 and ss = 0").join(huff.filter("table_class = 0").select("image_id", F.col("table_id").alias("dc_id")), ["image_id", "dc_id"], "left_anti")
-    ac = sc.filter("ac_id <= 3 and se > 0").join(huff.filter("table_class = 1").select("image_id", F.col("table_id").alias("ac_id")), ["image_id", "ac_id"], "left_anti")
-    unset = [_fired(df, [(code, F.lit(True), column)], step) for df, code, column, step in ((q, "unset_quant", "quant_id", 95), (dc, "unset_dc", "dc_id", 96), (ac, "unset_ac", "ac_id", 97))]
-    scan_end = _fired(scan, [("bad_sos_length", seen & ~cut & (n > 0) & (F.col("length") != 6 + 2 * n), "length")], 99)
-    return reduce(DataFrame.unionByName, [walk, frames, parts, frame_end, *tables, scans, refs, ranges, *unset, scan_end])
+
+def validate(segs: DataFrame) -> DataFrame:
+    """``image_id, code, detail, ord, step`` of every rule that a header breaks (``segs``: ``checked_segments``).
+
+    Entropy bytes are never read.
+    """
+    return segs.select("image_id", F.explode("broken").alias("x")).select("image_id", "x.*")
 
 
 def scan_errors(intervals: DataFrame) -> DataFrame:

@@ -64,13 +64,9 @@ def triage(files: DataFrame, slots: int | None = None, capacity: int = batches.C
 
     ``files`` have ``content``, or without it ``path``: then only headers are read.
     """
-    if "content" in files.columns:
-        segs = segments.drop_ignorable(segments.segments(files))
-    else:
-        segs = segments.header_segments(files)
-    segs = stage(segs, "segments")
+    segs = stage(validate.checked_segments(files), "segments")
     images = stage(batches.work_units(image_table(segs), capacity), "images")
-    errors = stage(validate.validate(segs), "errors")
+    errors = validate.validate(segs)
     if slots is not None:
         errors = errors.unionByName(batches.reject_oversized(images, slots)[1].select(*errors.columns))
     return Triage(segs, images, validate.image_status(files.select("image_id").distinct(), errors).join(images, "image_id", "left"), errors)
