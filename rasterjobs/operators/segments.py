@@ -202,13 +202,13 @@ RANGE = 32 << 20
 def entropy_ranges(files: DataFrame, segs: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """As ``entropy_intervals``, of files that are given by ``path`` and ``length`` and not read yet.
 
-    A file of any size is read in ranges by several tasks. Restart markers are
+    A file of any size is read in ranges by several tasks, once if it is listed twice. Restart markers are
     counted by range and summed up, which numbers the intervals; the pieces of an
     interval that lies in several ranges are put together. What follows the end of
     the image, or a marker that has no place there, is dropped.
     """
     sos = of_kind(segs, SOS).select("image_id", (F.col("offset") + F.col("length")).alias("start"))
-    d = files.select("image_id", "path", "length").join(sos, "image_id")
+    d = files.select("image_id", "path", "length").dropDuplicates(["image_id"]).join(sos, "image_id")
     n = F.greatest(F.ceil((F.col("length") - F.col("start")) / range_bytes), F.lit(1)).cast("int")
     d = d.select("image_id", "path", "start", F.explode(F.sequence(F.lit(0), n - 1)).alias("range"), n.alias("ranges")).repartition("image_id", "range")
 

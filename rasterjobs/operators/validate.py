@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,11 +127,30 @@ def violations(segs) -> list[tuple[str, str | None, int, int]]:
     return out
 
 
+def _checksum(source: bytes | str | None) -> int:
+    data = source.encode() if isinstance(source, str) else source or b""
+    return zlib.crc32(data) << 31 | len(data) & 0x7FFFFFFF
+
+
+def once(segs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """``segs`` (``checked_segments``, written down) with one file of each id, the ids that differ, and whether any id is repeated.
+
+    Rows of ``files`` that share an id and their bytes are one file. Of files that
+    share an id and differ none is kept: an error ``repeated_id`` stands for them.
+    """
+    many = segs.filter("broken is not null").groupBy("image_id").agg(F.count("*").alias("n"), F.count_distinct("file").alias("different")).filter("n > 1")
+    if many.isEmpty():
+        return segs, many.select("image_id"), False
+    differ = many.filter("different > 1").select("image_id")
+    return segs.join(differ, "image_id", "left_anti").dropDuplicates(["image_id", "ord"]), differ, True
+
+
 def checked_segments(files: DataFrame) -> DataFrame:
     """Segments that matter for decoding, parsed and checked in one pass over the headers of ``files``.
 
     As ``drop_ignorable(segments(files))`` with ``quant, huffman``, the tables of a
-    segment, and with ``broken``, all rules that the header breaks, in its last row.
+    segment, and in its last row with ``broken``, all rules that the header breaks, and
+    ``file``, a checksum of the bytes (of the path, where they are not read).
     ``files`` have ``content``, or ``path`` of files that are not read yet.
     """
 
@@ -142,7 +163,8 @@ def checked_segments(files: DataFrame) -> DataFrame:
             segs.append((order, marker, length, offset, payload, error, quant, huffman))
         broken = violations(segs)
         for i, (order, marker, length, offset, payload, error, quant, huffman) in enumerate(segs):
-            yield order, marker, offset, length, payload, error, quant, huffman, broken if i == len(segs) - 1 else None
+            last = i == len(segs) - 1
+            yield order, marker, offset, length, payload, error, quant, huffman, *((broken, _checksum(source)) if last else (None, None))
 
     text, ints = pa.string(), pa.list_(pa.int32())
     tables = [
@@ -150,6 +172,7 @@ def checked_segments(files: DataFrame) -> DataFrame:
         ("huffman", f"array<struct<{S.HUFFMAN}>>", pa.list_(pa.struct([("place", pa.int32()), ("table_class", pa.int32()), ("table_id", pa.int32()), ("counts", ints), ("symbols", ints), ("error", text)]))),
         ("broken", f"array<struct<{_ERROR}>>", pa.list_(pa.struct([("code", text), ("detail", text), ("ord", pa.int32()), ("step", pa.int32())]))),
     ]
+    tables.append(("file", "bigint", pa.int64()))
     return S.mapped(files.select("image_id", "content" if "content" in files.columns else "path"), [*S.SEGMENT, *tables], rows)
 
 

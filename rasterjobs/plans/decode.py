@@ -53,6 +53,7 @@ class Triage:
     headers: DataFrame
     images: DataFrame
     errors: DataFrame
+    repeated: bool = False
 
     @property
     def report(self) -> DataFrame:
@@ -63,13 +64,18 @@ def triage(files: DataFrame, slots: int | None = None, capacity: int = batches.C
     """Which files will decode, and how large they are.
 
     ``files`` have ``content``, or without it ``path``: then only headers are read.
+    A file that is listed twice is one image; files that share an id and differ are
+    none, with an error ``repeated_id``.
     """
-    segs = stage(validate.checked_segments(files), "segments")
+    segs, differ, repeated = validate.once(stage(validate.checked_segments(files), "segments"))
+    segs = stage(segs, "segments-once") if repeated else segs
     images = stage(batches.work_units(image_table(segs), capacity), "images")
     errors = validate.validate(segs)
+    if repeated:
+        errors = errors.unionByName(differ.select("image_id", F.lit("repeated_id").alias("code"), F.lit(None).cast("string").alias("detail"), F.lit(-1).alias("ord"), F.lit(0).alias("step")))
     if slots is not None:
         errors = errors.unionByName(batches.reject_oversized(images, slots)[1].select(*errors.columns))
-    return Triage(segs, images, validate.image_status(files.select("image_id").distinct(), errors).join(images, "image_id", "left"), errors)
+    return Triage(segs, images, validate.image_status(files.select("image_id").distinct(), errors).join(images, "image_id", "left"), errors, repeated)
 
 
 @dataclass
@@ -105,6 +111,7 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     data fails is left out too, unless ``keep_partial`` keeps what was decoded
     (missing units are zero), as it is for a file that ends early without an error. An image that is too large for ``bmps`` is decoded
     and has a row ``bmp_too_large`` in ``errors``; ``bmp_rows`` has its file in parts.
+    A file that is listed twice is decoded once (see ``triage``).
     Entropy data of more than ``chunk_bytes`` between restart markers are decoded by several tasks.
     """
     t = triage(files, slots)
@@ -112,6 +119,8 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
     scans = stage(_scan_tables(chosen, fine), "scans")
     intervals = stage(segments.entropy_intervals(files) if "content" in files.columns else segments.entropy_ranges(files, chosen), "intervals")
+    if t.repeated:  # files with this id are equal, or not among the images
+        intervals = stage(intervals.join(scans.select("image_id"), "image_id", "left_semi").dropDuplicates(["image_id", "interval_no"]), "intervals-once")
     units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")
     late = validate.scan_errors(intervals).join(scans.select("image_id"), "image_id", "left_semi").unionByName(huffman.decode_errors(units))
     # a baseline scan that leaves components out, or ends before its last unit

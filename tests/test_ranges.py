@@ -72,3 +72,16 @@ def test_micro_batches_leave_only_their_results(spark, tmp_path, monkeypatch):
         assert len(os.listdir(shared)) == 1
         raise ValueError
     assert os.listdir(shared) == []
+
+
+def test_a_file_listed_twice_is_decoded_once(spark, tmp_path):
+    a, b = X.encode({(1, 0, 0): [9] + [0] * 63}, 16, 16, restart=1), X.encode({(1, 0, 0): [90] + [0] * 63}, 16, 24)
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, b), (4, b"no"), (4, b"no")]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "image_id long, content binary")
+    done = decode(df)
+    alone = {r.image_id: bytes(r.bmp) for r in decode(spark.createDataFrame([(1, bytearray(a)), (2, bytearray(b))], "image_id long, content binary")).bmps.collect()}
+    assert {r.image_id: bytes(r.bmp) for r in done.bmps.collect()} == alone and done.bmps.count() == 2
+    assert sorted((r.image_id, r.code) for r in done.errors.collect()) == [(3, "repeated_id"), (4, "bad_soi")]
+    (tmp_path / "a.jpg").write_bytes(a)
+    listed = files.list_images(spark, str(tmp_path))
+    assert [bytes(r.bmp) for r in decode(listed.unionByName(listed)).bmps.collect()] == [alone[1]]
