@@ -1,6 +1,7 @@
 """The queries against SQL, brute force, held-out labels and awkward tables."""
 
 import hashlib
+import re
 import zlib
 
 import pytest
@@ -111,6 +112,51 @@ def test_distrust_reaches_the_end_of_a_long_chain(spark):
     assert got == want
 
 
+def _spread_brute(pages, rules):
+    """Trust and distrust of hosts by a plain loop over all links, in whole numbers."""
+    judged = _judge_brute([(i, u) for i, u, _ in pages], rules)
+    links, seeds = {}, {}
+    for (_, _, html), (_, host, _, _, action) in zip(pages, judged):
+        for dst in set(re.findall(r'href="http://([^/"]+)', html)):
+            if dst != host:
+                links[host, dst] = links.get((host, dst), 0) + 1
+        if host and action:
+            seeds[host, action] = seeds.get((host, action), 0) + 1
+    out = {}
+    for action, way in (("allow", links), ("block", {(b, a): n for (a, b), n in links.items()})):
+        sent = {}
+        for (a, _), n in way.items():
+            sent[a] = sent.get(a, 0) + n
+        base = {h: n * urlfilter.UNIT * 15 // 100 for (h, x), n in seeds.items() if x == action}
+        score = dict(base)
+        while True:
+            new = dict(base)
+            for (a, b), n in way.items():
+                if score.get(a):
+                    new[b] = new.get(b, 0) + score[a] * n * 85 // (sent[a] * 100)
+            if new == score:
+                break
+            score = new
+        out[action] = score
+    return [(i, r or None, a or ("block" if out["block"].get(h, 0) > out["allow"].get(h, 0) else "allow"), out["allow"].get(h, 0), out["block"].get(h, 0)) for i, h, _, r, a in judged]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_verdicts_on_random_graphs_against_a_plain_loop(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    hosts = [f"h{i}.net" for i in range(14)] + ["good.org", "a.example.org", "x.com"]
+    pages = []
+    for i in range(60):
+        path = rng.choice(["", "/", "/es/x", "/en/1", "/fr/y", "/de/z"])
+        pages.append((i, f"http://{rng.choice(hosts)}{path}", "".join(f'<a href="http://{rng.choice(hosts)}/p">' for _ in range(rng.randrange(4)))))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r.page_id, r.rule, r.verdict, r.trust, r.distrust) for r in urlfilter.judge(df, queries.RULES).collect()}
+    want = _spread_brute(pages, queries.RULES)
+    assert got == set(want) and len({x[2] for x in want if x[1] is None}) == 2
+
+
 ROWS = [(1, "a b c d e f g h i j k l m n", "s1"), (2, "a b c d e f g h i j k l m n", None), (3, None, "s1"), (4, "", "s2"), (5, "  \n\t", "s2"), (6, "x", "s1"), (6, "x", "s1"), (None, "x", None), (7, "long " * 60_000, "s2"), (8, "y" * 1_500_000, "s3"), (9, "A B C d e f g h i j k l m n o", "s1")]
 
 
