@@ -104,7 +104,7 @@ class Decoded:
         return raster.bmp_rows(self.rows, self.images)
 
 
-def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False, chunk_bytes: int = huffman.CHUNK) -> Decoded:
+def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = False, chunk_bytes: int = huffman.CHUNK, range_bytes: int = segments.RANGE) -> Decoded:
     """Decode ``files`` (``image_id, content``, or as ``list_images`` gives them: then large files are read by several tasks).
 
     Files with a fatal violation are left out and reported. A file whose entropy
@@ -112,13 +112,14 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     (missing units are zero), as it is for a file that ends early without an error. An image that is too large for ``bmps`` is decoded
     and has a row ``bmp_too_large`` in ``errors``; ``bmp_rows`` has its file in parts.
     A file that is listed twice is decoded once (see ``triage``).
-    Entropy data of more than ``chunk_bytes`` between restart markers are decoded by several tasks.
+    Entropy data of more than ``chunk_bytes`` between restart markers are decoded by several tasks,
+    and a listed file is read in ranges of ``range_bytes``.
     """
     t = triage(files, slots)
     fine = validate.valid_images(t.headers, t.errors)
     chosen = t.segs.join(fine.select("image_id"), "image_id", "left_semi")
     scans = stage(_scan_tables(chosen, fine), "scans")
-    intervals = stage(segments.entropy_intervals(files) if "content" in files.columns else segments.entropy_ranges(files, chosen), "intervals")
+    intervals = stage(segments.entropy_intervals(files) if "content" in files.columns else segments.entropy_ranges(files, chosen, range_bytes), "intervals")
     if t.repeated:  # files with this id are equal, or not among the images
         intervals = stage(intervals.join(scans.select("image_id"), "image_id", "left_semi").dropDuplicates(["image_id", "interval_no"]), "intervals-once")
     units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")

@@ -499,6 +499,16 @@ def stream_decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.element_at(F.split("out_path", "/"), -1).alias("name"), F.length("bmp").alias("size"), F.md5("bmp").alias("digest"))
 
 
+def decode_listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from the table, listed, read in ranges, decoded, and their BMP files written beside them and read back."""
+    folder = tempfile.mkdtemp(prefix="listed-", dir="/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    files.export_files(X.jpegs(spark, sf_dir, color=False, h=1, v=1).select(F.concat("image_id", F.lit(".jpg")).alias("out_path"), F.col("content").alias("bmp")), folder)
+    bmps = decode(files.list_images(spark, f"file://{folder}"), range_bytes=1000).bmps
+    files.export_files(bmps.select(files.output_path(F.col("image_id")).alias("out_path"), "bmp"))
+    done = files.read_images(spark, f"file://{folder}", glob="*.bmp")
+    return done.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").cast("int").alias("size"), F.md5("content").alias("digest"))
+
+
 def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty documents a file, written as files, read as images, and stored as rows."""
     folder = tempfile.mkdtemp(prefix="files-", dir="/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
@@ -551,6 +561,7 @@ _ALL = [
     (dequantize, DEQUANT_TEXT_SQL), (idct, IDCT_SQL), (ycc_to_rgb, RGB_SQL), (pair_chroma, PAIR_SQL), (upsample, UPSAMPLE_SQL),
     (scan_plan, PLAN_SQL), (tile_address, TILE_SQL), (entropy_roundtrip, ROUND_SQL), (pixels, PIXEL_SQL),
     (raster_rows, f"SELECT image_id, y, hex FROM ({ROWS_BASE})"), (to_bmp, BMP_SQL), (decode_corpus, _decoded_sql(True)),
+    (decode_listed_files, f"SELECT image_id || '.bmp' AS name, size, digest FROM ({_decoded_sql(False)})"),
     (stream_decode_files, f"SELECT image_id || '.bmp' AS name, size, digest FROM ({_decoded_sql(False)})"),
 ]
 QUERIES = {f.__name__: f for f, _ in _ALL}
