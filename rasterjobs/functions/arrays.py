@@ -100,8 +100,3 @@ def le_hex(x: Column, size: int) -> Column:
     """``size`` low bytes of a whole number as little-endian hex text."""
     text = F.lpad(F.hex(x.cast("bigint")), 2 * size, "0")
     return F.concat(*(F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))))
-
-
-def hex_bytes(values: Column) -> Column:
-    """Values 0..255 as hex text."""
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("bigint")), 2, "0")), "")

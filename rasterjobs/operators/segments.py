@@ -152,17 +152,6 @@ def segments(files: DataFrame) -> DataFrame:
     return mapped(files.select("image_id", "content"), SEGMENT, lambda content: split_segments(content or b""))
 
 
-def header_segments(files: DataFrame) -> DataFrame:
-    """As ``drop_ignorable(segments(files))``, of files that are given by ``path`` and not read yet.
-
-    Each file is opened by the task and read block by block up to SOS; long
-    segments that decoding ignores are passed over. So entropy bytes never leave
-    the storage, but for the rest of the last block.
-    """
-
-    return mapped(files.select("image_id", "path"), SEGMENT, lambda path: walk(path, IGNORED))
-
-
 def walk(source: bytes | str | None, skip: set[int]):
     """``split_segments`` of a file's bytes, or of the file at a path."""
     if not isinstance(source, str):
