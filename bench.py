@@ -27,7 +27,7 @@ COPIES = 20
 def throughput(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """Bytes of colour files a second, from the files to RGB blocks; each file stands ``COPIES`` times, without restart markers."""
     files = stage(fixtures.jpegs(spark, sf_dir, restart=0, down=64), "bench")
-    many = files.select((F.col("image_id") * COPIES + F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).alias("image_id"), "content")
+    many = files.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).select((F.col("image_id") * COPIES + F.col("copy")).alias("image_id"), "content")
     many = stage(many.repartition(2 * spark.sparkContext.defaultParallelism), "bench")
     size = many.agg(F.sum(F.length("content"))).first()[0]
     began = time.time()
