@@ -20,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import densify, dezigzag
 from ..sources.staging import stage
-from .coefficients import dc_predict
 
 
 class BadData(Exception):
@@ -107,18 +105,19 @@ def _baseline(bits: Bits, dc: list[int], ac: list[int]) -> tuple[int, list[int],
     return diff, pos, values
 
 
-def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[int] | None]], units: int, progressive: bool = False, ss: int = 0, se: int = 63, ah: int = 0, al: int = 0, start: int = 0, cell: int = 0, end: int | None = None):
+def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[int] | None]], units: int, progressive: bool = False, ss: int = 0, se: int = 63, ah: int = 0, al: int = 0, start: int = 0, cell: int = 0, end: int | None = None, whole: bool = False):
     """Units of an interval as (component, dc_diff, positions, values, error), until an error ends it.
 
     ``cells``: component, DC and AC lookup of each unit of an MCU, in order. The
-    first unit begins at bit ``start`` with ``cell``; none begins at bit ``end`` or later.
+    first unit begins at bit ``start`` with ``cell``; none begins at bit ``end`` or later,
+    or with ``whole`` no MCU.
     Positions are those of the values in scan order. A progressive scan decodes its
     own part on coefficients that are all zero.
     """
     bits, skips = Bits(data, start), 0
     stop = 0 if end is None else 8 * len(data) - end  # bits left where units may begin no more
     for k in range(units):
-        if end is not None and bits.left <= stop:
+        if end is not None and bits.left <= stop and not (whole and (cell + k) % len(cells)):
             return
         component, dc, ac = cells[(cell + k) % len(cells)]
         diff, pos, values = 0, [], []
@@ -160,10 +159,10 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
 
 #: Bytes of a chunk; longer baseline intervals are cut.
 CHUNK = 1 << 16
-#: Units of a component whose DC values are summed up together.
-SEGMENT = 1 << 15
 #: Bytes after a chunk that a unit begun in it may need: 64 codes and values of 27 bits at most.
 TAIL = 216
+#: Intervals of an image that share a copy of its tables.
+GROUP = 64
 
 Lookups = list[tuple[int, array | None, array | None]]
 
@@ -191,33 +190,44 @@ def guess(data: bytes, cells: Lookups, end: int) -> set[tuple[int, int]]:
     return out
 
 
-def walk(data: bytes, cells: Lookups, end: int, entries) -> dict[tuple[int, int], tuple[int, int, int]]:
+def components(cells) -> list[int]:
+    """The components of an MCU, each once; DC sums stand in this order."""
+    return sorted({c[0] for c in cells})
+
+
+def walk(data: bytes, cells: Lookups, end: int, entries, sums: dict | None = None) -> dict[tuple[int, int], tuple[int, int, int]]:
     """For each entry (bit, cell) of a chunk: where the next one begins, and the units in between.
 
     (-1, 0, units) where the data can't be decoded so far. Walks that meet go on as one.
+    ``sums`` gets the DC differences of each entry's units, added up by component.
     """
     out, met = {}, {}
+    order = components(cells)
+    place = [order.index(c[0]) for c in cells]
     for entry in entries:
-        (at, cell), units, path = entry, 0, []
+        (at, cell), units, path, total = entry, 0, [], [0] * len(order)
         bits = Bits(data, at)
         while True:
             if (at, cell) in met:
-                bit, to, more = met[at, cell]
+                bit, to, more, rest = met[at, cell]
                 exit_ = (bit, to, units + more)
+                total = [a + b for a, b in zip(total, rest, strict=True)]
                 break
             if at >= end:
                 exit_ = (at - end, cell, units)
                 break
-            path.append((at, cell, units))
+            path.append((at, cell, units, *total))
             try:
-                _baseline(bits, *cells[cell][1:])
+                total[place[cell]] += _baseline(bits, *cells[cell][1:])[0]
             except BadData:
                 exit_ = (-1, 0, units)
                 break
             at, cell, units = 8 * len(data) - bits.left, (cell + 1) % len(cells), units + 1
-        for a, c, n in path:
-            met[a, c] = (*exit_[:2], exit_[2] - n)
+        for a, c, n, *before in path:
+            met[a, c] = (*exit_[:2], exit_[2] - n, [x - y for x, y in zip(total, before, strict=True)])
         out[entry] = exit_
+        if sums is not None:
+            sums[entry] = total
     return out
 
 
@@ -226,8 +236,8 @@ def _lookups(cells: list[dict]) -> Lookups:
 
 
 _KEY = ["image_id", "interval_no", "chunk_no"]
-_STEPS = pa.list_(pa.struct([(n, pa.int32()) for n in ("bit", "cell", "to_bit", "to_cell", "units")]))
-_STEP = "array<struct<bit:int,cell:int,to_bit:int,to_cell:int,units:int>>"
+_STEPS = pa.list_(pa.struct([*((n, pa.int32()) for n in ("bit", "cell", "to_bit", "to_cell", "units")), ("sums", pa.list_(pa.int64()))]))
+_STEP = "array<struct<bit:int,cell:int,to_bit:int,to_cell:int,units:int,sums:array<bigint>>>"
 
 
 def _walked(chunks: DataFrame, exact: bool) -> DataFrame:
@@ -240,17 +250,18 @@ def _walked(chunks: DataFrame, exact: bool) -> DataFrame:
             for data, n, cells, entries in zip(*(batch.column(c) for c in ("data", "bytes", "cells", "entries")), strict=True):
                 data, use, end = data.as_py(), _lookups(cells.as_py()), 8 * n.as_py()
                 if exact:
-                    found = walk(data, use, end, sorted({(e["bit"], e["cell"]) for e in entries.as_py()}))
-                    steps.append([{"bit": b, "cell": c, "to_bit": x, "to_cell": y, "units": u} for (b, c), (x, y, u) in found.items()])
+                    sums: dict = {}
+                    found = walk(data, use, end, sorted({(e["bit"], e["cell"]) for e in entries.as_py()}), sums)
+                    steps.append([{"bit": b, "cell": c, "to_bit": x, "to_cell": y, "units": u, "sums": sums[b, c]} for (b, c), (x, y, u) in found.items()])
                 else:
-                    steps.append([{"bit": 0, "cell": 0, "to_bit": x, "to_cell": y, "units": 0} for x, y in guess(data, use, end)])
+                    steps.append([{"bit": 0, "cell": 0, "to_bit": x, "to_cell": y, "units": 0, "sums": []} for x, y in guess(data, use, end)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(steps, _STEPS)], [*_KEY, "steps"])
 
     return chunks.select(*_KEY, "data", "bytes", "cells", "entries").mapInArrow(run, f"image_id {kind}, interval_no int, chunk_no int, steps {_STEP}")
 
 
 def _chain(steps: DataFrame) -> DataFrame:
-    """``image_id, interval_no, chunk_no, bit, cell, first``: the true beginnings that ``steps`` lead to, and units before them.
+    """``image_id, interval_no, chunk_no, bit, cell, first, sums``: the true beginnings that ``steps`` lead to, the units before them and the DC values there (empty: 0).
 
     A group has a few numbers for each chunk of one interval.
     """
@@ -259,31 +270,32 @@ def _chain(steps: DataFrame) -> DataFrame:
     def fold(key, group: pa.Table) -> pa.Table:
         known: dict[int, dict] = {}
         for chunk, some in zip(group.column("chunk_no").to_pylist(), group.column("steps").to_pylist(), strict=True):
-            known.setdefault(chunk, {}).update({(s["bit"], s["cell"]): (s["to_bit"], s["to_cell"], s["units"]) for s in some})
-        rows, at, first, chunk = [], (0, 0), 0, 0
+            known.setdefault(chunk, {}).update({(s["bit"], s["cell"]): (s["to_bit"], s["to_cell"], s["units"], s["sums"]) for s in some})
+        rows, at, first, sums, chunk = [], (0, 0), 0, [], 0
         while at[0] >= 0:
-            rows.append((chunk, *at, first))
+            rows.append((chunk, *at, first, sums))
             if at not in known.get(chunk, {}):
                 break
-            *at, units = known[chunk][at]
+            *at, units, more = known[chunk][at]
+            sums = [a + b for a, b in zip(sums or [0] * len(more), more, strict=True)]
             at, first, chunk = tuple(at), first + units, chunk + 1
         cols = list(zip(*rows, strict=True))
         n = len(rows)
-        return pa.table({"image_id": pa.array([key[0].as_py()] * n, group.schema.field("image_id").type), "interval_no": pa.array([key[1].as_py()] * n, pa.int32()), **{c: pa.array(x, k) for c, x, k in zip(("chunk_no", "bit", "cell", "first"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)}})
+        return pa.table({"image_id": pa.array([key[0].as_py()] * n, group.schema.field("image_id").type), "interval_no": pa.array([key[1].as_py()] * n, pa.int32()), **{c: pa.array(x, k) for c, x, k in zip(("chunk_no", "bit", "cell", "first", "sums"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)}})
 
-    return steps.groupBy("image_id", "interval_no").applyInArrow(lambda key, group: fold(key, group), f"image_id {kind}, interval_no int, chunk_no int, bit int, cell int, first bigint")
+    return steps.groupBy("image_id", "interval_no").applyInArrow(lambda key, group: fold(key, group), f"image_id {kind}, interval_no int, chunk_no int, bit int, cell int, first bigint, sums array<bigint>")
 
 
 def cut_intervals(intervals: DataFrame, chunk_bytes: int) -> DataFrame:
-    """``chunk_no, chunks, bytes, data`` in place of ``data``: the bytes of each chunk, and ``TAIL`` more."""
+    """``chunk_no, chunks, bytes, data`` in place of ``data``: the bytes of each chunk, and what an MCU begun in it may need more."""
     n = F.ceil(F.greatest(F.length("data"), F.lit(1)) / chunk_bytes).cast("int")
     rows = intervals.withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     size = F.least(F.lit(chunk_bytes), F.length("data") - F.col("chunk_no") * chunk_bytes)
-    return rows.withColumn("bytes", size).withColumn("data", F.substring("data", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes + TAIL)))
+    return rows.withColumn("bytes", size).withColumn("data", F.substring("data", F.col("chunk_no") * chunk_bytes + 1, chunk_bytes + TAIL * F.size("cells")))
 
 
 def beginnings(chunks: DataFrame) -> DataFrame:
-    """``image_id, interval_no, chunk_no, bit, cell, first`` of every chunk that the data can be decoded up to.
+    """``image_id, interval_no, chunk_no, bit, cell, first, sums`` of every chunk that the data can be decoded up to.
 
     ``chunks`` are written down. Each round walks the entries that are known for a
     chunk and not walked yet: first the guesses, later what exact walks lead to.
@@ -313,6 +325,54 @@ def beginnings(chunks: DataFrame) -> DataFrame:
         entries = after.join(own, _KEY, "left").select(*_KEY, F.array_except("next", F.coalesce("own", none)).alias("entries")).filter("size(entries) > 0")
 
 
+def with_tables(intervals: DataFrame, tables: DataFrame) -> DataFrame:
+    """``intervals`` with the columns of their image's row in ``tables``.
+
+    A table row is copied for each ``GROUP`` intervals, so intervals are dealt out once at
+    most, by image and group, and a large image is many tasks. ``intervals`` are written down.
+    """
+    df = intervals.withColumn("_group", F.floor(F.col("interval_no") / GROUP))
+    copies = df.select("image_id", "_group").distinct().join(tables, "image_id")
+    return df.join(copies, ["image_id", "_group"]).drop("_group")
+
+
+def decodable(intervals: DataFrame, tables: DataFrame, chunk_bytes: int) -> list[DataFrame]:
+    """Rows that tasks can decode apart: whole intervals, and chunks of long ones if there are any.
+
+    Both have ``bit, cell, first, sums, bytes``: where to begin, with which unit of an MCU,
+    after how many units, from which DC values, and the bytes in which units may begin (null: all).
+    """
+    df = with_tables(intervals.select("image_id", "interval_no", "data"), tables)
+    begin = [F.lit(x).cast(k).alias(n) for n, x, k in (("bit", 0, "int"), ("cell", 0, "int"), ("first", 0, "bigint"), ("bytes", None, "int"))]
+    begin.append(F.array().cast("array<bigint>").alias("sums"))
+    long = (F.length("data") > chunk_bytes) & (F.col("frame_type") == 0)
+    cut = df.filter(long)
+    if cut.select("image_id").isEmpty():
+        return [df.select("*", *begin)]
+    chunks = stage(cut_intervals(cut, chunk_bytes).repartition(*_KEY), "chunks")
+    inside = chunks.join(beginnings(chunks), _KEY)
+    inside = inside.withColumn("bytes", F.when(F.col("chunk_no") < F.col("chunks") - 1, F.col("bytes"))).drop("chunk_no", "chunks")
+    return [df.filter(~F.coalesce(long, F.lit(False))).select("*", *begin), inside]
+
+
+_INFO = ["cells", "mcus", "restart_interval", "frame_type", "ss", "se", "ah", "al"]
+_BEGIN = ["bit", "cell", "first", "sums", "bytes"]
+
+
+def decoded_rows(batch: pa.RecordBatch, whole: bool = False):
+    """(place, row, lookups, seq of the first unit, units) of each row of ``batch`` that has units; ``units`` is an iterator."""
+    names = ["interval_no", "data", *_INFO, *_BEGIN]
+    for place, row in enumerate(zip(*(batch.column(n) for n in names), strict=True)):
+        r = {n: x.as_py() for n, x in zip(names, row, strict=True)}
+        number, gap, size = r["interval_no"], r["restart_interval"], r["bytes"]
+        begun = number * gap if gap else 0
+        use = _lookups(r["cells"])
+        count = (min(gap, r["mcus"] - begun) if gap else r["mcus"]) * len(use) - r["first"]
+        if count > 0 and not (number and not gap):
+            units = decode_interval(r["data"] or b"", use, count, r["frame_type"] != 0, r["ss"], r["se"], r["ah"], r["al"], r["bit"], r["cell"], None if size is None else 8 * size, whole)
+            yield place, r, use, begun * len(use) + r["first"], units
+
+
 def decode_units(intervals: DataFrame, tables: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """``image_id, interval_no, seq, component, dc_diff, pos, vals, error`` of every data unit.
 
@@ -321,42 +381,23 @@ def decode_units(intervals: DataFrame, tables: DataFrame, chunk_bytes: int = CHU
     Intervals are dealt out by image and number, so one image with restart markers
     uses many tasks. A baseline interval of more than ``chunk_bytes`` is cut into
     chunks (``intervals`` are written down); a progressive one is one task.
+    ``mcus.decode_mcus`` gives the same as blocks.
     """
-    info = ["cells", "mcus", "restart_interval", "frame_type", "ss", "se", "ah", "al"]
-    df = intervals.select("image_id", "interval_no", "data").join(tables.select("image_id", *info), "image_id")
-    whole = [F.lit(x).cast(k).alias(n) for n, x, k in (("bit", 0, "int"), ("cell", 0, "int"), ("first", 0, "bigint"), ("bytes", None, "int"))]
-    long = (F.length("data") > chunk_bytes) & (F.col("frame_type") == 0)
-    cut = df.filter(long)
-    if cut.select("image_id").isEmpty():
-        return _units(df.select("*", *whole).repartition("image_id", "interval_no"))
-    chunks = stage(cut_intervals(cut, chunk_bytes).repartition(*_KEY), "chunks")
-    inside = chunks.join(beginnings(chunks), _KEY)
-    inside = inside.withColumn("bytes", F.when(F.col("chunk_no") < F.col("chunks") - 1, F.col("bytes"))).drop("chunk_no", "chunks")
-    short = df.filter(~F.coalesce(long, F.lit(False))).select("*", *whole).repartition("image_id", "interval_no")
-    return _units(short).unionByName(_units(inside))
+    first, *more = [_units(df) for df in decodable(intervals, tables.select("image_id", *_INFO), chunk_bytes)]
+    return first.unionByName(more[0]) if more else first
 
 
 def _units(df: DataFrame) -> DataFrame:
     """Units of whole intervals, or of chunks: from ``bit`` on with ``cell``, after ``first`` units, none begun after ``bytes``."""
-    info = ["cells", "mcus", "restart_interval", "frame_type", "ss", "se", "ah", "al", "bit", "cell", "first", "bytes"]
     kind = df.schema["image_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows = []
-            at = []
-            names = ["interval_no", "data", *info]
-            for place, row in enumerate(zip(*(batch.column(n) for n in names), strict=True)):
-                number, data, cells, mcus, gap, frame, ss, se, ah, al, bit, cell, before, size = (x.as_py() for x in row)
-                begun = number * gap if gap else 0
-                count = min(gap, mcus - begun) if gap else mcus
-                use = _lookups(cells)
-                count, seq = count * len(use) - before, begun * len(use) + before
-                if count <= 0 or (number and not gap):
-                    continue
-                for k, (component, diff, pos, vals, error) in enumerate(decode_interval(data or b"", use, count, frame != 0, ss, se, ah, al, bit, cell, None if size is None else 8 * size)):
+            rows, at = [], []
+            for place, r, _, seq, units in decoded_rows(batch):
+                for k, (component, diff, pos, vals, error) in enumerate(units):
                     at.append(place)
-                    rows.append((number, seq + k, component, diff, pos, vals, error))
+                    rows.append((r["interval_no"], seq + k, component, diff, pos, vals, error))
                     if len(rows) > 20_000:
                         yield pack(batch, at, rows)
                         rows, at = [], []
@@ -371,7 +412,7 @@ def _units(df: DataFrame) -> DataFrame:
         cols = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(at)), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["image_id", *fields])
 
-    return df.select("image_id", "interval_no", "data", *info).mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, pos array<int>, vals array<int>, error string")
+    return df.select("image_id", "interval_no", "data", *_INFO, *_BEGIN).mapInArrow(run, f"image_id {kind}, interval_no int, seq bigint, component int, dc_diff int, pos array<int>, vals array<int>, error string")
 
 
 def with_huffman(components: DataFrame, tables: DataFrame) -> DataFrame:
@@ -387,21 +428,3 @@ def decode_errors(units: DataFrame) -> DataFrame:
     """Rows of ``errors`` for images whose entropy data can't be decoded."""
     bad = units.filter("error is not null")
     return bad.select("image_id", F.col("error").alias("code"), F.concat_ws("/", "interval_no", "seq").alias("detail"), F.lit(1_500_000).alias("ord"), F.lit(105).alias("step"))
-
-
-def coefficients(units: DataFrame, images: DataFrame) -> DataFrame:
-    """``image_id, component, du_row, du_col, coef``: decoded units as blocks in row order.
-
-    Addresses are arithmetic on ``seq`` and the image's few numbers (``cells`` of an
-    MCU, steps, MCUs across), so units are only windowed, never joined to a plan.
-    """
-    df = dc_predict(units.filter("error is null"), "seq", segment=F.floor(F.col("seq") / SEGMENT)).join(images.select("image_id", "cells", "step_h", "step_v", "across", "many", "frame_type", "ss", "ah", "al"), "image_id")
-    mcu, k = F.floor(F.col("seq") / F.size("cells")), (F.col("seq") % F.size("cells")).cast("int")
-    inside = F.when(F.col("many") & (F.col("component") == 1), k).otherwise(0)
-    row = F.floor(mcu / F.col("across")) * F.col("step_v") + F.floor(inside / F.col("step_h"))
-    col = mcu % F.col("across") * F.col("step_h") + inside % F.col("step_h")
-    dc = F.when(F.col("frame_type") == 0, F.col("dc")).when(F.col("ss") != 0, F.lit(0)).otherwise(F.when(F.col("ah") == 0, F.col("dc")).otherwise(F.col("dc_diff")) * F.call_function("shiftleft", F.lit(1), F.col("al")))
-    pos = F.concat(F.array(F.lit(0)), F.col("pos"))
-    val = F.concat(F.array(dc.cast("int")), F.col("vals"))
-    coef = dezigzag(densify(pos, val)).cast("array<smallint>")
-    return df.select("image_id", "component", row.cast("int").alias("du_row"), col.cast("int").alias("du_col"), coef.alias("coef"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import batches, coefficients, huffman, raster, segments, transform, validate
+from ..operators import batches, coefficients, huffman, mcus, raster, segments, transform, validate
 from ..sources.staging import stage
 
 
@@ -27,18 +27,19 @@ def image_table(segs: DataFrame) -> DataFrame:
 
 
 def _scan_tables(segs: DataFrame, images: DataFrame) -> DataFrame:
-    """``images`` with ``cells, step_h, step_v, across, many, mcus`` of their scan."""
+    """``images`` with ``cells, step_h, step_v, across, mcus`` of their scan; a cell has its component's tables."""
     c = segments.scan_components(segs).join(images.select("image_id", "zero_based", "h_samp", "v_samp", "components_in_scan"), "image_id")
     c = c.withColumn("component", F.col("scan_id") + F.col("zero_based").cast("int"))
     c = huffman.with_huffman(c, segments.huffman_tables(segs))
+    parts = segments.last_definition(segments.frame_components(segs), ["image_id", "component"], "ord").select("image_id", "component", "quant_id")
+    c = c.join(parts, ["image_id", "component"], "left").join(segments.quant_tables(segs).select("image_id", F.col("table_id").alias("quant_id"), "q"), ["image_id", "quant_id"], "left")
     times = F.when((F.col("component") == 1) & (F.col("components_in_scan") > 1), F.col("h_samp") * F.col("v_samp")).otherwise(1)
-    cell = F.struct("component", "dc_counts", "dc_symbols", "ac_counts", "ac_symbols")
+    cell = F.struct("component", "dc_counts", "dc_symbols", "ac_counts", "ac_symbols", "q")
     c = c.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("place", F.array_repeat(cell, times).alias("cells")))).alias("x"))
     c = c.select("image_id", F.flatten(F.transform("x", lambda x: x["cells"])).alias("cells"))
     df = images.join(c, "image_id")
     many = F.col("components_in_scan") > 1
     chroma = F.get("cells", 0)["component"] != 1
-    df = df.withColumn("many", many)
     for side in ("h", "v"):
         df = df.withColumn(f"step_{side}", F.when(many | chroma, F.col(f"{side}_samp")).otherwise(1))
     df = df.withColumn("across", F.ceil(F.col("du_width") / F.col("step_h")).cast("int"))
@@ -122,20 +123,17 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
     intervals = stage(segments.entropy_intervals(files) if "content" in files.columns else segments.entropy_ranges(files, chosen, range_bytes), "intervals")
     if t.repeated:  # files with this id are equal, or not among the images
         intervals = stage(intervals.join(scans.select("image_id"), "image_id", "left_semi").dropDuplicates(["image_id", "interval_no"]), "intervals-once")
-    units = stage(huffman.decode_units(intervals, scans, chunk_bytes), "units")
-    late = validate.scan_errors(intervals).join(scans.select("image_id"), "image_id", "left_semi").unionByName(huffman.decode_errors(units))
-    # a baseline scan that leaves components out, or ends before its last unit
-    got = units.filter("error is null").groupBy("image_id").agg(F.count("*").alias("n"))
-    short = scans.join(got, "image_id", "left").filter((F.col("frame_type") == 0) & ((F.col("components_in_scan") != F.col("num_components")) | (F.coalesce("n", F.lit(0)) < F.col("mcus") * F.size("cells"))))
+    rows = stage(mcus.decode_mcus(intervals, scans, chunk_bytes), "mcus")
+    late = validate.scan_errors(intervals).join(scans.select("image_id"), "image_id", "left_semi").unionByName(mcus.decode_errors(rows))
+    # a baseline scan that leaves components out, or ends before its last MCU
+    got = rows.filter("error is null").groupBy("image_id").agg(F.count("*").alias("n"))
+    short = scans.join(got, "image_id", "left").filter((F.col("frame_type") == 0) & ((F.col("components_in_scan") != F.col("num_components")) | (F.coalesce("n", F.lit(0)) < F.col("mcus"))))
     late = late.unionByName(short.select("image_id", F.lit("incomplete_scan").alias("code"), F.col("components_in_scan").cast("string").alias("detail"), F.lit(1_600_000).alias("ord"), F.lit(107).alias("step")))
     late = stage(late, "errors")
     errors = t.errors.unionByName(late)
     if not keep_partial:
         bad = late.select("image_id").distinct()
-        units = units.join(bad, "image_id", "left_anti")
-        fine = fine.join(bad, "image_id", "left_anti")
+        rows, scans, fine = (df.join(bad, "image_id", "left_anti") for df in (rows, scans, fine))
     errors = errors.unionByName(raster.too_large(fine))
-    blocks = coefficients.with_missing(stage(huffman.coefficients(units, scans), "blocks"), fine)
-    parts = segments.last_definition(segments.frame_components(chosen), ["image_id", "component"], "ord").select("image_id", "component", "quant_id")
-    sampled = transform.samples(transform.with_quant(blocks, parts, segments.quant_tables(chosen)))
-    return Decoded(fine, errors, blocks, transform.rgb_blocks(transform.pair_chroma(sampled, fine)))
+    blocks = coefficients.with_missing(mcus.blocks(rows), fine)
+    return Decoded(fine, errors, blocks, transform.rgb_blocks(mcus.pairs(mcus.with_missing(rows, scans))))
