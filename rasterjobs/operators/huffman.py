@@ -328,12 +328,13 @@ def beginnings(chunks: DataFrame) -> DataFrame:
 def with_tables(intervals: DataFrame, tables: DataFrame) -> DataFrame:
     """``intervals`` with the columns of their image's row in ``tables``.
 
-    A table row is copied for each ``GROUP`` intervals, so intervals are dealt out once at
-    most, by image and group, and a large image is many tasks. ``intervals`` are written down.
+    A table row is copied for each ``GROUP`` intervals, so intervals are dealt out once,
+    by image and group, and a large image is many tasks. ``intervals`` are written down.
+    A merge join: the planner may take entropy bytes for the side to broadcast.
     """
     df = intervals.withColumn("_group", F.floor(F.col("interval_no") / GROUP))
     copies = df.select("image_id", "_group").distinct().join(tables, "image_id")
-    return df.join(copies, ["image_id", "_group"]).drop("_group")
+    return df.join(copies.hint("merge"), ["image_id", "_group"]).drop("_group")
 
 
 def decodable(intervals: DataFrame, tables: DataFrame, chunk_bytes: int) -> list[DataFrame]:
@@ -361,12 +362,15 @@ _BEGIN = ["bit", "cell", "first", "sums", "bytes"]
 
 def decoded_rows(batch: pa.RecordBatch, whole: bool = False):
     """(place, row, lookups, seq of the first unit, units) of each row of ``batch`` that has units; ``units`` is an iterator."""
-    names = ["interval_no", "data", *_INFO, *_BEGIN]
-    for place, row in enumerate(zip(*(batch.column(n) for n in names), strict=True)):
-        r = {n: x.as_py() for n, x in zip(names, row, strict=True)}
+    names = ["interval_no", "data", *_INFO[1:], *_BEGIN]
+    last, cells = None, None  # neighbours mostly have equal tables
+    for place, (tables, *row) in enumerate(zip(*(batch.column(n) for n in ("cells", *names)), strict=True)):
+        if last is None or not tables.equals(last):
+            last, cells = tables, tables.as_py()
+        r = {"cells": cells} | {n: x.as_py() for n, x in zip(names, row, strict=True)}
         number, gap, size = r["interval_no"], r["restart_interval"], r["bytes"]
         begun = number * gap if gap else 0
-        use = _lookups(r["cells"])
+        use = _lookups(cells)
         count = (min(gap, r["mcus"] - begun) if gap else r["mcus"]) * len(use) - r["first"]
         if count > 0 and not (number and not gap):
             units = decode_interval(r["data"] or b"", use, count, r["frame_type"] != 0, r["ss"], r["se"], r["ah"], r["al"], r["bit"], r["cell"], None if size is None else 8 * size, whole)

@@ -9,18 +9,16 @@ out, summed or paired between the entropy data and RGB.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
-from ..functions.arrays import ZIGZAG
+from ..functions.arrays import BLUE_CB, GREEN_CB, GREEN_CR, RED_CR, SHIFT, ZIGZAG
 from . import huffman
 from .transform import idct8x8
 
-#: Blocks of which a task makes rows, or samples, at once.
+#: Blocks of which a task makes rows, or pixels, at once.
 UNITS = 1 << 13
 
 _FIELDS = {
@@ -141,20 +139,6 @@ def blocks(mcus: DataFrame) -> DataFrame:
     return df.select("image_id", "component", (F.col("du_row") + F.floor(inside / F.col("h"))).cast("int").alias("du_row"), (F.col("du_col") + inside % F.col("h")).cast("int").alias("du_col"), _block("coef", F.col("k")).alias("coef"))
 
 
-@pandas_udf(T.ArrayType(T.ShortType()))
-def samples(coef: pd.Series, quant: pd.Series) -> pd.Series:
-    """Dequantized (16 bits, wrapping around) and inverse-transformed blocks of each MCU."""
-    out, begin = [], 0
-    ends = np.cumsum([len(c) // 64 for c in coef])
-    while begin < len(coef):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + UNITS, "right")))
-        q = np.frombuffer(b"".join(quant.iloc[begin:end]), "<u2").astype(np.int32)
-        x = idct8x8((np.concatenate(coef.iloc[begin:end].to_list()).astype(np.int32) * q).astype(np.int16))
-        out += np.split(x.reshape(-1), 64 * (ends[begin : end - 1] - (ends[begin - 1] if begin else 0)))
-        begin = end
-    return pd.Series(out)
-
-
 def with_missing(mcus: DataFrame, scans: DataFrame) -> DataFrame:
     """``mcus`` and a row for each MCU that an image of ``scans`` lacks, without ``coef`` and ``quant``.
 
@@ -169,23 +153,54 @@ def with_missing(mcus: DataFrame, scans: DataFrame) -> DataFrame:
     return mcus.unionByName(g, allowMissingColumns=True)
 
 
-def pairs(mcus: DataFrame) -> DataFrame:
-    """``image_id, du_row, du_col, h, v, y, cb, cr``: luma units with the chroma that covers them, as ``pair_chroma`` gives them.
+def _planes(coef: np.ndarray, quant: np.ndarray, components: list[int], h: int, v: int) -> list[np.ndarray]:
+    """R, G, B of the luma units of MCUs of one layout, each (MCUs, units, 64).
 
-    A projection: the MCU has both. Missing blocks are zero. A scan of chroma alone has
-    the luma units that its blocks cover.
+    ``coef`` and ``quant`` are (MCUs, blocks, 64). Products wrap around to 16 bits.
+    """
+    x = idct8x8((coef.astype(np.int32) * quant).astype(np.int16).reshape(-1, 64)).reshape(coef.shape).astype(np.int64)
+    luma = [k for k, c in enumerate(components) if c == 1]
+    n = 1 if components == [1] else h * v
+    y = np.zeros((len(x), n, 64), np.int64)
+    y[:, : len(luma)] = x[:, luma]
+    row, col = np.divmod(np.arange(64), 8)
+    covers = np.array([8 * (row // v + 4 * (k // h)) + col // h + 4 * (k % h) for k in range(n)])  # the nearest chroma sample
+    cb, cr = (x[:, components.index(k)][:, covers] if k in components else np.zeros_like(y) for k in (2, 3))
+    planes = y + (RED_CR * cr >> SHIFT), y - (GREEN_CB * cb >> SHIFT) - (GREEN_CR * cr >> SHIFT), y + (BLUE_CB * cb >> SHIFT)
+    return [np.clip(p + 128, 0, 255).astype(np.int16) for p in planes]
+
+
+def rgb(mcus: DataFrame) -> DataFrame:
+    """``image_id, du_row, du_col, r, g, b`` of every luma unit, as ``rgb_blocks`` gives them for paired units.
+
+    An MCU has its chroma beside its luma, so this is one pass over rows, batch by
+    batch. Missing blocks, and blocks without steps, are zero. A scan of chroma alone
+    has the luma units that its blocks cover.
     """
-    zero = F.array_repeat(F.lit(0).cast("smallint"), 64)
-    # a UDF sees all rows, so those without steps are blank before it
-    known = F.col("coef").isNotNull() & F.col("quant").isNotNull()
-    sample = samples(F.when(known, F.col("coef")).otherwise(zero), F.when(known, F.col("quant")).otherwise(F.lit(bytes(128))))
-    df = mcus.select("image_id", "du_row", "du_col", "h", "v", "components", F.when(known, sample).alias("sample"))
-    luma = F.size(F.filter("components", lambda c: c == 1))
-    chroma = [F.coalesce(_block("sample", F.array_position("components", F.lit(k)).cast("int") - 1), zero) for k in (2, 3)]
-    chroma = [F.when(F.array_contains("components", k), c).otherwise(zero).alias(n) for k, c, n in zip((2, 3), chroma, ("cb", "cr"), strict=True)]
-    alone = (F.size("components") == 1) & (luma == 1)
-    units = F.when(alone, 1).otherwise(F.col("h") * F.col("v"))
-    df = df.select("image_id", "du_row", "du_col", "h", "v", "sample", luma.alias("luma"), *chroma, F.explode(F.sequence(F.lit(0), units - 1)).alias("k"))
-    y = F.when(F.col("k") < F.col("luma"), F.coalesce(_block("sample", F.col("k")), zero)).otherwise(zero)
-    row, col = F.col("du_row") + F.floor(F.col("k") / F.col("h")), F.col("du_col") + F.col("k") % F.col("h")
-    return df.select("image_id", row.cast("int").alias("du_row"), col.cast("int").alias("du_col"), "h", "v", y.alias("y"), "cb", "cr")
+    kind = mcus.schema["image_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            layouts: dict = {}
+            for i, (h, v, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "v", "components")), strict=True)):
+                layouts.setdefault((h, v, tuple(parts)), []).append(i)
+            for (h, v, parts), rows in layouts.items():
+                step = max(1, UNITS // len(parts))
+                for at in range(0, len(rows), step):
+                    yield part(batch.take(pa.array(rows[at : at + step])), h, v, list(parts))
+
+    def part(batch, h, v, parts):
+        zero = bytes(128 * len(parts))
+        known = pc.and_(batch.column("coef").is_valid(), batch.column("quant").is_valid()).to_numpy(zero_copy_only=False)
+        coef = np.zeros((batch.num_rows, len(parts), 64), np.int16)
+        coef[known] = batch.column("coef").filter(pa.array(known)).flatten().to_numpy().reshape(-1, len(parts), 64)
+        quant = np.frombuffer(b"".join(q or zero for q in batch.column("quant").to_pylist()), "<u2").reshape(coef.shape).astype(np.int32)
+        planes = _planes(coef, quant, parts, h, v)
+        n = planes[0].shape[1]
+        k = np.tile(np.arange(n), batch.num_rows)
+        row, col = (np.repeat(batch.column(c).to_numpy(), n) for c in ("du_row", "du_col"))
+        ends = pa.array(np.arange(0, 64 * len(k) + 1, 64), pa.int32())
+        ids = batch.column("image_id").take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(row + k // h, pa.int32()), pa.array(col + k % h, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(p.reshape(-1))) for p in planes)], ["image_id", "du_row", "du_col", "r", "g", "b"])
+
+    return mcus.select("image_id", "du_row", "du_col", "h", "v", "components", "quant", "coef").mapInArrow(run, f"image_id {kind}, du_row int, du_col int, r array<smallint>, g array<smallint>, b array<smallint>")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import batches, coefficients, huffman, mcus, raster, segments, transform, validate
+from ..operators import batches, coefficients, huffman, mcus, raster, segments, validate
 from ..sources.staging import stage
 
 
@@ -136,4 +136,4 @@ def decode(files: DataFrame, *, slots: int | None = None, keep_partial: bool = F
         rows, scans, fine = (df.join(bad, "image_id", "left_anti") for df in (rows, scans, fine))
     errors = errors.unionByName(raster.too_large(fine))
     blocks = coefficients.with_missing(mcus.blocks(rows), fine)
-    return Decoded(fine, errors, blocks, transform.rgb_blocks(mcus.pairs(mcus.with_missing(rows, scans))))
+    return Decoded(fine, errors, blocks, mcus.rgb(mcus.with_missing(rows, scans)))

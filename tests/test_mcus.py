@@ -57,22 +57,32 @@ def test_from_decoder_to_rgb_is_a_projection(spark):
     plain = transform.samples(mcus.blocks(units).join(steps, ["image_id", "component"]))
     plain = transform.rgb_blocks(transform.pair_chroma(plain, done.images))
     assert sorted(map(str, done.rgb.collect())) == sorted(map(str, plain.collect()))
-    plan = transform.rgb_blocks(mcus.pairs(units))._jdf.queryExecution().executedPlan().toString()
-    after = plan[: plan.index("MapInArrow")]
+    plan = mcus.rgb(units)._jdf.queryExecution().executedPlan().toString()
+    after = plan.split("MapInArrow")[1]  # from RGB down to the decoder
     assert not any(x in after for x in ("Exchange", "Join", "Aggregate", "Window"))
 
 
+def test_missing_rows_and_chroma_alone(spark):
+    row = "image_id long, mcu long, du_row int, du_col int, h int, v int, components array<int>, coef array<short>, quant binary"
+    steps, dc = bytes([1, 0]) * 64, [8 * 50] + [0] * 63
+    df = spark.createDataFrame([(1, 0, 0, 0, 2, 1, [1, 1, 2, 3], None, None), (2, 0, 4, 2, 2, 2, [3], dc, steps), (None, 0, 0, 0, 1, 1, [1], dc, steps), (3, 0, 0, 0, 2, 2, [1], dc, None)], row)
+    got = {(r.image_id, r.du_row, r.du_col): (set(r.r), set(r.g), set(r.b)) for r in mcus.rgb(df).collect()}
+    gray = ({128},) * 3
+    assert {k for k, x in got.items() if x == gray} == {(1, 0, 0), (1, 0, 1), (3, 0, 0)}
+    y, = got[None, 0, 0][0]
+    assert got[None, 0, 0] == ({y},) * 3 and y > 128
+    reds = [got[2, r, c] for r in (4, 5) for c in (2, 3)]
+    assert len(got) == 8 and all(x == reds[0] for x in reds) and reds[0][2] == {128} and min(reds[0][0]) > 128 > max(reds[0][1])
+    assert mcus.rgb(df.limit(0)).collect() == []
+
+
 def test_entropy_bytes_are_dealt_out_once(spark):
     intervals, tables = _parts(spark, [(1, bytearray(X.encode(_units(1, 20, 8, 1, 1), 64, 160, h=1, v=1, restart=1)))])
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        df = huffman.with_tables(intervals.select("image_id", "interval_no", "data"), tables.select("image_id", "mcus"))
-        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-        assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bdata#", plan)) == 1
-        got = df.withColumn("task", F.spark_partition_id()).collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    df = huffman.with_tables(intervals.select("image_id", "interval_no", "data"), tables.select("image_id", "mcus"))
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*\bdata#", plan)) == 1
+    assert not re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[[^\]]*\bdata#", plan)
+    got = df.collect()
     assert sorted(r.interval_no for r in got) == list(range(160))
 
 
