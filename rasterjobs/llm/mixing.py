@@ -18,8 +18,8 @@ from pyspark.sql.window import Window as W
 
 from .common import small
 
-#: Most membership patterns a mix may have; the flow is solved on the driver.
-MOST_PATTERNS = 100_000
+#: Most membership patterns a mix may have; their sizes and flows are held on the driver.
+MOST_PATTERNS = 1_000_000
 #: The key of documents without a source.
 NULL = "\0"
 #: Documents of a pattern are ordered by hash in so many slices, summed apart.
@@ -96,6 +96,41 @@ def min_cost_flow(capacity: list[int], quota: list[int], member: list[list[int]]
     return [{s: room[e ^ 1] for s, e in r.items() if room[e ^ 1]} for r in routes]
 
 
+def route(capacity: list[int], quota: list[int], member: list[list[int]], copies: int) -> list[dict[int, int]]:
+    """``min_cost_flow``, solved apart for each group of patterns that sources connect.
+
+    A pattern alone with its only source takes the quota, as far as its copies
+    reach; so sources that don't overlap cost one step each.
+    """
+    head = list(range(len(quota)))
+
+    def find(s: int) -> int:
+        while head[s] != s:
+            head[s] = head[head[s]]
+            s = head[s]
+        return s
+
+    for m in member:
+        for s in m[1:]:
+            head[find(s)] = find(m[0])
+    groups: dict[int, list[int]] = {}
+    for p, m in enumerate(member):
+        if m:
+            groups.setdefault(find(m[0]), []).append(p)
+    out: list[dict[int, int]] = [{} for _ in member]
+    for patterns in groups.values():
+        if len(patterns) == 1 and len(member[patterns[0]]) == 1:
+            p, s = patterns[0], member[patterns[0]][0]
+            out[p] = {s: min(quota[s], copies * capacity[p])}
+            continue
+        here = sorted({s for p in patterns for s in member[p]})
+        place = {s: i for i, s in enumerate(here)}
+        flows = min_cost_flow([capacity[p] for p in patterns], [quota[s] for s in here], [[place[s] for s in member[p]] for p in patterns], copies)
+        for p, flow in zip(patterns, flows, strict=True):
+            out[p] = {here[s]: x for s, x in flow.items()}
+    return out
+
+
 def source_key(name: Column) -> Column:
     """A source's name as the key of a map: null is U+0000, and a name that begins with U+0000 has one more."""
     return F.when(name.isNull(), NULL).when(F.startswith(name, F.lit(NULL)), F.concat(F.lit(NULL), name)).otherwise(name)
@@ -130,11 +165,14 @@ def mix(docs: DataFrame, *, sources: str, size: str, key: str, weights, total: i
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     counted.sort(key=lambda r: r._pattern)
     order = sorted({s for r in counted for s in r._pattern}, key=lambda s: (s == NULL, s))
-    sizes = {s: sum(r.tokens for r in counted if s in r._pattern) for s in order}
+    sizes = dict.fromkeys(order, 0)
+    for r in counted:
+        for s in r._pattern:
+            sizes[s] += r.tokens
     total = sum(r.tokens for r in counted) if total is None else total
     want = targets(sizes, weights(order), total, copies) if sizes and total else dict.fromkeys(order, 0.0)
     index = {s: i for i, s in enumerate(order)}
-    flows = min_cost_flow([r.tokens for r in counted], [round(want[s]) for s in order], [[index[s] for s in r._pattern] for r in counted], copies)
+    flows = route([r.tokens for r in counted], [round(want[s]) for s in order], [[index[s] for s in r._pattern] for r in counted], copies)
 
     # stretches of each pattern's flow: where a source's part begins and ends
     rows = []

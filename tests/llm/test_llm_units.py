@@ -100,6 +100,19 @@ def test_flow_against_brute_force():
         assert (-sum(sum(f.values()) for f in got), _flow_cost(cap, got, 2)) == best
 
 
+def test_groups_of_sources_are_routed_apart():
+    rng = random.Random(6)
+    for _ in range(60):
+        n, m = rng.randint(0, 6), rng.randint(1, 6)
+        cap = [rng.randint(0, 9) for _ in range(n)]
+        quota = [rng.randint(0, 20) for _ in range(m)]
+        member = [sorted(rng.sample(range(m), rng.randint(0, min(m, 2)))) for _ in range(n)]
+        got, want = mixing.route(cap, quota, member, 3), mixing.min_cost_flow(cap, quota, member, 3)
+        assert sum(sum(f.values()) for f in got) == sum(sum(f.values()) for f in want) and _flow_cost(cap, got, 3) == _flow_cost(cap, want, 3)
+        assert all(set(f) <= set(member[p]) and sum(f.values()) <= 3 * cap[p] for p, f in enumerate(got))
+        assert all(sum(f.get(s, 0) for f in got) <= q for s, q in enumerate(quota))
+
+
 def test_targets_stop_at_the_cap():
     t = mixing.targets({"a": 1, "b": 10, "c": 100}, {"a": 3, "b": 2, "c": 1}, 111, 3)
     assert t == {"a": 3.0, "b": 30.0, "c": 78.0}
