@@ -2,8 +2,10 @@
 
 A shared run of ``n`` words holds ``n - k + 1`` k-grams, and winnowing over
 windows of that many keeps at least one of them on both sides. So joining kept
-fingerprints finds every document that may hold a window of an item; the words
-around the hits are then compared one by one.
+fingerprints finds every document that may hold a window of an item. A hit is
+extended inside its document to the windows around it, and only those that some
+item holds too come back to the document, where their words are compared one by
+one. A fingerprint that many documents and items share so makes no pairs of them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, BROADCAST_BYTES, ngram_hashes, slices, small, stage, text_words, winnow
+from .common import ALNUM_LOWER, ngram_hashes, slices, small, stage, text_words, winnow
 
 #: Most fingerprints of test items that are sent to tasks as one sorted array (8 MiB).
 MOST_PRINTS = 1 << 20
@@ -24,34 +26,84 @@ def item_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ALNUM_LOWER).split()
 
 
-def _prints(words: np.ndarray, n: int, k: int, lengths: list[int], short_only: bool):
-    """Fingerprints of one text's words as (length class, hash); class 0: winnowed k-grams."""
-    if short_only and len(words) < n:
-        lengths, grams = [len(words)] if len(words) else [], np.empty(0, np.uint64)
-    else:
-        lengths = [] if short_only else lengths
-        grams = ngram_hashes(words, k) if len(words) >= n else np.empty(0, np.uint64)
-    out = [(0, np.unique(grams[winnow(grams, n - k + 1)]))]
-    return out + [(m, np.unique(ngram_hashes(words, m))) for m in lengths]
+def _prints(words: np.ndarray, n: int, k: int, lengths: list[int]):
+    """``(length, fingerprints, where they begin)``: winnowed k-grams stand under ``n``, whole runs under their length."""
+    if len(words) >= n:
+        grams = ngram_hashes(words, k)
+        at = winnow(grams, n - k + 1)
+        yield n, grams[at], at
+    for m in lengths:
+        runs = ngram_hashes(words, m)
+        yield m, runs, np.arange(len(runs))
 
 
-def _print_rows(df: DataFrame, id_type: str, n: int, k: int, lengths: list[int], keep, short_only: bool) -> DataFrame:
+def _item_prints(items: DataFrame, n: int, k: int) -> DataFrame:
+    """Fingerprints of each item; one of fewer than ``n`` words has one, of all its words."""
+
     def run(batches):
         for batch in slices(batches):
-            ids, classes, hashes, counts = batch.column("id"), [], [], []
+            lengths, hashes = [], []
             for (words,) in text_words(batch.column("text"), ALNUM_LOWER):
-                found = _prints(words, n, k, lengths, short_only)
-                if keep is not None:
-                    found = [(m, h[np.isin(h, keep.value, assume_unique=True)]) for m, h in found]
-                counts.append(sum(len(h) for _, h in found))
-                for m, h in found:
-                    classes.append(np.full(len(h), m, np.int32))
+                for m, h, _ in _prints(words, n, k, [len(words)] if 0 < len(words) < n else []):
+                    h = np.unique(h)
+                    lengths.append(np.full(len(h), m, np.int32))
                     hashes.append(h)
-            if sum(counts):
-                at = np.repeat(np.arange(len(counts)), counts)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "len", "hash"])
+            if hashes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lengths)), pa.array(np.concatenate(hashes).view(np.int64))], ["len", "hash"])
+
+    return items.select("text").mapInArrow(run, "len int, hash long").distinct()
+
+
+def _item_windows(items: DataFrame, n: int) -> DataFrame:
+    """``len, window, words, items``: each window that items hold once, its hash and the items that hold it."""
+
+    def run(batches):
+        for batch in slices(batches):
+            lengths, windows, grams, names = [], [], [], []
+            for text, item, (words,) in zip(batch.column("text"), batch.column("item").to_pylist(), text_words(batch.column("text"), ALNUM_LOWER), strict=True):
+                size = min(n, len(words))
+                w = item_words(text.as_py())
+                new = {b" ".join(w[i : i + size]): h for i, h in enumerate(ngram_hashes(words, size).view(np.int64).tolist())} if size else {}
+                lengths += [size] * len(new)
+                windows += new.values()
+                grams += new
+                names += [item] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(windows, pa.int64()), pa.array(grams, pa.binary()), pa.array(names, pa.string())], ["len", "window", "words", "item"])
+
+    rows = items.mapInArrow(run, "len int, window long, words binary, item string")
+    return rows.groupBy("len", "window", "words").agg(F.collect_set("item").alias("items"))
+
+
+def _near_windows(docs: DataFrame, id_type: str, n: int, k: int, lengths: list[int], keep) -> DataFrame:
+    """``id, len, hash, window``: a document's fingerprints, each with the hashes of the windows around it."""
 
-    return df.mapInArrow(run, f"id {id_type}, len int, hash long")
+    def run(batches):
+        for batch in slices(batches):
+            counts, sizes, hashes, windows = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for (words,) in text_words(batch.column("text"), ALNUM_LOWER):
+                count = 0
+                for m, h, at in _prints(words, n, k, lengths):
+                    if keep is not None:
+                        among = np.isin(h, keep.value)
+                        h, at = h[among], at[among]
+                    if not len(h):
+                        continue
+                    around = ngram_hashes(words, m)
+                    begins = at[:, None] - np.arange(n - k + 1 if m == n else 1)
+                    inside = (begins >= 0) & (begins < len(around))
+                    h, w = np.broadcast_to(h[:, None], begins.shape)[inside], around[begins[inside]]
+                    order = np.lexsort((w, h))
+                    h, w = h[order], w[order]
+                    new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1]))
+                    hashes.append(h[new])
+                    windows.append(w[new])
+                    sizes += [m] * int(new.sum())
+                    count += int(new.sum())
+                counts.append(count)
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(windows).view(np.int64))], ["id", "len", "hash", "window"])
+
+    return docs.mapInArrow(run, f"id {id_type}, len int, hash long, window long")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, k: int = 5) -> DataFrame:
@@ -66,31 +118,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
-    t = items.select(F.monotonically_increasing_id().alias("id"), F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("text"))
+    t = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("text"))
     t = stage(t, "items")
-    test = stage(_print_rows(t, "long", n, k, [], None, True), "item-prints")
-    lengths = sorted(r.len for r in test.filter("len > 0").select("len").distinct().collect())  # at most n - 1
+    test = stage(_item_prints(t, n, k), "item-prints")
+    lengths = sorted(r.len for r in test.filter(F.col("len") < n).select("len").distinct().collect())  # at most n - 1
     prints = test.select("hash").distinct()
     keep = None
     if prints.limit(MOST_PRINTS + 1).count() <= MOST_PRINTS:
         keep = spark.sparkContext.broadcast(np.sort(prints.toArrow()["hash"].to_numpy().view(np.uint64)))
 
     id_type = d.schema["id"].dataType.simpleString()
-    train = _print_rows(d, id_type, n, k, lengths, keep, False)
-    pairs = train.join(small(test.withColumnRenamed("id", "tid")), ["len", "hash"]).select("id", "tid").distinct()
-    found = pairs.join(small(t.select(F.col("id").alias("tid"), "item", F.col("text").alias("itext"))), "tid")
-    found = stage(found.groupBy("id").agg(F.collect_list(F.struct("item", "itext")).alias("items")), "candidates")
-    size = found.agg(F.count("*").alias("rows"), F.sum(F.expr("aggregate(items, 0L, (s, x) -> s + length(x.itext) + 64)")).alias("bytes")).first()
-    if (size.bytes or 0) <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    both = d.join(found.withColumnRenamed("id", "cid"), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "items")
+    near = _near_windows(d, id_type, n, k, lengths, keep).join(small(test), ["len", "hash"], "left_semi")
+    near = stage(near.select("id", "len", "window").distinct(), "near-windows")
+    windows = _item_windows(t, n).join(small(near.select("len", "window").distinct()), ["len", "window"], "left_semi")
+    found = near.join(small(stage(windows, "item-windows")), ["len", "window"])
+    found = stage(found.groupBy("id").agg(F.collect_list(F.struct("words", "items")).alias("windows")), "candidates")
+    both = d.join(small(found.withColumnRenamed("id", "cid")), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "windows")
 
     def verify(batches):
         for batch in slices(batches):
             words, hits, names = [], [], []
-            for text, near in zip(batch.column("text"), batch.column("items"), strict=True):
+            for text, near in zip(batch.column("text"), batch.column("windows"), strict=True):
                 w = item_words(text.as_py())
-                hit, which = _extend(w, near.as_py() or [], n)
+                hit, which = _extend(w, near.as_py() or [])
                 words.append(len(w))
                 hits.append(hit)
                 names.append(which)
@@ -100,24 +150,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return out.withColumnRenamed("id", doc_id)
 
 
-def _extend(words: list[bytes], near: list[dict], n: int) -> tuple[int, list[str]]:
-    """Words of a document inside windows of the items in ``near``, and which items."""
+def _extend(words: list[bytes], near: list[dict]) -> tuple[int, list[str]]:
+    """Words of a document inside the windows in ``near``, compared word by word, and the items that hold these."""
     hit = np.zeros(len(words), bool)
     named: set[str] = set()
-    starts: dict[int, dict[tuple, set]] = {}
+    sizes: dict[int, dict[tuple, list]] = {}
     for x in near:
-        item = item_words(x["itext"])
-        size = min(n, len(item))
-        windows = starts.setdefault(size, {}) if size else {}
-        for i in range(len(item) - size + 1 if size else 0):
-            windows.setdefault(tuple(item[i : i + size]), set()).add(x["item"])
-    for size, windows in starts.items():
+        window = tuple(x["words"].split())
+        sizes.setdefault(len(window), {})[window] = x["items"]
+    for size, windows in sizes.items():
         first = {w[0] for w in windows}
+        seen = set()
         for i in range(len(words) - size + 1):
-            if words[i] in first and (who := windows.get(tuple(words[i : i + size]))):
+            if words[i] in first and (window := tuple(words[i : i + size])) in windows:
                 hit[i : i + size] = True
-                named |= who
-    return int(hit.sum()), sorted(x for x in named if x is not None)
+                seen.add(window)
+        for window in seen:
+            named.update(windows[window])
+    return int(hit.sum()), sorted(named)
 
 
 def contaminated() -> Column:

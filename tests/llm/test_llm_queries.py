@@ -1,7 +1,9 @@
 """The queries against SQL, brute force, held-out labels and awkward tables."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -294,6 +296,50 @@ def test_mix_of_overlapping_sources(spark):
     assert {len(r.taken) for r in with_no_source.collect()} == {0}
 
 
+def _hits_brute(text, items, n=13):
+    w = decontaminate.item_words((text or "").encode())
+    hit, names = set(), set()
+    for item, t in items:
+        x = decontaminate.item_words((t or "").encode())
+        size = min(n, len(x))
+        windows = {tuple(x[i : i + size]) for i in range(len(x) - size + 1)} if size else set()
+        for i in range(len(w) - size + 1):
+            if tuple(w[i : i + size]) in windows:
+                hit.update(range(i, i + size))
+                names.add(item)
+    return len(w), len(hit), sorted(str(x) for x in names if x is not None)
+
+
+@pytest.mark.parametrize("prints", [decontaminate.MOST_PRINTS, 0])
+def test_a_shared_fingerprint_makes_no_pairs(spark, monkeypatch, prints):
+    """Many documents and items share seven words: only documents that hold a window of an item get windows of it."""
+    monkeypatch.setattr(decontaminate, "MOST_PRINTS", prints)
+    tables = {}
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: tables.setdefault(name, common.stage(df, name)))
+    rng, line = random.Random(11), "the seven words that all texts share"
+    items = [(i, " ".join([f"i{i}x{j}" for j in range(15)] + [line] + [f"i{i}y{j}" for j in range(15)])) for i in range(40)]
+    items += [(50, "short item"), (51, "Short, ITEM"), (52, None), (53, " .. "), (None, items[3][1]), (54, items[4][1])]
+    docs = [(i, " ".join([f"d{i}x{j}" for j in range(12)] + [line] + [f"d{i}y{j}" for j in range(12)])) for i in range(60)]
+    for i in (3, 4, 5):
+        words = items[i][1].split()
+        for size in (12, 13, 20, len(words)):
+            at = rng.randrange(len(words) - size + 1)
+            docs.append((100 + len(docs), " ".join(["before"] * 3 + words[at : at + size] + ["after"] * 3)))
+    docs += [(7, "a short item, and a SHORT item"), (7, items[5][1]), (None, items[3][1]), (None, None), (8, "")]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    key = lambda r: (r[0] or -1, r[1:])
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=key) == sorted(((i, *_hits_brute(t, items)) for i, t in docs), key=key)
+    assert tables["candidates"].filter("id < 60 and id != 7").count() == 0 and tables["item-windows"].count() < 100
+
+
+def test_many_sources_take_a_step_each(spark):
+    df = spark.range(200_000).selectExpr("id", "id % 7 size", "array(cast(id as string)) src")
+    began = time.time()
+    out = mixing.mix(df, sources="src", size="size", key="id", weights=mixing.cycle_weights)
+    row = out.selectExpr("count(*) n", "sum(taken[src[0]]) took", "sum(size) size", "max(taken[src[0]] - 3 * size) over_size").first()
+    assert row.n == 200_000 and row.over_size <= 0 and abs(row.took - row["size"]) < 100_000 and time.time() - began < 60
+
+
 def test_joins_without_the_bitmap_or_broadcasts(spark, same, monkeypatch):
     monkeypatch.setattr(common.Repeated.__init__, "__defaults__", (1,))
     monkeypatch.setattr(common.small, "__defaults__", (0,))
