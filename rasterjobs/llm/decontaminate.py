@@ -4,8 +4,9 @@ A shared run of ``n`` words holds ``n - k + 1`` k-grams, and winnowing over
 windows of that many keeps at least one of them on both sides. So joining kept
 fingerprints finds every document that may hold a window of an item. A hit is
 extended inside its document to the windows around it, and only those that some
-item holds too come back to the document, where their words are compared one by
-one. A fingerprint that many documents and items share so makes no pairs of them.
+item holds are taken on: they go to all tasks if their size, which the items
+bound, allows that, else to their documents by a join. There words are compared
+one by one. A fingerprint that many documents and items share so makes no pairs of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER, ngram_hashes, slices, small, stage, text_words, winnow
+from .common import ALNUM_LOWER, BROADCAST_BYTES, BROADCAST_ROWS, ngram_hashes, slices, small, stage, text_words, winnow
 
 #: Most fingerprints of test items that are sent to tasks as one sorted array (8 MiB).
 MOST_PRINTS = 1 << 20
@@ -26,6 +27,11 @@ def item_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ALNUM_LOWER).split()
 
 
+def _among(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in ``values``, which are sorted and at least one."""
+    return values[np.minimum(np.searchsorted(values, h), len(values) - 1)] == h
+
+
 def _prints(words: np.ndarray, n: int, k: int, lengths: list[int]):
     """``(length, fingerprints, where they begin)``: winnowed k-grams stand under ``n``, whole runs under their length."""
     if len(words) >= n:
@@ -84,8 +90,8 @@ def _near_windows(docs: DataFrame, id_type: str, n: int, k: int, lengths: list[i
                 count = 0
                 for m, h, at in _prints(words, n, k, lengths):
                     if keep is not None:
-                        among = np.isin(h, keep.value)
-                        h, at = h[among], at[among]
+                        held = _among(h, keep.value)
+                        h, at = h[held], at[held]
                     if not len(h):
                         continue
                     around = ngram_hashes(words, m)
@@ -124,24 +130,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     lengths = sorted(r.len for r in test.filter(F.col("len") < n).select("len").distinct().collect())  # at most n - 1
     prints = test.select("hash").distinct()
     keep = None
-    if prints.limit(MOST_PRINTS + 1).count() <= MOST_PRINTS:
+    if 0 < prints.limit(MOST_PRINTS + 1).count() <= MOST_PRINTS:
         keep = spark.sparkContext.broadcast(np.sort(prints.toArrow()["hash"].to_numpy().view(np.uint64)))
 
     id_type = d.schema["id"].dataType.simpleString()
     near = _near_windows(d, id_type, n, k, lengths, keep).join(small(test), ["len", "hash"], "left_semi")
     near = stage(near.select("id", "len", "window").distinct(), "near-windows")
     windows = _item_windows(t, n).join(small(near.select("len", "window").distinct()), ["len", "window"], "left_semi")
-    found = near.join(small(stage(windows, "item-windows")), ["len", "window"])
-    found = stage(found.groupBy("id").agg(F.collect_list(F.struct("words", "items")).alias("windows")), "candidates")
-    both = d.join(small(found.withColumnRenamed("id", "cid")), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "windows")
+    windows = stage(windows, "item-windows")
+    size = windows.agg(F.count("*").alias("rows"), F.sum(F.length("words") + F.length(F.array_join("items", ","))).alias("bytes")).first()
+    if size.rows <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
+        both, held = d, spark.sparkContext.broadcast(windows.toArrow())
+    else:
+        found = near.join(windows, ["len", "window"]).groupBy("id").agg(F.collect_list(F.struct("window", "words", "items")).alias("windows"))
+        both, held = d.join(small(stage(found.withColumnRenamed("id", "cid"), "candidates")), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "windows"), None
 
     def verify(batches):
+        known = _by_length(held.value.to_pylist()) if held else None
         for batch in slices(batches):
             words, hits, names = [], [], []
-            for text, near in zip(batch.column("text"), batch.column("windows"), strict=True):
-                w = item_words(text.as_py())
-                hit, which = _extend(w, near.as_py() or [])
-                words.append(len(w))
+            near = [None] * batch.num_rows if held else batch.column("windows")
+            for text, (hashes,), x in zip(batch.column("text"), text_words(batch.column("text"), ALNUM_LOWER), near, strict=True):
+                hit, which = _extend(text, hashes, known if held else _by_length(x.as_py() or []))
+                words.append(len(hashes))
                 hits.append(hit)
                 names.append(which)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "n_hit", "items"])
@@ -150,23 +161,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return out.withColumnRenamed("id", doc_id)
 
 
-def _extend(words: list[bytes], near: list[dict]) -> tuple[int, list[str]]:
-    """Words of a document inside the windows in ``near``, compared word by word, and the items that hold these."""
-    hit = np.zeros(len(words), bool)
+def _by_length(windows: list[dict]) -> dict[int, tuple[np.ndarray, dict[tuple, list]]]:
+    """Windows by their number of words: their hashes, sorted, and the items that hold each."""
+    hashes: dict[int, list] = {}
+    words: dict[int, dict[tuple, list]] = {}
+    for x in windows:
+        window = tuple(x["words"].split(b" "))
+        hashes.setdefault(len(window), []).append(x["window"])
+        words.setdefault(len(window), {})[window] = x["items"]
+    return {size: (np.sort(np.array(h, np.int64).view(np.uint64)), words[size]) for size, h in hashes.items()}
+
+
+def _extend(text: pa.Scalar, hashes: np.ndarray, windows: dict) -> tuple[int, list[str]]:
+    """Words of a document inside ``windows`` and the items that hold these; where hashes agree, words are compared one by one."""
+    hit = np.zeros(len(hashes), bool)
     named: set[str] = set()
-    sizes: dict[int, dict[tuple, list]] = {}
-    for x in near:
-        window = tuple(x["words"].split())
-        sizes.setdefault(len(window), {})[window] = x["items"]
-    for size, windows in sizes.items():
-        first = {w[0] for w in windows}
+    words = None
+    for size, (values, items) in windows.items():
         seen = set()
-        for i in range(len(words) - size + 1):
-            if words[i] in first and (window := tuple(words[i : i + size])) in windows:
+        for i in np.flatnonzero(_among(ngram_hashes(hashes, size), values)).tolist():
+            words = item_words(text.as_py()) if words is None else words
+            if (window := tuple(words[i : i + size])) in items:
                 hit[i : i + size] = True
                 seen.add(window)
         for window in seen:
-            named.update(windows[window])
+            named.update(items[window])
     return int(hit.sum()), sorted(named)
 
 

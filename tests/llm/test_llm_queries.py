@@ -314,6 +314,7 @@ def _hits_brute(text, items, n=13):
 def test_a_shared_fingerprint_makes_no_pairs(spark, monkeypatch, prints):
     """Many documents and items share seven words: only documents that hold a window of an item get windows of it."""
     monkeypatch.setattr(decontaminate, "MOST_PRINTS", prints)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", prints)
     tables = {}
     monkeypatch.setattr(decontaminate, "stage", lambda df, name: tables.setdefault(name, common.stage(df, name)))
     rng, line = random.Random(11), "the seven words that all texts share"
@@ -329,7 +330,9 @@ def test_a_shared_fingerprint_makes_no_pairs(spark, monkeypatch, prints):
     got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     key = lambda r: (r[0] or -1, r[1:])
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=key) == sorted(((i, *_hits_brute(t, items)) for i, t in docs), key=key)
-    assert tables["candidates"].filter("id < 60 and id != 7").count() == 0 and tables["item-windows"].count() < 100
+    assert tables["item-windows"].count() < 100
+    if not prints:
+        assert tables["candidates"].filter("cid < 60 and cid != 7").count() == 0
 
 
 def test_many_sources_take_a_step_each(spark):
