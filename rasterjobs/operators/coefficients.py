@@ -8,6 +8,9 @@ from pyspark.sql.window import Window as W
 
 from ..sources.staging import range_slices, shard_key
 
+#: Units of a scan plan that a task lays out.
+PLAN_UNITS = 1 << 20
+
 
 def dc_predict(units: DataFrame, *order: str, segment: Column | None = None) -> DataFrame:
     """``dc``: running sum of ``dc_diff`` of an image's component within a restart interval.
@@ -51,6 +54,10 @@ def scan_plan(images: DataFrame, components: DataFrame) -> DataFrame:
     several components interleaves h x v luma units with one unit of each chroma
     component per MCU; a scan of one component takes its units one by one. Chroma
     units have luma coordinates. Image sizes only drive sequences: no join of units.
+
+    Images are dealt out by ``image_id`` before they are laid out, to one task for each
+    ``PLAN_UNITS`` units (counted first): units are made where their image is, and
+    sums by image and what else tells its units apart need no exchange of them.
     """
     c = components.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("place", "component"))).alias("cs"))
     df = images.join(c, "image_id")
@@ -60,14 +67,17 @@ def scan_plan(images: DataFrame, components: DataFrame) -> DataFrame:
     h, v = F.col("h_samp"), F.col("v_samp")
     df = df.withColumn("step_h", F.when(many | (lone != 1), h).otherwise(1)).withColumn("step_v", F.when(many | (lone != 1), v).otherwise(1))
     df = df.withColumn("across", F.ceil(F.col("du_width") / F.col("step_h")).cast("int")).withColumn("down", F.ceil(F.col("du_height") / F.col("step_v")).cast("int"))
-    df = df.withColumn("many", many)
-    keep = ["image_id", "cs", "step_h", "step_v", "across", "restart_interval", "many"]
-    df = df.select(*keep, F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("mr"))
-    df = df.select(*keep, "mr", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("mc"))
     luma = F.flatten(F.transform(F.sequence(F.lit(0), F.col("step_v") - 1), lambda y: F.transform(F.sequence(F.lit(0), F.col("step_h") - 1), lambda x: F.struct(y.alias("y"), x.alias("x")))))
     one = F.array(F.struct(F.lit(0).alias("y"), F.lit(0).alias("x")))
-    cells = F.flatten(F.transform("cs", lambda k: F.transform(F.when(F.col("many") & (k["component"] == 1), luma).otherwise(one), lambda p: F.struct(k["component"].alias("component"), p["y"].alias("y"), p["x"].alias("x")))))
-    df = df.withColumn("mcu", F.col("mr") * F.col("across") + F.col("mc")).withColumn("cells", cells)
+    # the units of an MCU are the same all over an image
+    cells = F.flatten(F.transform("cs", lambda k: F.transform(F.when(many & (k["component"] == 1), luma).otherwise(one), lambda p: F.struct(k["component"].alias("component"), p["y"].alias("y"), p["x"].alias("x")))))
+    df = df.withColumn("cells", cells)
+    units = df.agg(F.sum(F.col("across").cast("bigint") * F.col("down") * F.size("cells"))).first()[0] or 0
+    keep = ["image_id", "cells", "step_h", "step_v", "across", "restart_interval"]
+    df = df.select(*keep, "down").repartition(max(-(-units // PLAN_UNITS), images.sparkSession.sparkContext.defaultParallelism), "image_id")
+    df = df.select(*keep, F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("mr"))
+    df = df.select(*keep, "mr", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("mc"))
+    df = df.withColumn("mcu", F.col("mr") * F.col("across") + F.col("mc"))
     df = df.select(*keep, "mr", "mc", "mcu", F.size("cells").alias("per"), F.posexplode("cells").alias("k", "cell"))
     gap = F.coalesce(F.col("restart_interval"), F.lit(0))
     interval = F.when(gap > 0, F.floor(F.col("mcu") / F.when(gap > 0, gap))).otherwise(0).cast("int")
