@@ -2,9 +2,9 @@
 
 A restart interval is decoded by one task, but a long one is cut into chunks of
 bytes that are decoded apart. Where a chunk's first unit begins, and which unit of an
-MCU it is, hangs on all bytes before. Decoding from a wrong place soon falls into step
-with the right one, as Huffman codes do, so each chunk is first walked from several
-places for a guess at where the next one begins. Then each chunk is walked exactly
+MCU it is, hangs on all bytes before. Decoding from a wrong place soon fails, or falls
+into step with the right one, as Huffman codes do, so each chunk is first walked from
+every place where it may begin, for a few guesses at where the next one begins. Then each chunk is walked exactly
 from what was guessed for it; these steps are put together in order, and what is
 missing in the chain is walked again, until every chunk has its true beginning.
 Only then are units decoded, all chunks at once.
@@ -159,37 +159,128 @@ def decode_interval(data: bytes, cells: list[tuple[int, list[int] | None, list[i
 
 #: Bytes of a chunk; longer baseline intervals are cut.
 CHUNK = 1 << 16
+#: Chunks whose steps a task holds at once.
+CHUNKS = 256
 #: Bytes after a chunk that a unit begun in it may need: 64 codes and values of 27 bits at most.
 TAIL = 216
+#: From so few places walks go on one by one.
+FEW = 32
+#: Bytes of chunks that are walked in step.
+STEP_BYTES = 1 << 15
 #: Intervals of an image that share a copy of its tables.
 GROUP = 64
 
 Lookups = list[tuple[int, array | None, array | None]]
 
 
-def guess(data: bytes, cells: Lookups, end: int) -> set[tuple[int, int]]:
-    """Where the next chunk may begin: (bits after ``end``, cell), from the first bit as each cell of an MCU.
+def _kinds(cells: Lookups) -> list[int]:
+    """Of each cell, the first cell that has the same tables."""
+    same: dict = {}
+    return [same.setdefault((id(dc), id(ac)), k) for k, (_, dc, ac) in enumerate(cells)]
 
-    Data that can't be decoded are passed over bit by bit. A walk that meets the
-    steps of an earlier one ends there.
-    """
-    out, seen = set(), set()
-    for cell in range(len(cells)):
-        at = 0
-        bits = Bits(data)
-        while at < end and (at, cell) not in seen:
-            seen.add((at, cell))
+
+class _Walker:
+    """Units of a chunk as (bit after it, DC difference), none where the data can't be decoded; each is decoded once."""
+
+    def __init__(self, data: bytes, cells: Lookups):
+        self.data, self.cells, self.kinds, self.known, self.bits = data, cells, _kinds(cells), {}, Bits(data)
+
+    def unit(self, at: int, cell: int) -> tuple[int, int] | None:
+        key = at, self.kinds[cell]
+        if key not in self.known:
+            if 8 * len(self.data) - self.bits.left != at:
+                self.bits = Bits(self.data, at)
             try:
-                _baseline(bits, *cells[cell][1:])
-                at, cell = 8 * len(data) - bits.left, (cell + 1) % len(cells)
+                diff = _baseline(self.bits, *self.cells[cell][1:])[0]
+                self.known[key] = 8 * len(self.data) - self.bits.left, diff
             except BadData:
-                at += 1
-                bits = Bits(data, at)
-        if at >= end:
-            out.add((at - end, cell))
+                self.known[key] = None
+        return self.known[key]
+
+
+def unit_ends(data: bytes, dc: array, ac: array, starts: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The bit after the unit that begins at each of ``starts``, -1 where none ends up to bit ``most``; all in step."""
+    dc, ac = np.frombuffer(dc, np.uint16), np.frombuffer(ac, np.uint16)
+    x = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+    words = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+
+    def codes(table, at):
+        x = table[words[at >> 3] >> (16 - (at & 7)).astype(np.uint32) & 0xFFFF].astype(np.int64)
+        return x > 0, at + (x >> 8), x & 255
+
+    out = np.full(len(starts), -1, np.int64)
+    fine, at, size = codes(dc, starts)
+    at = at + size
+    left = np.flatnonzero(fine & (size <= 11) & (at <= most))
+    at, most, i = at[left], most[left], np.ones(len(left), np.int64)
+    while len(left):
+        fine, at, symbol = codes(ac, at)
+        run, size = symbol >> 4, symbol & 15
+        last = symbol == 0
+        at = at + size
+        i = i + run + 1
+        fine &= (at <= most) & (last | (i <= 64) & (size <= 10))
+        done = fine & (last | (i == 64))
+        out[left[done]] = at[done]
+        on = fine & ~done
+        left, at, most, i = left[on], at[on], most[on], i[on]
     return out
 
 
+def guesses(chunks: list[bytes], cells: Lookups, ends: list[int]) -> list[set[tuple[int, int]]]:
+    """Where the chunk after each of ``chunks`` may begin: (bits after its end, cell).
+
+    Walks begin at every bit at which a chunk may begin, as each cell of an MCU. A unit of
+    the chunk before ends within ``TAIL`` bytes, so what the true walk leads to is among
+    them. Walks from wrong bits soon fail or meet others; while there are many, those of
+    all chunks go on in step, and the last ones one by one.
+    """
+    n, kinds = len(cells), np.array(_kinds(cells))
+    data = b"".join(x + bytes(8) for x in chunks)  # apart, as codes are looked up 32 bits at a time
+    base = 8 * np.cumsum([0, *(len(x) + 8 for x in chunks)])[:-1]
+    most, end = base + [8 * len(x) for x in chunks], base + ends
+    out: list[set[tuple[int, int]]] = [set() for _ in chunks]
+
+    def leave(chunk, at, cell):
+        for c, bit, to in zip(chunk.tolist(), (at - end[chunk]).tolist(), cell.tolist(), strict=True):
+            out[c].add((bit, to))
+
+    first = np.concatenate([np.arange(a, a + min(b, 8 * TAIL)) for a, b in zip(base.tolist(), ends, strict=True)])
+    state = (first[:, None] * n + np.arange(n)).ravel()  # bit and cell in one number
+    while True:
+        at, cell = np.divmod(state, n)
+        chunk = np.searchsorted(base, at, "right") - 1
+        over = at >= end[chunk]
+        leave(chunk[over], at[over], cell[over])
+        at, cell, chunk = at[~over], cell[~over], chunk[~over]
+        if len(np.unique(at)) <= FEW:
+            break
+        found = []
+        for k in np.unique(kinds[cell]):
+            here = kinds[cell] == k
+            starts, one, which = np.unique(at[here], return_index=True, return_inverse=True)
+            after = unit_ends(data, *cells[k][1:], starts, most[chunk[here][one]])[which]
+            found.append((after * n + (cell[here] + 1) % n)[after >= 0])
+        state = np.unique(np.concatenate(found))
+    walkers, seen = {}, set()
+    for c, at, cell in zip(chunk.tolist(), (at - base[chunk]).tolist(), cell.tolist(), strict=True):
+        walker = walkers.setdefault(c, _Walker(chunks[c], cells))
+        while at < ends[c] and (c, at, cell) not in seen:
+            seen.add((c, at, cell))
+            unit = walker.unit(at, cell)
+            if unit is None:
+                break
+            at, cell = unit[0], (cell + 1) % n
+        if at >= ends[c]:
+            out[c].add((at - ends[c], cell))
+    return out
+
+
+def guess(data: bytes, cells: Lookups, end: int) -> set[tuple[int, int]]:
+    """``guesses`` of one chunk."""
+    return guesses([data], cells, [end])[0]
+
+
 def components(cells) -> list[int]:
     """The components of an MCU, each once; DC sums stand in this order."""
     return sorted({c[0] for c in cells})
@@ -204,9 +295,9 @@ def walk(data: bytes, cells: Lookups, end: int, entries, sums: dict | None = Non
     out, met = {}, {}
     order = components(cells)
     place = [order.index(c[0]) for c in cells]
+    walker = _Walker(data, cells)
     for entry in entries:
         (at, cell), units, path, total = entry, 0, [], [0] * len(order)
-        bits = Bits(data, at)
         while True:
             if (at, cell) in met:
                 bit, to, more, rest = met[at, cell]
@@ -217,12 +308,12 @@ def walk(data: bytes, cells: Lookups, end: int, entries, sums: dict | None = Non
                 exit_ = (at - end, cell, units)
                 break
             path.append((at, cell, units, *total))
-            try:
-                total[place[cell]] += _baseline(bits, *cells[cell][1:])[0]
-            except BadData:
+            unit = walker.unit(at, cell)
+            if unit is None:
                 exit_ = (-1, 0, units)
                 break
-            at, cell, units = 8 * len(data) - bits.left, (cell + 1) % len(cells), units + 1
+            total[place[cell]] += unit[1]
+            at, cell, units = unit[0], (cell + 1) % len(cells), units + 1
         for a, c, n, *before in path:
             met[a, c] = (*exit_[:2], exit_[2] - n, [x - y for x, y in zip(total, before, strict=True)])
         out[entry] = exit_
@@ -244,18 +335,32 @@ def _walked(chunks: DataFrame, exact: bool) -> DataFrame:
     """``image_id, interval_no, chunk_no, steps``: of exact walks from ``entries``, or with guesses as ``to_bit, to_cell``."""
     kind = chunks.schema["image_id"].dataType.simpleString()
 
+    def walks(batch):
+        tables, use = None, None  # neighbours mostly have equal tables
+        for data, n, cells, entries in zip(*(batch.column(c) for c in ("data", "bytes", "cells", "entries")), strict=True):
+            if tables is None or not cells.equals(tables):
+                tables, use = cells, _lookups(cells.as_py())
+            sums: dict = {}
+            found = walk(data.as_py(), use, 8 * n.as_py(), sorted({(e["bit"], e["cell"]) for e in entries.as_py()}), sums)
+            yield [{"bit": b, "cell": c, "to_bit": x, "to_cell": y, "units": u, "sums": sums[b, c]} for (b, c), (x, y, u) in found.items()]
+
+    def guessed(batch):
+        rows, known = list(zip(batch.column("data").to_pylist(), batch.column("bytes").to_pylist(), batch.column("cells"), strict=True)), None
+        at = 0
+        while at < len(rows):
+            tables, to, size = rows[at][2], at, 0
+            while to < len(rows) and (to == at or size + len(rows[to][0]) <= STEP_BYTES) and rows[to][2].equals(tables):
+                to, size = to + 1, size + len(rows[to][0])
+            known = known if known and tables.equals(known[0]) else (tables, _lookups(tables.as_py()))
+            for found in guesses([r[0] for r in rows[at:to]], known[1], [8 * r[1] for r in rows[at:to]]):
+                yield [{"bit": 0, "cell": 0, "to_bit": x, "to_cell": y, "units": 0, "sums": []} for x, y in sorted(found)]
+            at = to
+
     def run(batches):
         for batch in batches:
-            steps = []
-            for data, n, cells, entries in zip(*(batch.column(c) for c in ("data", "bytes", "cells", "entries")), strict=True):
-                data, use, end = data.as_py(), _lookups(cells.as_py()), 8 * n.as_py()
-                if exact:
-                    sums: dict = {}
-                    found = walk(data, use, end, sorted({(e["bit"], e["cell"]) for e in entries.as_py()}), sums)
-                    steps.append([{"bit": b, "cell": c, "to_bit": x, "to_cell": y, "units": u, "sums": sums[b, c]} for (b, c), (x, y, u) in found.items()])
-                else:
-                    steps.append([{"bit": 0, "cell": 0, "to_bit": x, "to_cell": y, "units": 0, "sums": []} for x, y in guess(data, use, end)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(steps, _STEPS)], [*_KEY, "steps"])
+            for part in (batch.slice(k, CHUNKS) for k in range(0, batch.num_rows, CHUNKS)):
+                steps = list((walks if exact else guessed)(part))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _KEY), pa.array(steps, _STEPS)], [*_KEY, "steps"])
 
     return chunks.select(*_KEY, "data", "bytes", "cells", "entries").mapInArrow(run, f"image_id {kind}, interval_no int, chunk_no int, steps {_STEP}")
 
@@ -294,6 +399,11 @@ def cut_intervals(intervals: DataFrame, chunk_bytes: int) -> DataFrame:
     return rows.withColumn("bytes", size).withColumn("data", F.substring("data", F.col("chunk_no") * chunk_bytes + 1, chunk_bytes + TAIL * F.size("cells")))
 
 
+def _dealt(chunks: DataFrame) -> DataFrame:
+    """``chunks`` in as many tasks as shuffles have: their bytes are few for the time they take, so the planner would put them together."""
+    return chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEY)
+
+
 def beginnings(chunks: DataFrame) -> DataFrame:
     """``image_id, interval_no, chunk_no, bit, cell, first, sums`` of every chunk that the data can be decoded up to.
 
@@ -305,12 +415,12 @@ def beginnings(chunks: DataFrame) -> DataFrame:
     inner = chunks.filter("chunk_no < chunks - 1")  # where the last one ends does not matter
     places = F.transform("steps", lambda s: F.struct(s.to_bit.alias("bit"), s.to_cell.alias("cell")))
     none = F.array().cast("array<struct<bit:int,cell:int>>")
-    guessed = stage(_walked(inner.withColumn("entries", none), False), "guesses")
+    guessed = stage(_walked(_dealt(inner.withColumn("entries", none)), False), "guesses")
     start = chunks.filter("chunk_no = 0").select(*_KEY, F.array(F.struct(F.lit(0).alias("bit"), F.lit(0).alias("cell"))).alias("entries"))
     entries = guessed.select("image_id", "interval_no", (F.col("chunk_no") + 1).alias("chunk_no"), places.alias("entries")).unionByName(start)
     steps = None
     while True:
-        new = stage(_walked(inner.join(entries, _KEY), True), "steps")
+        new = stage(_walked(_dealt(inner.join(entries, _KEY)), True), "steps")
         steps = new if steps is None else steps.unionByName(new)
         known = steps.groupBy(*_KEY).agg(F.flatten(F.collect_list("steps")).alias("steps"))  # a chunk has few
         chain = stage(_chain(known), "chain")
@@ -350,8 +460,8 @@ def decodable(intervals: DataFrame, tables: DataFrame, chunk_bytes: int) -> list
     cut = df.filter(long)
     if cut.select("image_id").isEmpty():
         return [df.select("*", *begin)]
-    chunks = stage(cut_intervals(cut, chunk_bytes).repartition(*_KEY), "chunks")
-    inside = chunks.join(beginnings(chunks), _KEY)
+    chunks = stage(_dealt(cut_intervals(cut, chunk_bytes)), "chunks")
+    inside = _dealt(chunks.join(beginnings(chunks), _KEY))
     inside = inside.withColumn("bytes", F.when(F.col("chunk_no") < F.col("chunks") - 1, F.col("bytes"))).drop("chunk_no", "chunks")
     return [df.filter(~F.coalesce(long, F.lit(False))).select("*", *begin), inside]
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.arrays import ZIGZAG
 from ..operators import segments as S
+from ..sources.staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,20 +192,26 @@ def ycc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class BitWriter:
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.value, self.n, self.whole = 0, 0, bytearray()
 
     def put(self, v: int, k: int) -> None:
         self.value, self.n = self.value << k | v & ((1 << k) - 1), self.n + k
+        if self.n >= 512:  # whole bytes are put aside, or each bit would cost as much as all before it
+            rest = self.n % 8
+            self.whole += (self.value >> rest).to_bytes(self.n // 8, "big")
+            self.value, self.n = self.value & ((1 << rest) - 1), rest
 
     def data(self) -> bytes:
         """The bits, filled up with ones, with zero bytes after FF."""
         pad = -self.n % 8
-        return ((self.value << pad | (1 << pad) - 1).to_bytes((self.n + pad) // 8, "big") if self.n else b"").replace(b"\xff", b"\xff\x00")
+        last = (self.value << pad | (1 << pad) - 1).to_bytes((self.n + pad) // 8, "big") if self.n else b""
+        return bytes(self.whole + last).replace(b"\xff", b"\xff\x00")
 
 
 #: Flat tables: 12 DC symbols of four bits, 162 AC symbols (EOB, ZRL, run and size) of eight.
 DC_SYMBOLS = list(range(12))
 AC_SYMBOLS = [0x00, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+_AC_CODES = {s: code for code, s in enumerate(AC_SYMBOLS)}
 
 
 def _magnitude(v: int) -> tuple[int, int]:
@@ -224,14 +231,14 @@ def _unit(out: BitWriter, coef, before: int) -> int:
             run += 1
             continue
         while run > 15:
-            out.put(AC_SYMBOLS.index(0xF0), 8)
+            out.put(_AC_CODES[0xF0], 8)
             run -= 16
         k, bits = _magnitude(v)
-        out.put(AC_SYMBOLS.index(run << 4 | k), 8)
+        out.put(_AC_CODES[run << 4 | k], 8)
         out.put(bits, k)
         run = 0
     if run:
-        out.put(AC_SYMBOLS.index(0x00), 8)
+        out.put(_AC_CODES[0x00], 8)
     return scan[0]
 
 
@@ -269,7 +276,7 @@ def encode(units: dict, width: int, height: int, *, h: int = 1, v: int = 1, rest
 
 
 def jpegs(spark: SparkSession, sf_dir: str, *, restart: int = 4, color: bool = True, h: int = 2, v: int = 2, down: int = 8) -> DataFrame:
-    """``image_id, content``: a file for each ``down`` rows of units of every label, so files grow in number, not in size."""
+    """``image_id, content``: a file for each ``down`` rows of units of every label, so files grow in number, not in size. Written down, as files are read more than once."""
     b = color_blocks(spark, sf_dir, h, v) if color else blocks(spark, sf_dir)
     part = F.floor(F.col("du_row") / down).cast("int")
     b = b.select((F.col("image_id").cast("bigint") * 1_000_000 + part).alias("image_id"), "component", (F.col("du_row") - part * down).alias("du_row"), "du_col", "coef")
@@ -281,7 +288,8 @@ def jpegs(spark: SparkSession, sf_dir: str, *, restart: int = 4, color: bool = T
         data = encode(units, 32, rows * 8, h=h, v=v, restart=restart, quant=quant, components=3 if color else 1)
         return pa.table({"image_id": [key[0].as_py()], "content": [data]})
 
-    return b.groupBy("image_id").applyInArrow(lambda key, group: write(key, group), "image_id bigint, content binary")
+    b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")  # the planner would put few bytes into few tasks
+    return stage(b.groupBy("image_id").applyInArrow(lambda key, group: write(key, group), "image_id bigint, content binary"), "jpegs")
 
 
 #: Why the entropy data of a file can't be decoded; none: it can.
