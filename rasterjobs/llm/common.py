@@ -65,11 +65,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= rows and (bytes_ or 0) <= BROADCAST_BYTES else df
 
 
+#: Bytes of the rows of a slice, unless one row has more.
+SLICE_BYTES = 2 << 20
+
+
 def slices(batches, rows: int = 256):
-    """Arrow batches cut to at most ``rows`` rows, so that a task's arrays stay small."""
+    """Arrow batches cut to at most ``rows`` rows and ``SLICE_BYTES``, so that a task's arrays stay small."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+            todo = [batch.slice(lo, rows)]
+            while todo:
+                part = todo.pop()
+                half = part.num_rows // 2
+                if half and part.nbytes > SLICE_BYTES:
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 # --------------------------------------------------------------------------
@@ -219,7 +230,7 @@ ALNUM_LOWER = bytes(
 #: Size of the filter of repeated keys, 2**27 bits (16 MiB) whatever the input.
 FILTER_BITS = 27
 #: Keys a task holds before it sends them out, and keys aimed at in a range.
-HELD_KEYS, RANGE_KEYS = 1 << 20, 4 << 20
+HELD_KEYS, RANGE_KEYS = 1 << 18, 1 << 20
 #: A key in fewer documents is never split; keys that can be split at most.
 HOT_KEY, MOST_HOT = 1_000, 1_000_000
 

@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -278,3 +279,11 @@ def test_passages_cover_the_text():
     assert len(quality.encode(None)) == 1 and len(quality.encode(b"a" * 4000)) == 10
     assert np.allclose((quality.encode(b"abc " * 300)[:, : quality.SINGLES] ** 2).sum(1), 1, atol=1e-3)
     assert hashlib.sha256(quality.encode("é".encode() * 999).tobytes()).hexdigest() == hashlib.sha256(quality.encode("é".encode() * 999).tobytes()).hexdigest()
+
+
+def test_slices_hold_few_bytes():
+    texts = [b"x" * (300_000 * (i % 7 == 0) + 10) for i in range(100)] + [b"y" * 5_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    parts = list(common.slices([batch]))
+    assert [x.as_py() for p in parts for x in p.column("text")] == texts
+    assert max(p.nbytes for p in parts if p.num_rows > 1) <= 2 << 20
