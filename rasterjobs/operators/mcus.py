@@ -19,7 +19,7 @@ from . import huffman
 from .transform import idct8x8
 
 #: Blocks of which a task makes rows, or pixels, at once.
-UNITS = 1 << 13
+UNITS = 1 << 11
 
 _FIELDS = {
     "interval_no": "int", "mcu": "bigint", "du_row": "int", "du_col": "int", "h": "int", "v": "int",

@@ -1,10 +1,12 @@
 """Work and its place grow with the input, and no faster."""
 
+import tracemalloc
+
 import numpy as np
 import test_chunks as chunks
 
 from rasterjobs import queries
-from rasterjobs.operators import coefficients, segments
+from rasterjobs.operators import coefficients, mcus, segments
 from rasterjobs.plans import fixtures as X
 
 
@@ -33,3 +35,13 @@ def test_bits_are_put_aside_as_they_come():
         assert w.value.bit_length() < 1024
     want += "1" * (-len(want) % 8)
     assert w.data() == int(want, 2).to_bytes(len(want) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def test_a_slice_of_blocks_takes_little_memory():
+    coef = np.ones((mcus.UNITS, 1, 64), np.int16)
+    tracemalloc.start()
+    try:
+        mcus._planes(coef, coef, [1], 1, 1)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
