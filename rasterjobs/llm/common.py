@@ -6,9 +6,12 @@ never holds more than an Arrow batch plus a few arrays as long as one document.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -44,6 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of a batch that Spark hands to a Python task, unless one row has more.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _size(text: str) -> int:
+    """Bytes of a setting such as ``64m`` or ``67108864b``."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most ``BATCH_BYTES``, or of what is set if that is less, for what is run inside.
+
+    Spark's own 64 MiB take that room several times over, in the executor's JVM and in Python.
+    """
+    before = spark.conf.get(_BATCH)
+    if 0 < _size(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -51,7 +82,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     not the work that made it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,9 +100,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 #: Bytes of the rows of a slice, unless one row has more.
 SLICE_BYTES = 2 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in glibc
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker goes on to other tasks, and would keep what the largest took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
 
 def slices(batches, rows: int = 256):
     """Arrow batches cut to at most ``rows`` rows and ``SLICE_BYTES``, so that a task's arrays stay small."""
+    give_back()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             todo = [batch.slice(lo, rows)]

@@ -140,18 +140,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     windows = stage(windows, "item-windows")
     size = windows.agg(F.count("*").alias("rows"), F.sum(F.length("words") + F.length(F.array_join("items", ","))).alias("bytes")).first()
     if size.rows <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
-        both, held = d, spark.sparkContext.broadcast(windows.toArrow())
+        both, held = d, spark.sparkContext.broadcast(windows.toArrow().to_struct_array().combine_chunks())
     else:
-        found = near.join(windows, ["len", "window"]).groupBy("id").agg(F.collect_list(F.struct("window", "words", "items")).alias("windows"))
+        found = near.join(windows, ["len", "window"]).groupBy("id").agg(F.collect_list(F.struct("len", "window", "words", "items")).alias("windows"))
         both, held = d.join(small(stage(found.withColumnRenamed("id", "cid"), "candidates")), F.col("id").eqNullSafe(F.col("cid")), "left").select("id", "text", "windows"), None
 
     def verify(batches):
-        known = _by_length(held.value.to_pylist()) if held else None
+        known = _by_length(held.value) if held else None
         for batch in slices(batches):
             words, hits, names = [], [], []
             near = [None] * batch.num_rows if held else batch.column("windows")
             for text, (hashes,), x in zip(batch.column("text"), text_words(batch.column("text"), ALNUM_LOWER), near, strict=True):
-                hit, which = _extend(text, hashes, known if held else _by_length(x.as_py() or []))
+                hit, which = _extend(text, hashes, known if held else _by_length(x.values))
                 words.append(len(hashes))
                 hits.append(hit)
                 names.append(which)
@@ -161,15 +161,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return out.withColumnRenamed("id", doc_id)
 
 
-def _by_length(windows: list[dict]) -> dict[int, tuple[np.ndarray, dict[tuple, list]]]:
-    """Windows by their number of words: their hashes, sorted, and the items that hold each."""
-    hashes: dict[int, list] = {}
-    words: dict[int, dict[tuple, list]] = {}
-    for x in windows:
-        window = tuple(x["words"].split(b" "))
-        hashes.setdefault(len(window), []).append(x["window"])
-        words.setdefault(len(window), {})[window] = x["items"]
-    return {size: (np.sort(np.array(h, np.int64).view(np.uint64)), words[size]) for size, h in hashes.items()}
+def _by_length(windows: pa.StructArray | None) -> dict[int, tuple[np.ndarray, pa.Array, pa.Array]]:
+    """Windows by their number of words: their hashes, sorted, and in this order their words and the items that hold them.
+
+    All stay Arrow arrays: as Python objects they would take many times their bytes in each task.
+    """
+    if not windows:
+        return {}
+    sizes, hashes = windows.field("len").to_numpy(), windows.field("window").to_numpy().view(np.uint64)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        rows = rows[np.argsort(hashes[rows], kind="stable")]
+        out[size] = hashes[rows], windows.field("words").take(pa.array(rows)), windows.field("items").take(pa.array(rows))
+    return out
 
 
 def _extend(text: pa.Scalar, hashes: np.ndarray, windows: dict) -> tuple[int, list[str]]:
@@ -177,15 +182,20 @@ def _extend(text: pa.Scalar, hashes: np.ndarray, windows: dict) -> tuple[int, li
     hit = np.zeros(len(hashes), bool)
     named: set[str] = set()
     words = None
-    for size, (values, items) in windows.items():
+    for size, (values, known, items) in windows.items():
         seen = set()
-        for i in np.flatnonzero(_among(ngram_hashes(hashes, size), values)).tolist():
+        own = ngram_hashes(hashes, size)
+        at = np.flatnonzero(_among(own, values))
+        first, last = (np.searchsorted(values, own[at], side).tolist() for side in ("left", "right"))
+        for i, lo, hi in zip(at.tolist(), first, last, strict=True):
             words = item_words(text.as_py()) if words is None else words
-            if (window := tuple(words[i : i + size])) in items:
-                hit[i : i + size] = True
-                seen.add(window)
-        for window in seen:
-            named.update(items[window])
+            window = b" ".join(words[i : i + size])
+            for row in range(lo, hi):  # more than one only where different windows share a hash
+                if known[row].as_py() == window:
+                    hit[i : i + size] = True
+                    seen.add(row)
+        for row in seen:
+            named.update(items[row].as_py())
     return int(hit.sum()), sorted(named)
 
 

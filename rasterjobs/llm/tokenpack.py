@@ -23,6 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small, stage
+from .common import give_back, small, stage
 
 MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sB3xIQQQQ")
 BLOCK = 4096
 #: Ids in a shard, about 8 MiB at 16 bits; a longer document has a shard of its own.
 SHARD_IDS = 4 << 20
-#: Parts of texts whose ids a worker remembers; the memory is emptied when full.
+#: Parts of texts whose ids a task remembers; the memory is emptied when full.
 CACHE_WORDS = 400_000
 LARGE = pa.large_string()
 #: Words of letters that the library encodes in one call.
@@ -219,6 +220,17 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+@contextmanager
+def encoding(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for one task; the words that the task has met are not kept for other tasks."""
+    enc = encoder(path)
+    try:
+        yield enc
+    finally:
+        enc._forget()
+        give_back()
+
+
 # --------------------------------------------------------------------------
 # Jobs
 
@@ -247,8 +259,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     d = d.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
 
-    def run(batches):
-        enc = encoder(tokenizer)
+    def packed(batches, enc):
         bits = max(1, (max(enc.size - 1, end_id)).bit_length())
         end, shard, ids, docs_, size, part = np.array([end_id], np.uint32), 0, [], [], 0, None
 
@@ -270,6 +281,10 @@ def write_shards(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", tex
         if ids:
             yield out()
 
+    def run(batches):
+        with encoding(tokenizer) as enc:
+            yield from packed(batches, enc)
+
     return d.mapInArrow(run, "part int, shard int, doc_ids array<long>, n_ids long, data binary")
 
 
