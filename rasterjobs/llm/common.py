@@ -131,6 +131,8 @@ def slices(batches, rows: int = 256):
 _CHUNK = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Factors that spread 32 bits for the probes of a filter; the first leaves them as they are.
+_ODD = np.array([1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 #: The lowest k bytes of a block.
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -269,14 +271,21 @@ ALNUM_LOWER = bytes(
 # --------------------------------------------------------------------------
 # Keys that occur more than once
 
-#: Size of the filter of repeated keys, 2**27 bits (16 MiB) whatever the input.
-FILTER_BITS = 27
+#: Size of the filter of repeated keys, 2**30 bits (128 MiB) at most; bits aimed at for each of them, and bits that one sets at most.
+FILTER_BITS, KEY_BITS, MOST_PROBES = 30, 12, 4
+#: Repeated keys for each bit of the largest filter, beyond which a join replaces it.
+FULL = 4
 #: Keys a task holds before it sends them out, and keys aimed at in a range.
 HELD_KEYS, RANGE_KEYS = 1 << 18, 1 << 20
 #: A key in fewer documents is never split; keys that can be split at most.
 HOT_KEY, MOST_HOT = 1_000, 1_000_000
 
 
+def _slot(low: np.ndarray, probe: int, width: int) -> np.ndarray:
+    """The bit, of a range's ``2**width``, that a probe looks at; ``low`` has the 32 bits of keys after the range's."""
+    return (low * _ODD[probe] >> np.uint32(32 - width)).astype(np.int64)
+
+
 class Repeated:
     """The keys that several documents hold.
 
@@ -288,17 +297,17 @@ class Repeated:
     chance agreement in these (one key in a thousand, as the ranges grow along) only
     costs a row.
 
-    The repeated keys are turned into a bitmap of a fixed size that tasks probe
-    while they read the texts a second time; a false positive only costs a row.
-    When there are too many repeated keys for the bitmap, ``bitmap`` is None and
-    ``only`` joins instead.
+    The repeated keys are turned into a Bloom filter that tasks probe while they
+    read the texts a second time; a false positive only costs a row. It has about
+    ``KEY_BITS`` bits for each of them, so the share of false positives does not grow
+    with the input, and a part of its own for each range. When there are too many
+    repeated keys for ``2**bits``, ``bitmap`` is None and ``only`` joins instead.
     """
 
     def __init__(self, rows: DataFrame, keys_of, expected: int, bits: int = FILTER_BITS):
         spark = rows.sparkSession
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // RANGE_KEYS), 2)
         self.top = top = (ranges - 1).bit_length()
-        self.bits = bits
         edges = np.arange((1 << top) + 1, dtype=np.uint64) << np.uint64(32)
 
         def counted(x):
@@ -333,12 +342,9 @@ class Repeated:
             every, at = np.unique(np.concatenate([x, y[:, 0]]), return_inverse=True)
             total = np.bincount(at, np.concatenate([n, y[:, 1]]), len(every)).astype(np.int64)
             x, n = every[total > 1], total[total > 1]
-            bitmap = np.zeros(max(1, (1 << max(bits - top, 0)) // 8), np.uint8)
-            slot = x.astype(np.int64) >> (32 - min(max(bits - top, 0), 32))
-            np.bitwise_or.at(bitmap, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
             hot = n >= HOT_KEY
             often = pa.array([list(zip((x[hot].astype(np.int64) + (number << 32)).tolist(), n[hot].tolist(), strict=True))], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([bitmap.tobytes()], pa.binary()), often], ["range", "n", "total", "keys", "bitmap", "often"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([int(total.sum())], pa.int64()), pa.array([x.tobytes()], pa.binary()), often], ["range", "n", "total", "keys", "often"])
 
         def count(batches):
             number, once, more = None, [], []
@@ -354,15 +360,32 @@ class Repeated:
                 yield finish(number, once, more)
 
         sent = rows.mapInArrow(keys, "range int, once binary, more binary").repartition(1 << top, "range").sortWithinPartitions("range")
-        self.found = stage(sent.mapInArrow(count, "range int, n long, total long, keys binary, bitmap binary, often array<struct<key:long,n:long>>"), "repeated")
+        self.found = stage(sent.mapInArrow(count, "range int, n long, total long, keys binary, often array<struct<key:long,n:long>>"), "repeated")
         self.n, self.total = (x or 0 for x in self.found.agg(F.sum("n"), F.sum("total")).first())
         self.bitmap = None
-        if bits >= top + 3 and self.n <= (1 << bits) // 8:
-            out = np.zeros(1 << (bits - 3), np.uint8)
-            step = 1 << (bits - top - 3)
-            for r in self.found.select("range", "bitmap").toLocalIterator():  # 2**bits bits in all
-                out[r.range * step : (r.range + 1) * step] = np.frombuffer(r.bitmap, np.uint8)
-            self.bitmap = spark.sparkContext.broadcast(out)
+        if bits >= top + 3 and FULL * self.n <= 1 << bits:
+            self.bits = min(bits, top + 32, max(top + 3, (KEY_BITS * self.n).bit_length()))
+            self.probes = min(MOST_PROBES, max(1, int(0.7 * (1 << self.bits) / max(self.n, 1))))
+            self.bitmap = spark.sparkContext.broadcast(self._filter())
+
+    def _filter(self) -> np.ndarray:
+        width, probes = self.bits - self.top, self.probes
+        step = 1 << (width - 3)
+
+        def fill(batches):
+            for batch in batches:
+                for r, k in zip(batch.column("range").to_pylist(), batch.column("keys"), strict=True):
+                    part, low = np.zeros(step, np.uint8), np.frombuffer(k.as_py(), np.uint32)
+                    for i in range(probes):
+                        slot = _slot(low, i, width)
+                        np.bitwise_or.at(part, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "part"])
+
+        out = np.zeros(step << self.top, np.uint8)
+        parts = stage(self.found.select("range", "keys").mapInArrow(fill, "range int, part binary"), "filter")
+        for r in parts.toLocalIterator():  # 2**bits bits in all
+            out[r.range * step : (r.range + 1) * step] = np.frombuffer(r.part, np.uint8)
+        return out
 
     def salts(self):
         """A function for tasks: array of uint64 keys to the number of parts their rows are split into.
@@ -387,13 +410,21 @@ class Repeated:
 
     def probe(self):
         """A function for tasks: array of uint64 keys to a mask of possible repeats."""
-        bitmap, bits = self.bitmap, self.bits
+        bitmap = self.bitmap
         if bitmap is None:
             return lambda keys: np.ones(len(keys), bool)
+        top, width, probes = self.top, self.bits - self.top, self.probes
 
         def may_repeat(keys: np.ndarray) -> np.ndarray:
-            slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            return (bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            cut = keys >> np.uint64(32 - top)
+            low, base = cut.astype(np.uint32), (cut >> np.uint64(32)).astype(np.int64) << width
+            left = np.arange(len(keys))
+            for i in range(probes):
+                slot = base[left] + _slot(low[left], i, width)
+                left = left[(bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+            out = np.zeros(len(keys), bool)
+            out[left] = True
+            return out
 
         return may_repeat
 

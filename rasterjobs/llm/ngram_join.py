@@ -47,6 +47,8 @@ HUB = 100
 #: Bits of the parities that bound how many tokens two sets differ in.
 PARITY = 512
 PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+#: Tokens in fewer sets are rare alike; so many others are told apart at most; sets with a token in one place.
+FEW, OFTEN, SHARED = 16, 500_000, 1_000
 #: One token in so many is counted to measure the overlap of unrelated sets.
 PROBE = 256
 
@@ -328,7 +330,7 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     first compared with the most central of its groups' leaders, then with those
     leaders to which it is not connected yet. In groups of up to four the other
     pairs follow where they are still apart; in larger ones only those pairs that
-    their sizes and parities do not rule out.
+    share one of their rarest tokens and that sizes and parities do not rule out.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows that
     share an id are one document, which has all their links. A row without an id
@@ -359,7 +361,7 @@ def similar_documents(docs: DataFrame, *, n: int, num: int, den: int, doc_id: st
     others = _apart(led.select(*pair).distinct(), label).join(best, ["a", "b"], "left_anti")
     links = stage(links.unionByName(_linked(others, sets, num, den)), "links")
     label = stage(components(links), "components")
-    # groups of up to WHOLE members: their other pairs; larger ones: what sizes and parities leave open
+    # groups of up to WHOLE members: their other pairs; larger ones: what rare tokens, sizes and parities leave open
     few = groups.filter(f"size <= {WHOLE} and rep <> l1").select("key", "rep")
     rest = few.join(few.select("key", F.col("rep").alias("other")), "key").filter("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     rest = _apart(rest.distinct(), label).unionByName(_open_pairs(groups.filter(f"size > {WHOLE}"), sets, label, num, den)).distinct()
@@ -385,17 +387,65 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _open_pairs(groups: DataFrame, sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of large groups that are not connected yet and that sizes and parities do not rule out.
+    """Pairs of members of large groups that are not connected yet and may link.
 
-    Members are listed once under each leader, however many signatures they share
-    with it. The bounds are part of the join, so ruled out pairs make no rows.
+    Sets that link differ in so few tokens that they share one of their rarest (see
+    ``_rarest``), whatever else they share: what brought a large group together, such
+    as a line that stands in many documents, makes no pairs. Sizes and parities are
+    part of the join, so pairs that they rule out make no rows. The sets with a token
+    that many share are dealt out to several tasks.
     """
     c = _with_component(groups, label, "rep", "c")
     parts = c.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     member = c.join(small(stage(parts, "parts")), "key", "left_semi").select(F.col("l1").alias("lead"), "rep", "c").distinct()
-    m = stage(_with_component(member, label, "lead", "cl"), "open")
-    sizes = small(stage(sets.drop("tokens"), "sizes"))
-    x = m.filter("c <> cl").select("lead", F.col("rep").alias("x"), F.col("c").alias("cx")).join(_side(sizes, "x"), "x")
-    y = m.select("lead", F.col("rep").alias("y"), F.col("c").alias("cy")).join(_side(sizes, "y"), "y")
-    both = x.join(y, (x["lead"] == y["lead"]) & (F.col("cx") != F.col("cy")) & _room("x", "y", num, den))
+    member = _with_component(member, label, "lead", "cl").groupBy(F.col("rep").alias("id")).agg(F.first("c").alias("c"), F.max(F.col("c") != F.col("cl")).alias("apart"))
+    own = stage(sets.join(small(stage(member, "open")), "id"), "open-sets")
+    rare = stage(_rarest(own, num, den), "rare")
+    x = rare.filter("apart").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    y = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = (t.select("token", "part", F.col("id").alias(k), F.col("c").alias(f"c{k}"), F.col("apart").alias(f"apart_{k}"), *(F.col(v).alias(f"{k}_{v}") for v in ("size", *PARITIES))) for t, k in ((x, "x"), (y, "y")))
+    once = (F.col("x") < F.col("y")) | ~F.col("apart_y")
+    both = x.join(y, (x["token"] == y["token"]) & (x["part"] == y["part"]) & (F.col("cx") != F.col("cy")) & once & _room("x", "y", num, den))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``sets`` once for each of their rarest ``token``s, with the ``parts`` that those with it are dealt out to.
+
+    Sets with a Jaccard of ``num / den`` differ from their larger one in less than
+    ``most + 1`` tokens, so they share one of each other's first ``most + 1`` in any
+    one order of all tokens. Here those in fewest sets come first. Tokens in a few
+    sets count as rare alike, so that the others can be sent to all tasks.
+    """
+
+    def every(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.frombuffer(t.as_py(), np.int64) for t in batch.column("tokens")]))], ["token"])
+
+    counts = sets.select("tokens").mapInArrow(every, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(f"n >= {FEW}")
+    counts = stage(counts, "often")
+    least = max(FEW, (counts.agg(F.sum("n")).first()[0] or 0) // OFTEN)
+    often = counts.filter(F.col("n") >= least).toArrow()  # OFTEN rows at most
+    token, n = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(token)
+    sent = sets.sparkSession.sparkContext.broadcast((token[order], n[order]))
+    kept = [f for f in sets.schema if f.name != "tokens"]
+
+    def run(batches):
+        known, n = sent.value
+        for batch in slices(batches):
+            tokens, times = [], []
+            for t in batch.column("tokens"):
+                x = np.frombuffer(t.as_py(), np.uint64)
+                count = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    count = np.where(known[at] == x, n[at], 0)
+                first = np.lexsort((x, count))[: len(x) * (den - num) // den + 1]
+                tokens.append(x[first])
+                times.append(count[first])
+            rows = pa.array(np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]))
+            parts = pa.array((np.concatenate(times) // SHARED + 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(rows) for f in kept), pa.array(np.concatenate(tokens).view(np.int64)), parts], [*(f.name for f in kept), "token", "parts"])
+
+    return sets.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["token long", "parts int"]))
